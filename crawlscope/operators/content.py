@@ -68,6 +68,43 @@ def extract_content(pages: DataFrame) -> DataFrame:
     )
 
 
+def page_images(pages: DataFrame) -> DataFrame:
+    """page_id, images ARRAY<STRUCT<src, alt, width, height>>: first of each address, in order.
+
+    The distinct runs inside the row; a page is one document, so nothing is shuffled.
+    """
+
+    def optional(tag: Column, name: str) -> Column:
+        return F.nullif(H.attribute(tag, name), F.lit(""))
+
+    found = F.filter(
+        F.transform(
+            H.tags(H.visible(F.col("html")), "img"),
+            lambda t: F.struct(
+                H.attribute(t, "src").alias("raw"),
+                optional(t, "alt").alias("alt"),
+                optional(t, "width").try_cast("bigint").alias("width"),
+                optional(t, "height").try_cast("bigint").alias("height"),
+            ),
+        ),
+        lambda i: i["raw"] != "",
+    )
+    absolute = F.transform(
+        F.col("found"),
+        lambda i: F.struct(
+            urls.dom_href(i["raw"], F.col("url")).alias("src"), i["alt"].alias("alt"), i["width"].alias("width"),
+            i["height"].alias("height"),
+        ),
+    )
+    sources = F.transform("images", lambda i: i["src"])
+    first = F.filter("images", lambda i, n: F.array_position(sources, i["src"]) == n + 1)
+    return (
+        pages.select("page_id", "url", found.alias("found"))
+        .select("page_id", absolute.alias("images"))
+        .select("page_id", first.alias("images"))
+    )
+
+
 def extract_images(pages: DataFrame) -> DataFrame:
     """Images per page, distinct by address: site, page_id, ord, src, alt, width, height, loading."""
 
