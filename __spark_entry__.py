@@ -50,7 +50,7 @@ def j0_canonicalize_urls(spark, d):
 @query
 def p1_p2_resolve_and_normalize(spark, d):
     """Link targets of each page: resolved as given, as in a browser, and normalised."""
-    found = links.extract_links(A.rich_pages(spark, d))
+    found = links.page_links(links.extract_links(A.rich_pages(spark, d)))
     return found.select(
         "page_id", "link_ord", "href", urls.normalize(F.col("href")).alias("norm"),
         urls.normalize(F.concat(F.lit("../x/./"), F.col("page_id").cast("string"), F.lit("/?b=1&gclid=9&a=2")), F.col("page_url")).alias("relative"),
@@ -108,7 +108,7 @@ def p8_hex_colors(spark, d):
 @query
 def w1_first_seen_links(spark, d):
     """First page of each site that links an address."""
-    found = links.extract_links(_pages(spark, d)).select("site", "href", "page_id", "link_ord")
+    found = links.page_links(links.extract_links(_pages(spark, d))).select("site", "href", "page_id", "link_ord")
     return first_seen(found, ["site", "href"], ["page_id", "link_ord"])
 
 
@@ -143,8 +143,8 @@ def h2_links(spark, d):
 
 @query
 def h2_links_rich(spark, d):
-    return links.page_links(links.extract_links(A.rich_pages(spark, d))).select(
-        "page_id", "link_ord", "href", "text", "parent", "in_nav"
+    return links.extract_links(A.rich_pages(spark, d)).select(
+        "page_id", "scope", "link_ord", "href", "text", "parent", "in_nav"
     )
 
 

@@ -12,6 +12,7 @@ from operator import and_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from crawlscope.functions.arrays import bind
 from crawlscope.functions.text import squeeze
 
 # Inside of a tag, with ">" allowed between quotes; possessive, so it never backtracks.
@@ -46,10 +47,13 @@ def visible(html: Column) -> Column:
 
 
 def decode_entities(text: Column) -> Column:
-    decoded = text
-    for entity, char in _ENTITIES:
-        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
-    return F.when(text.contains("&"), decoded).otherwise(text)
+    def decode(raw: Column) -> Column:
+        decoded = raw
+        for entity, char in _ENTITIES:
+            decoded = F.replace(decoded, F.lit(entity), F.lit(char))
+        return F.when(raw.contains("&"), decoded).otherwise(raw)
+
+    return bind(text, decode)
 
 
 def text_of(fragment: Column) -> Column:
@@ -102,12 +106,15 @@ def attr_equals(name: str, value: str) -> str:
 
 def main_block(html: Column) -> Column:
     """Inside of the first main or article element, otherwise of the body."""
-    seen = visible(html)
-    block = F.regexp_extract(seen, r"(?is)<(main|article)\b[^>]*>(.*?)</\1\s*>", 2)
-    body = F.regexp_replace(
-        F.regexp_replace(seen, r"(?is)^.*?<body\b[^>]*>|^.*</head\s*>", ""), r"(?is)</body\s*>.*$", ""
-    )
-    return F.when(seen.rlike(r"(?i)<(?:main|article)\b"), block).otherwise(body)
+
+    def block(seen: Column) -> Column:
+        root = F.regexp_extract(seen, r"(?is)<(main|article)\b[^>]*>(.*?)</\1\s*>", 2)
+        body = F.regexp_replace(
+            F.regexp_replace(seen, r"(?is)^.*?<body\b[^>]*>|^.*</head\s*>", ""), r"(?is)</body\s*>.*$", ""
+        )
+        return F.when(seen.rlike(r"(?i)<(?:main|article)\b"), root).otherwise(body)
+
+    return bind(visible(html), block)
 
 
 def link_tokens(html: Column) -> Column:
@@ -134,27 +141,26 @@ def anchors(html: Column) -> Column:
     )
 
     def step(acc: Column, token: Column) -> Column:
-        name = F.upper(F.regexp_extract(token, r"^</?([A-Za-z]+)", 1))
-        stack = acc["stack"]
-        back = F.array_position(F.reverse(stack), name)
-        closed = F.when(back == 0, stack).otherwise(
-            F.slice(stack, F.lit(1), (F.size(stack) - back).cast("int"))
-        )
-        link = F.struct(
-            attribute(F.regexp_extract(token, rf"(?is)^<a\b{TAG_BODY}>", 0), "href").alias("href"),
-            text_of(token).alias("text"),
-            F.coalesce(F.try_element_at(stack, F.lit(-1)), F.lit("BODY")).alias("parent"),
-            (F.array_contains(stack, "NAV") | F.array_contains(stack, "HEADER")).alias("in_nav"),
-        )
-        is_link = (name == "A") & token.rlike(rf"(?i)^<a\b[^>]*\shref\s*=")
-        return F.struct(
-            F.when(name == "A", stack)
-            .when(token.startswith("</"), closed)
-            .otherwise(F.concat(stack, F.array(name)))
-            .alias("stack"),
-            F.when(is_link, F.concat(acc["found"], F.array(link)))
-            .otherwise(acc["found"])
-            .alias("found"),
-        )
+        def with_name(name: Column) -> Column:
+            stack = acc["stack"]
+            kept = F.size(stack) - F.array_position(F.reverse(stack), name)
+            closed = F.when(F.array_contains(stack, name), F.slice(stack, F.lit(1), kept.cast("int"))).otherwise(stack)
+            tag = F.regexp_extract(token, rf"(?is)^<a\b{TAG_BODY}>", 0)
+            link = F.struct(
+                attribute(tag, "href").alias("href"),
+                text_of(token).alias("text"),
+                F.coalesce(F.try_element_at(stack, F.lit(-1)), F.lit("BODY")).alias("parent"),
+                (F.array_contains(stack, "NAV") | F.array_contains(stack, "HEADER")).alias("in_nav"),
+            )
+            is_link = (name == "A") & token.rlike(r"(?i)^<a\b[^>]*\shref\s*=")
+            return F.struct(
+                F.when(name == "A", stack)
+                .when(token.startswith("</"), closed)
+                .otherwise(F.concat(stack, F.array(name)))
+                .alias("stack"),
+                F.when(is_link, F.concat(acc["found"], F.array(link))).otherwise(acc["found"]).alias("found"),
+            )
+
+        return bind(F.upper(F.regexp_extract(token, r"^</?([A-Za-z]+)", 1)), with_name)
 
     return F.aggregate(link_tokens(html), empty, step, lambda acc: acc["found"])

@@ -6,43 +6,48 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from crawlscope import dims
+from crawlscope.functions.arrays import bind
 
 # scheme, authority, path, query, fragment of RFC 3986 appendix B.
 _PARTS = (
     r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 )
+_MARK = "\u0001"
 _ODD_CHARS = r"[^\x21-\x7E]|[\"<>`{}]"
 
 
-def _part(url: Column, group: int) -> Column:
-    return F.regexp_extract(url, _PARTS, group)
-
-
 def tidy(url: Column) -> Column:
     """Drop what every URL parser drops: tabs, line breaks and outer blanks."""
-    return F.trim(F.regexp_replace(url, r"[\t\r\n]", ""))
+    return F.trim(F.translate(url, "\t\r\n" + _MARK, ""))
+
+
+def split_url(url: Column) -> Column:
+    """ARRAY of scheme, authority, path, query, fragment: one match for all five."""
+    marked = F.regexp_replace(tidy(url), _PARTS, _MARK.join(f"${i}" for i in range(1, 6)))
+    return F.split(marked, _MARK, -1)
 
 
 def scheme(url: Column) -> Column:
-    return F.lower(_part(url, 1))
+    return F.lower(F.regexp_extract(url, r"^\s*([A-Za-z][A-Za-z0-9+.\-]*):", 1))
 
 
 def netloc(url: Column) -> Column:
     """Host with port and user info, case kept."""
-    return _part(url, 2)
-
-
-def _full_path(url: Column) -> Column:
-    return _part(url, 3)
+    return F.regexp_extract(url, r"^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", 1)
 
 
 def path(url: Column) -> Column:
     """Path without the ``;params`` of its last segment."""
-    return F.regexp_replace(_full_path(url), r";[^/]*$", "")
+    full = F.regexp_extract(url, r"^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+    return _drop_params(full)
+
+
+def _drop_params(full_path: Column) -> Column:
+    return F.regexp_replace(full_path, r";[^/]*$", "")
 
 
 def query(url: Column) -> Column:
-    return _part(url, 4)
+    return F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
 
 
 def origin(url: Column) -> Column:
@@ -56,80 +61,84 @@ def same_origin(left: Column, right: Column) -> Column:
 
 def remove_dots(segments: Column) -> Column:
     """Fold ``.`` and ``..`` out of a list of path segments."""
-    kept = F.aggregate(
-        segments,
-        F.array().cast("array<string>"),
-        lambda acc, seg: F.when(
-            seg == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+
+    def fold(segs: Column) -> Column:
+        kept = F.aggregate(
+            segs,
+            F.array().cast("array<string>"),
+            lambda acc, seg: F.when(
+                seg == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+            )
+            .when(seg == ".", acc)
+            .otherwise(F.concat(acc, F.array(seg))),
         )
-        .when(seg == ".", acc)
-        .otherwise(F.concat(acc, F.array(seg))),
-    )
-    ends_in_dot = F.element_at(segments, -1).isin(".", "..")
-    joined = F.array_join(
-        F.when(ends_in_dot, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/"
-    )
-    return F.when(joined == "", F.lit("/")).otherwise(joined)
+        tail = F.when(F.element_at(segs, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(
+            F.array().cast("array<string>")
+        )
+        joined = F.array_join(F.concat(kept, tail), "/")
+        return F.coalesce(F.nullif(joined, F.lit("")), F.lit("/"))
+
+    return bind(segments, fold)
 
 
 def _merge_paths(base: Column, rel: Column) -> Column:
-    parts = F.split(base, "/", -1)
-    folder = F.when(F.element_at(parts, -1) == "", parts).otherwise(
-        F.slice(parts, F.lit(1), F.size(parts) - 1)
-    )
+    folder = F.split(F.regexp_replace(base, r"/[^/]+$|^[^/]+$", "/"), "/", -1)
+    folder = F.slice(folder, F.lit(1), F.size(folder) - 1)
     joined = F.concat(folder, F.split(rel, "/", -1))
-    last = F.size(joined) - 1
     # Empty segments of a relative join vanish, except the leading and the trailing one.
-    relative = F.filter(joined, lambda s, i: (s != "") | (i == 0) | (i == last))
+    relative = bind(
+        joined, lambda segs: F.filter(segs, lambda s, i: (s != "") | (i == 0) | (i == F.size(segs) - 1))
+    )
     return remove_dots(F.when(rel.startswith("/"), F.split(rel, "/", -1)).otherwise(relative))
 
 
+def _prefixed(mark: str, text: Column) -> Column:
+    return F.when(text != "", F.concat(F.lit(mark), text)).otherwise(F.lit(""))
+
+
+def _assemble(scheme_: Column, netloc_: Column, path_: Column, query_: Column, fragment: Column) -> Column:
+    return F.concat(scheme_, F.lit("://"), netloc_, path_, _prefixed("?", query_), _prefixed("#", fragment))
+
+
 def resolve(href: Column, base: Column) -> Column:
     """RFC 3986 join of ``href`` against ``base`` (both raw strings)."""
-    href, base = tidy(href), tidy(base)
-    href_scheme, base_scheme = scheme(href), scheme(base)
-    has_query = href.rlike(r"^[^#]*\?.")
-    tail_query = F.when(has_query, F.concat(F.lit("?"), query(href))).otherwise(F.lit(""))
-    base_query = F.when(query(base) != "", F.concat(F.lit("?"), query(base))).otherwise(F.lit(""))
-    fragment = F.when(_part(href, 5) != "", F.concat(F.lit("#"), _part(href, 5))).otherwise(
-        F.lit("")
-    )
-    rel = _full_path(href)
-    base_root = F.concat(base_scheme, F.lit("://"), netloc(base))
-    return (
-        F.when(href == "", base)
-        .when((href_scheme != "") & (href_scheme != base_scheme), href)
-        .when(netloc(href) != "", F.concat(base_scheme, F.lit("://"), netloc(href), rel, tail_query, fragment))
-        .when(
-            rel == "",
-            F.concat(
-                base_root,
-                _full_path(base),
-                F.when(has_query, tail_query).otherwise(base_query),
-                fragment,
-            ),
-        )
-        # A plain absolute path is by far the most common case: skip the segment fold.
-        .when(
-            rel.startswith("/") & ~rel.contains("/."),
-            F.concat(base_root, rel, tail_query, fragment),
+
+    def join(raw: Column, h: Column, b: Column) -> Column:
+        h_scheme, b_scheme = F.lower(h[0]), F.lower(b[0])
+        return (
+            F.when(raw == "", _assemble(b_scheme, b[1], b[2], b[3], b[4]))
+            .when((h_scheme != "") & (h_scheme != b_scheme), raw)
+            .when(h[1] != "", _assemble(b_scheme, h[1], h[2], h[3], h[4]))
+            .when(
+                h[2] == "",
+                _assemble(b_scheme, b[1], b[2], F.when(h[3] != "", h[3]).otherwise(b[3]), h[4]),
+            )
+            # A plain absolute path is by far the most common case: skip the segment fold.
+            .when(
+                h[2].startswith("/") & ~h[2].contains("/."),
+                _assemble(b_scheme, b[1], h[2], h[3], h[4]),
+            )
+            .otherwise(_assemble(b_scheme, b[1], _merge_paths(b[2], h[2]), h[3], h[4]))
         )
-        .otherwise(F.concat(base_root, _merge_paths(_full_path(base), rel), tail_query, fragment))
+
+    return bind(
+        tidy(href), lambda raw: bind(split_url(raw), lambda h: bind(split_url(base), lambda b: join(raw, h, b)))
     )
 
 
 def _percent_encode(text: Column) -> Column:
     """Percent-encode blanks, quotes and non-ASCII characters, as an address bar does."""
-    encoded = F.array_join(
-        F.transform(
-            F.split(text, ""),
+
+    def encode(t: Column) -> Column:
+        chars = F.transform(
+            F.split(t, ""),
             lambda c: F.when(
                 c.rlike(_ODD_CHARS), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")
             ).otherwise(c),
-        ),
-        "",
-    )
-    return F.when(text.rlike(_ODD_CHARS), encoded).otherwise(text)
+        )
+        return F.when(t.rlike(_ODD_CHARS), F.array_join(chars, "")).otherwise(t)
+
+    return bind(text, encode)
 
 
 def dom_href(href: Column, base: Column) -> Column:
@@ -137,15 +146,15 @@ def dom_href(href: Column, base: Column) -> Column:
 
     Scheme and host lower-cased, an empty path becomes ``/``, odd characters are encoded.
     """
-    full = resolve(href, base)
-    web = F.concat(
-        scheme(full),
-        F.lit("://"),
-        F.lower(netloc(full)),
-        F.when(_full_path(full) == "", F.lit("/")).otherwise(F.lit("")),
-        _percent_encode(F.regexp_replace(full, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", "")),
-    )
-    return F.when(scheme(full).isin("http", "https"), web).otherwise(full)
+
+    def as_browser(full: Column) -> Column:
+        def web(p: Column) -> Column:
+            path_ = F.coalesce(F.nullif(p[2], F.lit("")), F.lit("/"))
+            return _percent_encode(_assemble(F.lower(p[0]), F.lower(p[1]), path_, p[3], p[4]))
+
+        return F.when(full.rlike("(?i)^https?:"), bind(split_url(full), web)).otherwise(full)
+
+    return bind(resolve(href, base), as_browser)
 
 
 def _decode(text: Column) -> Column:
@@ -178,31 +187,27 @@ def clean_query(raw: Column) -> Column:
 
 def normalize(url: Column, base: Column | None = None) -> Column:
     """Canonical form of a web URL; null when the scheme is not http or https."""
-    full = tidy(url) if base is None else resolve(url, base)
-    full_path = _full_path(full)
-    bare = F.rtrim(path(full), F.lit("/"))
-    bare = F.when(bare == "", F.lit("/")).when(bare.startswith("/"), bare).otherwise(
-        F.concat(F.lit("/"), bare)
-    )
-    params = F.regexp_extract(full_path, r"(;[^/]+)$", 1)
-    tail = F.when(query(full) == "", F.lit("")).otherwise(clean_query(query(full)))
-    return F.when(
-        scheme(full).isin("http", "https"),
-        F.concat(
-            scheme(full),
-            F.lit("://"),
-            netloc(full),
-            bare,
-            params,
-            F.when(tail == "", F.lit("")).otherwise(F.concat(F.lit("?"), tail)),
-        ),
-    )
+
+    def canonical(p: Column) -> Column:
+        bare = F.rtrim(_drop_params(p[2]), F.lit("/"))
+        rooted = F.when(bare.startswith("/"), bare).otherwise(F.concat(F.lit("/"), bare))
+        params = F.regexp_extract(p[2], r"(;[^/]+)$", 1)
+        tail = F.when(p[3] == "", F.lit("")).otherwise(_prefixed_query(p[3]))
+        return F.when(
+            F.lower(p[0]).isin("http", "https"),
+            F.concat(F.lower(p[0]), F.lit("://"), p[1], rooted, params, tail),
+        )
+
+    return bind(split_url(url if base is None else resolve(url, base)), canonical)
+
+
+def _prefixed_query(raw: Column) -> Column:
+    return bind(clean_query(raw), lambda q: _prefixed("?", q))
 
 
 def site_path(url: Column) -> Column:
     """Path without trailing slashes, ``/`` for the root."""
-    bare = F.rtrim(path(url), F.lit("/"))
-    return F.when(bare == "", F.lit("/")).otherwise(bare)
+    return F.coalesce(F.nullif(F.rtrim(path(url), F.lit("/")), F.lit("")), F.lit("/"))
 
 
 def _dashes(text: Column) -> Column:
@@ -210,12 +215,9 @@ def _dashes(text: Column) -> Column:
 
 
 def slug(url: Column) -> Column:
-    base = _dashes(F.btrim(path(url), F.lit("/")))
-    base = F.when(base == "", F.lit("home")).otherwise(base)
-    tail = _dashes(query(url))
-    return F.left(
-        F.when(tail == "", base).otherwise(F.concat(base, F.lit("-"), tail)), F.lit(80)
-    )
+    base = F.coalesce(F.nullif(_dashes(F.btrim(path(url), F.lit("/"))), F.lit("")), F.lit("home"))
+    tail = bind(_dashes(query(url)), lambda q: _prefixed("-", q))
+    return F.left(F.concat(base, tail), F.lit(80))
 
 
 def inner_path(url: Column) -> Column:
@@ -226,8 +228,12 @@ def inner_path(url: Column) -> Column:
 def leaf_content_path(url: Column, root: str = dims.CONTENT_ROOT) -> Column:
     """Mirror file of a page that is no folder; a query adds a short hash to the name."""
     inner = F.regexp_replace(inner_path(url), r"/(?:\.?/)+", "/")
-    inner = F.when(inner == "", F.lit("_index")).otherwise(inner)
-    suffix = F.when(query(url) == "", F.lit("")).otherwise(
-        F.concat(F.lit("__q-"), F.left(F.sha1(query(url)), F.lit(10)))
+    inner = F.coalesce(F.nullif(inner, F.lit("")), F.lit("_index"))
+    suffix = bind(
+        query(url),
+        lambda q: F.when(q == "", F.lit("")).otherwise(
+            F.concat(F.lit("__q-"), F.left(F.sha1(q.cast("binary")), F.lit(10)))
+        ),
     )
     return F.concat(F.lit(root + "/"), inner, suffix, F.lit(".md"))
+

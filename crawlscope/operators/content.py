@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from crawlscope.functions import html as H
 from crawlscope.functions import text as X
 from crawlscope.functions import urls
-from crawlscope.operators.common import first_seen
+from crawlscope.functions.arrays import distinct_by
 from crawlscope.operators.dom import parse_content, parse_forms
 
 _JSON_LD = r"(?is)<script\b[^>]*\stype\s*=\s*[\"']?application/ld\+json[^>]*>(.*?)</script\s*>"
@@ -49,7 +49,8 @@ def extract_content(pages: DataFrame) -> DataFrame:
 
     Pages with a plain single root stay in the JVM; the others take the parser pass.
     """
-    hard = H.visible(F.col("html")).rlike(_NEEDS_PARSER)
+    # Tested on the raw text: a mere mention in a script only costs a needless parse.
+    hard = F.col("html").rlike(_NEEDS_PARSER)
     parsed = parse_content(pages.filter(hard))
     section_type = parsed.schema["sections"].dataType
     native = pages.filter(~hard).select(
@@ -69,66 +70,41 @@ def extract_content(pages: DataFrame) -> DataFrame:
 
 
 def page_images(pages: DataFrame) -> DataFrame:
-    """page_id, images ARRAY<STRUCT<src, alt, width, height>>: first of each address, in order.
+    """page_id, url, images ARRAY<STRUCT<ord, src, alt, width, height, loading>>.
 
-    The distinct runs inside the row; a page is one document, so nothing is shuffled.
+    First image of each address, in order; deduped inside the row, so nothing is shuffled.
     """
 
     def optional(tag: Column, name: str) -> Column:
         return F.nullif(H.attribute(tag, name), F.lit(""))
 
-    found = F.filter(
-        F.transform(
-            H.tags(H.visible(F.col("html")), "img"),
-            lambda t: F.struct(
-                H.attribute(t, "src").alias("raw"),
-                optional(t, "alt").alias("alt"),
-                optional(t, "width").try_cast("bigint").alias("width"),
-                optional(t, "height").try_cast("bigint").alias("height"),
-            ),
+    found = F.transform(
+        H.tags(H.visible(F.col("html")), "img"),
+        lambda t, i: F.struct(
+            i.cast("bigint").alias("ord"),
+            urls.dom_href(H.attribute(t, "src"), F.col("url")).alias("src"),
+            optional(t, "alt").alias("alt"),
+            optional(t, "width").try_cast("bigint").alias("width"),
+            optional(t, "height").try_cast("bigint").alias("height"),
+            optional(t, "loading").alias("loading"),
+            (H.attribute(t, "src") != "").alias("named"),
         ),
-        lambda i: i["raw"] != "",
     )
-    absolute = F.transform(
-        F.col("found"),
-        lambda i: F.struct(
-            urls.dom_href(i["raw"], F.col("url")).alias("src"), i["alt"].alias("alt"), i["width"].alias("width"),
-            i["height"].alias("height"),
-        ),
-    )
-    sources = F.transform("images", lambda i: i["src"])
-    first = F.filter("images", lambda i, n: F.array_position(sources, i["src"]) == n + 1)
-    return (
-        pages.select("page_id", "url", found.alias("found"))
-        .select("page_id", absolute.alias("images"))
-        .select("page_id", first.alias("images"))
+    named = F.filter(found, lambda i: i["named"])
+    return pages.select("page_id", "url", named.alias("found")).select(
+        "page_id",
+        "url",
+        F.transform(
+            distinct_by(F.col("found"), lambda i: i["src"]), lambda i: i.dropFields("named")
+        ).alias("images"),
     )
 
 
 def extract_images(pages: DataFrame) -> DataFrame:
-    """Images per page, distinct by address: site, page_id, ord, src, alt, width, height, loading."""
-
-    def optional(name: str) -> Column:
-        return F.nullif(H.attribute(F.col("tag"), name), F.lit(""))
-
-    rows = (
-        pages.select(
-            "page_id", "url", F.posexplode(H.tags(H.visible(F.col("html")), "img")).alias("ord", "tag")
-        )
-        .withColumn("raw", H.attribute(F.col("tag"), "src"))
-        .filter("raw <> ''")
-        .select(
-            urls.netloc(F.col("url")).alias("site"),
-            "page_id",
-            F.col("ord").cast("bigint").alias("ord"),
-            urls.dom_href(F.col("raw"), F.col("url")).alias("src"),
-            optional("alt").alias("alt"),
-            optional("width").try_cast("bigint").alias("width"),
-            optional("height").try_cast("bigint").alias("height"),
-            optional("loading").alias("loading"),
-        )
-    )
-    return first_seen(rows, ["page_id", "src"], ["ord"])
+    """Rows site, page_id, ord, src, alt, width, height, loading of ``page_images``."""
+    return page_images(pages).select(
+        urls.netloc(F.col("url")).alias("site"), "page_id", F.explode("images").alias("i")
+    ).select("site", "page_id", "i.*")
 
 
 def og_map(html: Column) -> Column:
@@ -145,13 +121,8 @@ def og_map(html: Column) -> Column:
             H.attribute(t, "content").alias("value"),
         ),
     )
-    last = F.filter(
-        pairs,
-        lambda p, i: ~F.exists(
-            F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["key"] == p["key"]
-        ),
-    )
-    return F.map_from_entries(last)
+    # Read backwards, so that the first of a key is its last one.
+    return F.map_from_entries(distinct_by(F.reverse(pairs), lambda p: p["key"]))
 
 
 def json_ld(html: Column) -> Column:
@@ -159,8 +130,7 @@ def json_ld(html: Column) -> Column:
     blocks = F.regexp_extract_all(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), F.lit(_JSON_LD), F.lit(1))
     return F.filter(
         F.transform(blocks, F.trim),
-        lambda b: F.try_parse_json(b).isNotNull()
-        & ~F.coalesce(F.to_json(F.try_parse_json(b)), F.lit("null")).isin("null", "false", "0", '""'),
+        lambda b: ~F.coalesce(F.to_json(F.try_parse_json(b)), F.lit("null")).isin("null", "false", "0", '""'),
     )
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from crawlscope import dims
 from crawlscope.functions import html as H
 from crawlscope.functions import urls
-from crawlscope.operators.common import first_seen, top_k
+from crawlscope.functions.arrays import distinct_by
+from crawlscope.operators.common import top_k
 from crawlscope.operators.dom import parse_links
 
 # Any element can take the navigation role, which only the parser pass can follow.
@@ -16,46 +17,50 @@ _NAV_ROLE = r"(?i)\srole\s*=\s*[\"']?navigation"
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
-    """pages(page_id, url, html) -> site, page_id, page_url, link_ord, href, text, parent, in_nav.
+    """pages(page_id, url, html) -> site, page_id, page_url, scope, link_ord, href, text, parent, in_nav.
 
-    ``href`` is absolute as in a browser. ``parent`` is the closest container of the anchor.
-    Every anchor gives a row; the per-page dedupe is ``page_links``.
+    Scope ``page`` holds the first link per page and address, scope ``nav`` the first navigation
+    link per page and address. ``href`` is absolute as in a browser, ``parent`` the closest
+    container. A page is one row, so its links are deduped there and never shuffled.
     """
-    native = pages.filter(~F.col("html").rlike(_NAV_ROLE)).select(
-        "page_id", "url", F.posexplode(H.anchors(F.col("html"))).alias("link_ord", "a")
-    )
-    parsed = parse_links(pages.filter(F.col("html").rlike(_NAV_ROLE))).select(
-        "page_id", "url", F.posexplode("links").alias("link_ord", "a")
+    hard = F.col("html").rlike(_NAV_ROLE)
+    native = pages.filter(~hard).select("page_id", "url", H.anchors(F.col("html")).alias("links"))
+    found = native.unionByName(parse_links(pages.filter(hard)))
+    absolute = F.transform(
+        "links",
+        lambda a, i: F.struct(
+            i.cast("bigint").alias("link_ord"),
+            urls.dom_href(a["href"], F.col("url")).alias("href"),
+            a["text"].alias("text"),
+            a["parent"].alias("parent"),
+            a["in_nav"].alias("in_nav"),
+        ),
     )
-    return (
-        native.unionByName(parsed)
-        .select(
-            urls.netloc(F.col("url")).alias("site"),
-            "page_id",
-            F.col("url").alias("page_url"),
-            F.col("link_ord").cast("bigint").alias("link_ord"),
-            urls.dom_href(F.col("a.href"), F.col("url")).alias("href"),
-            "a.text",
-            "a.parent",
-            "a.in_nav",
-        )
-        .filter(F.col("href") != "")
+    listed = found.select("page_id", "url", F.filter(absolute, lambda a: a["href"] != "").alias("links"))
+
+    def scoped(scope: str, items):
+        first = distinct_by(items, lambda a: a["href"])
+        return F.transform(first, lambda a: F.struct(F.lit(scope).alias("scope"), a.alias("a")))
+
+    both = F.concat(scoped("page", F.col("links")), scoped("nav", F.filter("links", lambda a: a["in_nav"])))
+    return listed.select("page_id", "url", F.explode(both).alias("l")).select(
+        urls.netloc(F.col("url")).alias("site"), "page_id", F.col("url").alias("page_url"), "l.scope", "l.a.*"
     )
 
 
 def page_links(links: DataFrame) -> DataFrame:
     """First link per page and absolute address."""
-    return first_seen(links, ["page_id", "href"], ["link_ord"])
+    return links.filter("scope = 'page'").drop("scope")
 
 
 def nav_links(links: DataFrame) -> DataFrame:
     """First navigation link per page and absolute address."""
-    return page_links(links.filter("in_nav").drop("in_nav", "parent"))
+    return links.filter("scope = 'nav'").drop("scope", "in_nav", "parent")
 
 
 def same_site(links: DataFrame) -> DataFrame:
     """Links that stay on the origin of their page."""
-    return links.filter(urls.same_origin(F.col("href"), F.col("page_url")))
+    return page_links(links).filter(urls.same_origin(F.col("href"), F.col("page_url")))
 
 
 def link_graph(links: DataFrame) -> DataFrame:
@@ -98,29 +103,23 @@ def extract_assets(pages: DataFrame) -> DataFrame:
     """Script and stylesheet addresses, distinct per page: site, page_id, kind, ord, src."""
     seen = F.regexp_replace("html", r"(?s)<!--.*?-->", "")
 
-    def found(tag: str, attr: str, condition: str):
-        hits = F.filter(H.tags(seen, tag), lambda t: t.rlike(condition))
-        return F.array_distinct(F.transform(hits, lambda t: H.attribute(t, attr)))
-
-    scripts = found("script", "src", r"(?i)\ssrc\s*=")
-    styles = found("link", "href", H.attr_equals("rel", "stylesheet"))
-    both = pages.select(
-        "page_id",
-        "url",
-        F.explode(
-            F.map_from_arrays(
-                F.array(F.lit("script"), F.lit("style")), F.array(scripts, styles)
-            )
-        ).alias("kind", "hrefs"),
+    def found(kind: str, tag: str, attr: str, condition: str):
+        hits = F.filter(H.tags(F.col("seen"), tag), lambda t: t.rlike(condition))
+        absolute = F.transform(hits, lambda t: urls.dom_href(H.attribute(t, attr), F.col("url")))
+        return F.transform(
+            F.array_distinct(absolute),
+            lambda src, i: F.struct(F.lit(kind).alias("kind"), i.cast("bigint").alias("ord"), src.alias("src")),
+        )
+
+    both = F.concat(
+        found("script", "script", "src", r"(?i)\ssrc\s*=\s*[^\s>]"),
+        found("style", "link", "href", H.attr_equals("rel", "stylesheet")),
     )
-    rows = both.select("page_id", "url", "kind", F.posexplode("hrefs").alias("ord", "raw")).select(
-        urls.netloc(F.col("url")).alias("site"),
-        "page_id",
-        "kind",
-        F.col("ord").cast("bigint").alias("ord"),
-        urls.dom_href(F.col("raw"), F.col("url")).alias("src"),
+    return (
+        pages.select("page_id", "url", seen.alias("seen"))
+        .select(urls.netloc(F.col("url")).alias("site"), "page_id", F.explode(both).alias("a"))
+        .select("site", "page_id", "a.*")
     )
-    return first_seen(rows.filter("src <> ''"), ["page_id", "kind", "src"], ["ord"])
 
 
 def site_assets(assets: DataFrame) -> DataFrame:

@@ -138,7 +138,7 @@ def component_counts(pages: DataFrame, links: DataFrame, shots: DataFrame) -> Da
         H.visible(F.col("html")).rlike(r"(?i)<form\b").alias("has_form"),
     ).groupBy("site").agg(F.count("*").alias("pages"), F.count_if("has_form").alias("form_pages"))
     # One row per page first, so that the distinct count does not have to keep page lists.
-    with_nav = links.filter("in_nav").groupBy("site", "page_id").agg(F.count("*").alias("n"))
+    with_nav = links.filter("scope = 'nav'").groupBy("site", "page_id").agg(F.count("*").alias("n"))
     nav = with_nav.groupBy("site").agg(F.count("*").alias("nav_pages"))
     first = top_k(shots.filter("screenshot IS NOT NULL"), ["site"], [F.col("page_ord")], 4)
     samples = first.groupBy("site").agg(

@@ -75,7 +75,7 @@ def mirror_pages(pages: DataFrame, visited: DataFrame, crawled_at: str) -> DataF
     data = content.extract_structured(pages).select(
         "page_id", "og", F.flatten(F.transform("json_ld", content.structured_types)).alias("types")
     )
-    images = content.page_images(pages)
+    images = content.page_images(pages).drop("url")
     placed = paths.content_paths(visited).withColumnRenamed("page_ord", "page_id")
     joined = placed.join(facts, "page_id").join(body, "page_id").join(data, "page_id").join(images, "page_id")
     return mirror.content_mirror(joined.withColumn("crawled_at", F.lit(crawled_at)))
