@@ -1 +1,7 @@
-ORACLES: dict[str, str] = {}
+"""SQL counterparts of the registered queries, by query name."""
+
+from __future__ import annotations
+
+from oracles import web
+
+ORACLES: dict[str, str] = {**web.SQL}
