@@ -490,9 +490,9 @@ def a7_api_summary(spark, d):
 
 
 def _structures(spark, d):
-    """Kinds of response structure: one per site and call type with a JSON object body."""
-    log = A.fetch_log(spark, d).filter("type = 'xhr' AND content_type LIKE '%json%' AND seq % 1000 < 3")
-    return log.select("site", F.col("type").alias("kind"))
+    """Kinds of response structure: call type and content type."""
+    log = A.fetch_log(spark, d).filter("type IN ('fetch', 'xhr')")
+    return log.select("site", F.concat("type", "content_type").alias("kind"))
 
 
 def _gate(spark, d):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,8 +59,3 @@ def json_string(text: Column) -> Column:
     quoted = F.to_json(F.struct(text.alias("v")))
     return F.substring(quoted, F.lit(6), F.length(quoted) - 6)
 
-
-def round_half_up(value: Column, digits: int) -> Column:
-    """Rounding that does not depend on the order floating sums were taken in."""
-    scale = math.pow(10, digits)
-    return F.floor(value * scale + 0.5) / scale

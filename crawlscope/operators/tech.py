@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlscope import dims
-from crawlscope.functions import text as X
 from crawlscope.functions import urls
 from crawlscope.operators.common import first_seen, top_k
 
@@ -120,13 +119,16 @@ def web_vitals(entries: DataFrame) -> DataFrame:
     """
     return entries.groupBy("site").agg(
         F.round(F.max_by("start", F.when(F.col("start").isNotNull(), F.col("seq")))).cast("bigint").alias("lcp"),
-        X.round_half_up(
+        # Decimals, so that the sum does not depend on the order of the tasks.
+        F.round(
             F.coalesce(
                 F.sum(F.when(~F.col("recent_input"), F.col("shift").cast("decimal(18,6)"))),
-                F.lit(0),
-            ).cast("double"),
+                F.lit(0).cast("decimal(28,6)"),
+            ),
             3,
-        ).alias("cls"),
+        )
+        .cast("double")
+        .alias("cls"),
     )
 
 
@@ -179,24 +181,24 @@ def politeness(
     log(site, seq, ts). Gaps are taken inside time buckets; the gap over a bucket edge comes
     from the buckets' first and last times, so a busy site is spread over its buckets.
     """
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    rows = log.select("site", "seq", ms.alias("ms")).withColumn(
-        "bucket", F.floor(F.col("ms") / F.lit(bucket_seconds * 1000))
+    min_gap = min_gap_ms * 1000
+    rows = log.select("site", "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).withColumn(
+        "bucket", F.floor(F.col("us") / F.lit(bucket_seconds * 1_000_000))
     )
-    inside = Window.partitionBy("site", "bucket").orderBy("ms", "seq")
-    gaps = rows.withColumn("gap", F.col("ms") - F.lag("ms").over(inside))
+    inside = Window.partitionBy("site", "bucket").orderBy("us", "seq")
+    gaps = rows.withColumn("gap", F.col("us") - F.lag("us").over(inside))
     buckets = gaps.groupBy("site", "bucket").agg(
         F.count("*").alias("n"),
-        F.count_if(F.col("gap") < min_gap_ms).alias("bad"),
+        F.count_if(F.col("gap") < min_gap).alias("bad"),
         F.min("gap").alias("low"),
-        F.min("ms").alias("first"),
-        F.max("ms").alias("last"),
+        F.min("us").alias("first"),
+        F.max("us").alias("last"),
     )
     edge = F.col("first") - F.lag("last").over(Window.partitionBy("site").orderBy("bucket"))
     return buckets.withColumn("edge", edge).groupBy("site").agg(
         F.sum("n").alias("requests"),
-        (F.sum("bad") + F.count_if(F.col("edge") < min_gap_ms)).alias("violations"),
-        F.least(F.min("low"), F.min("edge")).alias("min_gap_ms"),
+        (F.sum("bad") + F.count_if(F.col("edge") < min_gap)).alias("violations"),
+        F.floor(F.least(F.min("low"), F.min("edge")) / 1000).alias("min_gap_ms"),
     )
 
 

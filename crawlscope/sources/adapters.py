@@ -52,7 +52,7 @@ VITALS = {
     "site": _EVENT_SITE,
     "seq": "event_id",
     "start": "CASE WHEN event_type = 'view' THEN CAST(round(value * 10) AS BIGINT) END",
-    "shift": "round(value / 10000, 4)",
+    "shift": "CAST(round(value * 100) AS DOUBLE) / 1000000",
     "recent_input": "event_type = 'click'",
 }
 TIMINGS = {

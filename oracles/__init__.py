@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from oracles import web
+from oracles import crawl, report, tech, web
 
-ORACLES: dict[str, str] = {**web.SQL}
+ORACLES: dict[str, str] = {**web.SQL, **crawl.SQL, **tech.SQL, **report.SQL}
