@@ -17,6 +17,7 @@ from crawlscope.operators import (  # noqa: E402
     api, canonical, content, discovery, frontier, links, mirror, paths, report, robots, status, style, tech, tree,
 )
 from crawlscope.operators.common import first_seen, top_k  # noqa: E402
+from crawlscope.session import cut_lineage  # noqa: E402
 from crawlscope.plans import audit  # noqa: E402
 from crawlscope.sources import adapters as A  # noqa: E402
 from crawlscope.sources import readers  # noqa: E402
@@ -528,7 +529,7 @@ def snk2_p12_content_mirror(spark, d):
 @query
 def snk3_flat_export(spark, d):
     pages = A.rich_pages(spark, d)
-    found = links.extract_links(pages)
+    found = cut_lineage(links.extract_links(pages))
     listed = content.page_meta(pages).select("site", F.col("page_id").alias("page_ord"), "url", "title")
     colors = style.palette(style.count_styles(style.declared_styles(pages)).filter("kind = 'color'"))
     out = mirror.flat_export(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often the body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
 
 
 def distinct_by(items: Column, key: Callable[[Column], Column]) -> Column:

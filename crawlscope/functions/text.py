@@ -2,33 +2,47 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from crawlscope import dims
+from crawlscope.functions.arrays import bind
+
+
+def _if_needed(kind: str, text: Column, work: Column, otherwise: Column) -> Column:
+    need = dims.PII_NEEDS.get(kind)
+    return F.when(text.contains(need), work).otherwise(otherwise) if need else work
+
+
+def mask_step(text: Column, rule: tuple[str, str, str]) -> Column:
+    """One of the ordered rewrites; ``text`` should be a plain column, it occurs twice."""
+    kind, pattern, replacement = rule
+    return _if_needed(kind, text, F.regexp_replace(text, pattern, replacement), text)
+
+
+def hit_count(text: Column, rule: tuple[str, str, str]) -> Column:
+    kind, pattern, _ = rule
+    hits = F.regexp_count(text, F.lit(pattern)).cast("bigint")
+    return _if_needed(kind, text, hits, F.lit(0).cast("bigint"))
 
 
 def mask_pii(text: Column) -> Column:
     """Mask e-mail, phone, resident and card numbers, secrets and bearer tokens, in this order."""
-    for _, pattern, replacement in dims.PII_RULES:
-        text = F.regexp_replace(text, pattern, replacement)
+    for rule in dims.PII_RULES:
+        text = bind(text, partial(mask_step, rule=rule)) if rule[0] in dims.PII_NEEDS else mask_step(text, rule)
     return text
 
 
-def pii_hits(text: Column) -> dict[str, Column]:
-    """Hits by kind, each counted on the text the earlier rewrites left behind."""
-    hits: dict[str, Column] = {}
-    for kind, pattern, replacement in dims.PII_RULES:
-        hits[kind] = F.regexp_count(text, F.lit(pattern)).cast("bigint")
-        text = F.regexp_replace(text, pattern, replacement)
-    return hits
-
-
 def preview(text: Column, limit: int = dims.PREVIEW_CHARS) -> Column:
-    masked = mask_pii(text)
-    return F.when(
-        F.length(masked) > limit, F.concat(F.left(masked, F.lit(limit)), F.lit(dims.PREVIEW_SUFFIX))
-    ).otherwise(masked)
+    """Masked text, cut after masking."""
+    return bind(
+        mask_pii(text),
+        lambda masked: F.when(
+            F.length(masked) > limit, F.concat(F.left(masked, F.lit(limit)), F.lit(dims.PREVIEW_SUFFIX))
+        ).otherwise(masked),
+    )
 
 
 def squeeze(text: Column) -> Column:

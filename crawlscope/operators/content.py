@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crawlscope import dims
 from crawlscope.functions import html as H
 from crawlscope.functions import text as X
 from crawlscope.functions import urls
@@ -299,10 +300,11 @@ def content_stats(texts: DataFrame, key: list[str]) -> DataFrame:
 
 
 def mask_texts(texts: DataFrame, key: list[str]) -> DataFrame:
-    """Masked text and hits by kind."""
-    hits = X.pii_hits(F.col("text"))
-    return texts.select(
-        *key,
-        X.mask_pii(F.col("text")).alias("masked"),
-        *[c.alias(f"{kind}_hits") for kind, c in hits.items()],
-    )
+    """Masked text and hits by kind, each counted on what the earlier rewrites left behind."""
+    rules = dims.PII_RULES
+    # One column per step, so that every pattern runs once for its count and once for its rewrite.
+    staged = texts.select(*key, F.col("text").alias("_t0"))
+    for i, rule in enumerate(rules):
+        staged = staged.withColumn(f"_t{i + 1}", X.mask_step(F.col(f"_t{i}"), rule))
+    hits = [X.hit_count(F.col(f"_t{i}"), rule).alias(f"{rule[0]}_hits") for i, rule in enumerate(rules)]
+    return staged.select(*key, F.col(f"_t{len(rules)}").alias("masked"), *hits)

@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 
 from crawlscope.operators.canonical import site_pages
 from crawlscope.operators.common import numbered
+from crawlscope.sources.readers import spread
 
 HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
 LANG = "regexp_extract(url, '^[a-z]+://[^/]*/([a-z]+)', 1)"
 
 
+TEXT_KEYS = {"pages": "page_id", "documents": "doc_id"}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
 
 
 # events -> responses, one per event ------------------------------------------------------

@@ -38,6 +38,12 @@ def parse_snapshots(lines: DataFrame) -> DataFrame:
     return parsed.select("s.*").filter(F.coalesce("url", F.lit("")) != "")
 
 
-def stored_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """The pages table of a folder, as given."""
-    return spark.read.parquet(f"{folder}/pages.parquet")
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash rows over all cores when a plain scan has fewer splits than there are cores.
+
+    Heavy per-row work on a few big splits would leave cores idle. A table of any size has
+    enough splits and is left alone, so page texts are not shuffled there. The key makes a
+    recomputed task see the same rows.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -84,6 +84,15 @@ MASKED = rf"""
 """
 
 
+def mask(x: str) -> str:
+    """The masked text of one expression."""
+    x = rf"regexp_replace(regexp_replace({x}, '{_EMAIL}', '***@***.***', 'g'), '{_PHONE}', '***-****-****', 'g')"
+    x = rf"regexp_replace(regexp_replace({x}, '({_ACCENTED})', '_\1_', 'g'), '{_RESIDENT}', '******-*******', 'g')"
+    x = rf"regexp_replace(regexp_replace({x}, '{_CARD}', '****-****-****-****', 'g'), '_({_ACCENTED})_', '\1', 'g')"
+    x = rf'''regexp_replace({x}, '{_SECRET}', '\1"***REDACTED***"', 'g')'''
+    return rf"regexp_replace({x}, '{_BEARER}', 'Bearer ***REDACTED***', 'g')"
+
+
 def _hits(column: str, pattern: str) -> str:
     return f"CAST(len(regexp_extract_all({column}, '{pattern}')) AS BIGINT)"
 
@@ -237,7 +246,7 @@ SELECT {C.host()} AS site, count(*) AS pages, {', '.join(f'count(*) FILTER ({_ha
 # --- mirror and export -------------------------------------------------------------------------
 SQL["snk2_p12_content_mirror"] = f"""
 WITH src AS ({C.CANONICAL}), folders AS ({folders('src')}), placed AS ({content_paths('src')}),
-     facts AS (SELECT page_id, {_first(C.visible(), 'title')} AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
+     facts AS (SELECT page_id, {mask(_first(C.visible(), 'title'))} AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
                       {C.origin()} AS o, url AS raw_url, {C.words(_BODY)} + 5 AS wc, {TYPES} AS types FROM pages)
 SELECT p.site, p.url, p.content_path,
   '---' || chr(10) || 'url: "' || p.url || '"' || chr(10) || 'title: ' || to_json(title)::VARCHAR || chr(10) || 'depth: 0' || chr(10) || 'status: 200' || chr(10)
