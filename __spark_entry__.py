@@ -361,7 +361,7 @@ def u2_j2_merge_seeds(spark, d):
 
 
 def _plan(spark, d, max_pages, max_depth):
-    pages = A.crawled_pages(spark, d)
+    pages = cut_lineage(A.crawled_pages(spark, d))
     roots = pages.filter("rn = 1").select("site", "url", F.array(F.lit(-1).cast("bigint")).alias("ord"))
     failed = pages.filter("rn % 5 = 3").select("site", "url")
     return frontier.crawl_plan(

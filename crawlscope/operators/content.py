@@ -9,7 +9,7 @@ from crawlscope import dims
 from crawlscope.functions import html as H
 from crawlscope.functions import text as X
 from crawlscope.functions import urls
-from crawlscope.functions.arrays import distinct_by
+from crawlscope.functions.arrays import bind, distinct_by
 from crawlscope.operators.dom import parse_content, parse_forms
 
 _JSON_LD = r"(?is)<script\b[^>]*\stype\s*=\s*[\"']?application/ld\+json[^>]*>(.*?)</script\s*>"
@@ -25,42 +25,48 @@ def _meta_content(html: Column, *conditions: str) -> Column:
     return F.coalesce(H.attribute(H.first_tag(html, "meta", *conditions), "content"), F.lit(""))
 
 
-def page_meta(pages: DataFrame) -> DataFrame:
-    """pages -> page_id, site, url, title, lang, description, canonical, h1[], h2[]."""
-    seen = pages.select("page_id", "url", H.visible(F.col("html")).alias("h"))
+def _with_visible(pages: DataFrame) -> DataFrame:
+    """Pages plus ``h``, the HTML without scripts, styles and comments."""
+    return pages.withColumn("h", H.visible(F.col("html")))
+
+
+def _meta_columns() -> list[Column]:
     h = F.col("h")
-    canonical = H.attribute(H.first_tag(h, "link", H.attr_equals("rel", "canonical")), "href")
-    return seen.select(
-        "page_id",
-        urls.netloc(F.col("url")).alias("site"),
-        "url",
+    canonical = F.coalesce(H.attribute(H.first_tag(h, "link", H.attr_equals("rel", "canonical")), "href"), F.lit(""))
+    return [
         H.first_text(h, "title").alias("title"),
         F.coalesce(H.attribute(H.first_tag(h, "html"), "lang"), F.lit("")).alias("lang"),
         _meta_content(h, H.attr_equals("name", "description")).alias("description"),
-        F.when(F.coalesce(canonical, F.lit("")) == "", F.lit(""))
-        .otherwise(urls.dom_href(canonical, F.col("url")))
-        .alias("canonical"),
+        bind(canonical, lambda c: F.when(c == "", c).otherwise(urls.dom_href(c, F.col("url")))).alias("canonical"),
         H.all_texts(h, "h1").alias("h1"),
         H.all_texts(h, "h2").alias("h2"),
-    )
+    ]
 
 
-def extract_content(pages: DataFrame) -> DataFrame:
-    """Text of the content root: page_id, site, url, body_text, word_count, sections.
+def page_meta(pages: DataFrame) -> DataFrame:
+    """pages -> page_id, site, url, title, lang, description, canonical, h1[], h2[]."""
+    return _with_visible(pages).select("page_id", urls.netloc(F.col("url")).alias("site"), "url", *_meta_columns())
+
+
+def _add_content(pages: DataFrame, keep: list[str]) -> DataFrame:
+    """Kept columns plus body_text and sections.
 
     Pages with a plain single root stay in the JVM; the others take the parser pass.
     """
     # Tested on the raw text: a mere mention in a script only costs a needless parse.
     hard = F.col("html").rlike(_NEEDS_PARSER)
-    parsed = parse_content(pages.filter(hard))
-    section_type = parsed.schema["sections"].dataType
+    parsed = parse_content(pages.filter(hard), keep)
     native = pages.filter(~hard).select(
-        "page_id",
-        "url",
+        *keep,
         H.inner_text(H.main_block(F.col("html"))).alias("body_text"),
-        F.array().cast(section_type).alias("sections"),
+        F.array().cast(parsed.schema["sections"].dataType).alias("sections"),
     )
-    return native.unionByName(parsed).select(
+    return native.unionByName(parsed)
+
+
+def extract_content(pages: DataFrame) -> DataFrame:
+    """Text of the content root: page_id, site, url, body_text, word_count, sections."""
+    return _add_content(pages, ["page_id", "url"]).select(
         "page_id",
         urls.netloc(F.col("url")).alias("site"),
         "url",
@@ -70,42 +76,56 @@ def extract_content(pages: DataFrame) -> DataFrame:
     )
 
 
-def page_images(pages: DataFrame) -> DataFrame:
-    """page_id, url, images ARRAY<STRUCT<ord, src, alt, width, height, loading>>.
+def page_records(pages: DataFrame) -> DataFrame:
+    """Everything the mirror needs of a page, in one pass over its HTML and without a join.
 
-    First image of each address, in order; deduped inside the row, so nothing is shuffled.
+    page_id, title, lang, canonical, og, types, images, body_text, sections, word_count.
     """
+    facts = _with_visible(pages).select(
+        "page_id",
+        "url",
+        "html",
+        *_meta_columns(),
+        og_map(F.col("h")).alias("og"),
+        F.flatten(F.transform(json_ld(F.col("html")), structured_types)).alias("types"),
+        _images(F.col("h")).alias("images"),
+    )
+    keep = ["page_id", "title", "lang", "canonical", "og", "types", "images"]
+    return _add_content(facts, keep).withColumn("word_count", X.word_count(F.col("body_text")))
+
+
+def _images(h: Column) -> Column:
+    """First image of each address, in order: ARRAY<STRUCT<ord, src, alt, width, height, loading>>."""
 
     def optional(tag: Column, name: str) -> Column:
         return F.nullif(H.attribute(tag, name), F.lit(""))
 
     found = F.transform(
-        H.tags(H.visible(F.col("html")), "img"),
+        H.tags(h, "img"),
         lambda t, i: F.struct(
             i.cast("bigint").alias("ord"),
-            urls.dom_href(H.attribute(t, "src"), F.col("url")).alias("src"),
+            bind(
+                H.attribute(t, "src"), lambda src: F.when(src != "", urls.dom_href(src, F.col("url")))
+            ).alias("src"),
             optional(t, "alt").alias("alt"),
             optional(t, "width").try_cast("bigint").alias("width"),
             optional(t, "height").try_cast("bigint").alias("height"),
             optional(t, "loading").alias("loading"),
-            (H.attribute(t, "src") != "").alias("named"),
         ),
     )
-    named = F.filter(found, lambda i: i["named"])
-    return pages.select("page_id", "url", named.alias("found")).select(
-        "page_id",
-        "url",
-        F.transform(
-            distinct_by(F.col("found"), lambda i: i["src"]), lambda i: i.dropFields("named")
-        ).alias("images"),
-    )
+    return distinct_by(F.filter(found, lambda i: i["src"].isNotNull()), lambda i: i["src"])
 
 
 def extract_images(pages: DataFrame) -> DataFrame:
-    """Rows site, page_id, ord, src, alt, width, height, loading of ``page_images``."""
-    return page_images(pages).select(
-        urls.netloc(F.col("url")).alias("site"), "page_id", F.explode("images").alias("i")
-    ).select("site", "page_id", "i.*")
+    """Images per page, distinct by address: site, page_id, ord, src, alt, width, height, loading.
+
+    The distinct runs inside the page row, so nothing is shuffled.
+    """
+    return (
+        _with_visible(pages)
+        .select(urls.netloc(F.col("url")).alias("site"), "page_id", F.explode(_images(F.col("h"))).alias("i"))
+        .select("site", "page_id", "i.*")
+    )
 
 
 def og_map(html: Column) -> Column:

@@ -6,14 +6,14 @@ library. Selectors, closest containers, sections and forms are expressions over
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.pandas.types import to_arrow_type
 
 from crawlscope.functions import elements
 from crawlscope.functions.text import squeeze
@@ -30,28 +30,20 @@ NODE = T.StructType(
         T.StructField("text", T.StringType()),
     ]
 )
-NODES_SCHEMA = T.StructType(
-    [
-        T.StructField("page_id", T.LongType()),
-        T.StructField("url", T.StringType()),
-        T.StructField("nodes", T.ArrayType(NODE)),
-    ]
-)
-
-def parse_nodes(pages: DataFrame) -> DataFrame:
-    """pages(page_id, url, html) -> page_id, url, nodes."""
-    schema = to_arrow_schema(NODES_SCHEMA)
+def parse_nodes(pages: DataFrame, keep: Sequence[str] = ("page_id", "url")) -> DataFrame:
+    """Add ``nodes`` to the kept columns of pages(html, ...). Kept columns pass through as they are."""
+    keep = list(keep)
+    nodes_type = T.ArrayType(NODE)
+    schema = T.StructType([pages.schema[name] for name in keep] + [T.StructField("nodes", nodes_type)])
+    arrow_type = to_arrow_type(nodes_type)
     of_page = elements.of_page
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = batch.to_pydict()
-            nodes = [of_page(html) for html in columns["html"]]
-            yield pa.RecordBatch.from_pydict(
-                {"page_id": columns["page_id"], "url": columns["url"], "nodes": nodes}, schema=schema
-            )
+            nodes = pa.array([of_page(html) for html in batch.column("html").to_pylist()], type=arrow_type)
+            yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in keep), nodes], [*keep, "nodes"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, NODES_SCHEMA)
+    return pages.select(*keep, "html").mapInArrow(run, schema)
 
 
 def plain_text(node_text: Column) -> Column:
@@ -190,12 +182,11 @@ def parse_forms(pages: DataFrame) -> DataFrame:
     return parse_nodes(pages).select("page_id", "url", _forms().alias("forms"))
 
 
-def parse_content(pages: DataFrame) -> DataFrame:
-    """page_id, url, body_text, sections of the content root."""
-    rooted = parse_nodes(pages).withColumn("root_idx", _root_idx())
+def parse_content(pages: DataFrame, keep: Sequence[str] = ("page_id", "url")) -> DataFrame:
+    """Kept columns plus body_text and sections of the content root."""
+    rooted = parse_nodes(pages, keep).withColumn("root_idx", _root_idx())
     return rooted.select(
-        "page_id",
-        "url",
+        *keep,
         rendered_text(_at(F.col("root_idx"))["text"]).alias("body_text"),
         _sections().alias("sections"),
     )

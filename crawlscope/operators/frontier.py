@@ -46,6 +46,11 @@ def crawl_plan(
     allowed = mark_blocked(own, rules, url="dst").filter("NOT blocked").drop("blocked")
     usable = cut_lineage(allowed.repartition("site", "src")) if max_depth else None
 
+    if failed is not None:
+        # Looked up on every level, so it is computed and placed once.
+        failed = cut_lineage(
+            failed.select("site", "url").distinct().repartition("site", "url").withColumn("_failed", F.lit("failed"))
+        )
     queue = mark_blocked(seeds, rules).select(
         "site", "url", "ord", F.when(F.col("blocked"), F.lit("blocked")).alias("status")
     )
@@ -62,8 +67,7 @@ def crawl_plan(
             (F.coalesce("_used", F.lit(0)) + F.col("_rank")).cast("bigint").alias("visit_ord"), "status",
         ).filter(F.col("visit_ord") <= max_pages)
         if failed is not None:
-            bad = failed.select("site", "url", F.lit("failed").alias("_failed")).distinct()
-            level = level.join(bad, ["site", "url"], "left").withColumn(
+            level = level.join(failed, ["site", "url"], "left").withColumn(
                 "status", F.coalesce("status", "_failed")
             ).drop("_failed")
         level = cut_lineage(level.withColumn("status", F.coalesce("status", F.lit("ok"))))

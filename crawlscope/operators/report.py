@@ -68,27 +68,26 @@ def site_features(navigation: DataFrame, sites: DataFrame) -> DataFrame:
     feature also gets the home feature first; a site without gets the three usual ones.
     """
     lowered = F.lower("text")
-    labels = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    lowered.contains(word),
-                    F.struct(F.lit(label).alias("feature"), F.lit(i + 1).cast("bigint").alias("ord")),
-                )
-                for i, (word, label) in enumerate(dims.FEATURE_KEYWORDS)
-            ]
-        )
-    )
-    found = navigation.select("site", F.explode(labels).alias("f")).groupBy("site", "f.feature").agg(
-        F.min("f.ord").alias("feature_ord")
-    )
-    hit = found.select("site").distinct()
-    home = hit.select("site", F.lit(dims.HOME_FEATURE).alias("feature"), F.lit(0).cast("bigint").alias("feature_ord"))
-    usual = sites.select("site").join(hit, "site", "left_anti").select(
-        "site", F.posexplode(F.array(*[F.lit(f) for f in dims.DEFAULT_FEATURES])).alias("feature_ord", "feature")
-    )
-    return found.unionByName(home).unionByName(
-        usual.select("site", "feature", F.col("feature_ord").cast("bigint").alias("feature_ord"))
+    labels: dict[str, list[tuple[int, str]]] = {}
+    for i, (word, label) in enumerate(dims.FEATURE_KEYWORDS, start=1):
+        labels.setdefault(label, []).append((i, word))
+
+    def first_hit(words: list[tuple[int, str]]) -> Column:
+        hits = [F.when(lowered.contains(word), F.lit(i).cast("bigint")) for i, word in words]
+        return F.min(F.array_min(F.array(*hits)))
+
+    # One row per site and one column per label: a single fold of the navigation texts.
+    wide = navigation.groupBy("site").agg(*[first_hit(words).alias(label) for label, words in labels.items()])
+
+    def entry(label: str, ord_: Column) -> Column:
+        return F.struct(F.lit(label).alias("feature"), ord_.cast("bigint").alias("ord"))
+
+    found = F.array_compact(F.array(*[F.when(F.col(n).isNotNull(), entry(n, F.col(n))) for n in labels]))
+    usual = F.array(*[entry(f, F.lit(i)) for i, f in enumerate(dims.DEFAULT_FEATURES)])
+    with_home = F.concat(F.array(entry(dims.HOME_FEATURE, F.lit(0))), found)
+    listed = sites.select("site").join(wide, "site", "left")
+    return listed.select("site", F.explode(F.when(F.size(found) == 0, usual).otherwise(with_home)).alias("f")).select(
+        "site", "f.feature", F.col("f.ord").alias("feature_ord")
     )
 
 
@@ -124,11 +123,14 @@ def report_sections(
         ranked("api", called, F.when(endpoint_path == "", F.col("url")).otherwise(endpoint_path)),
     ]
     filled = reduce(DataFrame.unionByName, lines)
+    # An outer join on the small grid, so that the sections are computed once.
     grid = sites.select("site", F.explode(F.array(*[F.lit(s) for s in cut])).alias("section"))
-    empty = grid.join(filled.select("site", "section").distinct(), ["site", "section"], "left_anti").select(
-        "site", "section", F.lit(1).cast("bigint").alias("rank"), F.lit("needs_more_data").alias("line")
+    return grid.join(filled, ["site", "section"], "left").select(
+        "site",
+        "section",
+        F.coalesce("rank", F.lit(1).cast("bigint")).alias("rank"),
+        F.coalesce("line", F.lit("needs_more_data")).alias("line"),
     )
-    return filled.unionByName(empty)
 
 
 def request_list(report: DataFrame) -> DataFrame:

@@ -70,14 +70,8 @@ def crawl(
 
 def mirror_pages(pages: DataFrame, visited: DataFrame, crawled_at: str) -> DataFrame:
     """Markdown mirror of pages; visited(site, url, page_ord, depth, status, screenshot, screenshot_mobile)."""
-    facts = content.page_meta(pages).select("page_id", "title", "lang", "canonical")
-    body = content.extract_content(pages).select("page_id", "body_text", "word_count", "sections")
-    data = content.extract_structured(pages).select(
-        "page_id", "og", F.flatten(F.transform("json_ld", content.structured_types)).alias("types")
-    )
-    images = content.page_images(pages).drop("url")
     placed = paths.content_paths(visited).withColumnRenamed("page_ord", "page_id")
-    joined = placed.join(facts, "page_id").join(body, "page_id").join(data, "page_id").join(images, "page_id")
+    joined = placed.join(content.page_records(pages), "page_id")
     return mirror.content_mirror(joined.withColumn("crawled_at", F.lit(crawled_at)))
 
 
