@@ -75,8 +75,8 @@ def remove_dots(segments: Column) -> Column:
         tail = F.when(F.element_at(segs, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(
             F.array().cast("array<string>")
         )
-        joined = F.array_join(F.concat(kept, tail), "/")
-        return F.coalesce(F.nullif(joined, F.lit("")), F.lit("/"))
+        # Going up beyond the root eats the leading slash too.
+        return F.regexp_replace(F.array_join(F.concat(kept, tail), "/"), r"^/?", "/")
 
     return bind(segments, fold)
 
