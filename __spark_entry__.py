@@ -128,6 +128,12 @@ def src2_crawl_urls(spark, d):
     return canonical.crawl_urls(rows, fallback)
 
 
+@query
+def l3_scan_targets(spark, d):
+    pages = canonical.site_pages(_pages(spark, d)).select("site", "url", F.col("page_ord").alias("ord"))
+    return canonical.scan_targets(pages)
+
+
 # --- HTML --------------------------------------------------------------------------------
 @query
 def h1_page_meta(spark, d):
@@ -459,6 +465,12 @@ def a10_timing_grades(spark, d):
     return tech.timing_grades(A.timings(spark, d)).groupBy("metric", "grade").agg(F.count("*").alias("visits"), F.max("value").alias("worst"))
 
 
+@query
+def a10_timing_rollup(spark, d):
+    visits = A.select(A.table(spark, d, "events"), {**A.TIMINGS, "site": A.FETCH_LOG["site"]})
+    return tech.timing_rollup(visits, "lcp")
+
+
 @query
 def src8_lighthouse_scores(spark, d):
     return tech.lighthouse_scores(A.lighthouse(spark, d))
@@ -659,7 +671,9 @@ def a11_capped_findings(spark, d):
 @query
 def s4_stream_request_rates(spark, d):
     log = A.select(incremental.read_stream(spark, d, "events"), A.FETCH_LOG)
-    rates = incremental.drain(incremental.request_rates(log.withColumn("ts", F.col("ts").cast("timestamp")), width="1 hour"), "complete")
+    rates = incremental.drain(
+        incremental.request_rates(log.withColumn("ts", F.col("ts").cast("timestamp")), width="1 hour"), ["site", "start"]
+    )
     return rates.select("site", F.unix_seconds("start").alias("start"), "requests", "bytes")
 
 
@@ -667,13 +681,13 @@ def s4_stream_request_rates(spark, d):
 def s4_stream_fresh_urls(spark, d):
     log = A.select(incremental.read_stream(spark, d, "events"), A.FETCH_LOG)
     fresh = incremental.fresh_urls(log.withColumn("ts", F.col("ts").cast("timestamp")), "60 days")
-    return incremental.drain(fresh, "append").select("site", "norm_url")
+    return incremental.drain(fresh).select("site", "norm_url")
 
 
 @query
 def s4_stream_stage_status(spark, d):
     log = A.select(incremental.read_stream(spark, d, "orders"), A.STAGE_LOG)
-    return incremental.drain(incremental.latest_stages(log), "complete")
+    return incremental.drain(incremental.latest_stages(log), ["site", "stage"])
 
 
 def entry(spark: SparkSession) -> DataFrame:

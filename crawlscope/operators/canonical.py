@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlscope.functions import urls
-from crawlscope.operators.common import HOT_GROUP, attach_group, first_seen
+from crawlscope.operators.common import HOT_GROUP, attach_group, first_seen, top_k
 
 
 def canonicalize_urls(pages: DataFrame, hot: int = HOT_GROUP) -> DataFrame:
@@ -49,3 +49,11 @@ def crawl_urls(crawled: DataFrame, fallback: DataFrame) -> DataFrame:
     distinct = first_seen(listed.select("site", "url", "ord"), ["site", "url"], ["ord"])
     missing = fallback.join(distinct.select("site").distinct(), "site", "left_anti")
     return distinct.unionByName(missing.select("site", "url", F.lit(0).cast("bigint").alias("ord")))
+
+
+def scan_targets(crawled: DataFrame, max_pages: int = 6) -> DataFrame:
+    """First pages of a crawl that the tech and API scans look at: site, url, rank."""
+    if not 1 <= max_pages <= 30:
+        raise ValueError("max_pages must be 1..30")
+    ranked = top_k(crawled.select("site", "url", "ord"), ["site"], [F.col("ord")], max_pages)
+    return ranked.select("site", "url", F.col("rank").cast("bigint").alias("rank"))

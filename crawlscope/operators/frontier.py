@@ -42,7 +42,10 @@ def crawl_plan(
     """
     if not (1 <= max_pages <= MAX_PAGES_LIMIT and 0 <= max_depth <= MAX_DEPTH_LIMIT):
         raise ValueError("max_pages must be 1..50 and max_depth 0..5")
-    own = edges.filter(urls.netloc(F.col("dst")) == F.col("site")).select("site", "src", "dst", "link_ord")
+    # Repeated links fold first: many copies of one page then count as one.
+    own = edges.filter(urls.netloc(F.col("dst")) == F.col("site")).groupBy("site", "src", "dst").agg(
+        F.min("link_ord").alias("link_ord")
+    )
     allowed = mark_blocked(own, rules, url="dst").filter("NOT blocked").drop("blocked")
     usable = cut_lineage(allowed.repartition("site", "src")) if max_depth else None
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from crawlscope import dims
 from crawlscope.functions import text as X
 from crawlscope.functions import urls
+from crawlscope.operators.common import first_seen
 
 
 def _mask(name: str) -> Column:
@@ -117,11 +118,10 @@ def flat_export(
 
 def home_heads(pages: DataFrame) -> DataFrame:
     """Inside of the head element of each site's first page: site, page_ord, head."""
-    slim = pages.select(urls.netloc(F.col("url")).alias("site"), F.col("page_id").alias("page_ord"), "html")
-    # Only the id is compared; the first page's HTML is fetched by key afterwards.
-    first = slim.groupBy("site").agg(F.min("page_ord").alias("page_ord"))
     head = F.regexp_extract("html", r"(?is)<head\b[^>]*>(.*?)</head\s*>", 1)
-    return slim.join(first, ["site", "page_ord"]).select("site", "page_ord", head.alias("head"))
+    slim = pages.select(urls.netloc(F.col("url")).alias("site"), F.col("page_id").alias("page_ord"), head.alias("head"))
+    # Each task keeps one head per site before anything is shuffled.
+    return first_seen(slim, ["site"], ["page_ord"])
 
 
 def crawl_summary(

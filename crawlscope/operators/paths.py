@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crawlscope import dims
 from crawlscope.functions import urls
-from crawlscope.operators.common import attach_group, numbered
+from crawlscope.operators.common import HOT_GROUP, attach_group, numbered
 
 
 def _folders(pages: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def _folders(pages: DataFrame) -> DataFrame:
     return deep.select("site", F.explode(prefixes).alias("inner")).distinct()
 
 
-def content_paths(pages: DataFrame) -> DataFrame:
+def content_paths(pages: DataFrame, hot: int = HOT_GROUP) -> DataFrame:
     """pages(site, url, ...) -> the same plus content_path and is_collision.
 
     A query-less page that is the folder of another page becomes ``<path>/_index.md``. The root
@@ -29,19 +29,20 @@ def content_paths(pages: DataFrame) -> DataFrame:
     root = dims.CONTENT_ROOT
     inner = urls.inner_path(F.col("url"))
     rows = pages.withColumn("inner", inner).withColumn("_has_query", urls.query(F.col("url")) != "")
-    # A folder matches at most the pages of one path; the root path never needs the lookup.
+    # One row per path: many query variants may share a path, so the rows are joined by size.
     folders = _folders(pages).withColumn("_is_folder", F.lit(True))
-    marked = rows.join(folders, ["site", "inner"], "left")
+    per_path = rows.groupBy("site", "inner").agg(F.count("*").alias("_same")).join(folders, ["site", "inner"], "left")
+    marked = attach_group(rows, per_path, ["site", "inner"], "_same", ["url"], hot=hot)
     folder_file = F.regexp_replace(F.concat(F.lit(root + "/"), F.col("inner"), F.lit("/_index.md")), "/+", "/")
     placed = marked.withColumn(
         "content_path",
         F.when(F.col("inner") == "", F.lit(f"{root}/_index.md"))
         .when(F.col("_is_folder") & ~F.col("_has_query"), folder_file)
         .otherwise(urls.leaf_content_path(F.col("url"))),
-    ).drop("inner", "_has_query", "_is_folder")
+    ).drop("inner", "_has_query", "_is_folder", "_same")
     users = placed.groupBy("site", "content_path").agg(F.count("*").alias("_users"))
     return (
-        attach_group(placed, users, ["site", "content_path"], "_users", ["url"])
+        attach_group(placed, users, ["site", "content_path"], "_users", ["url"], hot=hot)
         .withColumn("is_collision", F.col("_users") > 1)
         .drop("_users")
     )

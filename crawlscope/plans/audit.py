@@ -49,7 +49,7 @@ def crawl(
         seeds = roots.select("site", "url", F.array(F.lit(-1).cast("bigint")).alias("ord"))
     else:
         seeds = discovery.merge_seeds(roots, discovered)
-    edges = graph.groupBy("site", "src", "dst").agg(F.min("link_ord").alias("link_ord"))
+    edges = graph.select("site", "src", "dst", "link_ord")
     stored = canonical.site_pages(pages)
     if failed is None:
         targets = edges.select("site", F.col("dst").alias("url")).unionByName(seeds.select("site", "url")).distinct()

@@ -245,12 +245,14 @@ def heap_edges(pages: DataFrame) -> DataFrame:
 def sitemap_docs(spark: SparkSession, folder: str) -> DataFrame:
     """Three levels of sitemaps per site: index of indexes, indexes, and lists of 64 page ids.
 
+    A list holds at most 64 pages, an index at most 50,000 lists (the limit of the format).
+
     Each list also names a page of another host, which the walk must drop.
     """
     ns = "http://www.sitemaps.org/schemas/sitemap/0.9"
     pages = table(spark, folder, "pages").selectExpr(
         "page_id", "url", f"{HOST} AS site", "CAST(floor(page_id / 64) AS BIGINT) AS leaf",
-        "CAST(floor(page_id / 4096) AS BIGINT) AS branch",
+        "CAST(floor(page_id / 3200000) AS BIGINT) AS branch",
     )
     hosts = sites(spark, folder)
 

@@ -7,9 +7,11 @@ agree. State stays in the state store under the query's checkpoint, and watermar
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crawlscope.functions import urls
 from crawlscope.session import shared_dir
@@ -56,20 +58,26 @@ def read_stream(spark: SparkSession, folder: str, name: str, files_per_trigger:
     )
 
 
-def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over all that is there and return what it wrote.
+def drain(stream: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Run a stream over all that is there and return its result.
 
-    Append output goes to Parquet as it is. In complete mode each batch replaces the last one.
+    Without keys the output only ever grows and goes to Parquet as it is. With keys each batch
+    writes the rows it changed to a folder of its own, which a repeated batch replaces; the
+    newest row per key is the result, so the state may forget what the watermark closed.
     """
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{base}/out"
     writer = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
-    if mode == "append":
-        query = writer.outputMode("append").format("parquet").option("path", out).start()
-    else:
-        query = writer.outputMode(mode).foreachBatch(
-            lambda batch, _: batch.write.mode("overwrite").parquet(out)
-        ).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    if not keys:
+        writer.outputMode("append").format("parquet").option("path", out).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(out)
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    writer.outputMode("update").foreachBatch(save).start().awaitTermination()
+    changes = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
+    values = [c for c in stream.columns if c not in keys]
+    newest = F.max_by(F.struct(*values), "batch").alias("_newest")
+    return changes.groupBy(*keys).agg(newest).select(*keys, "_newest.*").select(*stream.columns)

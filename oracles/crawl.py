@@ -69,8 +69,8 @@ SQL["u4_sitemap_roots"] = f"SELECT site, origin || '/map-index.xml' AS doc_url,
 WALK = f"""
     SELECT site, url, CAST(2 AS BIGINT) AS depth, '0.' || b || '.' || l || '.' || p AS place FROM (
     SELECT {C.host()} AS site, url,
-           dense_rank() OVER (PARTITION BY {C.host()} ORDER BY page_id // 4096) - 1 AS b,
-           dense_rank() OVER (PARTITION BY {C.host()}, page_id // 4096 ORDER BY page_id // 64) - 1 AS l,
+           dense_rank() OVER (PARTITION BY {C.host()} ORDER BY page_id // 3200000) - 1 AS b,
+           dense_rank() OVER (PARTITION BY {C.host()}, page_id // 3200000 ORDER BY page_id // 64) - 1 AS l,
            row_number() OVER (PARTITION BY {C.host()}, page_id // 64 ORDER BY page_id) - 1 AS p
     FROM pages) QUALIFY row_number() OVER (PARTITION BY site ORDER BY b, l, p) <= 2000
 """
@@ -132,3 +132,6 @@ WITH v AS (SELECT site, count(*) FILTER (status = 'ok') AS visited_pages, 2 * co
                   count(*) FILTER (page_ord % 9 = 0) AS content_errors FROM ({C.CANONICAL}) GROUP BY site)
 SELECT * FROM v JOIN f USING (site) JOIN d USING (site)
 """
+SQL["l3_scan_targets"] = f"""
+SELECT site, url, CAST(rank AS BIGINT) AS rank FROM (SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY page_ord) AS rank FROM ({C.CANONICAL})) WHERE rank <= 6
+"""

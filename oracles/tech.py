@@ -120,3 +120,7 @@ SELECT site, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, count(*) AS
 SQL["s4_stream_fresh_urls"] = f"SELECT DISTINCT site, {C.norm()} AS norm_url FROM ({C.FETCH})"
 STAGES = C.adapter(A.STAGE_LOG, "orders")
 SQL["s4_stream_stage_status"] = f"SELECT site, stage, arg_max(status, row(ts, seq)) AS status, count(*) AS events FROM ({STAGES}) GROUP BY site, stage"
+SQL["a10_timing_rollup"] = f"""
+SELECT site, count(*) AS n, round(avg(lcp), 3) AS mean, quantile_disc(lcp, 0.5) AS p50, quantile_disc(lcp, 0.75) AS p75
+FROM ({C.adapter({**A.TIMINGS, 'site': A.FETCH_LOG['site']}, 'events')}) GROUP BY site
+"""

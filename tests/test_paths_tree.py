@@ -25,7 +25,7 @@ def test_content_paths(spark):
 
     listed = ["/", "/about", "/about/team", "/search?q=1", "/?q=1", "/docs?v=2", "/docs/a/b", "/deep/x?y=1"]
     df = page_frame(spark, [(E + p, 0) for p in listed])
-    rows = paths.content_paths(df).collect()
+    rows = paths.content_paths(df, hot=1).collect()
     got = {r.url[len(E):]: (r.content_path.removeprefix("_audit/content/"), r.is_collision) for r in rows}
     assert got == {
         "/": ("_index.md", True),

@@ -21,9 +21,9 @@ def test_fresh_urls_and_rates_equal_batch(spark, tmp_path):
     def stream():
         return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
-    fresh = incremental.drain(incremental.fresh_urls(stream(), "1 day"), "append")
+    fresh = incremental.drain(incremental.fresh_urls(stream(), "1 day"))
     assert sorted((r.site, r.norm_url) for r in fresh.collect()) == sorted({(s, u.split("?")[0]) for s, u, _, _ in rows})
-    rates = incremental.drain(incremental.request_rates(stream()), "complete")
+    rates = incremental.drain(incremental.request_rates(stream()), ["site", "start"])
     batch = incremental.request_rates(spark.read.parquet(path))
     assert sorted(map(tuple, rates.collect())) == sorted(map(tuple, batch.collect()))
 
@@ -34,7 +34,7 @@ def test_late_rows_drop_behind_the_watermark(spark, tmp_path):
     first = spark.read.parquet(path).schema
     write(spark, path, [("s", "u", t(1), 5), ("s", "u", t(59), 7)])
     stream = spark.readStream.schema(first).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(path)
-    got = {r.start.minute: (r.requests, r.bytes) for r in incremental.drain(incremental.request_rates(stream, "5 minutes"), "append").collect()}
+    got = {r.start.minute: (r.requests, r.bytes) for r in incremental.drain(incremental.request_rates(stream, "5 minutes")).collect()}
     assert got.get(0) == (1, 1)
 
 
@@ -43,5 +43,5 @@ def test_latest_stages(spark, tmp_path):
     rows = [("s", "ux", "pending", t(0), 0), ("s", "ux", "done", t(2), 1), ("s", "ux", "blocked", t(1), 2)]
     spark.createDataFrame(rows, "site string, stage string, status string, ts timestamp, seq bigint").write.parquet(path)
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    row = incremental.drain(incremental.latest_stages(stream), "complete").first()
+    row = incremental.drain(incremental.latest_stages(stream), ["site", "stage"]).first()
     assert (row.status, row.events) == ("done", 3)
