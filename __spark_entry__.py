@@ -51,7 +51,7 @@ def j0_canonicalize_urls(spark, d):
 @query
 def p1_p2_resolve_and_normalize(spark, d):
     """Link targets of each page: resolved as given, as in a browser, and normalised."""
-    found = links.page_links(links.extract_links(A.rich_pages(spark, d)))
+    found = links.page_links(links.extract_links(A.rich_pages(spark, d), ["page"]))
     return found.select(
         "page_id", "link_ord", "href", urls.normalize(F.col("href")).alias("norm"),
         urls.normalize(F.concat(F.lit("../x/./"), F.col("page_id").cast("string"), F.lit("/?b=1&gclid=9&a=2")), F.col("page_url")).alias("relative"),
@@ -60,7 +60,7 @@ def p1_p2_resolve_and_normalize(spark, d):
 
 @query
 def p3_f1_same_site_links(spark, d):
-    same = links.same_site(links.extract_links(A.rich_pages(spark, d)))
+    same = links.same_site(links.extract_links(A.rich_pages(spark, d), ["page"]))
     return same.groupBy("site").agg(F.count("*").alias("links"), F.count_distinct("href").alias("targets"))
 
 
@@ -109,7 +109,7 @@ def p8_hex_colors(spark, d):
 @query
 def w1_first_seen_links(spark, d):
     """First page of each site that links an address."""
-    found = links.page_links(links.extract_links(_pages(spark, d))).select("site", "href", "page_id", "link_ord")
+    found = links.page_links(links.extract_links(_pages(spark, d), ["page"])).select("site", "href", "page_id", "link_ord")
     return first_seen(found, ["site", "href"], ["page_id", "link_ord"])
 
 
@@ -145,7 +145,7 @@ def h1_page_meta(spark, d):
 
 @query
 def h2_links(spark, d):
-    return links.page_links(links.extract_links(_pages(spark, d))).select("site", "page_id", "link_ord", "href", "text", "parent")
+    return links.page_links(links.extract_links(_pages(spark, d), ["page"])).select("site", "page_id", "link_ord", "href", "text", "parent")
 
 
 @query
@@ -157,7 +157,7 @@ def h2_links_rich(spark, d):
 
 @query
 def h3_nav_links(spark, d):
-    return links.nav_links(links.extract_links(_pages(spark, d))).select("site", "page_id", "link_ord", "href", "text")
+    return links.nav_links(links.extract_links(_pages(spark, d), ["nav"])).select("site", "page_id", "link_ord", "href", "text")
 
 
 @query
@@ -254,12 +254,12 @@ def a13_markup_rollup(spark, d):
 # --- navigation, graph, tree ----------------------------------------------------------------
 @query
 def a3_main_navigation(spark, d):
-    return links.main_navigation(links.nav_links(links.extract_links(_pages(spark, d))))
+    return links.main_navigation(links.nav_links(links.extract_links(_pages(spark, d), ["nav"])))
 
 
 @query
 def g0_link_graph(spark, d):
-    return links.link_graph(links.extract_links(_pages(spark, d)))
+    return links.link_graph(links.extract_links(_pages(spark, d), ["page"]))
 
 
 @query
@@ -410,7 +410,7 @@ def l5_page_colors(spark, d):
 def a5_component_counts(spark, d):
     pages = A.rich_pages(spark, d)
     shots = paths.page_sequence(canonical.site_pages(_pages(spark, d)))
-    return style.component_counts(pages, links.extract_links(pages), shots)
+    return style.component_counts(pages, links.extract_links(pages, ["nav"]), shots)
 
 
 # --- tech ----------------------------------------------------------------------------------

@@ -6,7 +6,9 @@ pages to the parser pass in ``operators.dom``.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
+from html.entities import name2codepoint
 from operator import and_
 
 from pyspark.sql import Column
@@ -17,17 +19,17 @@ from crawlscope.functions.text import squeeze
 
 # Inside of a tag, with ">" allowed between quotes; possessive, so it never backtracks.
 TAG_BODY = r"(?:\"[^\"]*+\"|'[^']*+'|[^'\">]++)*+"
+# Alternatives share their first character, so that most positions fail at once.
 _HIDDEN = (
-    r"(?is)<!--.*?(?:-->|\z)|<script\b[^>]*>.*?(?:</script\s*>|\z)"
-    r"|<style\b[^>]*>.*?(?:</style\s*>|\z)"
+    r"(?is)<(?:!--.*?(?:-->|\z)|script\b[^>]*>.*?(?:</script\s*>|\z)|style\b[^>]*>.*?(?:</style\s*>|\z))"
 )
 _BLOCK_TAGS = (
     r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form"
     rf"|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tbody|td|th|thead|tr|ul)\b{TAG_BODY}>"
 )
-_ANY_TAG = rf"</?[A-Za-z!]{TAG_BODY}>|<[^>]*>"
+_ANY_TAG = rf"<(?:/?[A-Za-z!]{TAG_BODY}>|[^>]*>)"
 _CONTAINERS = "nav|header|footer|main|aside|section"
-# &amp; comes last, so that an escaped entity is decoded once.
+# The usual entities; &amp; comes last, so that an escaped entity is decoded once.
 _ENTITIES = [
     ("&lt;", "<"),
     ("&gt;", ">"),
@@ -39,6 +41,9 @@ _ENTITIES = [
     ("&middot;", "·"),
     ("&amp;", "&"),
 ]
+_OTHER_ENTITY = r"&(?!(?:lt|gt|quot|#39|apos|nbsp|copy|middot|amp);)(?:#\d+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+# All named entities of HTML 4, from the table of the standard library.
+_NAMED = json.dumps({name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"})
 
 
 def visible(html: Column) -> Column:
@@ -46,12 +51,38 @@ def visible(html: Column) -> Column:
     return F.regexp_replace(html, _HIDDEN, "")
 
 
+def _decode_any(raw: Column) -> Column:
+    """Decode named and numeric entities of any kind; unknown ones stay."""
+    pieces = F.regexp_extract_all(
+        raw, F.lit(r"(?s)&#\d{1,7};|&#[xX][0-9a-fA-F]{1,6};|&[A-Za-z][A-Za-z0-9]*;|&|[^&]+"), F.lit(0)
+    )
+    named = F.from_json(F.lit(_NAMED), "map<string,string>")
+
+    def char(hex_code: Column) -> Column:
+        return F.decode(F.unhex(F.lpad(hex_code, 8, "0")), "UTF-32")
+
+    def piece(p: Column) -> Column:
+        code = F.regexp_extract(p, r"^&#[xX]?([0-9a-fA-F]+);$", 1)
+        return (
+            F.when(p.rlike(r"^&#\d"), char(F.hex(code.try_cast("bigint"))))
+            .when(p.rlike(r"^&#[xX]"), char(code))
+            .when(p.rlike(r"^&[A-Za-z]"), F.coalesce(F.try_element_at(named, F.btrim(p, F.lit("&;"))), p))
+            .otherwise(p)
+        )
+
+    return F.array_join(F.transform(pieces, piece), "")
+
+
 def decode_entities(text: Column) -> Column:
     def decode(raw: Column) -> Column:
-        decoded = raw
+        usual = raw
         for entity, char in _ENTITIES:
-            decoded = F.replace(decoded, F.lit(entity), F.lit(char))
-        return F.when(raw.contains("&"), decoded).otherwise(raw)
+            usual = F.replace(usual, F.lit(entity), F.lit(char))
+        return (
+            F.when(~raw.contains("&"), raw)
+            .when(raw.rlike(_OTHER_ENTITY), _decode_any(raw))
+            .otherwise(usual)
+        )
 
     return bind(text, decode)
 
@@ -122,7 +153,7 @@ def link_tokens(html: Column) -> Column:
     return F.regexp_extract_all(
         visible(html),
         F.lit(
-            rf"(?is)</?(?:{_CONTAINERS})\b[^>]*>|<a\b{TAG_BODY}>.*?(?=</a\b|<a\b|\z)"
+            rf"(?is)<(?:/?(?:{_CONTAINERS})\b[^>]*>|a\b{TAG_BODY}>.*?(?=<(?:/a|a)\b|\z))"
         ),
         F.lit(0),
     )

@@ -205,6 +205,11 @@ def _prefixed_query(raw: Column) -> Column:
     return bind(clean_query(raw), lambda q: _prefixed("?", q))
 
 
+def is_web(url: Column) -> Column:
+    """True where ``normalize`` gives a URL; a cheap test, so filters need not normalise."""
+    return tidy(url).rlike(r"(?i)^https?:")
+
+
 def site_path(url: Column) -> Column:
     """Path without trailing slashes, ``/`` for the root."""
     return F.coalesce(F.nullif(F.rtrim(path(url), F.lit("/")), F.lit("")), F.lit("/"))

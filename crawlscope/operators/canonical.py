@@ -14,9 +14,8 @@ def canonicalize_urls(pages: DataFrame, hot: int = HOT_GROUP) -> DataFrame:
 
     ``is_first`` marks the first page seen of each canonical URL. Pages without a web URL drop.
     """
-    rows = pages.select("page_id", "url", urls.normalize(F.col("url")).alias("norm_url")).filter(
-        F.col("norm_url").isNotNull()
-    )
+    web = pages.filter(urls.is_web(F.col("url")))
+    rows = web.select("page_id", "url", urls.normalize(F.col("url")).alias("norm_url"))
     groups = rows.groupBy("norm_url").agg(
         F.count("*").alias("group_size"), F.min("page_id").alias("first_id")
     )
@@ -31,10 +30,10 @@ def site_pages(pages: DataFrame) -> DataFrame:
     This is the page list every tree, mirror and crawl job works on.
     """
     norm = urls.normalize(F.col("url"))
-    rows = pages.select(norm.alias("url"), F.col("page_id").alias("page_ord"), F.col("url").alias("raw_url"))
+    web = pages.filter(urls.is_web(F.col("url")))
+    rows = web.select(norm.alias("url"), F.col("page_id").alias("page_ord"), F.col("url").alias("raw_url"))
     return (
-        rows.filter(F.col("url").isNotNull())
-        .groupBy("url")
+        rows.groupBy("url")
         .agg(F.min("page_ord").alias("page_ord"), F.min_by("raw_url", "page_ord").alias("raw_url"))
         .select(urls.netloc(F.col("url")).alias("site"), "url", "page_ord", "raw_url")
     )

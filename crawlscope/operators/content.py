@@ -15,9 +15,9 @@ from crawlscope.operators.dom import parse_content, parse_forms
 _JSON_LD = r"(?is)<script\b[^>]*\stype\s*=\s*[\"']?application/ld\+json[^>]*>(.*?)</script\s*>"
 # Pages whose content root or sections need the parser: nested or repeated roots, or sections.
 _NEEDS_PARSER = (
-    r"(?is)<section\b|\srole\s*=\s*[\"']?main|\sid\s*=\s*[\"']?(?:content|main)[\"'\s>]"
-    r"|\sclass\s*=\s*(?:\"(?:[^\"]*\s)?content[\s\"]|'(?:[^']*\s)?content[\s'])"
-    r"|<(?:main|article)\b.*<(?:main|article)\b"
+    r"(?is)<(?:section\b|(?:main|article)\b.*<(?:main|article)\b)"
+    r"|\s(?:role\s*=\s*[\"']?main|id\s*=\s*[\"']?(?:content|main)[\"'\s>]"
+    r"|class\s*=\s*(?:content[\s>]|\"(?:[^\"]*\s)?content[\s\"]|'(?:[^']*\s)?content[\s']))"
 )
 
 

@@ -172,8 +172,7 @@ def merge_seeds(roots: DataFrame, discovered: DataFrame) -> DataFrame:
 
     The root comes first; discovered URLs follow in their order once normalised.
     """
-    normed = discovered.select("site", urls.normalize(F.col("url")).alias("url"), "ord").filter(
-        F.col("url").isNotNull() & (urls.netloc(F.col("url")) == F.col("site"))
-    )
+    own = urls.is_web(F.col("url")) & (urls.netloc(F.col("url")) == F.col("site"))
+    normed = discovered.filter(own).select("site", urls.normalize(F.col("url")).alias("url"), "ord")
     first = roots.select("site", "url", F.array(F.lit(-1).cast("bigint")).alias("ord"))
     return first.unionByName(normed).groupBy("site", "url").agg(F.min("ord").alias("ord"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +18,13 @@ from crawlscope.operators.dom import parse_links
 _NAV_ROLE = r"(?i)\srole\s*=\s*[\"']?navigation"
 
 
-def extract_links(pages: DataFrame) -> DataFrame:
+def extract_links(pages: DataFrame, scopes: Sequence[str] = ("page", "nav")) -> DataFrame:
     """pages(page_id, url, html) -> site, page_id, page_url, scope, link_ord, href, text, parent, in_nav.
 
     Scope ``page`` holds the first link per page and address, scope ``nav`` the first navigation
     link per page and address. ``href`` is absolute as in a browser, ``parent`` the closest
-    container. A page is one row, so its links are deduped there and never shuffled.
+    container. A page is one row, so its links are deduped there and never shuffled. Ask only
+    for the scopes that are used.
     """
     hard = F.col("html").rlike(_NAV_ROLE)
     native = pages.filter(~hard).select("page_id", "url", H.anchors(F.col("html")).alias("links"))
@@ -42,8 +45,9 @@ def extract_links(pages: DataFrame) -> DataFrame:
         first = distinct_by(items, lambda a: a["href"])
         return F.transform(first, lambda a: F.struct(F.lit(scope).alias("scope"), a.alias("a")))
 
-    both = F.concat(scoped("page", F.col("links")), scoped("nav", F.filter("links", lambda a: a["in_nav"])))
-    return listed.select("page_id", "url", F.explode(both).alias("l")).select(
+    sources = {"page": F.col("links"), "nav": F.filter("links", lambda a: a["in_nav"])}
+    rows = F.concat(*[scoped(scope, sources[scope]) for scope in scopes])
+    return listed.select("page_id", "url", F.explode(rows).alias("l")).select(
         urls.netloc(F.col("url")).alias("site"), "page_id", F.col("url").alias("page_url"), "l.scope", "l.a.*"
     )
 
@@ -68,17 +72,14 @@ def link_graph(links: DataFrame) -> DataFrame:
 
     Targets on other sites stay; a target may repeat when two addresses share its canonical form.
     """
-    return (
-        page_links(links)
-        .select(
-            "site",
-            urls.normalize(F.col("page_url")).alias("src"),
-            urls.normalize(F.col("href")).alias("dst"),
-            "parent",
-            "page_id",
-            "link_ord",
-        )
-        .filter(F.col("dst").isNotNull())
+    web = page_links(links).filter(urls.is_web(F.col("href")))
+    return web.select(
+        "site",
+        urls.normalize(F.col("page_url")).alias("src"),
+        urls.normalize(F.col("href")).alias("dst"),
+        "parent",
+        "page_id",
+        "link_ord",
     )
 
 

@@ -164,3 +164,12 @@ def test_seo_and_markup(pages):
     checks = content.markup_checks(pages).filter("page_id = 2").first()
     assert (checks.has_header, checks.has_nav, checks.has_main, checks.has_footer) == (True, False, True, True)
     assert checks.alt_state == "partial" and checks.has_form and checks.has_label
+
+
+def test_entities_of_any_kind(spark):
+    import html as stdlib_html
+
+    texts = ["a &amp;lt; b &lt;", "caf&eacute; &#8217;x&#x1F600; &hellip; &unknown; & &copy;", "plain & text", "&nbsp;&middot;", "&#39;&apos;&Auml;"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(H.decode_entities(F.col("t"))).collect()]
+    assert got == [stdlib_html.unescape(t) for t in texts]
