@@ -34,14 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
     local mode, where driver and executors share one disk.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
-    if not current:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        current = tempfile.mkdtemp(prefix="crawlscope-ckpt-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(current)
-    return current
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+            named = tempfile.mkdtemp(prefix="crawlscope-ckpt-")
+        sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
