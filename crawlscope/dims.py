@@ -67,6 +67,7 @@ PAGE_COLORS, PAGE_FONTS = 25, 20
 TOP_COLORS, TOP_FONTS, TOP_NAV, TOP_RESOURCES = 12, 10, 12, 10
 REPORT_SLICES = {"palette": 5, "typography": 4, "navigation": 8, "frameworks": 6, "api": 6}
 MIRROR_IMAGES = 50
+MIRROR_IMAGES_HEADING = "이미지"
 
 # Framework fingerprints: (name, pattern over raw HTML, confidence, evidence, version pattern).
 FINGERPRINTS = [

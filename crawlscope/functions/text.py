@@ -50,6 +50,11 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\s\u00A0]+", " "))
 
 
+def strip(text: Column) -> Column:
+    """Without outer white space of any kind."""
+    return F.btrim(text, F.lit(" \n\t\r\f\u000b\u00a0"))
+
+
 def word_count(text: Column) -> Column:
     """Number of runs of non-blank characters."""
     return F.regexp_count(text, F.lit(r"(?U)\S+")).cast("bigint")

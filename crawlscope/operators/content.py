@@ -129,7 +129,7 @@ def extract_images(pages: DataFrame) -> DataFrame:
 
 
 def og_map(html: Column) -> Column:
-    """MAP of og: properties; the last one of a name wins."""
+    """MAP of og: properties in order of their first mention; the last value of a name wins."""
     metas = F.filter(
         H.tags(html, "meta"), lambda t: t.rlike(r"(?i)\s(?:property|name)\s*=\s*[\"']?og:")
     )
@@ -142,8 +142,12 @@ def og_map(html: Column) -> Column:
             H.attribute(t, "content").alias("value"),
         ),
     )
-    # Read backwards, so that the first of a key is its last one.
-    return F.map_from_entries(distinct_by(F.reverse(pairs), lambda p: p["key"]))
+    def last_wins(ps: Column) -> Column:
+        keys = F.array_distinct(F.transform(ps, lambda p: p["key"]))
+        values = F.transform(keys, lambda k: F.element_at(F.filter(ps, lambda p: p["key"] == k), -1)["value"])
+        return F.map_from_arrays(keys, values)
+
+    return bind(pairs, last_wins)
 
 
 def json_ld(html: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from crawlscope import dims
 from crawlscope.functions import text as X
 from crawlscope.functions import urls
+from crawlscope.functions.arrays import bind
 from crawlscope.operators.common import first_seen
 
 
@@ -22,9 +23,14 @@ def _frontmatter() -> Column:
     def quoted(value: Column) -> Column:
         return X.json_string(X.mask_pii(value))
 
-    masked_og = F.transform_values(
-        F.coalesce("og", F.create_map().cast("map<string,string>")), lambda _, v: X.mask_pii(F.coalesce(v, F.lit("")))
+    def listed(items: Column, marks: str) -> Column:
+        return F.concat(F.lit(marks[0]), F.array_join(items, ", "), F.lit(marks[1]))
+
+    og = F.transform(
+        F.map_entries(F.coalesce("og", F.create_map().cast("map<string,string>"))),
+        lambda e: F.concat(X.json_string(e["key"]), F.lit(": "), quoted(F.coalesce(e["value"], F.lit("")))),
     )
+    types = F.transform(F.coalesce("types", F.array().cast("array<string>")), X.json_string)
     words = F.coalesce("word_count", F.lit(0).cast("bigint"))
     return F.concat_ws(
         "\n",
@@ -35,8 +41,8 @@ def _frontmatter() -> Column:
         line("status", F.coalesce(F.col("status").cast("string"), F.lit('"unknown"'))),
         line("canonical", quoted(F.when(F.coalesce("canonical", F.lit("")) == "", F.col("url")).otherwise(F.col("canonical")))),
         line("lang", quoted(F.coalesce("lang", F.lit("")))),
-        line("og", F.to_json(masked_og)),
-        line("structured_data", F.to_json(F.coalesce("types", F.array().cast("array<string>")))),
+        line("og", listed(og, "{}")),
+        line("structured_data", listed(types, "[]")),
         line("screenshot", quoted(F.coalesce("screenshot", F.lit("")))),
         line("screenshot_mobile", quoted(F.coalesce("screenshot_mobile", F.lit("")))),
         line("crawled_at", quoted(F.coalesce("crawled_at", F.lit("")))),
@@ -48,12 +54,18 @@ def _frontmatter() -> Column:
 
 def _body() -> Column:
     def section(s: Column) -> Column:
-        heading = F.trim(X.mask_pii(F.coalesce(s["heading"], F.lit(""))))
-        text = F.trim(X.mask_pii(F.coalesce(s["text"], F.lit(""))))
-        return F.when(heading != "", F.rtrim(F.concat(F.lit("## "), heading, F.lit("\n"), text))).when(text != "", text)
+        def lines(heading: Column, text: Column) -> Column:
+            return F.when(heading != "", X.strip(F.concat(F.lit("## "), heading, F.lit("\n"), text))).when(
+                text != "", text
+            )
+
+        def clean(name: str) -> Column:
+            return X.strip(X.mask_pii(F.coalesce(s[name], F.lit(""))))
+
+        return bind(clean("heading"), lambda heading: bind(clean("text"), lambda text: lines(heading, text)))
 
     sections = F.array_compact(F.transform("sections", section))
-    main = F.when(F.size(sections) > 0, F.array_join(sections, "\n\n")).otherwise(F.trim(_mask("body_text")))
+    main = F.when(F.size(sections) > 0, F.array_join(sections, "\n\n")).otherwise(X.strip(_mask("body_text")))
 
     def image_row(i: Column) -> Column:
         return F.concat(
@@ -64,7 +76,7 @@ def _body() -> Column:
 
     shown = F.transform(F.slice("images", 1, dims.MIRROR_IMAGES), image_row)
     table = F.concat(
-        F.lit("## Images\n| src | alt | width | height |\n|-----|-----|-------|--------|\n"), F.array_join(shown, "\n")
+        F.lit(f"## {dims.MIRROR_IMAGES_HEADING}\n| src | alt | width | height |\n|-----|-----|-------|--------|\n"), F.array_join(shown, "\n")
     )
     parts = F.array(
         F.concat(F.lit("# "), _mask("title")),

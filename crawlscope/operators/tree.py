@@ -43,7 +43,7 @@ def site_parents(pages: DataFrame, roots: DataFrame, hot: int = HOT_GROUP) -> Da
 
 
 def reachable(nodes: DataFrame) -> DataFrame:
-    """nodes(site, url, parent_url, root_url) -> site, url, in_tree.
+    """Stored nodes(site, url, parent_url, root_url) -> site, url, in_tree.
 
     Pointer doubling: every unresolved node looks at its pointer's pointer, so a chain of n
     levels takes log2(n) joins. A node is in the tree when its pointer reaches the root, and out
@@ -52,10 +52,10 @@ def reachable(nodes: DataFrame) -> DataFrame:
     root, ptr = F.col("root_url"), F.col("ptr")
     start = nodes.select("site", "url", "root_url", F.coalesce("parent_url", "url").alias("ptr"))
     start = start.withColumn("done", (ptr == root) | (ptr == F.col("url")))
-    state = cut_lineage(start)
-    parts = [state.filter("done")]
-    active = state.filter("NOT done")
-    known = state
+    # ``nodes`` is stored already, so the first state is a mere projection of it.
+    parts = [start.filter("done")]
+    active = start.filter("NOT done")
+    known = start
     while not active.isEmpty():
         hops = known.select("site", F.col("url").alias("ptr"), F.col("ptr").alias("next"), F.col("done").alias("end"))
         demand = active.groupBy("site", "ptr").agg(F.count("*").alias("_n"))

@@ -99,10 +99,10 @@ def plan(max_pages: int, max_depth: int) -> str:
     return f"""
     WITH RECURSIVE canon AS (SELECT *, {_blocked('url')} AS blocked FROM ({C.CANONICAL})),
     walk AS (
-        SELECT site, url, rn, CAST(0 AS BIGINT) AS depth, CASE WHEN blocked THEN 'blocked' WHEN rn % 5 = 3 THEN 'failed' ELSE 'ok' END AS status
+        SELECT site, url, rn, CAST(0 AS BIGINT) AS depth, CASE WHEN blocked THEN 'blocked' WHEN url LIKE '%.html' THEN 'failed' ELSE 'ok' END AS status
         FROM canon WHERE rn = 1
         UNION ALL
-        SELECT c.site, c.url, c.rn, w.depth + 1, CASE WHEN c.rn % 5 = 3 THEN 'failed' ELSE 'ok' END
+        SELECT c.site, c.url, c.rn, w.depth + 1, CASE WHEN c.url LIKE '%.html' THEN 'failed' ELSE 'ok' END
         FROM walk w JOIN canon c ON c.site = w.site AND c.rn // 2 = w.rn WHERE w.status = 'ok' AND NOT c.blocked AND w.depth < {max_depth}
     )
     SELECT site, url, depth, row_number() OVER (PARTITION BY site ORDER BY depth, rn) AS visit_ord, status FROM walk
@@ -128,8 +128,8 @@ WITH v AS (SELECT site, count(*) FILTER (status = 'ok') AS visited_pages, 2 * co
            FROM ({plan(12, 3)}) GROUP BY site),
      f AS (SELECT site, count(DISTINCT src) FILTER (kind = 'script') AS unique_scripts, count(DISTINCT src) FILTER (kind = 'style') AS unique_styles
            FROM ({web.ASSETS}) GROUP BY site),
-     d AS (SELECT site, count(*) AS discovered_urls, count(*) FILTER (page_ord % 9 <> 0) AS content_mirrored,
-                  count(*) FILTER (page_ord % 9 = 0) AS content_errors FROM ({C.CANONICAL}) GROUP BY site)
+     d AS (SELECT site, count(*) AS discovered_urls, count(*) FILTER (raw_url NOT LIKE '%#top') AS content_mirrored,
+                  count(*) FILTER (raw_url LIKE '%#top') AS content_errors FROM ({C.CANONICAL}) GROUP BY site)
 SELECT * FROM v JOIN f USING (site) JOIN d USING (site)
 """
 SQL["l3_scan_targets"] = f"""

@@ -118,10 +118,10 @@ SELECT site, href, page_id, link_ord FROM ({C.PLAIN_LINKS})
 QUALIFY row_number() OVER (PARTITION BY site, href ORDER BY page_id, link_ord) = 1
 """
 SQL["src1_read_snapshots"] = f"""
-SELECT {C.host()} AS site, page_id AS page_ord, url, regexp_extract(html, '<title>([^<]*)', 1) AS title FROM pages WHERE page_id % 7 <> 0
+SELECT {C.host()} AS site, page_id AS page_ord, url, regexp_extract(html, '<title>([^<]*)', 1) AS title FROM pages WHERE url NOT LIKE '%/'
 """
 SQL["src2_crawl_urls"] = f"""
-WITH listed AS (SELECT {C.host()} AS site, url, min(page_id) AS ord FROM pages WHERE page_id % 3 <> 0 GROUP BY 1, 2)
+WITH listed AS (SELECT {C.host()} AS site, url, min(page_id) AS ord FROM pages WHERE url NOT LIKE '%?%' GROUP BY 1, 2)
 SELECT site, url, ord FROM listed
 UNION ALL SELECT site, origin, 0 FROM ({C.SITES}) WHERE site NOT IN (SELECT site FROM listed)
 """
@@ -251,12 +251,12 @@ WITH src AS ({C.CANONICAL}), folders AS ({folders('src')}), placed AS ({content_
 SELECT p.site, p.url, p.content_path,
   '---' || chr(10) || 'url: "' || p.url || '"' || chr(10) || 'title: ' || to_json(title)::VARCHAR || chr(10) || 'depth: 0' || chr(10) || 'status: 200' || chr(10)
   || 'canonical: "' || CASE WHEN page_id % 4 <> 0 THEN o || '/c/' || page_id ELSE p.url END || '"' || chr(10) || 'lang: "' || lang || '"' || chr(10)
-  || 'og: {{' || CASE WHEN page_id % 5 <> 0 THEN '"og:image":"/img/' || page_id || '.png",' ELSE '' END || '"og:title":"' || {_OG_TITLE} || '"}}' || chr(10)
-  || 'structured_data: [' || array_to_string(list_transform(types, lambda t: '"' || t || '"'), ',') || ']' || chr(10)
+  || 'og: {{"og:title": "' || {_OG_TITLE} || '"' || CASE WHEN page_id % 5 <> 0 THEN ', "og:image": "/img/' || page_id || '.png"' ELSE '' END || '}}' || chr(10)
+  || 'structured_data: [' || array_to_string(list_transform(types, lambda t: '"' || t || '"'), ', ') || ']' || chr(10)
   || 'screenshot: "' || screenshot || '"' || chr(10) || 'screenshot_mobile: "' || screenshot_mobile || '"' || chr(10)
   || 'crawled_at: "2024-01-01T00:00:00"' || chr(10) || 'word_count: ' || wc || chr(10) || 'reading_time: ' || greatest(1, CAST(ceil(wc / 200.0) AS BIGINT)) || chr(10) || '---' || chr(10) || chr(10)
   || '# ' || title || chr(10) || chr(10) || '## Sec ' || page_id || chr(10) || 'Sec ' || page_id || chr(10) || 'Text of ' || page_id || chr(10) || chr(10)
-  || '## Images' || chr(10) || '| src | alt | width | height |' || chr(10) || '|-----|-----|-------|--------|' || chr(10)
+  || '## 이미지' || chr(10) || '| src | alt | width | height |' || chr(10) || '|-----|-----|-------|--------|' || chr(10)
   || '| ' || o || '/i/' || page_id % 8 || '.png | Alt ' || page_id || ' | 10 | 20 |'
   || CASE WHEN page_id % 2 = 0 THEN chr(10) || '| ' || o || '/j/' || page_id || '.png |  |  |  |' ELSE '' END || chr(10) AS markdown
 FROM placed p JOIN ({SEQUENCE}) s USING (site, url) JOIN facts f ON f.page_id = s.page_ord

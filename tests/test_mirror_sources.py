@@ -32,7 +32,8 @@ def test_markdown_masks_everything_and_keeps_the_key_order(spark):
     keys = [line.split(":")[0] for line in text.split("---")[1].strip().split("\n")]
     assert keys == "url title depth status canonical lang og structured_data screenshot screenshot_mobile crawled_at word_count reading_time".split()
     assert text.startswith('---\nurl: "https://example.com/about"\ntitle: "Contact ***@***.***"\n')
-    assert "word_count: 12\nreading_time: 1\n---\n\n# Contact ***@***.***\n\n## Team\nCall ***-****-**** or email ***@***.***.\n\nplain\n\n## Images" in text
+    assert "word_count: 12\nreading_time: 1\n---\n\n# Contact ***@***.***\n\n## Team\nCall ***-****-**** or email ***@***.***.\n\nplain\n\n## 이미지" in text
+    assert 'og: {"og:title": "Home ***@***.***"}\nstructured_data: ["Organization"]\n' in text
     for secret in ("user@example.com", "hi@example.org", "01012345678", "010-1234-5678", "me@x.org"):
         assert secret not in text
     assert text.endswith("| https://cdn.example.com/a.png | Ping ***@***.*** | 100 | 80 |\n")
