@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from crawlscope import dims
 from crawlscope.functions import urls
 from crawlscope.operators.common import first_seen, top_k
-from crawlscope.session import cut_lineage
+from crawlscope.session import cut_lineage, place_by
 
 # Child elements keep their own name; the array order is the document order.
 _SITEMAP_XML = "url array<struct<loc:string>>, sitemap array<struct<loc:string>>"
@@ -76,7 +76,7 @@ def walk_sitemaps(
     its way down, so order inside a level needs no numbering. Every document counts once, and
     the first ``max_urls`` same-host addresses per site are kept.
     """
-    parsed = cut_lineage(parse_sitemaps(docs).repartition("site", "doc_url"))
+    parsed = place_by(parse_sitemaps(docs), "site", "doc_url")
     frontier = roots.select(
         "site", "doc_url", F.array(F.col("ord")).alias("ord"), F.lit(0).alias("depth")
     )

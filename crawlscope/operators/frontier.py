@@ -11,7 +11,7 @@ from crawlscope import dims
 from crawlscope.functions import urls
 from crawlscope.operators.common import first_seen, top_k
 from crawlscope.operators.robots import mark_blocked
-from crawlscope.session import cut_lineage
+from crawlscope.session import cut_lineage, place_by
 
 MAX_PAGES_LIMIT, MAX_DEPTH_LIMIT = 50, 5
 
@@ -38,7 +38,8 @@ def crawl_plan(
     A page is queued once, at the depth of the first page linking it plus one. Blocked seeds
     and failed pages use up budget and lead nowhere. Sites advance level by level together.
     Only the first ``max_pages`` of a level can fit the budget, so each level is cut to them
-    before it is ordered; what is cut could never be visited later.
+    before it is ordered; what is cut could never be visited later. Robots rules are looked up
+    for the links of opened pages only, not for all stored links.
     """
     if not (1 <= max_pages <= MAX_PAGES_LIMIT and 0 <= max_depth <= MAX_DEPTH_LIMIT):
         raise ValueError("max_pages must be 1..50 and max_depth 0..5")
@@ -46,15 +47,12 @@ def crawl_plan(
     own = edges.filter(urls.netloc(F.col("dst")) == F.col("site")).groupBy("site", "src", "dst").agg(
         F.min("link_ord").alias("link_ord")
     )
-    allowed = mark_blocked(own, rules, url="dst").filter("NOT blocked").drop("blocked")
-    usable = cut_lineage(allowed.repartition("site", "src")) if max_depth else None
+    usable = place_by(own, "site", "src") if max_depth else None
 
     if failed is not None:
         # Looked up on every level, so it is computed and placed once.
-        failed = cut_lineage(
-            failed.select("site", "url").distinct().repartition("site", "url").withColumn("_failed", F.lit("failed"))
-        )
-    queue = mark_blocked(seeds, rules).select(
+        failed = place_by(failed.select("site", "url").distinct(), "site", "url").withColumn("_failed", F.lit("failed"))
+    queue = mark_blocked(seeds, rules, hot=None).select(
         "site", "url", "ord", F.when(F.col("blocked"), F.lit("blocked")).alias("status")
     )
     levels: list[DataFrame] = []
@@ -85,7 +83,10 @@ def crawl_plan(
         queue = first_seen(targets, ["site", "url"], ["ord"])
         for done in levels:
             queue = queue.join(done.select("site", "url"), ["site", "url"], "left_anti")
-        queue = queue.withColumn("status", F.lit(None).cast("string"))
+        # Only links of the opened pages are checked, so a site has few of them.
+        queue = mark_blocked(queue, rules, hot=None).filter("NOT blocked").select(
+            "site", "url", "ord", F.lit(None).cast("string").alias("status")
+        )
     return reduce(DataFrame.unionByName, levels)
 
 

@@ -72,13 +72,18 @@ def is_blocked(url: Column, prefixes: Column, strict: bool = False) -> Column:
 
 
 def mark_blocked(
-    rows: DataFrame, rules: DataFrame, url: str = "url", strict: bool = False, hot: int = HOT_GROUP
+    rows: DataFrame, rules: DataFrame, url: str = "url", strict: bool = False, hot: int | None = HOT_GROUP
 ) -> DataFrame:
-    """Add ``blocked`` to rows(site, <url>, ...). Links to another origin are never blocked."""
-    per_site = rows.groupBy("site").agg(F.count("*").alias("_rows"))
-    sized = per_site.join(rules.select("site", "prefixes"), "site", "left")
-    joined = attach_group(rows, sized, ["site"], "_rows", [url], hot=hot)
+    """Add ``blocked`` to rows(site, <url>, ...). Links to another origin are never blocked.
+
+    Sites of more than ``hot`` rows are split. ``hot=None`` is for rows that are few per site by
+    construction: a plain join that looks at the rows once.
+    """
+    if hot is None:
+        joined = rows.join(rules.select("site", "prefixes"), "site", "left")
+    else:
+        per_site = rows.groupBy("site").agg(F.count("*").alias("_rows"))
+        sized = per_site.join(rules.select("site", "prefixes"), "site", "left")
+        joined = attach_group(rows, sized, ["site"], "_rows", [url], hot=hot).drop("_rows")
     own = urls.netloc(F.col(url)) == F.col("site")
-    return joined.withColumn("blocked", own & is_blocked(F.col(url), F.col("prefixes"), strict)).drop(
-        "prefixes", "_rows"
-    )
+    return joined.withColumn("blocked", own & is_blocked(F.col(url), F.col("prefixes"), strict)).drop("prefixes")

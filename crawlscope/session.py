@@ -50,6 +50,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def place_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Reliable checkpoint that stays partitioned and sorted by ``keys``.
+
+    A table that is joined on the same keys in every round of a loop then moves only once. AQE may
+    merge partitions as it likes, which hides the layout from later joins, so it rests meanwhile.
+    """
+    spark, switch = df.sparkSession, "spark.sql.adaptive.enabled"
+    before = spark.conf.get(switch)
+    spark.conf.set(switch, "false")
+    try:
+        return cut_lineage(df.repartition(*keys).sortWithinPartitions(*keys))
+    finally:
+        spark.conf.set(switch, before)
+
+
 def local_session(cpus: int | None = None, app: str = "crawlscope-local") -> SparkSession:
     """Session for tests and the benchmark."""
     cpus = cpus or os.cpu_count() or 4
