@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +18,10 @@ from crawlscope.operators import (  # noqa: E402
     api, canonical, content, discovery, frontier, links, mirror, paths, report, robots, status, style, tech, tree,
 )
 from crawlscope.operators.common import first_seen, top_k  # noqa: E402
-from crawlscope.session import cut_lineage  # noqa: E402
 from crawlscope.plans import audit  # noqa: E402
+from crawlscope.session import cut_lineage, shared_dir  # noqa: E402
 from crawlscope.sources import adapters as A  # noqa: E402
-from crawlscope.sources import readers  # noqa: E402
+from crawlscope.sources import readers, writers  # noqa: E402
 from crawlscope.streaming import incremental  # noqa: E402
 from oracles import ORACLES  # noqa: E402
 
@@ -529,6 +530,15 @@ def a15_payload_schema(spark, d):
     return api.payload_schema(A.fetch_log(spark, d).select("site", "url", "body"))
 
 
+@query
+def snk1_write_derived(spark, d):
+    """Main navigation written as a derived table and read back."""
+    rows = a3_main_navigation(spark, d)
+    out = f"{shared_dir(spark)}/derived-{uuid.uuid4().hex}"
+    writers.write_derived(rows, out)
+    return spark.read.parquet(out).select(*rows.columns)
+
+
 # --- mirror and export -----------------------------------------------------------------------
 @query
 def snk2_p12_content_mirror(spark, d):

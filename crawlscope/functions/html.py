@@ -46,6 +46,10 @@ _OTHER_ENTITY = r"&(?!(?:lt|gt|quot|#39|apos|nbsp|copy|middot|amp);)(?:#\d+|#[xX
 _NAMED = json.dumps({name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"})
 
 
+# Numbers 128 to 159 mean the characters of the old Windows code page.
+_LEGACY = "".join(bytes([n]).decode("cp1252", "replace") for n in range(0x80, 0xA0))
+
+
 def visible(html: Column) -> Column:
     """HTML without scripts, styles and comments."""
     return F.regexp_replace(html, _HIDDEN, "")
@@ -58,14 +62,22 @@ def _decode_any(raw: Column) -> Column:
     )
     named = F.from_json(F.lit(_NAMED), "map<string,string>")
 
-    def char(hex_code: Column) -> Column:
-        return F.decode(F.unhex(F.lpad(hex_code, 8, "0")), "UTF-32")
+    def char(number: Column) -> Column:
+        def of(n: Column) -> Column:
+            valid = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+            return (
+                F.when(n.between(0x80, 0x9F), F.substring(F.lit(_LEGACY), (n - 0x7F).cast("int"), F.lit(1)))
+                .when(valid, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+                .otherwise(F.lit("\ufffd"))
+            )
+
+        return bind(number, of)
 
     def piece(p: Column) -> Column:
         code = F.regexp_extract(p, r"^&#[xX]?([0-9a-fA-F]+);$", 1)
         return (
-            F.when(p.rlike(r"^&#\d"), char(F.hex(code.try_cast("bigint"))))
-            .when(p.rlike(r"^&#[xX]"), char(code))
+            F.when(p.rlike(r"^&#\d"), char(code.try_cast("bigint")))
+            .when(p.rlike(r"^&#[xX]"), char(F.conv(code, 16, 10).try_cast("bigint")))
             .when(p.rlike(r"^&[A-Za-z]"), F.coalesce(F.try_element_at(named, F.btrim(p, F.lit("&;"))), p))
             .otherwise(p)
         )

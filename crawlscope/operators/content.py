@@ -53,6 +53,7 @@ def _add_content(pages: DataFrame, keep: list[str]) -> DataFrame:
 
     Pages with a plain single root stay in the JVM; the others take the parser pass.
     """
+    pages = pages.withColumn("html", F.coalesce("html", F.lit("")))
     # Tested on the raw text: a mere mention in a script only costs a needless parse.
     hard = F.col("html").rlike(_NEEDS_PARSER)
     parsed = parse_content(pages.filter(hard), keep)

@@ -83,8 +83,9 @@ def walk_sitemaps(
     levels: list[DataFrame] = []
     for depth in range(max_depth + 1):
         fresh = first_seen(frontier, ["site", "doc_url"], ["ord"])
-        for done in levels:
-            fresh = fresh.join(done.select("site", "doc_url"), ["site", "doc_url"], "left_anti")
+        if levels:
+            known = reduce(DataFrame.unionByName, levels).select("site", "doc_url")
+            fresh = fresh.join(known, ["site", "doc_url"], "left_anti")
         # Documents not in the store were not fetched; they still count as seen.
         level = cut_lineage(fresh.join(parsed, ["site", "doc_url"], "left"))
         levels.append(level)

@@ -81,8 +81,8 @@ def crawl_plan(
             "site", F.col("dst").alias("url"), F.array("visit_ord", "link_ord").alias("ord")
         )
         queue = first_seen(targets, ["site", "url"], ["ord"])
-        for done in levels:
-            queue = queue.join(done.select("site", "url"), ["site", "url"], "left_anti")
+        known = reduce(DataFrame.unionByName, levels).select("site", "url")
+        queue = queue.join(known, ["site", "url"], "left_anti")
         # Only links of the opened pages are checked, so a site has few of them.
         queue = mark_blocked(queue, rules, hot=None).filter("NOT blocked").select(
             "site", "url", "ord", F.lit(None).cast("string").alias("status")

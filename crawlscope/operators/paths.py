@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from crawlscope import dims
 from crawlscope.functions import urls
 from crawlscope.operators.common import HOT_GROUP, attach_group, numbered
+from crawlscope.session import cut_lineage
 
 
-def _folders(pages: DataFrame) -> DataFrame:
+def _folders(rows: DataFrame) -> DataFrame:
     """Distinct (site, inner) of all proper path prefixes, each the folder of some page."""
-    parts = F.split(urls.inner_path(F.col("url")), "/")
+    parts = F.split("inner", "/")
     prefixes = F.transform(
         F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")
     )
-    deep = pages.filter(urls.inner_path(F.col("url")).contains("/"))
+    deep = rows.filter(F.col("inner").contains("/"))
     return deep.select("site", F.explode(prefixes).alias("inner")).distinct()
 
 
@@ -28,18 +29,20 @@ def content_paths(pages: DataFrame, hot: int = HOT_GROUP) -> DataFrame:
     """
     root = dims.CONTENT_ROOT
     inner = urls.inner_path(F.col("url"))
-    rows = pages.withColumn("inner", inner).withColumn("_has_query", urls.query(F.col("url")) != "")
+    # Read by four branches below, so the page list is stored once; so are the placed rows.
+    rows = cut_lineage(pages.withColumn("inner", inner).withColumn("_has_query", urls.query(F.col("url")) != ""))
     # One row per path: many query variants may share a path, so the rows are joined by size.
-    folders = _folders(pages).withColumn("_is_folder", F.lit(True))
+    folders = _folders(rows).withColumn("_is_folder", F.lit(True))
     per_path = rows.groupBy("site", "inner").agg(F.count("*").alias("_same")).join(folders, ["site", "inner"], "left")
     marked = attach_group(rows, per_path, ["site", "inner"], "_same", ["url"], hot=hot)
     folder_file = F.regexp_replace(F.concat(F.lit(root + "/"), F.col("inner"), F.lit("/_index.md")), "/+", "/")
-    placed = marked.withColumn(
+    with_file = marked.withColumn(
         "content_path",
         F.when(F.col("inner") == "", F.lit(f"{root}/_index.md"))
         .when(F.col("_is_folder") & ~F.col("_has_query"), folder_file)
         .otherwise(urls.leaf_content_path(F.col("url"))),
-    ).drop("inner", "_has_query", "_is_folder", "_same")
+    )
+    placed = cut_lineage(with_file.drop("inner", "_has_query", "_is_folder", "_same"))
     users = placed.groupBy("site", "content_path").agg(F.count("*").alias("_users"))
     return (
         attach_group(placed, users, ["site", "content_path"], "_users", ["url"], hot=hot)

@@ -22,8 +22,9 @@ def site_parents(pages: DataFrame, roots: DataFrame, hot: int = HOT_GROUP) -> Da
     The parent is the page at the immediate parent path: the first one without a query, else the
     first; without any it is the root. The root itself has no parent.
     """
-    rows = pages.withColumn("path", urls.site_path(F.col("url"))).withColumn(
-        "parent_path", _parent_path(F.col("path"))
+    # Five branches read the page list, so it is stored once.
+    rows = cut_lineage(
+        pages.withColumn("path", urls.site_path(F.col("url"))).withColumn("parent_path", _parent_path(F.col("path")))
     )
     owners = rows.groupBy("site", "path").agg(
         F.min_by("url", F.struct(urls.query(F.col("url")) != "", F.col("page_ord"))).alias("owner_url")

@@ -281,6 +281,7 @@ NAVIGATION = f"""
     FROM ({C.PLAIN_LINKS}) WHERE text <> '' AND href <> '' GROUP BY site, text, href) WHERE rank <= 12
 """
 SQL["a3_main_navigation"] = NAVIGATION
+SQL["snk1_write_derived"] = NAVIGATION
 SQL["g0_link_graph"] = f"""
 SELECT site, {C.norm('page_url')} AS src, {C.norm('href')} AS dst, parent, page_id, link_ord FROM ({C.PLAIN_LINKS})
 """

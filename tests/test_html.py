@@ -169,7 +169,14 @@ def test_seo_and_markup(pages):
 def test_entities_of_any_kind(spark):
     import html as stdlib_html
 
-    texts = ["a &amp;lt; b &lt;", "caf&eacute; &#8217;x&#x1F600; &hellip; &unknown; & &copy;", "plain & text", "&nbsp;&middot;", "&#39;&apos;&Auml;"]
+    texts = ["a &amp;lt; b &lt;", "caf&eacute; &#8217;x&#x1F600; &hellip; &unknown; & &copy;", "plain & text", "&nbsp;&middot;", "&#39;&apos;&Auml;", "&#146;&#x80;", "&#9999999;&#xD800;&#0;&#xFFFFFF;"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(H.decode_entities(F.col("t"))).collect()]
     assert got == [stdlib_html.unescape(t) for t in texts]
+
+
+def test_pages_without_html_stay(spark):
+    df = spark.createDataFrame([(1, "http://e.example/", None), (2, "http://e.example/2", "")], "page_id bigint, url string, html string")
+    got = content.extract_content(df).orderBy("page_id").collect()
+    assert [(r.page_id, r.body_text, r.word_count) for r in got] == [(1, "", 0), (2, "", 0)]
+    assert content.page_records(df).count() == 2 and links.extract_links(df).count() == 0
