@@ -13,6 +13,15 @@ from crawlscope.session import cut_lineage
 HOT_GROUP = 1_000_000
 
 
+def place(major: Column, minor: Column, width: int) -> Column:
+    """(major, minor) as one sortable number, for ``minor`` below ``width``.
+
+    The minimum of a number stays in hash aggregation; that of a struct needs a sort.
+    """
+    whole = "decimal(38,0)"
+    return (major.cast("decimal(20,0)") * F.lit(width).cast("decimal(17,0)")).cast(whole) + minor.cast("decimal(20,0)")
+
+
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows per group. Spark cuts each task's share to ``k`` before the shuffle."""
     window = Window.partitionBy(*group).orderBy(*order)

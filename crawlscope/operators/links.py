@@ -11,7 +11,7 @@ from crawlscope import dims
 from crawlscope.functions import html as H
 from crawlscope.functions import urls
 from crawlscope.functions.arrays import distinct_by
-from crawlscope.operators.common import top_k
+from crawlscope.operators.common import place, top_k
 from crawlscope.operators.dom import parse_links
 
 # Any element can take the navigation role, which only the parser pass can follow.
@@ -91,12 +91,13 @@ def main_navigation(nav: DataFrame, k: int = dims.TOP_NAV) -> DataFrame:
     usable = nav.withColumn("text", F.trim("text")).filter("text <> '' AND href <> ''")
     counts = usable.groupBy("site", "text", "href").agg(
         F.count("*").alias("pages"),
-        F.min(F.struct("page_id", "link_ord")).alias("first"),
+        F.min("page_id").alias("first_page"),
+        F.min(place(F.col("page_id"), F.col("link_ord"), 2**31)).alias("first"),
     )
     order = [F.desc("pages"), F.col("first"), F.col("href")]
     return top_k(counts, ["site"], order, k).select(
         "site", F.col("rank").cast("bigint").alias("rank"), "text", "href", "pages",
-        F.col("first.page_id").alias("first_page"),
+        "first_page",
     )
 
 

@@ -9,7 +9,7 @@ from crawlscope import dims
 from crawlscope.functions import html as H
 from crawlscope.functions import text as X
 from crawlscope.functions import urls
-from crawlscope.operators.common import top_k
+from crawlscope.operators.common import place, top_k
 
 _STYLE_BLOCK = r"(?is)<style\b[^>]*>(.*?)</style\s*>"
 _COLOR = (
@@ -94,7 +94,7 @@ def page_colors(obs: DataFrame, k: int = dims.PAGE_COLORS) -> DataFrame:
 def palette(obs: DataFrame, k: int = dims.TOP_COLORS) -> DataFrame:
     """Top colours per site over the pages' top colours: site, rank, role, value, hex, cnt."""
     sums = page_colors(obs).groupBy("site", "value").agg(
-        F.sum("cnt").alias("cnt"), F.min(F.struct("page_id", "page_rank")).alias("first")
+        F.sum("cnt").alias("cnt"), F.min(place(F.col("page_id"), F.col("page_rank"), 2**31)).alias("first")
     )
     ranked = top_k(sums, ["site"], [F.desc("cnt"), F.col("first")], k)
     roles = F.array(*[F.lit(r) for r in dims.PALETTE_ROLES])

@@ -199,7 +199,10 @@ def stage_log(spark: SparkSession, folder: str) -> DataFrame:
 
 def style_obs(spark: SparkSession, folder: str) -> DataFrame:
     obs = select(table(spark, folder, "lineitem"), STYLE_OBS)
-    return obs.withColumn("ord", F.struct("o1", "o2", "o3", "o4")).drop("o1", "o2", "o3", "o4")
+    # One number in the order of the four keys: order, line, part and supplier (below 10^11 each).
+    wide = F.lit(10**11).cast("decimal(12,0)")
+    line = F.col("o1").cast("decimal(38,0)") * 8 + F.col("o2")
+    return obs.withColumn("ord", (line * wide + F.col("o3")) * wide + F.col("o4")).drop("o1", "o2", "o3", "o4")
 
 
 def rich_pages(spark: SparkSession, folder: str) -> DataFrame:
