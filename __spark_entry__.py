@@ -17,7 +17,7 @@ from crawlscope.functions import urls  # noqa: E402
 from crawlscope.operators import (  # noqa: E402
     api, canonical, content, discovery, frontier, links, mirror, paths, report, robots, status, style, tech, tree,
 )
-from crawlscope.operators.common import first_seen, top_k  # noqa: E402
+from crawlscope.operators.common import first_seen  # noqa: E402
 from crawlscope.plans import audit  # noqa: E402
 from crawlscope.session import cut_lineage, shared_dir  # noqa: E402
 from crawlscope.sources import adapters as A  # noqa: E402
@@ -322,6 +322,12 @@ def f2_j1_robots_filter(spark, d):
     return marked.select("site", "url", "blocked")
 
 
+@query
+def j1_robots_blocked(spark, d):
+    pages = canonical.site_pages(_pages(spark, d)).select("site", "url")
+    return frontier.robots_split(pages, robots.robots_rules(A.robots(spark, d)))[1]
+
+
 @query
 def u4_sitemap_roots(spark, d):
     return discovery.sitemap_roots(A.sites(spark, d), robots.robots_rules(A.robots(spark, d)))
@@ -662,7 +668,7 @@ def l2_r2_report_sections(spark, d):
 
 @query
 def r4_request_list(spark, d):
-    return report.request_list(_report(spark, d))
+    return audit.final_report(*_summaries(spark, d), a3_main_navigation(spark, d))["requests"]
 
 
 @query

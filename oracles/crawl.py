@@ -65,6 +65,7 @@ def _blocked(u: str) -> str:
 
 
 SQL["f2_j1_robots_filter"] = f"SELECT site, url, {_blocked('url')} AS blocked FROM ({C.CANONICAL})"
+SQL["j1_robots_blocked"] = f"SELECT site, url FROM ({C.CANONICAL}) WHERE {_blocked('url')}"
 SQL["u4_sitemap_roots"] = f"SELECT site, origin || '/map-index.xml' AS doc_url, CAST(0 AS BIGINT) AS ord FROM ({C.SITES})"
 WALK = f"""
     SELECT site, url, CAST(2 AS BIGINT) AS depth, '0.' || b || '.' || l || '.' || p AS place FROM (

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from crawlscope.sources import adapters as A
 from oracles import common as C
 
 SQL: dict[str, str] = {}
