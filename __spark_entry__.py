@@ -25,6 +25,15 @@ from crawlscope.sources import readers, writers  # noqa: E402
 from crawlscope.streaming import incremental  # noqa: E402
 from oracles import ORACLES  # noqa: E402
 
+try:
+    from crawlscope.llm.queries import ORACLES as LLM_ORACLES  # noqa: E402
+    from crawlscope.llm.queries import QUERIES as LLM_QUERIES  # noqa: E402
+except ModuleNotFoundError as error:
+    # The training-data operators are an optional part; anything else that is missing is an error.
+    if not (error.name or "").startswith(("crawlscope.llm", "corpus_pipeline")):
+        raise
+    LLM_QUERIES, LLM_ORACLES = {}, {}
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -713,8 +722,8 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | LLM_QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | LLM_ORACLES

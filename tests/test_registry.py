@@ -9,7 +9,7 @@ from tools.run_queries import TABLES, table
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", [n for n in entry.queries() if n in entry.oracle_sql()])
 def test_query_equals_sql(spark, name):
     frame = entry.queries()[name](spark, FOLDER)
     got = table(frame.columns, [tuple(r) for r in frame.collect()])
