@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlscope.llm import jaccard
+from crawlscope.llm import jaccard, mixing, tokens
 from crawlscope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,22 @@ def query(fn):
     return fn
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op1_token_output(spark, d):
+    return tokens.token_output(table(spark, d, "documents"), tokenizer_path())
+
+
+@query
+def op4_source_mix(spark, d):
+    return mixing.mix_report(table(spark, d, "documents"))
+
+
 @query
 def op7_ngram_jaccard_join(spark, d):
     return jaccard.jaccard_join(table(spark, d, "documents"), n=4, num=85, den=100)
