@@ -7,9 +7,12 @@ graph "d(x, y) <= eps" without ever listing the pairs of a group:
 2. *Pivot parts and windows.* Two given documents of a corpus nearly always have distance 1, so pivots
    that are documents cut nothing at the top. The first level takes parts of the documents themselves
    as pivots: shingle space is cut into m cells and x belongs to the regions of its own cell contents.
-   Where d(x, y) <= eps, at most delta shingles differ, so more than m - delta - 1 cells agree whole; m
-   is chosen so that one of them is not empty. Sizes of linked sets differ by a factor of 1 - eps at
-   most, so size classes are windows: each document is copied to its own and to the next lower one.
+   Where d(x, y) <= eps, at most delta shingles differ, so at least m - delta cells agree whole; a set
+   that fills more than delta cells surely shares a filled one. Sets that fill fewer take finer cells
+   (see ``signatures``). Shingles of passages that many documents share are left out of the cells where
+   the rest suffices: leaving the same shingles out of both sets adds no difference. Sizes of linked sets
+   differ by a factor of 1 - eps at most, so size classes are windows: each document is copied to its own
+   and to the next lower one.
    Documents that share a region are joined to its least member: the islands of the resulting graph
    hold every link.
 3. *Voronoi regions inside an island.* Distances vary there. Pivots are documents; a document that
@@ -26,6 +29,7 @@ Shingles and sets are compared by 64-bit hashes; sets are told apart by 128 bits
 
 from __future__ import annotations
 
+import heapq
 import math
 from functools import lru_cache
 
@@ -37,6 +41,7 @@ from pyspark.sql import functions as F
 from crawlscope.llm import kernels as K
 from crawlscope.llm.common import components, parts, stored
 
+SLOTS = 1 << 22  # of the table of common shingles
 NONE = 0  # node of documents without shingles
 
 
@@ -66,45 +71,61 @@ def size_classes(num: int, den: int, top: int = 1 << 40) -> np.ndarray:
 @lru_cache(maxsize=4096)
 def cells(key: int, num: int, den: int) -> int:
     """Number of cells for links with a member of size class ``key``; 0 where only equal sets link."""
-    edges = size_classes(num, den)
-    small, large = int(edges[key]), int(edges[key + 1]) - 1
-    delta = (den - num) * (large + large * den // num) // (den + num)
+    small, delta = int(size_classes(num, den)[key]), differences(key, num, den)
     if delta == 0:
         return 0
     m = delta + 1
     # The chance that a set leaves all but delta cells empty is below C(m, delta) * (delta / m) ** size.
     while (
         math.lgamma(m + 1) - math.lgamma(delta + 1) - math.lgamma(m - delta + 1) + small * math.log(delta / m)
-    ) > math.log(1e-9):
+    ) > math.log(0.05):
         m += 1 + m // 64
     return m
 
 
-def signatures(members: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Regions of one sorted set: a hash of the content of each filled cell, for both size windows."""
-    edges = size_classes(num, den)
-    own = int(np.searchsorted(edges, len(members), "right")) - 1
-    high, out = members >> K.U64(32), []
-    running = np.zeros(len(members) + 1, K.U64)
-    with np.errstate(over="ignore"):
-        np.cumsum(K.mix(members ^ K.ODD[7]), out=running[1:])
-        for key in (own, own - 1):
-            m = cells(key, num, den) if key >= 0 else 0
-            if not m:
-                continue
-            cell = (high * K.U64(m)) >> K.U64(32)  # sorted, as the set is
-            cut = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]])
-            salt = cell[cut[:-1]] * K.ODD[3] + K.U64(key) * K.ODD[4]
-            out.append(K.mix(running[cut[1:]] - running[cut[:-1]] + K.mix(salt)))
-            delta_cells = m - (len(cut) - 1)
-            if len(cut) - 1 <= _delta(key, num, den) and delta_cells:  # too few filled cells: one region for all such sets
-                out.append(K.mix(np.array([key], K.U64) * K.ODD[5]))
+@lru_cache(maxsize=4096)
+def differences(key: int, num: int, den: int) -> int:
+    """Most shingles that differ between linked sets of which one is in size class ``key``."""
+    large = int(size_classes(num, den)[key + 1]) - 1
+    return (den - num) * (large + large * den // num) // (den + num)
+
+
+def signatures(members: np.ndarray, cold: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Regions of one sorted set: a hash of the content of each filled cell, for both size windows.
+
+    ``cold`` marks the shingles that few documents have. Steps: cells of cold shingles, finer cells of
+    them, cells of all shingles, finer cells of them, one region for what is left. A set takes the next
+    step if it fills at most delta cells in this one. Two linked sets go through the same steps until
+    one of them fills more than delta cells, and there they share a filled cell.
+    """
+    own = int(np.searchsorted(size_classes(num, den), len(members), "right")) - 1
+    sets = [(part, _running(part)) for part in (members[cold], members)]
+    out = []
+    for key in (own, own - 1):
+        m = cells(key, num, den) if key >= 0 else 0
+        if not m:
+            continue
+        for step, ((part, running), fine) in enumerate(zip((sets[0], sets[0], sets[1], sets[1]), (1, 4, 1, 4), strict=True)):
+            filled = 0
+            if len(part):
+                cell = ((part >> K.U64(32)) * K.U64(fine * m)) >> K.U64(32)  # sorted, as the set is
+                cut = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]])
+                filled = len(cut) - 1
+                with np.errstate(over="ignore"):
+                    salt = K.mix(cell[cut[:-1]] * K.ODD[3] + K.U64(key) * K.ODD[4] + K.U64(step) * K.ODD[5])
+                    out.append(K.mix(running[cut[1:]] - running[cut[:-1]] + salt))
+            if filled > differences(key, num, den):
+                break
+        else:
+            out.append(K.mix(np.array([key], K.U64) ^ K.ODD[6]))
     return np.concatenate(out) if out else members[:0]
 
 
-def _delta(key: int, num: int, den: int) -> int:
-    large = int(size_classes(num, den)[key + 1]) - 1
-    return (den - num) * (large + large * den // num) // (den + num)
+def _running(part: np.ndarray) -> np.ndarray:
+    running = np.zeros(len(part) + 1, K.U64)
+    with np.errstate(over="ignore"):
+        np.cumsum(K.mix(part ^ K.ODD[7]), out=running[1:])
+    return running
 
 
 def least_of_equal(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,27 +149,41 @@ def links_within(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int,
     Each pivot is compared with every remaining set and then removed. Pivots come from the smallest
     classes, so that the members of the largest class are never compared with each other.
     """
-    count = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     universe, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    marked = np.zeros(len(universe), bool)
-    label, left, found = np.arange(count), np.ones(count, bool), []
-    while True:
-        rest = np.flatnonzero(left)
-        names, sizes_left = np.unique(label[rest], return_counts=True)
-        if len(names) < 2:
-            return found
-        pivot = rest[label[rest] == names[np.argmin(sizes_left)]][0]
-        own = flat[bounds[pivot] : bounds[pivot + 1]]
-        marked[own] = True
-        shared = K.sums(marked[flat].astype(np.int64), bounds)
-        marked[own] = False
-        linked = np.flatnonzero(left & (den * shared >= num * (sizes + sizes[pivot] - shared)))
-        for other in linked[linked != pivot]:
-            found.append((int(pivot), int(other)))
-        label[np.isin(label, label[linked])] = label[pivot]
+    holders = np.repeat(np.arange(len(sets)), sizes)[np.argsort(flat, kind="stable")]  # of each element in turn
+    held = np.bincount(flat, minlength=len(universe))
+    begins = np.cumsum(held) - held
+    label = np.arange(len(sets))
+    open_: dict[int, list[int]] = {i: [i] for i in label.tolist()}  # members by class, without past pivots
+    whole = {i: [i] for i in label.tolist()}
+    queue, found = [(1, i) for i in label.tolist()], []
+    left = np.ones(len(sets), bool)
+    while len(open_) > 1:
+        size, name = heapq.heappop(queue)
+        if name not in open_ or len(open_[name]) != size:
+            continue
+        pivot = open_[name].pop()
         left[pivot] = False
+        own = flat[bounds[pivot] : bounds[pivot + 1]]
+        met = holders[K.ragged(begins[own], held[own])]
+        shared = np.bincount(met, minlength=len(sets))
+        near = left & (label != name) & (den * shared >= num * (sizes + sizes[pivot] - shared))
+        for other in np.flatnonzero(near).tolist():
+            found.append((pivot, other))
+            old = int(label[other])
+            if old != name:
+                gone, stays = sorted((old, name), key=lambda c: len(whole[c]))
+                label[whole[gone]] = stays
+                whole[stays] += whole.pop(gone)
+                open_[stays] += open_.pop(gone)
+                name = stays
+        if open_[name]:
+            heapq.heappush(queue, (len(open_[name]), name))
+        else:
+            del open_[name]
+    return found
 
 
 def regions_of(distance: np.ndarray, eps: float, far: float = 0.5) -> np.ndarray:
@@ -180,7 +215,8 @@ def settled(distance: np.ndarray, inside: np.ndarray, eps: float) -> tuple[np.nd
 
 # --- Spark ----------------------------------------------------------------------------------------
 def classes(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, node, n_shingles) for each row; equal sets share their node.
+    """(doc_id, node, n_shingles) for each row; equal sets share their node. Rows without ``node`` carry
+    ``common``, slots of shingles that a task saw often.
 
     Nodes are 64-bit digests. A second digest tells different sets with an equal node apart; this is
     looked for and raised as an error (chance 1e-3 for 100 million different sets) instead of being
@@ -188,30 +224,55 @@ def classes(docs: DataFrame, n: int) -> DataFrame:
     """
 
     def run(batches):
+        seen = np.zeros(SLOTS, np.int32)
         for rows, data, bounds in K.pieces(batches):
             values, cut = shingle_sets(data, bounds, n)
             one, two = digests(values, cut)
+            _, first = np.unique(one, return_index=True)
+            sizes = np.diff(cut)[first]
+            np.add.at(seen, _slot(values[K.ragged(cut[first], sizes)]), 1)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(one), pa.array(two), pa.array(np.diff(cut))], ["doc_id", "node", "check", "n_shingles"]
+                [rows.column(0), pa.array(one), pa.array(two), pa.array(np.diff(cut)), pa.nulls(rows.num_rows, pa.list_(pa.int64()))], names
             )
-
-    schema = "doc_id long, node long, check long, n_shingles long"
+        load = seen.mean()
+        often = np.flatnonzero(seen >= 8 + load + 8 * math.sqrt(load))
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([often.tolist()], pa.list_(pa.int64()))], names
+        )
+
+    names = ["doc_id", "node", "check", "n_shingles", "common"]
+    schema = "doc_id long, node long, check long, n_shingles long, common array<long>"
     return stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema), "jaccard-classes")
 
 
-def candidate_edges(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def common_slots(rows: DataFrame) -> np.ndarray:
+    """A table of ``SLOTS`` flags for shingles that many documents share. Any table gives right results;
+    this one keeps passages of many documents from joining their islands."""
+    table = np.zeros(SLOTS, bool)
+    for row in rows.filter("node IS NULL").select(F.explode("common").alias("slot")).distinct().toLocalIterator():
+        table[row["slot"]] = True
+    return table
+
+
+def _slot(values: np.ndarray) -> np.ndarray:
+    return (K.mix(values) >> K.U64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def candidate_edges(docs: DataFrame, common: np.ndarray, n: int, num: int, den: int) -> DataFrame:
     """Edges (a, b) between nodes that share a region, as stars around the region's least node.
 
     Equal regions within a piece of rows are folded before the shuffle; the shuffle moves packed lists
     by hash of the region, so that a region that a third of all rows share is one entry per piece.
     """
     spread = 4 * parts(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(common))  # SLOTS bits
 
     def send(batches):
+        table = np.unpackbits(shared.value).astype(bool)
         for _, data, bounds in K.pieces(batches):
             values, cut = shingle_sets(data, bounds, n)
-            nodes = digests(values, cut)[0]
-            own = [signatures(values[a:b], num, den) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            nodes, cold = digests(values, cut)[0], ~table[_slot(values)]
+            own = [signatures(values[a:b], cold[a:b], num, den) for a, b in zip(cut[:-1], cut[1:], strict=True)]
             owner = np.repeat(nodes, [len(s) for s in own])
             keys, least, edges = least_of_equal(np.concatenate(own) if own else values[:0], owner)
             bucket = (keys % K.U64(spread)).astype(np.int64)
@@ -406,11 +467,12 @@ def _cut_large(work: DataFrame, sizes: DataFrame, num: int, den: int, eps: float
 
 
 def jaccard_join(
-    docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, limit: int = 4_000_000, pivots: int = 16
+    docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, limit: int = 2_000_000, pivots: int = 16
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs`` (doc_id, text, ...): the classes of the graph
     that links texts whose Jaccard similarity on word ``n``-grams is at least ``num`` / ``den``."""
-    rows = classes(docs, n)
+    stored_rows = classes(docs, n)
+    rows = stored_rows.filter("node IS NOT NULL")
     kinds = stored(
         rows.filter(F.col("node") != NONE)
         .groupBy("node")
@@ -419,7 +481,7 @@ def jaccard_join(
     )
     if not kinds.filter("low <> high").isEmpty():
         raise RuntimeError("two different sets share a 64-bit digest")
-    near = stored(candidate_edges(docs, n, num, den), "jaccard-near")
+    near = stored(candidate_edges(docs, common_slots(stored_rows), n, num, den), "jaccard-near")
     islands = components(near).withColumnRenamed("root", "island")
     members = stored(islands.join(kinds.select("node", "first_id"), "node"), "jaccard-members")
     sets = stored(member_sets(docs, members, n).dropDuplicates(["island", "node"]), "jaccard-sets")
