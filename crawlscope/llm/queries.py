@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlscope.llm import jaccard, mixing, tokens
+from crawlscope.llm import jaccard, mixing, tokens, toxicity
 from crawlscope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def op4_source_mix(spark, d):
     return mixing.mix_report(table(spark, d, "documents"))
 
 
+@query
+def op6_toxicity(spark, d):
+    return toxicity.judge(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 @query
 def op7_ngram_jaccard_join(spark, d):
     return jaccard.jaccard_join(table(spark, d, "documents"), n=4, num=85, den=100)
