@@ -215,7 +215,7 @@ def settled(distance: np.ndarray, inside: np.ndarray, eps: float) -> tuple[np.nd
 
 # --- Spark ----------------------------------------------------------------------------------------
 def classes(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, node, n_shingles) for each row; equal sets share their node. Rows without ``node`` carry
+    """(doc_id, text_hash, node, n_shingles) for each row; equal sets share their node. Rows without ``node`` carry
     ``common``, slots of shingles that a task saw often.
 
     Nodes are 64-bit digests. A second digest tells different sets with an equal node apart; this is
@@ -232,17 +232,19 @@ def classes(docs: DataFrame, n: int) -> DataFrame:
             sizes = np.diff(cut)[first]
             np.add.at(seen, _slot(values[K.ragged(cut[first], sizes)]), 1)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(one), pa.array(two), pa.array(np.diff(cut)), pa.nulls(rows.num_rows, pa.list_(pa.int64()))], names
+                [rows.column(0), rows.column(2), pa.array(one), pa.array(two), pa.array(np.diff(cut)), pa.nulls(rows.num_rows, pa.list_(pa.int64()))],
+                names,
             )
         load = seen.mean()
         often = np.flatnonzero(seen >= 8 + load + 8 * math.sqrt(load))
         yield pa.RecordBatch.from_arrays(
-            [*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([often.tolist()], pa.list_(pa.int64()))], names
+            [*(pa.nulls(1, pa.int64()) for _ in range(5)), pa.array([often.tolist()], pa.list_(pa.int64()))], names
         )
 
-    names = ["doc_id", "node", "check", "n_shingles", "common"]
-    schema = "doc_id long, node long, check long, n_shingles long, common array<long>"
-    return stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema), "jaccard-classes")
+    names = ["doc_id", "text_hash", "node", "check", "n_shingles", "common"]
+    schema = "doc_id long, text_hash long, node long, check long, n_shingles long, common array<long>"
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("text_hash"))
+    return stored(texts.mapInArrow(run, schema), "jaccard-classes")
 
 
 def common_slots(rows: DataFrame) -> np.ndarray:
@@ -466,11 +468,10 @@ def _cut_large(work: DataFrame, sizes: DataFrame, num: int, den: int, eps: float
     return stored(parted.union(kept), "jaccard-parts"), new
 
 
-def jaccard_join(
-    docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, limit: int = 2_000_000, pivots: int = 16
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row of ``docs`` (doc_id, text, ...): the classes of the graph
-    that links texts whose Jaccard similarity on word ``n``-grams is at least ``num`` / ``den``."""
+def join_nodes(
+    docs: DataFrame, n: int, num: int, den: int, limit: int, pivots: int
+) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash, node, n_shingles), and nodes with their class (node, component_id, root)."""
     stored_rows = classes(docs, n)
     rows = stored_rows.filter("node IS NOT NULL")
     kinds = stored(
@@ -489,9 +490,42 @@ def jaccard_join(
     roots = components(links)
     named = kinds.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_node = named.join(ids, "root").select("node", "component_id")
+    return rows.select("doc_id", "text_hash", "node", "n_shingles"), named.join(ids, "root").select("node", "component_id", "root")
+
+
+def jaccard_join(
+    docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, limit: int = 2_000_000, pivots: int = 16
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id) per row of ``docs`` (doc_id, text, ...): the classes of the graph
+    that links texts whose Jaccard similarity on word ``n``-grams is at least ``num`` / ``den``."""
+    rows, of_node = join_nodes(docs, n, num, den, limit, pivots)
     # A class may hold a third of all rows: its one row is what the join copies, and adaptive execution
     # splits the rows' side.
     return rows.join(of_node, "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("node") == NONE, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
+
+
+def one_of_each_class(
+    docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, limit: int = 2_000_000, pivots: int = 16
+) -> DataFrame:
+    """The documents without all but the one with the least id of each class, with their columns.
+
+    Documents without shingles all stay. Of rows that repeat the kept id, the one with the least hash of
+    its text stays, and one of those that repeat the text too; null ids come last.
+    """
+    rows, of_node = join_nodes(docs, n, num, den, limit, pivots)
+    keys = rows.join(of_node, "node").groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    best = keys.groupBy("root").agg(F.min(place).alias("best"))
+    marked = stored(
+        keys.join(best, "root").select("doc_id", "text_hash", "copies", (place == F.col("best")).alias("stays")).filter("NOT stays OR copies > 1"),
+        "jaccard-marked",
+    ).alias("m")
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("m.doc_id")) & (F.xxhash64("d.text") == F.col("m.text_hash"))
+    kept = docs.alias("d").join(marked.filter("NOT stays").alias("m"), same, "left_anti")
+    repeated = marked.filter("stays").alias("m")
+    if repeated.isEmpty():
+        return kept
+    once = kept.alias("d").join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.alias("d").join(repeated, same, "left_anti").union(once)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlscope.llm import jaccard, mixing, tokens, toxicity
+from crawlscope.llm import decontamination, jaccard, mixing, tokens, toxicity
 from crawlscope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,8 @@ def op6_toxicity(spark, d):
 @query
 def op7_ngram_jaccard_join(spark, d):
     return jaccard.jaccard_join(table(spark, d, "documents"), n=4, num=85, den=100)
+
+
+@query
+def op8_template_decontamination(spark, d):
+    return decontamination.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")).drop("text_hash")
