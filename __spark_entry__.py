@@ -26,6 +26,7 @@ from crawlscope.streaming import incremental  # noqa: E402
 from oracles import ORACLES  # noqa: E402
 
 try:
+    import corpus_pipeline  # noqa: E402
     from crawlscope.llm.queries import ORACLES as LLM_ORACLES  # noqa: E402
     from crawlscope.llm.queries import QUERIES as LLM_QUERIES  # noqa: E402
 except ModuleNotFoundError as error:
@@ -33,6 +34,8 @@ except ModuleNotFoundError as error:
     if not (error.name or "").startswith(("crawlscope.llm", "corpus_pipeline")):
         raise
     LLM_QUERIES, LLM_ORACLES = {}, {}
+else:
+    LLM_QUERIES = LLM_QUERIES | {"pipeline": corpus_pipeline.run}
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 Query = Callable[[SparkSession, str], DataFrame]
