@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlscope.llm import decontamination, jaccard, mixing, tokens, toxicity
+from crawlscope.llm import decontamination, jaccard, language, mixing, quality, secrets, tokens, toxicity
 from crawlscope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,16 @@ def op1_token_output(spark, d):
     return tokens.token_output(table(spark, d, "documents"), tokenizer_path())
 
 
+@query
+def op2_markov_secrets(spark, d):
+    return secrets.report(secrets.scan(table(spark, d, "documents")))
+
+
+@query
+def op3_line_crf_quality(spark, d):
+    return quality.judge(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 @query
 def op4_source_mix(spark, d):
     return mixing.mix_report(table(spark, d, "documents"))
@@ -47,3 +57,8 @@ def op7_ngram_jaccard_join(spark, d):
 @query
 def op8_template_decontamination(spark, d):
     return decontamination.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")).drop("text_hash")
+
+
+@query
+def op10_string_kernel_language(spark, d):
+    return language.identify(table(spark, d, "documents"))
