@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE = 2_000_000
+PIECE = 1_000_000
 U64 = np.uint64
 
 # The finaliser of the public splitmix64 generator.

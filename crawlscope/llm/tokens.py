@@ -11,7 +11,9 @@ null ids come first; rows with equal ids lie next to each other and count as sep
 
 from __future__ import annotations
 
+import re
 import zlib
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -25,28 +27,63 @@ from crawlscope.llm.common import new_folder, parts
 
 END = 0
 _PRINTABLE = K.byte_set((0x21, 0x7E))
+_LETTER = K.byte_set((0x41, 0x5A), (0x61, 0x7A))
+# A blank and visible characters: pieces of which many can be joined and told apart again.
+_WORDED = re.compile(rb" (?:[\x21-\x7e]|\xc3[\x80-\xbf])+")
+_MARK = K.byte_set((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 SCHEMA = "part int, doc_id long, start_in_part long, n_tokens long, ids array<int>"
 
 
 class Encoder:
     """Ids of many texts. Byte-level BPE splits a text before a single blank between two visible
-    characters, so the texts are cut there and each different piece is encoded once; pieces seen
-    before come from a table of at most ``keep`` pieces."""
+    characters and between a letter and a punctuation mark, so the texts are cut there and each different
+    piece is encoded once; pieces seen before come from a table of about ``keep`` pieces."""
 
     def __init__(self, path: str, keep: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, list[int]] = {}
+        self.known: dict[bytes, int] = {}
+        self.flat, self.used = np.empty(1 << 20, np.int32), 0
+        self.begins, self.sizes = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64)
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
+        self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keep = keep
 
-    def _lists(self, pieces: list[bytes]) -> list[list[int]]:
+    def _add(self, pieces: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        have, used = len(self.known), self.used
+        while len(self.flat) < used + len(ids):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while len(self.sizes) < have + len(sizes):
+            self.begins, self.sizes = (np.concatenate([x, np.empty_like(x)]) for x in (self.begins, self.sizes))
+        self.flat[used : used + len(ids)] = ids
+        self.sizes[have : have + len(sizes)] = sizes
+        self.begins[have : have + len(sizes)] = used + np.cumsum(sizes) - sizes
+        self.known.update(zip(pieces, range(have, have + len(pieces)), strict=True))
+        self.used += len(ids)
+
+    def _find(self, pieces: list[bytes]) -> np.ndarray:
+        """Numbers of different pieces in the table, which takes in the new ones."""
         if len(self.known) > self.keep:
             self.known.clear()
+            self.used = 0
         new = [p for p in pieces if p not in self.known]
-        found = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-        self.known.update(zip(new, (e.ids for e in found), strict=True))
-        return [self.known[p] for p in pieces]
+        joined = list(filter(_WORDED.fullmatch, new))
+        single = [] if len(joined) == len(new) else [p for p in new if not _WORDED.fullmatch(p)]
+        for low in range(0, len(joined), 4_000):
+            some = joined[low : low + 4_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(some).decode()], add_special_tokens=False)[0].ids, np.int32)
+            cut = np.flatnonzero(self.opens[ids])
+            if len(cut) == len(some):  # one token that opens with a blank for each piece
+                self._add(some, ids, np.diff(np.append(cut, len(ids))))
+            else:
+                single += some
+        for low in range(0, len(single), 4_000):  # encodings are large while they live
+            some = single[low : low + 4_000]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)]
+            self._add(some, np.array(list(chain.from_iterable(found)), np.int32), np.array([len(f) for f in found], np.int64))
+        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds per text), without the end id."""
@@ -55,30 +92,37 @@ class Encoder:
             return np.zeros(0, np.int32), np.zeros(len(bounds), np.int64)
         ends = np.append(starts[1:], len(data))
         _, first, kind = np.unique(K.hashes(data, starts, ends), return_index=True, return_inverse=True)
-        # Pieces with equal hashes are compared byte by byte; a collision falls back to plain encoding.
+        # Pieces with equal hashes are compared byte by byte; a collision falls back to plain encoding,
+        # and so does the string of an added token, which a cut could part.
         twin = K.ragged(starts[first][kind], ends - starts)
         whole = data.tobytes()
-        if len(twin) != len(data) or not np.array_equal(data[twin], data):
+        if len(twin) != len(data) or not np.array_equal(data[twin], data) or any(m in whole for m in self.marks):
             found = [self.tokenizer.encode(whole[a:b].decode(), add_special_tokens=False).ids for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             return np.array(list(chain.from_iterable(found)), np.int32), np.concatenate([[0], np.cumsum([len(f) for f in found])])
-        found = self._lists([whole[a:b] for a, b in zip(starts[first], ends[first], strict=True)])
-        sizes = np.array([len(f) for f in found], np.int64)
-        flat = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
-        begins = np.cumsum(sizes) - sizes
-        ids = flat[K.ragged(begins[kind], sizes[kind])]
-        per_piece = np.concatenate([[0], np.cumsum(sizes[kind])])
+        number = self._find([whole[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])[kind]
+        sizes = self.sizes[number]
+        ids = self.flat[K.ragged(self.begins[number], sizes)]
+        per_piece = np.concatenate([[0], np.cumsum(sizes)])
         return ids, per_piece[np.searchsorted(starts, bounds)]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One per Python worker, which Spark keeps from task to task."""
+    return Encoder(path)
+
+
 def piece_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Starts of texts, and single blanks between characters that are surely visible: printable ASCII
-    or a character whose first byte is C3 (accented Latin letters)."""
+    """Starts of texts, single blanks between characters that are surely visible (printable ASCII or a
+    character whose first byte is C3, accented Latin letters), and ASCII marks after an ASCII letter."""
     cut = np.zeros(len(data) + 1, bool)
     if len(data) > 2:
         before = _PRINTABLE[data[:-2]]
         before[1:] |= (data[:-3] == 0xC3) & (data[1:-2] >= 0x80)
         after = _PRINTABLE[data[2:]] | (data[2:] == 0xC3)
         cut[1:-2] = (data[1:-1] == 0x20) & before & after
+    if len(data) > 1:
+        cut[1:-1] |= _LETTER[data[:-1]] & _MARK[data[1:]]
     cut[bounds] = True
     cut[len(data)] = False
     return np.flatnonzero(cut)
@@ -92,9 +136,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, files: int | None =
     """
 
     def run(batches):
-        encoder, part, start = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        part, start = TaskContext.get().partitionId(), 0
         for rows, data, bounds in K.pieces(batches):
-            ids, cut = encoder.encode(data, bounds)
+            ids, cut = encoder(tokenizer).encode(data, bounds)
             ids = np.insert(ids, cut[1:], END).astype(np.int32)
             cut = cut + np.arange(len(cut))
             yield pa.RecordBatch.from_arrays(
