@@ -95,11 +95,11 @@ def schema_of(text: str) -> T.StructType:
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, most: int
+    docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, most: tuple[int, int]
 ) -> DataFrame:
-    """(doc_id, text, y) of at most ``most`` documents for each of the labels 0 and 1, outside the held-out fold.
+    """(doc_id, text, y) of at most ``most`` documents with label 0 and with label 1, outside the held-out fold.
 
-    The ids are the first by a hash, so every run takes the same; their list, at most 2 * ``most`` rows
+    The ids are the first by a hash, so every run takes the same; their list, at most sum(most) rows
     whatever the input, is what gets broadcast. A document with several labels takes the largest, an id
     with several texts the least text.
     """
@@ -108,7 +108,7 @@ def labelled_sample(
         .groupBy(F.col("doc_id").cast("long").alias("_id"))
         .agg(F.max(label).cast("int").alias("y"))
     )
-    picks = [ids.filter(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most) for y in (0, 1)]
+    picks = [ids.filter(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most[y]) for y in (0, 1)]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = texts.join(F.broadcast(picks[0].union(picks[1])), F.col("doc_id") == F.col("_id"))
     return found.groupBy("doc_id", "y").agg(F.min("text").alias("text"))

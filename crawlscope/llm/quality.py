@@ -169,7 +169,7 @@ def fit_chains(data: np.ndarray, bounds: np.ndarray, labels: np.ndarray, ridge:
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 1_000, modulus: int = 3, remainder: int = 1) -> Model:
     """Fit to ``labels`` (doc_id, quality) outside the held-out fold, on at most 2 * ``most`` documents."""
-    sample = labelled_sample(docs, labels, "quality", modulus, remainder, most).select("doc_id", "y", "text")
+    sample = labelled_sample(docs, labels, "quality", modulus, remainder, (most, most)).select("doc_id", "y", "text")
     rows = sorted(sample.collect(), key=lambda r: r["doc_id"])
     data, bounds = K.utf8(pa.array([r["text"] for r in rows], pa.string()))
     return fit_chains(data, bounds, np.array([r["y"] for r in rows], np.int64))

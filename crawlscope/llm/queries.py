@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlscope.llm import decontamination, jaccard, language, mixing, quality, secrets, tokens, toxicity
+from crawlscope.llm import decontamination, jaccard, language, mixing, quality, secrets, tokens, toxicity, url_filter
 from crawlscope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,39 @@ def op4_source_mix(spark, d):
     return mixing.mix_report(table(spark, d, "documents"))
 
 
+# Rules of the query: host, path, action.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@query
+def op5_url_cascade(spark, d):
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, URL_RULES)) + " AS rules(host, path, action)")
+    return url_filter.judge_urls(table(spark, d, "pages"), rules)
+
+
+ORACLES["op5_url_cascade"] = f"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM cut),
+urls AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM parts),
+rules(h, p, action) AS (VALUES {", ".join(map(str, URL_RULES))}),
+fits AS (
+  SELECT page_id, host, path, max_by(h || p, length(h || p)) AS rule, max_by(action, length(h || p)) AS action
+  FROM urls JOIN rules ON (host = h OR suffix(host, '.' || h)) AND prefix(path, p) GROUP BY ALL)
+SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.action, 'allow') AS verdict
+FROM urls u LEFT JOIN fits f USING (page_id, host, path)
+"""
+
+
 @query
 def op6_toxicity(spark, d):
     return toxicity.judge(table(spark, d, "documents"), table(spark, d, "labels"))

@@ -4,7 +4,7 @@ Logistic regression on the presence of words and word beginnings. In the labelle
 other terms of their group; the squared change of the score is added to the loss, so a neutral mention
 of a group cannot carry weight that belongs to the words around it.
 
-Fitting reads at most ``most`` labelled documents per label. Scoring reads whole texts, one pass without
+Fitting reads at most ``most`` labelled documents, clean and toxic. Scoring reads whole texts, one pass without
 a shuffle. Defined cases: null and empty texts, and texts without words, get the score of the
 intercept; without any labelled document all scores are 0; with one label only, all scores are the
 smoothed share of toxic labels; rows with equal ids are scored one by one.
@@ -12,8 +12,11 @@ smoothed share of toxic labels; rows with equal ids are scored one by one.
 
 from __future__ import annotations
 
+import math
 import re
+import sys
 from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,30 +67,29 @@ class Model:
 
 
 def fit_words(
-    rows: list[tuple[set[str], int]],
+    rows: Sequence[tuple[Sequence[str], int]],
     swap: dict[str, str],
     penalty: float = 50.0,
     ridge: float = 1.0,
     least: int = 5,
-    significance: float = 4.0,
-    most_words: int = 4_000,
+    significance: float = 5.0,
+    most_words: int = 2_000,
     steps: int = 300,
 ) -> Model:
-    """Fit on (words, label) rows. Words in fewer than ``least`` texts or whose log-odds are within
-    ``significance`` standard errors of 0 get no weight; identity terms are always in."""
+    """Fit on (distinct words, label) rows. Words in fewer than ``least`` texts or whose association with
+    the label is below ``significance`` (root of the likelihood-ratio statistic) get no weight; identity terms are always in."""
     n = np.bincount([y for _, y in rows], minlength=2)
     prior = float(np.log((n[1] + 0.5) / (n[0] + 0.5)))
     if not n.all():
         return Model({}, prior if n.any() else -np.inf)
     seen = Counter(), Counter()
     for words, y in rows:
-        seen[y].update(features(words))
-    strength, named = {}, features(set(swap))
+        seen[y].update(features(set(words)))
+    strength, named = {}, set(swap)
     for w in seen[0].keys() | seen[1].keys():
         a, b = seen[1][w], seen[0][w]
         if a + b >= least:
-            a, b, c, d = a + 0.5, b + 0.5, n[1] - a + 0.5, n[0] - b + 0.5
-            z = abs(np.log(a * d / (b * c))) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+            z = _association(a, b, n[1], n[0])
             if z >= significance or w in named:
                 strength[w] = z
     vocabulary = sorted(strength, key=lambda w: (-strength[w], w))[:most_words]
@@ -95,6 +97,7 @@ def fit_words(
     x = np.zeros((len(rows), len(vocabulary)), np.float32)
     change = []
     for i, (words, _) in enumerate(rows):
+        words = set(words)
         x[i, [at[w] for w in features(words) & at.keys()]] = 1
         if named := words & swap.keys():
             row = np.zeros_like(x[i])
@@ -119,6 +122,13 @@ def fit_words(
     return Model({w: float(weight[i]) for w, i in at.items() if abs(weight[i]) > 1e-6}, float(bias))
 
 
+def _association(a: int, b: int, n_1: int, n_0: int) -> float:
+    """Root of the likelihood-ratio statistic for a feature in a of n_1 and b of n_0 texts."""
+    share = (a + b) / (n_1 + n_0)
+    cells = ((a, n_1 * share), (b, n_0 * share), (n_1 - a, n_1 * (1 - share)), (n_0 - b, n_0 * (1 - share)))
+    return math.sqrt(max(0.0, 2 * sum(o * math.log(o / e) for o, e in cells if o)))
+
+
 def _norm(x: np.ndarray, rounds: int = 20) -> float:
     """About the largest eigenvalue of x'x, from above."""
     if not x.size:
@@ -133,8 +143,8 @@ def _norm(x: np.ndarray, rounds: int = 20) -> float:
     return 1.2 * size
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 3_000, modulus: int = 5, remainder: int = 0) -> Model:
-    """Fit to ``labels`` (doc_id, toxic) outside the held-out fold, on at most 2 * ``most`` documents."""
+def fit(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (3_000, 1_500), modulus: int = 5, remainder: int = 0) -> Model:
+    """Fit to ``labels`` (doc_id, toxic) outside the held-out fold, on at most ``most`` clean and toxic documents."""
     sample = labelled_sample(docs, labels, "toxic", modulus, remainder, most)
 
     def words_of(batches):
@@ -142,8 +152,16 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 3_000, modulus: int = 5,
             found = [sorted(word_set(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["y", "words"])
 
-    rows = sample.select("y", "text").mapInArrow(words_of, "y int, words array<string>").collect()
-    return fit_words([(set(r["words"]), r["y"]) for r in sorted(rows, key=lambda r: (r["y"], r["words"]))], swaps())
+    found = sample.select("y", "text").mapInArrow(words_of, "y int, words array<string>")
+    rows = sorted((r["y"], tuple(map(sys.intern, r["words"]))) for r in found.toLocalIterator())
+    model = fit_words([(words, y) for y, words in rows], swaps())
+    # The sample's shares of the labels depend on its bounds; the intercept takes back the true ones.
+    counted = labels.filter(F.col("doc_id").isNotNull() & ~held_out("doc_id", modulus, remainder))
+    all_1, all_0 = counted.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
+    own_1, own_0 = (sum(y == k for y, _ in rows) for k in (1, 0))
+    if own_1 and own_0:
+        model.intercept += float(np.log(all_1 / all_0) - np.log(own_1 / own_0))
+    return model
 
 
 def scorer(model: Model):
@@ -155,7 +173,7 @@ def scorer(model: Model):
     return F.pandas_udf(run, "double")
 
 
-def judge(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, most: int = 3_000) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, most: tuple[int, int] = (3_000, 1_500)) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of ``docs``."""
     toxicity = scorer(fit(docs, labels, most, modulus, remainder))
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), toxicity(F.col("text").cast("string")).alias("score"))
@@ -164,7 +182,7 @@ def judge(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int =
     )
 
 
-def clean(docs: DataFrame, labels: DataFrame, most: int = 3_000) -> DataFrame:
+def clean(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (3_000, 1_500)) -> DataFrame:
     """The documents that are not judged toxic, with their columns."""
     toxicity = scorer(fit(docs, labels, most))
     return docs.filter(toxicity(F.col("text").cast("string")) < 0.5)
