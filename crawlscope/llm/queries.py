@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlscope.llm import decontamination, jaccard, language, mixing, quality, secrets, tokens, toxicity, url_filter
+from crawlscope.llm import decontamination, grid_join, jaccard, language, mixing, quality, secrets, tokens, toxicity, url_filter
 from crawlscope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +92,29 @@ def op8_template_decontamination(spark, d):
     return decontamination.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")).drop("text_hash")
 
 
+@query
+def op9_epsilon_grid_join(spark, d):
+    return grid_join.grid_join(table(spark, d, "embeddings"), least=0.98)
+
+
+ORACLES["op9_epsilon_grid_join"] = """
+WITH RECURSIVE ok AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN least ON e.vec_id = least.a LEFT JOIN degree ON e.vec_id = degree.a
+"""
+
+
 @query
 def op10_string_kernel_language(spark, d):
     return language.identify(table(spark, d, "documents"))
