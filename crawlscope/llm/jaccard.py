@@ -374,7 +374,7 @@ def region_links(sets: DataFrame, num: int, den: int, limit: int, pivots: int) -
         size = size.filter("sets > 1")
         small = work.join(size.filter(F.col("total") <= limit).select("island"), "island")
         big_sizes = size.filter(F.col("total") > limit)
-        found = small.groupBy("island").applyInPandas(lambda pdf: _join_small(pdf, num, den), "a long, b long")
+        found = small.groupBy("island").applyInArrow(lambda group: _join_small(group, num, den), "a long, b long")
         links = found if links is None else links.union(found)
         if big_sizes.isEmpty():
             return links
@@ -384,14 +384,13 @@ def region_links(sets: DataFrame, num: int, den: int, limit: int, pivots: int) -
         rounds += 1
 
 
-def _join_small(pdf, num: int, den: int):
-    import pandas as pd
-
-    pdf = pdf.drop_duplicates("node").reset_index(drop=True)
-    sets = [np.sort(np.asarray(e, np.int64).view(K.U64)) for e in pdf["elements"]]
-    found = links_within(sets, num, den) if len(sets) > 1 else []
-    nodes = pdf["node"].to_numpy()
-    return pd.DataFrame({"a": [nodes[i] for i, _ in found], "b": [nodes[j] for _, j in found]}, dtype="int64")
+def _join_small(group: pa.Table, num: int, den: int) -> pa.Table:
+    nodes, first = np.unique(np.asarray(group.column("node")), return_index=True)
+    lists = group.column("elements").combine_chunks()
+    cut, flat = np.asarray(lists.offsets), np.asarray(lists.values).view(K.U64)
+    sets = [flat[cut[i] : cut[i + 1]] for i in first]
+    found = np.array(links_within(sets, num, den) if len(sets) > 1 else [], np.int64).reshape(-1, 2)
+    return pa.table({"a": nodes[found[:, 0]], "b": nodes[found[:, 1]]})
 
 
 def _cut_large(work: DataFrame, sizes: DataFrame, num: int, den: int, eps: float, pivots: int) -> tuple[DataFrame, DataFrame]:

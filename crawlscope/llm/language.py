@@ -82,13 +82,15 @@ def fit_kernel(found: np.ndarray, names: np.ndarray, landmarks: int = 96, ridge:
     return Model(kinds, marks, (whiten @ solved).astype(np.float32), (mean - center @ solved).astype(np.float32))
 
 
-def fit(docs: DataFrame, most: int = 300, modulus: int = 5, remainder: int = 0) -> Model | None:
-    """Fit to text and lang outside the held-out fold, on the first ``most`` documents of each language by a hash."""
+def fit(docs: DataFrame, most: int = 300, modulus: int = 5, remainder: int = 0, most_languages: int = 1_000) -> Model | None:
+    """Fit to text and lang outside the held-out fold, on the first ``most`` documents by a hash of each language, the
+    ``most_languages`` most frequent ones."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out("doc_id", modulus, remainder))
     rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("place"))
     # About three times as many pass a threshold on the hash, so that no task ranks a whole language.
-    rates = rows.groupBy("lang").agg(F.least(F.lit(1.0), 3.0 * most / F.count("*")).alias("rate"))
-    passed = rows.join(rates, "lang").filter(F.pmod("place", F.lit(1 << 31)) <= F.col("rate") * float(1 << 31))
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
+    rates = counts.select("lang", F.least(F.lit(1.0), 3.0 * most / F.col("count")).alias("rate"))
+    passed = rows.join(F.broadcast(rates), "lang").filter(F.pmod("place", F.lit(1 << 31)) <= F.col("rate") * float(1 << 31))
     first = Window.partitionBy("lang").orderBy("place")
     picked = passed.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= most)
 

@@ -32,7 +32,7 @@ KINDS = ("assign", "access", "hex", "markov")
 
 CHARACTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+")
-LEAST_TOKEN, LEAST_WORD, THRESHOLD = 16, 4, 1.0
+LEAST_TOKEN, LEAST_WORD, THRESHOLD = 16, 4, 0.5
 _SIZE = len(CHARACTERS) + 1
 _CODE = np.full(256, 0, np.uint8)
 _CODE[[ord(c) for c in CHARACTERS]] = np.arange(1, _SIZE)
@@ -65,12 +65,14 @@ def pair_counts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return np.bincount(before * _SIZE + codes, minlength=_SIZE * _SIZE)
 
 
-def log_ratio(random: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
-    """log P(next | character) of the random over the ordinary model, add-one smoothed."""
+def log_ratio(random: np.ndarray, ordinary: np.ndarray, weight: float = 5.0) -> np.ndarray:
+    """log P(next | character) of the random over the ordinary model. Pairs are smoothed by the shares of
+    the characters, as much as ``weight`` observations, and those by half an observation each."""
     both = []
     for counts in (random, ordinary):
-        table = counts.reshape(_SIZE, _SIZE)[:, 1:] + 1.0
-        both.append(np.log(table / table.sum(1, keepdims=True)))
+        table = counts.reshape(_SIZE, _SIZE)[:, 1:]
+        single = table.sum(0) + 0.5
+        both.append(np.log((table + weight * single / single.sum()) / (table.sum(1, keepdims=True) + weight)))
     out = np.zeros((_SIZE, _SIZE))
     out[:, 1:] = both[0] - both[1]
     return out

@@ -40,9 +40,7 @@ class Encoder:
     piece is encoded once; pieces seen before come from a table of about ``keep`` pieces."""
 
     def __init__(self, path: str, keep: int = 300_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = loaded(path)
         self.known: dict[bytes, int] = {}
         self.flat, self.used = np.empty(1 << 20, np.int32), 0
         self.begins, self.sizes = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64)
@@ -107,9 +105,11 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
-    """One per Python worker, which Spark keeps from task to task."""
-    return Encoder(path)
+def loaded(path: str):
+    """The tokenizer, read once per Python worker, which Spark keeps from task to task."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
 def piece_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -136,9 +136,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, files: int | None =
     """
 
     def run(batches):
-        part, start = TaskContext.get().partitionId(), 0
+        encoder, part, start = Encoder(tokenizer), TaskContext.get().partitionId(), 0
         for rows, data, bounds in K.pieces(batches):
-            ids, cut = encoder(tokenizer).encode(data, bounds)
+            ids, cut = encoder.encode(data, bounds)
             ids = np.insert(ids, cut[1:], END).astype(np.int32)
             cut = cut + np.arange(len(cut))
             yield pa.RecordBatch.from_arrays(

@@ -62,6 +62,8 @@ class Model:
     intercept: float
 
     def score(self, words: set[str]) -> float:
+        if self.intercept == -np.inf:
+            return 0.0
         z = self.intercept + sum(sorted(self.weights[w] for w in self.weights.keys() & features(words)))
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
@@ -104,7 +106,7 @@ def fit_words(
             row[[at[w] for w in features((words - named) | {swap[w] for w in named}) & at.keys()]] = 1
             change.append(x[i] - row)
     y = np.array([y for _, y in rows], np.float32)
-    gap = np.array(change, np.float32).reshape(-1, len(vocabulary))
+    gap = np.array(change, np.float32).reshape(len(change), len(vocabulary))
     weight, bias = np.zeros(len(vocabulary), np.float32), np.float32(prior)
     # Accelerated gradient steps, with a step below the reciprocal of the curvature.
     top = 0.25 * _norm(x) / len(rows) + ridge / len(rows) + (penalty * _norm(gap) / len(gap) if len(gap) else 0)
