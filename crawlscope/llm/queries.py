@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from crawlscope.llm import decontamination, grid_join, jaccard, language, mixing, quality, secrets, tokens, toxicity, url_filter
-from crawlscope.llm.common import table
+from crawlscope.llm.common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark, d):
+        ship(spark)
+        return fn(spark, d)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def tokenizer_path() -> str:
