@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from crawlscope import dims  # noqa: E402
 from crawlscope.functions import text as X  # noqa: E402
 from crawlscope.functions import urls  # noqa: E402
 from crawlscope.operators import (  # noqa: E402
@@ -133,18 +134,16 @@ def src1_read_snapshots(spark, d):
 
 @query
 def src2_crawl_urls(spark, d):
-    """Addresses with a query are blanked here; a site left without any gets its origin."""
-    rows = _pages(spark, d).selectExpr(
-        f"{A.HOST} AS site", "CASE WHEN url LIKE '%?%' THEN '' ELSE url END AS url", "page_id AS ord"
-    )
-    fallback = A.sites(spark, d).select("site", F.col("origin").alias("url"))
+    """All pages and as many blank addresses; a site that is not in the list gets its fallback address."""
+    rows = _pages(spark, d).selectExpr(f"{A.HOST} AS site", "explode(array(url, '')) AS url", "page_id AS ord")
+    fallback = A.sites(spark, d).select(F.explode(F.array("site", F.concat(F.lit("new."), "site"))).alias("site"), F.col("origin").alias("url"))
     return canonical.crawl_urls(rows, fallback)
 
 
 @query
 def l3_scan_targets(spark, d):
     pages = canonical.site_pages(_pages(spark, d)).select("site", "url", F.col("page_ord").alias("ord"))
-    return canonical.scan_targets(pages)
+    return canonical.scan_targets(pages, max_pages=6)
 
 
 # --- HTML --------------------------------------------------------------------------------
@@ -236,12 +235,12 @@ def h9_declared_styles(spark, d):
 
 @query
 def h9_a1_declared_palette(spark, d):
-    return style.palette(style.count_styles(style.declared_styles(A.rich_pages(spark, d))).filter("kind = 'color'"))
+    return style.palette(style.count_styles(style.declared_styles(A.rich_pages(spark, d))).filter("kind = 'color'"), per_page=dims.PAGE_COLORS)
 
 
 @query
 def h10_feed_hints(spark, d):
-    return links.feed_link_hints(A.rich_pages(spark, d))
+    return links.feed_link_hints(A.rich_pages(spark, d), limit=dims.MAX_FEEDS)
 
 
 @query
@@ -347,7 +346,7 @@ def u4_sitemap_roots(spark, d):
 
 def _walked(spark, d):
     roots = discovery.sitemap_roots(A.sites(spark, d), robots.robots_rules(A.robots(spark, d)))
-    return discovery.walk_sitemaps(roots, A.sitemap_docs(spark, d))
+    return discovery.walk_sitemaps(roots, A.sitemap_docs(spark, d), dims.MAX_SITEMAP_DEPTH, dims.MAX_SITEMAP_URLS)
 
 
 @query
@@ -413,17 +412,17 @@ def g4_journey_steps(spark, d):
 # --- style ---------------------------------------------------------------------------------
 @query
 def a1_palette(spark, d):
-    return style.palette(A.style_obs(spark, d))
+    return style.palette(A.style_obs(spark, d), per_page=dims.PAGE_COLORS)
 
 
 @query
 def a2_typography(spark, d):
-    return style.typography(A.style_obs(spark, d))
+    return style.typography(A.style_obs(spark, d), per_page=dims.PAGE_FONTS)
 
 
 @query
 def l5_page_colors(spark, d):
-    return style.page_colors(A.style_obs(spark, d)).select("site", "page_id", "value", "cnt", F.col("page_rank").cast("bigint").alias("page_rank"))
+    return style.page_colors(A.style_obs(spark, d), dims.PAGE_COLORS).select("site", "page_id", "value", "cnt", F.col("page_rank").cast("bigint").alias("page_rank"))
 
 
 @query
@@ -462,7 +461,8 @@ def f5_third_party_heavy(spark, d):
 
 @query
 def a17_third_party_inventory(spark, d):
-    return tech.third_party_inventory(A.fetch_log(spark, d))
+    # The hosts of the derived log have no telling names; the query names their purposes.
+    return tech.third_party_inventory(A.fetch_log(spark, d), [("Analytics", "^cdn0$"), ("Fonts", "^cdn1$"), *dims.HOST_PURPOSES])
 
 
 @query
@@ -675,7 +675,8 @@ def l2_r2_report_sections(spark, d):
     stack = tech.frameworks(tech.detect_frameworks(pages))
     nav = a3_main_navigation(spark, d)
     sites = obs.select("site").union(A.sites(spark, d).select("site")).union(ends.select("site")).distinct()
-    return report.report_sections(style.palette(obs), style.typography(obs), nav, stack, ends, sites)
+    return report.report_sections(
+        style.palette(obs, per_page=dims.PAGE_COLORS), style.typography(obs, per_page=dims.PAGE_FONTS), nav, stack, ends, sites)
 
 
 @query
@@ -701,7 +702,7 @@ def a11_capped_findings(spark, d):
 def s4_stream_request_rates(spark, d):
     log = A.select(incremental.read_stream(spark, d, "events"), A.FETCH_LOG)
     rates = incremental.drain(
-        incremental.request_rates(log.withColumn("ts", F.col("ts").cast("timestamp")), width="1 hour"), ["site", "start"]
+        incremental.request_rates(log.withColumn("ts", F.col("ts").cast("timestamp")), "60 days", width="1 hour"), ["site", "start"]
     )
     return rates.select("site", F.unix_seconds("start").alias("start"), "requests", "bytes")
 

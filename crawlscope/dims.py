@@ -85,14 +85,20 @@ FINGERPRINTS = [
      "stylesheet href", None),
 ]
 
+# Types an input element reports; all other values count as text.
+INPUT_TYPES = (
+    "button checkbox color date datetime-local email file hidden image month number password radio range reset search "
+    "submit tel text time url week"
+).split()
+
 API_TYPES = ["fetch", "xhr"]
 HEAVY_ASSET_TYPES = ["script", "stylesheet", "image", "font"]
 
 # Third-party purpose by host: first match wins.
 HOST_PURPOSES = [
-    ("Analytics", r"analytics|segment|mixpanel|hotjar|googletagmanager|cdn0"),
+    ("Analytics", r"analytics|segment|mixpanel|hotjar|googletagmanager"),
     ("Ads", r"doubleclick|adservice|adsystem|criteo"),
-    ("Fonts", r"fonts\.|typekit|cdn1"),
+    ("Fonts", r"fonts\.|typekit"),
     ("Widget", r"intercom|zendesk|facebook|channel\.io|youtube"),
     ("Security", r"recaptcha|hcaptcha|cloudflareinsights|sentry"),
 ]

@@ -7,8 +7,9 @@ pages to the parser pass in ``operators.dom``.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import reduce
-from html.entities import name2codepoint
+from html.entities import html5
 from operator import and_
 
 from pyspark.sql import Column
@@ -21,7 +22,7 @@ from crawlscope.functions.text import squeeze
 TAG_BODY = r"(?:\"[^\"]*+\"|'[^']*+'|[^'\">]++)*+"
 # Alternatives share their first character, so that most positions fail at once.
 _HIDDEN = (
-    r"(?is)<(?:!--.*?(?:-->|\z)|script\b[^>]*>.*?(?:</script\s*>|\z)|style\b[^>]*>.*?(?:</style\s*>|\z))"
+    r"(?is)<(?:!--.*?(?:-->|\z)|(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\z))"
 )
 _BLOCK_TAGS = (
     r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form"
@@ -42,8 +43,8 @@ _ENTITIES = [
     ("&amp;", "&"),
 ]
 _OTHER_ENTITY = r"&(?!(?:lt|gt|quot|#39|apos|nbsp|copy|middot|amp);)(?:#\d+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
-# All named entities of HTML 4, from the table of the standard library.
-_NAMED = json.dumps({name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"})
+# All named entities, from the table of the standard library that the parser pass uses too.
+_NAMED = json.dumps({name[:-1]: value for name, value in html5.items() if name.endswith(";")})
 
 
 # Numbers 128 to 159 mean the characters of the old Windows code page.
@@ -113,10 +114,13 @@ def inner_text(fragment: Column) -> Column:
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute, empty when it is absent."""
-    raw = F.regexp_extract(
-        tag, rf"(?i)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1
-    )
+    """Value of an attribute, empty when it is absent.
+
+    The other attributes before it are walked one by one, so a quoted value is never looked into.
+    """
+    value = r"(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++)"
+    other = rf"(?:[\s/]++(?!{name}[\s=/>])[^\s=>/]++(?:\s*+=\s*+{value})?+)*+"
+    raw = F.regexp_extract(tag, rf"(?i)^<[a-z][^\s/>]*+{other}[\s/]++{name}\s*+=\s*+({value})", 1)
     return decode_entities(F.regexp_replace(raw, r"^[\"']|[\"']$", ""))
 
 
@@ -134,17 +138,17 @@ def all_texts(html: Column, name: str) -> Column:
     return F.transform(found, text_of)
 
 
-def first_tag(html: Column, name: str, *conditions: str) -> Column:
-    """First opening tag of one name that matches all patterns, or null."""
+def first_tag(html: Column, name: str, *conditions: Callable[[Column], Column]) -> Column:
+    """First opening tag of one name that meets all conditions, or null."""
     found = tags(html, name)
     if conditions:
-        found = F.filter(found, lambda t: reduce(and_, [t.rlike(c) for c in conditions]))
+        found = F.filter(found, lambda t: reduce(and_, [c(t) for c in conditions]))
     return F.try_element_at(found, F.lit(1))
 
 
-def attr_equals(name: str, value: str) -> str:
-    """Pattern of a tag whose attribute is exactly ``value``."""
-    return rf"(?i)\s{name}\s*=\s*[\"']?{value}(?=[\"'\s>/])"
+def attr_equals(name: str, value: str) -> Callable[[Column], Column]:
+    """Whether the attribute of a tag is exactly ``value``, in any case."""
+    return lambda tag: F.lower(attribute(tag, name)) == value
 
 
 def main_block(html: Column) -> Column:

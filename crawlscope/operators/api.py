@@ -11,10 +11,10 @@ from crawlscope.functions import urls
 
 
 def api_calls(log: DataFrame) -> DataFrame:
-    """fetch/xhr responses: cut URL, same_origin flag, masked preview of JSON bodies."""
+    """fetch/xhr responses: same_origin flag, masked preview of JSON bodies."""
     is_json = F.coalesce(F.col("content_type"), F.lit("")).contains("json")
     return log.filter(F.col("type").isin(*dims.API_TYPES)).select(
-        "site", "seq", "method", F.left("url", F.lit(dims.URL_CHARS)).alias("url"), "status", "type", "content_type",
+        "site", "seq", "method", "url", "status", "type", "content_type",
         (urls.netloc(F.col("url")) == F.col("site")).alias("same_origin"),
         F.when(is_json, X.preview(F.col("body"))).alias("body_preview"),
     )

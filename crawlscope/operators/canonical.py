@@ -50,9 +50,7 @@ def crawl_urls(crawled: DataFrame, fallback: DataFrame) -> DataFrame:
     return distinct.unionByName(missing.select("site", "url", F.lit(0).cast("bigint").alias("ord")))
 
 
-def scan_targets(crawled: DataFrame, max_pages: int = 6) -> DataFrame:
-    """First pages of a crawl that the tech and API scans look at: site, url, rank."""
-    if not 1 <= max_pages <= 30:
-        raise ValueError("max_pages must be 1..30")
+def scan_targets(crawled: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """Pages of a crawl that the tech and API scans look at, all or the first ones: site, url, rank."""
     ranked = top_k(crawled.select("site", "url", "ord"), ["site"], [F.col("ord")], max_pages)
     return ranked.select("site", "url", F.col("rank").cast("bigint").alias("rank"))

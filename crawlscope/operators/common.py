@@ -11,6 +11,8 @@ from crawlscope.session import cut_lineage
 
 # A group above this size is split; so there are at most rows / HOT_GROUP such groups.
 HOT_GROUP = 1_000_000
+# Groups beyond this number stay unsplit, which changes no result; it bounds the broadcast list of keys.
+MOST_HOT = 100_000
 
 
 def place(major: Column, minor: Column, width: int) -> Column:
@@ -22,10 +24,11 @@ def place(major: Column, minor: Column, width: int) -> Column:
     return (major.cast("decimal(20,0)") * F.lit(width).cast("decimal(17,0)")).cast(whole) + minor.cast("decimal(20,0)")
 
 
-def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
-    """First ``k`` rows per group. Spark cuts each task's share to ``k`` before the shuffle."""
+def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int | None, rank: str = "rank") -> DataFrame:
+    """First ``k`` rows per group, or all of them ranked. Spark cuts each task's share to ``k`` before the shuffle."""
     window = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
+    ranked = df.withColumn(rank, F.row_number().over(window))
+    return ranked if k is None else ranked.filter(F.col(rank) <= k)
 
 
 def first_seen(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -48,11 +51,11 @@ def attach_group(
 
     ``groups`` has one row per key and the row count of the group in ``size``. Rows of a hot
     group go to ``ceil(size / hot)`` salts by a hash of ``spread_by``, and the group's row is
-    copied once per salt. The broadcast list of hot keys is bounded by rows / hot.
+    copied once per salt. The broadcast list holds the ``MOST_HOT`` largest hot groups.
     """
     keys = list(keys)
     salts = F.ceil(F.col(size) / F.lit(hot)).cast("int")
-    hot_keys = groups.filter(F.col(size) > hot).select(*keys, salts.alias("_salts"))
+    hot_keys = groups.filter(F.col(size) > hot).orderBy(F.desc(size)).limit(MOST_HOT).select(*keys, salts.alias("_salts"))
     salted = rows.join(F.broadcast(hot_keys), keys, "left").withColumn(
         "_salt",
         F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(
@@ -65,36 +68,15 @@ def attach_group(
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt", "_salts")
 
 
-def numbered(
-    df: DataFrame, group: Sequence[str], order: str, out: str, width: int = 100_000
-) -> DataFrame:
-    """1-based number per group in the order of a unique integer column.
-
-    The number inside a bucket of ``width`` order values plus the rows of the earlier buckets,
-    so no task ever sorts a whole group.
-    """
-    group = list(group)
-    rows = df.withColumn("_bucket", F.floor(F.col(order) / F.lit(width)))
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = (
-        rows.groupBy(*group, "_bucket")
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-    )
-    inside = Window.partitionBy(*group, "_bucket").orderBy(order)
-    return (
-        rows.withColumn("_inside", F.row_number().over(inside))
-        .join(sizes, [*group, "_bucket"])
-        .withColumn(out, F.col("_before") + F.col("_inside"))
-        .drop("_bucket", "_inside", "_before")
-    )
+def numbered(df: DataFrame, group: Sequence[str], order: str, out: str) -> DataFrame:
+    """1-based number per group in the order of a unique column, however its values are spread."""
+    return numbered_by_range(df, group, [order], out)
 
 
 def numbered_by_range(
     df: DataFrame, group: Sequence[str], order: Sequence[str], out: str, parts: int | None = None
 ) -> DataFrame:
-    """As ``numbered`` for any sortable order columns.
+    """1-based number per group in the order of any sortable columns.
 
     The rows are range-partitioned by (group, order), so a big group spans several parts. The
     part numbers are pinned by a checkpoint, because a recomputed range split may differ.

@@ -12,6 +12,8 @@ from crawlscope.functions import urls
 from crawlscope.functions.arrays import bind, distinct_by
 from crawlscope.operators.dom import parse_content, parse_forms
 
+# Lists within lists that JSON-LD blocks are searched through.
+LIST_LEVELS = 5
 _JSON_LD = r"(?is)<script\b[^>]*\stype\s*=\s*[\"']?application/ld\+json[^>]*>(.*?)</script\s*>"
 # Pages whose content root or sections need the parser: nested or repeated roots, or sections.
 _NEEDS_PARSER = (
@@ -21,7 +23,7 @@ _NEEDS_PARSER = (
 )
 
 
-def _meta_content(html: Column, *conditions: str) -> Column:
+def _meta_content(html: Column, *conditions) -> Column:
     return F.coalesce(H.attribute(H.first_tag(html, "meta", *conditions), "content"), F.lit(""))
 
 
@@ -132,7 +134,8 @@ def extract_images(pages: DataFrame) -> DataFrame:
 def og_map(html: Column) -> Column:
     """MAP of og: properties in order of their first mention; the last value of a name wins."""
     metas = F.filter(
-        H.tags(html, "meta"), lambda t: t.rlike(r"(?i)\s(?:property|name)\s*=\s*[\"']?og:")
+        H.tags(html, "meta"),
+        lambda t: F.lower(H.attribute(t, "property")).startswith("og:") | F.lower(H.attribute(t, "name")).startswith("og:"),
     )
     pairs = F.transform(
         metas,
@@ -172,7 +175,7 @@ def extract_structured(pages: DataFrame) -> DataFrame:
 
 
 def structured_types(block: Column) -> Column:
-    """Types named by one JSON-LD block: lists flatten one level, masked, ``Unknown`` if absent."""
+    """Types named by one JSON-LD block: nested lists flatten, masked, ``Unknown`` if absent."""
 
     def of_item(item: Column) -> Column:
         kind = F.get_json_object(item, "$['@type']")
@@ -183,8 +186,12 @@ def structured_types(block: Column) -> Column:
         ).otherwise(F.array(kind))
         return F.when(is_object, named).otherwise(F.array(F.lit("Unknown")))
 
-    as_list = F.ltrim(block).startswith("[")
-    items = F.when(as_list, F.from_json(block, "array<string>")).otherwise(F.array(block))
+    def flat(item: Column) -> Column:
+        return F.when(F.ltrim(item).startswith("["), F.from_json(item, "array<string>")).otherwise(F.array(item))
+
+    items = F.array(block)
+    for _ in range(LIST_LEVELS):
+        items = F.flatten(F.transform(items, flat))
     return F.transform(F.flatten(F.transform(items, of_item)), X.mask_pii)
 
 

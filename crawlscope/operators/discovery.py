@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,21 +68,23 @@ def sitemap_roots(sites: DataFrame, rules: DataFrame) -> DataFrame:
 def walk_sitemaps(
     roots: DataFrame,
     docs: DataFrame,
-    max_depth: int = dims.MAX_SITEMAP_DEPTH,
-    max_urls: int = dims.MAX_SITEMAP_URLS,
+    max_depth: int | None = None,
+    max_urls: int | None = None,
 ) -> DataFrame:
     """Breadth-first walk of sitemap indexes: site, url, depth, ord ARRAY<BIGINT>, doc_url.
 
     All sites advance one level per round. The place of a document is the list of positions on
-    its way down, so order inside a level needs no numbering. Every document counts once, and
-    the first ``max_urls`` same-host addresses per site are kept.
+    its way down, so order inside a level needs no numbering. Every document counts once, so the
+    walk ends; with ``max_urls``, the first same-host addresses per site are kept. The lists of pages
+    are joined once, at the end.
     """
-    parsed = place_by(parse_sitemaps(docs), "site", "doc_url")
+    stored = cut_lineage(parse_sitemaps(docs))
+    parsed = place_by(stored.select("site", "doc_url", "children"), "site", "doc_url")
     frontier = roots.select(
         "site", "doc_url", F.array(F.col("ord")).alias("ord"), F.lit(0).alias("depth")
     )
     levels: list[DataFrame] = []
-    for depth in range(max_depth + 1):
+    for depth in count():
         fresh = first_seen(frontier, ["site", "doc_url"], ["ord"])
         if levels:
             known = reduce(DataFrame.unionByName, levels).select("site", "doc_url")
@@ -92,26 +95,29 @@ def walk_sitemaps(
         frontier = level.select(
             "site", "ord", F.posexplode("children").alias("pos", "doc_url"), F.lit(depth + 1).alias("depth")
         ).select("site", "doc_url", F.concat("ord", F.array(F.col("pos").cast("bigint"))).alias("ord"), "depth")
-        if frontier.isEmpty():
+        if depth == max_depth or frontier.isEmpty():
             break
-    walked = reduce(DataFrame.unionByName, levels)
+    walked = reduce(DataFrame.unionByName, levels).drop("children").join(stored.select("site", "doc_url", "pages"), ["site", "doc_url"])
     found = walked.select(
         "site", "doc_url", "depth", "ord", F.posexplode("pages").alias("pos", "url")
     ).filter(urls.netloc(F.col("url")) == F.col("site"))
     placed = found.select(
         "site", "url", "depth", F.concat("ord", F.array(F.col("pos").cast("bigint"))).alias("ord"), "doc_url"
     )
+    if max_urls is None:
+        return placed
     return top_k(placed, ["site"], [F.col("depth"), F.col("ord")], max_urls, rank="_rank").drop("_rank")
 
 
 def feed_links(docs: DataFrame) -> DataFrame:
-    """feed_docs(site, doc_url, status, body) -> site, doc_url, pos, url of the feed entries.
+    """feed_docs(site, doc_url, status, body) -> site, doc_url, pos, url of the feed entries, with any ``feed_ord``.
 
     RSS items give their link text. Atom entries give the first link that is plain or
     ``alternate``, otherwise the first link of all. Other hosts drop.
     """
+    keep = ["site", "doc_url", *(["feed_ord"] if "feed_ord" in docs.columns else [])]
     parsed = docs.filter((F.col("status") == 200) & (F.col("body") != "")).select(
-        "site", "doc_url", _root_tag(F.col("body")).alias("tag"),
+        *keep, _root_tag(F.col("body")).alias("tag"),
         F.col("body").contains(dims.ATOM_NAMESPACE).alias("atom"),
         F.from_xml("body", _FEED_XML, _XML_OPTIONS).alias("x"),
     )
@@ -134,7 +140,7 @@ def feed_links(docs: DataFrame) -> DataFrame:
     atom = F.when(F.col("atom"), F.transform("x.entry", entry_url))
     picked = F.when(F.col("tag") == "rss", rss).otherwise(atom)
     return (
-        parsed.select("site", "doc_url", F.posexplode(picked).alias("pos", "url"))
+        parsed.select(*keep, F.posexplode(picked).alias("pos", "url"))
         .filter(urls.netloc(F.col("url")) == F.col("site"))
         .withColumn("pos", F.col("pos").cast("bigint"))
     )

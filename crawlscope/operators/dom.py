@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from crawlscope.functions import elements
+from crawlscope import dims
+from crawlscope.functions import elements, urls
 from crawlscope.functions.text import squeeze
 
 # Ship the helper with the task: executors need no installed copy of this package.
@@ -80,7 +81,7 @@ def _image(node: Column) -> Column:
         return F.nullif(_attr(node, name), F.lit(""))
 
     return F.struct(
-        _attr(node, "src").alias("src"),
+        F.when(_attr(node, "src") != "", urls.dom_href(_attr(node, "src"), F.col("url"))).otherwise(F.lit("")).alias("src"),
         blank_to_null("alt").alias("alt"),
         blank_to_null("width").try_cast("bigint").alias("width"),
         blank_to_null("height").try_cast("bigint").alias("height"),
@@ -147,10 +148,13 @@ def _forms() -> Column:
         field_id = _attr(node, "id")
         own = F.lower(_attr(node, "type"))
         kind = (
-            F.when(node["tag"] == "select", F.lit("select-one"))
+            F.when(
+                node["tag"] == "select",
+                F.when(F.map_contains_key(node["attrs"], "multiple"), F.lit("select-multiple")).otherwise(F.lit("select-one")),
+            )
             .when(node["tag"] == "textarea", F.lit("textarea"))
-            .when(own == "", F.lit("text"))
-            .otherwise(own)
+            .when(own.isin(*dims.INPUT_TYPES), own)
+            .otherwise(F.lit("text"))
         )
         labelled = (F.size(_ancestors(node, "label")) > 0) | F.exists(
             "nodes", lambda n: (n["tag"] == "label") & (field_id != "") & (_attr(n, "for") == field_id)
@@ -184,7 +188,8 @@ def parse_forms(pages: DataFrame) -> DataFrame:
 
 def parse_content(pages: DataFrame, keep: Sequence[str] = ("page_id", "url")) -> DataFrame:
     """Kept columns plus body_text and sections of the content root."""
-    rooted = parse_nodes(pages, keep).withColumn("root_idx", _root_idx())
+    # The address of the page makes those of its images absolute.
+    rooted = parse_nodes(pages, list(dict.fromkeys([*keep, "url"]))).withColumn("root_idx", _root_idx())
     return rooted.select(
         *keep,
         rendered_text(_at(F.col("root_idx"))["text"]).alias("body_text"),

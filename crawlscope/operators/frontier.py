@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlscope import dims
 from crawlscope.functions import urls
-from crawlscope.operators.common import first_seen, top_k
+from crawlscope.operators.common import first_seen, numbered_by_range, top_k
 from crawlscope.operators.robots import mark_blocked
 from crawlscope.session import cut_lineage, place_by
 
-MAX_PAGES_LIMIT, MAX_DEPTH_LIMIT = 50, 5
-
 
 def robots_split(pages: DataFrame, rules: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """Allowed and blocked pages."""
@@ -27,8 +26,8 @@ def crawl_plan(
     edges: DataFrame,
     rules: DataFrame,
     failed: DataFrame | None = None,
-    max_pages: int = 8,
-    max_depth: int = 2,
+    max_pages: int | None = None,
+    max_depth: int | None = None,
 ) -> DataFrame:
     """Which pages a polite first-in-first-out crawl visits, and in what order.
 
@@ -37,17 +36,17 @@ def crawl_plan(
 
     A page is queued once, at the depth of the first page linking it plus one. Blocked seeds
     and failed pages use up budget and lead nowhere. Sites advance level by level together.
-    Only the first ``max_pages`` of a level can fit the budget, so each level is cut to them
-    before it is ordered; what is cut could never be visited later. Robots rules are looked up
-    for the links of opened pages only, not for all stored links.
+    Without limits all reachable pages are visited. With ``max_pages``, only the first of a level
+    can fit the budget, so each level is cut to them before it is ordered; what is cut could never
+    be visited later. Robots rules are looked up for the links of opened pages only.
     """
-    if not (1 <= max_pages <= MAX_PAGES_LIMIT and 0 <= max_depth <= MAX_DEPTH_LIMIT):
-        raise ValueError("max_pages must be 1..50 and max_depth 0..5")
+    if max_pages is not None and max_pages < 1 or max_depth is not None and max_depth < 0:
+        raise ValueError("max_pages must be at least 1 and max_depth at least 0")
     # Repeated links fold first: many copies of one page then count as one.
     own = edges.filter(urls.netloc(F.col("dst")) == F.col("site")).groupBy("site", "src", "dst").agg(
         F.min("link_ord").alias("link_ord")
     )
-    usable = place_by(own, "site", "src") if max_depth else None
+    usable = place_by(own, "site", "src") if max_depth != 0 else None
 
     if failed is not None:
         # Looked up on every level, so it is computed and placed once.
@@ -56,8 +55,11 @@ def crawl_plan(
         "site", "url", "ord", F.when(F.col("blocked"), F.lit("blocked")).alias("status")
     )
     levels: list[DataFrame] = []
-    for depth in range(max_depth + 1):
-        cut = top_k(queue, ["site"], [F.col("ord"), F.col("url")], max_pages, rank="_rank")
+    for depth in count():
+        if max_pages is None:  # a site may own a third of the level
+            cut = numbered_by_range(queue, ["site"], ["ord", "url"], "_rank")
+        else:
+            cut = top_k(queue, ["site"], [F.col("ord"), F.col("url")], max_pages, rank="_rank")
         if levels:
             used = reduce(DataFrame.unionByName, levels).groupBy("site").agg(F.max("visit_ord").alias("_used"))
             cut = cut.join(used, "site", "left")
@@ -66,7 +68,8 @@ def crawl_plan(
         level = cut.select(
             "site", "url", F.lit(depth).cast("bigint").alias("depth"),
             (F.coalesce("_used", F.lit(0)) + F.col("_rank")).cast("bigint").alias("visit_ord"), "status",
-        ).filter(F.col("visit_ord") <= max_pages)
+        )
+        level = level if max_pages is None else level.filter(F.col("visit_ord") <= max_pages)
         if failed is not None:
             level = level.join(failed, ["site", "url"], "left").withColumn(
                 "status", F.coalesce("status", "_failed")

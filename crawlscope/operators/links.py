@@ -15,6 +15,7 @@ from crawlscope.operators.common import place, top_k
 from crawlscope.operators.dom import parse_links
 
 # Any element can take the navigation role, which only the parser pass can follow.
+MANY_ANCHORS = 300
 _NAV_ROLE = r"(?i)\srole\s*=\s*[\"']?navigation"
 
 
@@ -26,7 +27,8 @@ def extract_links(pages: DataFrame, scopes: Sequence[str] = ("page", "nav")) ->
     container. A page is one row, so its links are deduped there and never shuffled. Ask only
     for the scopes that are used.
     """
-    hard = F.col("html").rlike(_NAV_ROLE)
+    # The fold over the anchors of a page copies what it has found; pages with many take the parser pass too.
+    hard = F.col("html").rlike(_NAV_ROLE) | (F.regexp_count("html", F.lit("(?i)<a\\s")) > MANY_ANCHORS)
     native = pages.filter(~hard).select("page_id", "url", H.anchors(F.col("html")).alias("links"))
     found = native.unionByName(parse_links(pages.filter(hard)))
     absolute = F.transform(
@@ -105,8 +107,8 @@ def extract_assets(pages: DataFrame) -> DataFrame:
     """Script and stylesheet addresses, distinct per page: site, page_id, kind, ord, src."""
     seen = F.regexp_replace("html", r"(?s)<!--.*?-->", "")
 
-    def found(kind: str, tag: str, attr: str, condition: str):
-        hits = F.filter(H.tags(F.col("seen"), tag), lambda t: t.rlike(condition))
+    def found(kind: str, tag: str, attr: str, condition):
+        hits = F.filter(H.tags(F.col("seen"), tag), condition)
         absolute = F.transform(hits, lambda t: urls.dom_href(H.attribute(t, attr), F.col("url")))
         return F.transform(
             F.array_distinct(absolute),
@@ -114,7 +116,7 @@ def extract_assets(pages: DataFrame) -> DataFrame:
         )
 
     both = F.concat(
-        found("script", "script", "src", r"(?i)\ssrc\s*=\s*[^\s>]"),
+        found("script", "script", "src", lambda t: H.attribute(t, "src") != ""),
         found("style", "link", "href", H.attr_equals("rel", "stylesheet")),
     )
     return (
@@ -131,10 +133,10 @@ def site_assets(assets: DataFrame) -> DataFrame:
     )
 
 
-def feed_link_hints(pages: DataFrame, limit: int = dims.MAX_FEEDS) -> DataFrame:
+def feed_link_hints(pages: DataFrame, limit: int | None = None) -> DataFrame:
     """Feed addresses a page announces, or the usual ones: site, page_id, ord, feed_url.
 
-    The first ``limit`` count before the same-host filter, as the rule demands.
+    With a ``limit``, the first ones count before the same-host filter.
     """
     seen = F.regexp_replace("html", r"(?s)<!--.*?-->", "")
     hits = F.filter(
@@ -147,7 +149,8 @@ def feed_link_hints(pages: DataFrame, limit: int = dims.MAX_FEEDS) -> DataFrame:
     )
     announced = F.transform(hits, lambda t: H.attribute(t, "href"))
     usual = F.array(*[F.lit(p) for p in dims.DEFAULT_FEEDS])
-    picked = F.slice(F.when(F.size(announced) == 0, usual).otherwise(announced), 1, limit)
+    picked = F.when(F.size(announced) == 0, usual).otherwise(announced)
+    picked = F.slice(picked, 1, limit) if limit else picked
     return (
         pages.select("page_id", "url", F.posexplode(picked).alias("ord", "raw"))
         .select(

@@ -155,10 +155,10 @@ def confidence_rollup(findings: DataFrame) -> DataFrame:
 
 
 def cap_confidence(findings: DataFrame, gates: DataFrame) -> DataFrame:
-    """Lower each finding's class to what the site's evidence gate allows."""
+    """Lower each finding's class to what the site's evidence gate allows; a site without calls has no evidence."""
     classes = F.array(*[F.lit(c) for c in dims.CONFIDENCE])
     joined = findings.join(gates.select("site", "confidence_cap"), "site", "left")
     rank = F.greatest(
-        F.array_position(classes, F.col("state")), F.array_position(classes, F.coalesce("confidence_cap", F.lit("Confirmed")))
+        F.array_position(classes, F.col("state")), F.array_position(classes, F.coalesce("confidence_cap", F.lit("Hypothesis")))
     )
     return joined.withColumn("state", F.element_at(classes, rank.cast("int"))).drop("confidence_cap")

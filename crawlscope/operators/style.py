@@ -14,7 +14,7 @@ from crawlscope.operators.common import place, top_k
 _STYLE_BLOCK = r"(?is)<style\b[^>]*>(.*?)</style\s*>"
 _COLOR = (
     r"(?i)(?:^|[;{\s])(?:color|background-color|border-color)\s*:\s*"
-    r"(#[0-9a-f]{3,8}\b|(?:rgb|hsl)a?\([^)]*\)|[a-z]+)"
+    r"(#[0-9a-f]{3,8}\b|(?:rgb|hsl)a?\([^)]*\)|[a-z]++(?!\())"
 )
 # A rule body, or the value of a style attribute.
 _RULES = r"(?s)([^{}]*)\{([^{}]*)\}"
@@ -56,7 +56,7 @@ def declared_styles(pages: DataFrame) -> DataFrame:
             "site", "page_id", "rule_ord", F.posexplode(F.regexp_extract_all("body", F.lit(_COLOR), F.lit(1))).alias("pos", "value")
         )
         .withColumn("value", F.lower("value"))
-        .filter(~F.col("value").isin("transparent", "rgba(0, 0, 0, 0)", "inherit", "initial", "unset"))
+        .filter(~F.regexp_replace("value", r"\s", "").isin("transparent", "rgba(0,0,0,0)", "inherit", "initial", "unset"))
     )
 
     def declared(name: str) -> Column:
@@ -85,15 +85,16 @@ def count_styles(declared: DataFrame) -> DataFrame:
     )
 
 
-def page_colors(obs: DataFrame, k: int = dims.PAGE_COLORS) -> DataFrame:
-    """Top colours per page by count, first seen first on ties: obs(site, page_id, value, cnt, ord)."""
+def page_colors(obs: DataFrame, k: int | None = None) -> DataFrame:
+    """Colours per page by count, first seen first on ties, all or the top k: obs(site, page_id, value, cnt, ord)."""
     per_page = obs.groupBy("site", "page_id", "value").agg(F.sum("cnt").alias("cnt"), F.min("ord").alias("ord"))
     return top_k(per_page, ["site", "page_id"], [F.desc("cnt"), F.col("ord")], k, rank="page_rank")
 
 
-def palette(obs: DataFrame, k: int = dims.TOP_COLORS) -> DataFrame:
-    """Top colours per site over the pages' top colours: site, rank, role, value, hex, cnt."""
-    sums = page_colors(obs).groupBy("site", "value").agg(
+def palette(obs: DataFrame, k: int | None = dims.TOP_COLORS, per_page: int | None = None) -> DataFrame:
+    """Top colours per site: site, rank, role, value, hex, cnt. Sums go over all colours of a page, or over its
+    top ``per_page``."""
+    sums = page_colors(obs, per_page).groupBy("site", "value").agg(
         F.sum("cnt").alias("cnt"), F.min(place(F.col("page_id"), F.col("page_rank"), 2**31)).alias("first")
     )
     ranked = top_k(sums, ["site"], [F.desc("cnt"), F.col("first")], k)
@@ -108,18 +109,18 @@ def palette(obs: DataFrame, k: int = dims.TOP_COLORS) -> DataFrame:
     )
 
 
-def page_fonts(obs: DataFrame, k: int = dims.PAGE_FONTS) -> DataFrame:
-    """Top fonts per page; the sample tag is that of the first element."""
+def page_fonts(obs: DataFrame, k: int | None = None) -> DataFrame:
+    """Fonts per page, all or the top k; the sample tag is that of the first element."""
     per_page = obs.groupBy("site", "page_id", "family", "size", "weight").agg(
         F.sum(F.coalesce("cnt", F.lit(1))).alias("cnt"), F.min("ord").alias("ord"), F.min_by("tag", "ord").alias("tag")
     )
     return top_k(per_page, ["site", "page_id"], [F.desc("cnt"), F.col("ord")], k, rank="page_rank")
 
 
-def typography(obs: DataFrame, k: int = dims.TOP_FONTS) -> DataFrame:
-    """Top fonts per site: site, rank, family, size, weight, sample_tag (of the last page), cnt."""
+def typography(obs: DataFrame, k: int | None = dims.TOP_FONTS, per_page: int | None = None) -> DataFrame:
+    """Top fonts per site over all fonts of its pages or their top ``per_page``: site, rank, family, size, weight, sample_tag (of the last page), cnt."""
     place = F.struct("page_id", "page_rank")
-    sums = page_fonts(obs).groupBy("site", "family", "size", "weight").agg(
+    sums = page_fonts(obs, per_page).groupBy("site", "family", "size", "weight").agg(
         F.sum("cnt").alias("cnt"), F.min(place).alias("first"), F.max_by("tag", place).alias("sample_tag")
     )
     ranked = top_k(sums, ["site"], [F.desc("cnt"), F.col("first")], k)

@@ -19,15 +19,13 @@ def safe_headers(headers: Column) -> Column:
 
 
 def response_log(log: DataFrame) -> DataFrame:
-    """Raw responses -> safe headers, URL cut to 300 characters, size from content-length if unknown."""
+    """Raw responses -> safe headers, size from content-length if unknown."""
     kept = safe_headers(F.col("headers"))
     length = F.try_element_at(
         F.map_values(F.map_filter("headers", lambda k, _: F.lower(k) == "content-length")), F.lit(1)
     )
     declared = F.when(length.rlike(r"^\d+$"), length.try_cast("bigint"))
-    return log.withColumn("size", F.coalesce("size", declared, F.lit(0))).withColumn("headers", kept).withColumn(
-        "url", F.left("url", F.lit(dims.URL_CHARS))
-    )
+    return log.withColumn("size", F.coalesce("size", declared, F.lit(0))).withColumn("headers", kept)
 
 
 def detect_frameworks(pages: DataFrame, rules: list[tuple] = dims.FINGERPRINTS) -> DataFrame:

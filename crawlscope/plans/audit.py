@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlscope import dims
+from crawlscope.functions import urls
 from crawlscope.operators import (
     api, canonical, content, discovery, frontier, links, mirror, paths, report, robots, style, tech, tree,
 )
@@ -22,10 +23,15 @@ def discover(
     """Seed candidates of all sites; feed_docs(site, feed_ord, doc_url, status, body)."""
     rules = robots.robots_rules(robots_files)
     walked = discovery.walk_sitemaps(discovery.sitemap_roots(sites, rules), sitemap_docs)
-    entries = discovery.feed_links(feed_docs).join(
-        feed_docs.select("site", "doc_url", "feed_ord"), ["site", "doc_url"]
-    )
-    return discovery.discover_urls(walked, entries)
+    return discovery.discover_urls(walked, discovery.feed_links(feed_docs))
+
+
+def announced_feeds(pages: DataFrame, feed_docs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Stored feeds that the first page of each site announces, in its order: feed_docs with ``feed_ord``."""
+    first = pages.groupBy(urls.netloc(F.col("url")).alias("site")).agg(F.min("page_id").alias("page_id"))
+    hints = links.feed_link_hints(pages.join(first.select("page_id"), "page_id", "left_semi"), limit)
+    named = hints.groupBy("site", F.col("feed_url").alias("doc_url")).agg(F.min("ord").alias("feed_ord"))
+    return feed_docs.drop("feed_ord").join(named, ["site", "doc_url"])
 
 
 def crawl(
@@ -34,8 +40,8 @@ def crawl(
     robots_files: DataFrame,
     discovered: DataFrame | None = None,
     failed: DataFrame | None = None,
-    max_pages: int = 8,
-    max_depth: int = 2,
+    max_pages: int | None = None,
+    max_depth: int | None = None,
 ) -> dict[str, DataFrame]:
     """Crawl of stored pages(page_id, url, html) from roots(site, url).
 
@@ -49,8 +55,10 @@ def crawl(
         seeds = roots.select("site", "url", F.array(F.lit(-1).cast("bigint")).alias("ord"))
     else:
         seeds = discovery.merge_seeds(roots, discovered)
-    edges = graph.select("site", "src", "dst", "link_ord")
     stored = canonical.site_pages(pages)
+    # Links count from the copy of a page that is kept, as that is the one visited.
+    kept = stored.select(F.col("page_ord").alias("page_id"))
+    edges = graph.join(kept, "page_id", "left_semi").select("site", "src", "dst", "link_ord")
     if failed is None:
         targets = edges.select("site", F.col("dst").alias("url")).unionByName(seeds.select("site", "url")).distinct()
         failed = targets.join(stored.select("site", "url"), ["site", "url"], "left_anti")
@@ -71,7 +79,9 @@ def crawl(
 def mirror_pages(pages: DataFrame, visited: DataFrame, crawled_at: str) -> DataFrame:
     """Markdown mirror of pages; visited(site, url, page_ord, depth, status, screenshot, screenshot_mobile)."""
     placed = paths.content_paths(visited).withColumnRenamed("page_ord", "page_id")
-    joined = placed.join(content.page_records(pages), "page_id")
+    # Only the HTML of pages that were asked for is read into records.
+    wanted = pages.join(placed.select("page_id"), "page_id", "left_semi")
+    joined = placed.join(content.page_records(wanted), "page_id")
     return mirror.content_mirror(joined.withColumn("crawled_at", F.lit(crawled_at)))
 
 

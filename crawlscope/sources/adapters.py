@@ -307,10 +307,9 @@ def feed_docs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def snapshot_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Each page as one JSON line; the lines of addresses that end in a slash are broken."""
+    """Each page as one JSON line, each followed by a broken and a blank line."""
     pages = table(spark, folder, "pages").selectExpr(f"{HOST} AS site", "page_id AS page_ord", "url", "html")
     record = F.to_json(
         F.struct("site", "page_ord", "url", F.regexp_extract("html", r"<title>([^<]*)", 1).alias("title"), F.lit(200).alias("status"))
     )
-    line = F.when(F.col("url").endswith("/"), F.concat(F.lit("{"), record)).otherwise(record)
-    return pages.select(line.alias("line"))
+    return pages.select(record.alias("line")).select(F.explode(F.array("line", F.concat(F.lit("{"), "line"), F.lit(""))).alias("line"))

@@ -27,10 +27,11 @@ def fresh_urls(requests: DataFrame, delay: str) -> DataFrame:
     )
 
 
-def request_rates(requests: DataFrame, delay: str = "10 minutes", width: str = "1 minute") -> DataFrame:
+def request_rates(requests: DataFrame, delay: str, width: str = "1 minute") -> DataFrame:
     """Requests per site and tumbling window: site, start, requests, bytes.
 
-    Late rows count while the watermark has not passed the window. Partial sums are merged before
+    ``delay`` is at least the spread of times inside what one trigger and the next may bring: rows later
+    than that are dropped, as the watermark has passed their window. Partial sums are merged before
     the shuffle, so one busy site does not overload a task.
     """
     return (
@@ -48,14 +49,10 @@ def latest_stages(log: DataFrame) -> DataFrame:
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 64) -> DataFrame:
-    """Stream over the files of one table in a folder."""
+    """Stream over the files of one table, whether it is one file or a folder of part files."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(folder)
-    )
+    # A pattern, as a stream takes a plain path for a folder.
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/{name}.parque[t]")
 
 
 def drain(stream: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

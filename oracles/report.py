@@ -96,6 +96,6 @@ SELECT site, count(*) FILTER (state = 'Confirmed') AS confirmed, count(*) FILTER
 FROM (SELECT site, state FROM ({GAPS}) UNION ALL SELECT site, confidence FROM ({tech.DETECTIONS})) GROUP BY site
 """
 SQL["a11_capped_findings"] = f"""
-SELECT g.site, g.item, CASE WHEN c.confidence_cap = 'Hypothesis' AND g.state IN ('Confirmed', 'Likely') THEN 'Hypothesis' ELSE g.state END AS state
+SELECT g.site, g.item, CASE WHEN coalesce(c.confidence_cap, 'Hypothesis') = 'Hypothesis' AND g.state IN ('Confirmed', 'Likely') THEN 'Hypothesis' ELSE g.state END AS state
 FROM ({GAPS}) g LEFT JOIN ({tech.GATE}) c USING (site)
 """

@@ -117,12 +117,12 @@ SELECT site, href, page_id, link_ord FROM ({C.PLAIN_LINKS})
 QUALIFY row_number() OVER (PARTITION BY site, href ORDER BY page_id, link_ord) = 1
 """
 SQL["src1_read_snapshots"] = f"""
-SELECT {C.host()} AS site, page_id AS page_ord, url, regexp_extract(html, '<title>([^<]*)', 1) AS title FROM pages WHERE url NOT LIKE '%/'
+SELECT {C.host()} AS site, page_id AS page_ord, url, regexp_extract(html, '<title>([^<]*)', 1) AS title FROM pages
 """
 SQL["src2_crawl_urls"] = f"""
-WITH listed AS (SELECT {C.host()} AS site, url, min(page_id) AS ord FROM pages WHERE url NOT LIKE '%?%' GROUP BY 1, 2)
+WITH listed AS (SELECT {C.host()} AS site, url, min(page_id) AS ord FROM pages GROUP BY 1, 2)
 SELECT site, url, ord FROM listed
-UNION ALL SELECT site, origin, 0 FROM ({C.SITES}) WHERE site NOT IN (SELECT site FROM listed)
+UNION ALL SELECT 'new.' || site, origin, 0 FROM ({C.SITES})
 """
 
 

@@ -15,7 +15,7 @@ def skewed_rows(n=3000, seed=7):
 def test_numbered_is_a_plain_row_number(spark):
     rows = [(i * 7, g, v) for i, g, v in skewed_rows()]
     df = spark.createDataFrame(rows, "id bigint, g string, v string").repartition(5)
-    got = {r.id: r.n for r in common.numbered(df, ["g"], "id", "n", width=500).collect()}
+    got = {r.id: r.n for r in common.numbered(df, ["g"], "id", "n").collect()}
     seen = {}
     for i, g, _ in sorted(rows):
         seen[g] = seen.get(g, 0) + 1

@@ -65,7 +65,7 @@ def test_random_graphs(spark, seed):
 
 def test_limits(spark):
     with pytest.raises(ValueError):
-        frontier.crawl_plan(None, None, None, None, 51, 2)
+        frontier.crawl_plan(None, None, None, None, 0, 2)
 
 
 def test_journeys(spark):

@@ -23,8 +23,8 @@ def test_fresh_urls_and_rates_equal_batch(spark, tmp_path):
 
     fresh = incremental.drain(incremental.fresh_urls(stream(), "1 day"))
     assert sorted((r.site, r.norm_url) for r in fresh.collect()) == sorted({(s, u.split("?")[0]) for s, u, _, _ in rows})
-    rates = incremental.drain(incremental.request_rates(stream()), ["site", "start"])
-    batch = incremental.request_rates(spark.read.parquet(path))
+    rates = incremental.drain(incremental.request_rates(stream(), "10 minutes"), ["site", "start"])
+    batch = incremental.request_rates(spark.read.parquet(path), "10 minutes")
     assert sorted(map(tuple, rates.collect())) == sorted(map(tuple, batch.collect()))
 
 
@@ -45,3 +45,13 @@ def test_latest_stages(spark, tmp_path):
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
     row = incremental.drain(incremental.latest_stages(stream), ["site", "stage"]).first()
     assert (row.status, row.events) == ("done", 3)
+
+
+def test_table_as_one_file_or_as_a_folder(spark, tmp_path):
+    folder = tmp_path / "tables"
+    write(spark, str(folder / "log.parquet"), [("s", "u", t(1), 1)])
+    write(spark, str(folder / "log.parquet"), [("s", "u", t(0), 2)])
+    assert incremental.drain(incremental.read_stream(spark, str(folder), "log", 1)).count() == 2
+    part = next((folder / "log.parquet").glob("part-*.parquet"))
+    (folder / "single.parquet").write_bytes(part.read_bytes())
+    assert incremental.drain(incremental.read_stream(spark, str(folder), "single")).count() == 1

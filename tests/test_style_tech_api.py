@@ -23,7 +23,7 @@ def test_palette_sums_the_page_tops(spark):
         for value, n in sorted(own, key=lambda x: -x[1])[:25]:
             total[value] += n
     want = [(v, n) for v, n in total.most_common(12)]
-    got = style.palette(df).orderBy("rank").collect()
+    got = style.palette(df, per_page=25).orderBy("rank").collect()
     assert [(r.value, r.cnt) for r in got] == want
     assert [r.role for r in got[:6]] == ["Primary", "Secondary", "Accent", "Surface", "Muted", "Color 6"]
 
@@ -49,7 +49,7 @@ def log_frame(spark):
 def test_responses(spark):
     log = tech.response_log(log_frame(spark))
     got = {r.seq: r for r in log.collect()}
-    assert got[1].headers == {"a": "b"} and got[3].size == 70 and got[5].size == 0 and len(got[5].url) == 300
+    assert got[1].headers == {"a": "b"} and got[3].size == 70 and got[5].size == 0 and len(got[5].url) == 412
     top = tech.top_resources(log, 3)
     assert [r.seq for r in top.orderBy("rank").collect()] == [2, 4, 3]
     assert [r.seq for r in tech.third_party_heavy(top).collect()] == [2]
