@@ -39,8 +39,10 @@ class Encoder:
     characters and between a letter and a punctuation mark, so the texts are cut there and each different
     piece is encoded once; pieces seen before come from a table of about ``keep`` pieces."""
 
-    def __init__(self, path: str, keep: int = 300_000):
-        self.tokenizer = loaded(path)
+    def __init__(self, path: str, keep: int = 400_000):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, int] = {}
         self.flat, self.used = np.empty(1 << 20, np.int32), 0
         self.begins, self.sizes = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64)
@@ -105,11 +107,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def loaded(path: str):
-    """The tokenizer, read once per Python worker, which Spark keeps from task to task."""
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
+def encoder_of(path: str) -> Encoder:
+    """One per Python worker, which Spark keeps from task to task; its table stays bounded."""
+    return Encoder(path)
 
 
 def piece_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -136,7 +136,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, files: int | None =
     """
 
     def run(batches):
-        encoder, part, start = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, start = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
         for rows, data, bounds in K.pieces(batches):
             ids, cut = encoder.encode(data, bounds)
             ids = np.insert(ids, cut[1:], END).astype(np.int32)
