@@ -354,6 +354,14 @@ def src3_g2_sitemap_walk(spark, d):
     return _walked(spark, d).select("site", "url", F.col("depth").cast("bigint").alias("depth"), F.array_join("ord", ".").alias("place"))
 
 
+@query
+def src3_walk_unbounded(spark, d):
+    """The sitemap walk without limits of depth and addresses."""
+    roots = discovery.sitemap_roots(A.sites(spark, d), robots.robots_rules(A.robots(spark, d)))
+    walked = discovery.walk_sitemaps(roots, A.sitemap_docs(spark, d))
+    return walked.select("site", "url", F.col("depth").cast("bigint").alias("depth"), F.array_join("ord", ".").alias("place"))
+
+
 @query
 def src4_feed_links(spark, d):
     return discovery.feed_links(A.feed_docs(spark, d))
@@ -399,6 +407,12 @@ def g1_crawl_plan(spark, d):
     return _plan(spark, d, 8, 5)
 
 
+@query
+def g1_crawl_plan_unbounded(spark, d):
+    """Every page that links reach, without limits of pages and depth."""
+    return _plan(spark, d, None, None)
+
+
 @query
 def g1_plan_summary(spark, d):
     return frontier.plan_summary(_plan(spark, d, 12, 3), 12)
@@ -415,6 +429,12 @@ def a1_palette(spark, d):
     return style.palette(A.style_obs(spark, d), per_page=dims.PAGE_COLORS)
 
 
+@query
+def a1_palette_uncut(spark, d):
+    """All colours of each site, summed over all colours of its pages."""
+    return style.palette(A.style_obs(spark, d), k=None)
+
+
 @query
 def a2_typography(spark, d):
     return style.typography(A.style_obs(spark, d), per_page=dims.PAGE_FONTS)

@@ -69,20 +69,17 @@ REPORT_SLICES = {"palette": 5, "typography": 4, "navigation": 8, "frameworks": 6
 MIRROR_IMAGES = 50
 MIRROR_IMAGES_HEADING = "이미지"
 
-# Framework fingerprints: (name, pattern over raw HTML, confidence, evidence, version pattern).
+# Framework fingerprints: (name, places with patterns of which one must match, confidence, evidence,
+# place and pattern of the version). Places: text of scripts, script and stylesheet addresses, generator,
+# ids and classes of elements, opening tags.
 FINGERPRINTS = [
-    ("Next.js", r"__NEXT_DATA__", "Confirmed", "__NEXT_DATA__ global", None),
-    ("Nuxt.js", r"__NUXT__", "Confirmed", "__NUXT__ global", None),
-    ("React", r"(?i)id\s*=\s*[\"']?__next\b|\sdata-reactroot\b", "Confirmed",
-     "#__next / data-reactroot", None),
-    ("jQuery", r"(?i)<script\b[^>]*\ssrc\s*=\s*[\"']?[^\"'\s>]*jquery", "Likely",
-     "script src", r"(?i)jquery[-./@]v?(\d+(?:\.\d+)+)"),
-    ("WordPress", r"(?i)<meta\b[^>]*content\s*=\s*[\"'][^\"']*WordPress|\sclass\s*=\s*[\"'][^\"']*wp-",
-     "Confirmed", "generator meta / wp-* class", None),
-    ("Tailwind CSS", r"(?i)<link\b[^>]*\shref\s*=\s*[\"']?[^\"'\s>]*tailwind", "Likely",
-     "stylesheet href", None),
-    ("Bootstrap", r"(?i)<link\b[^>]*\shref\s*=\s*[\"']?[^\"'\s>]*bootstrap", "Confirmed",
-     "stylesheet href", None),
+    ("Next.js", [("script", r"__NEXT_DATA__"), ("id", r"(?m)^__NEXT_DATA__$")], "Confirmed", "__NEXT_DATA__ global", None),
+    ("Nuxt.js", [("script", r"__NUXT__")], "Confirmed", "__NUXT__ global", None),
+    ("React", [("id", r"(?m)^__next$"), ("tag", r"\sdata-reactroot[\s=/>]")], "Confirmed", "#__next / data-reactroot", None),
+    ("jQuery", [("script_src", r"(?i)jquery")], "Likely", "script src", ("script_src", r"(?i)jquery[-./@]v?(\d+(?:\.\d+)+)")),
+    ("WordPress", [("generator", r"(?i)WordPress"), ("class", r"(?m)(?:^|\s)wp-")], "Confirmed", "generator meta / wp-* class", None),
+    ("Tailwind CSS", [("stylesheet", r"(?i)tailwind")], "Likely", "stylesheet href", None),
+    ("Bootstrap", [("stylesheet", r"(?i)bootstrap")], "Confirmed", "stylesheet href", None),
 ]
 
 # Types an input element reports; all other values count as text.

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlscope import dims
+from crawlscope.functions import html as H
 from crawlscope.functions import urls
 from crawlscope.operators.common import first_seen, top_k
 
@@ -28,18 +30,45 @@ def response_log(log: DataFrame) -> DataFrame:
     return log.withColumn("size", F.coalesce("size", declared, F.lit(0))).withColumn("headers", kept)
 
 
+# Opening tags without these texts cannot match a rule on ids, classes or tags.
+_MARKED = r"__next|__NEXT_DATA__|wp-|data-reactroot"
+
+
+def _places(html: Column) -> dict[str, Column]:
+    """Where fingerprints are looked for: extracted tags and scripts, never the page's prose."""
+    seen = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    scripts = H.tags(seen, "script")
+    marked = F.filter(
+        F.concat(F.regexp_extract_all(H.visible(html), F.lit(rf"(?i)<[a-z][a-z0-9]*\b{H.TAG_BODY}>"), F.lit(0)), scripts),
+        lambda t: t.rlike(_MARKED),
+    )
+
+    def values(tags: Column, name: str) -> Column:
+        return F.array_join(F.transform(tags, lambda t: H.attribute(t, name)), "\n")
+
+    return {
+        "script": F.array_join(F.regexp_extract_all(seen, F.lit(r"(?is)<script\b[^>]*>(.*?)</script\s*>"), F.lit(1)), "\n"),
+        "script_src": values(scripts, "src"),
+        "generator": values(F.filter(H.tags(seen, "meta"), H.attr_equals("name", "generator")), "content"),
+        "stylesheet": values(F.filter(H.tags(seen, "link"), H.attr_equals("rel", "stylesheet")), "href"),
+        "id": values(marked, "id"),
+        "class": values(marked, "class"),
+        "tag": F.array_join(marked, "\n"),
+    }
+
+
 def detect_frameworks(pages: DataFrame, rules: list[tuple] = dims.FINGERPRINTS) -> DataFrame:
-    """Rules whose pattern occurs in a page: site, page_id, rule_ord, name, confidence, evidence, version.
+    """Rules that match in a page: site, page_id, rule_ord, name, confidence, evidence, version.
 
     Rules are literals in one projection, so each pattern is compiled once and no join happens.
     """
-    html = F.col("html")
+    places = _places(F.col("html"))
 
     def hit(ord_: int, rule: tuple) -> Column:
-        name, pattern, confidence, evidence, version = rule
-        found = F.regexp_extract(html, version, 1) if version else F.lit("")
+        name, looked_for, confidence, evidence, version = rule
+        found = F.regexp_extract(F.col(f"in_{version[0]}"), version[1], 1) if version else F.lit("")
         return F.when(
-            html.rlike(pattern),
+            reduce(or_, [F.col(f"in_{place}").rlike(pattern) for place, pattern in looked_for]),
             F.struct(
                 F.lit(ord_).cast("bigint").alias("rule_ord"), F.lit(name).alias("name"),
                 F.lit(confidence).alias("confidence"), F.lit(evidence).alias("evidence"), found.alias("version"),
@@ -47,9 +76,8 @@ def detect_frameworks(pages: DataFrame, rules: list[tuple] = dims.FINGERPRINTS)
         )
 
     hits = F.array_compact(F.array(*[hit(i, r) for i, r in enumerate(rules)]))
-    return pages.select(
-        urls.netloc(F.col("url")).alias("site"), "page_id", F.explode(hits).alias("d")
-    ).select("site", "page_id", "d.*")
+    rows = pages.select(urls.netloc(F.col("url")).alias("site"), "page_id", *[c.alias(f"in_{p}") for p, c in places.items()])
+    return rows.select("site", "page_id", F.explode(hits).alias("d")).select("site", "page_id", "d.*")
 
 
 def frameworks(detections: DataFrame) -> DataFrame:

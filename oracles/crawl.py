@@ -67,14 +67,16 @@ def _blocked(u: str) -> str:
 SQL["f2_j1_robots_filter"] = f"SELECT site, url, {_blocked('url')} AS blocked FROM ({C.CANONICAL})"
 SQL["j1_robots_blocked"] = f"SELECT site, url FROM ({C.CANONICAL}) WHERE {_blocked('url')}"
 SQL["u4_sitemap_roots"] = f"SELECT site, origin || '/map-index.xml' AS doc_url, CAST(0 AS BIGINT) AS ord FROM ({C.SITES})"
-WALK = f"""
+WALK_ALL = f"""
     SELECT site, url, CAST(2 AS BIGINT) AS depth, '0.' || b || '.' || l || '.' || p AS place FROM (
     SELECT {C.host()} AS site, url,
            dense_rank() OVER (PARTITION BY {C.host()} ORDER BY page_id // 3200000) - 1 AS b,
            dense_rank() OVER (PARTITION BY {C.host()}, page_id // 3200000 ORDER BY page_id // 64) - 1 AS l,
            row_number() OVER (PARTITION BY {C.host()}, page_id // 64 ORDER BY page_id) - 1 AS p
-    FROM pages) QUALIFY row_number() OVER (PARTITION BY site ORDER BY b, l, p) <= 2000
+    FROM pages)
 """
+WALK = f"{WALK_ALL} QUALIFY row_number() OVER (PARTITION BY site ORDER BY b, l, p) <= 2000"
+SQL["src3_walk_unbounded"] = WALK_ALL
 SQL["src3_g2_sitemap_walk"] = WALK
 FEEDS = f"""
     SELECT {C.host()} AS site, 'https://' || {C.host()} || '/feed/' || page_id AS doc_url, CAST(0 AS BIGINT) AS pos, url FROM pages
@@ -112,6 +114,7 @@ def plan(max_pages: int, max_depth: int) -> str:
 
 
 SQL["g1_crawl_plan"] = plan(8, 5)
+SQL["g1_crawl_plan_unbounded"] = plan(2**31 - 1, 2**31 - 1)
 SQL["g1_plan_summary"] = f"""
 SELECT site, count(*) FILTER (status = 'ok') AS visited, count(*) FILTER (status = 'blocked') AS blocked,
        count(*) FILTER (status = 'failed') AS failed, max(depth) AS max_depth, count(*) >= 12 AS budget_used

@@ -7,21 +7,27 @@ from oracles import common as C
 
 SQL: dict[str, str] = {}
 
-PAGE_COLORS = f"""
+_ALL_PAGE_COLORS = f"""
     SELECT site, page_id, value, cnt, page_rank FROM (
     SELECT site, page_id, value, CAST(sum(cnt) AS BIGINT) AS cnt,
            row_number() OVER (PARTITION BY site, page_id ORDER BY sum(cnt) DESC, min(row(o1, o2, o3, o4))) AS page_rank
-    FROM ({C.STYLE}) GROUP BY site, page_id, value) WHERE page_rank <= 25
+    FROM ({C.STYLE}) GROUP BY site, page_id, value)
 """
+PAGE_COLORS = f"{_ALL_PAGE_COLORS} WHERE page_rank <= 25"
 SQL["l5_page_colors"] = PAGE_COLORS
-PALETTE = f"""
+def _palette(page_colors: str) -> str:
+    return f"""
     SELECT site, rank, coalesce(['Primary', 'Secondary', 'Accent', 'Surface', 'Muted'][rank], 'Color ' || rank) AS role, value,
            printf('#%02X%02X%02X', CAST(split_part(substr(value, 5), ',', 1) AS INT), CAST(trim(split_part(value, ',', 2)) AS INT), 0) AS hex, cnt
     FROM (SELECT site, value, CAST(sum(cnt) AS BIGINT) AS cnt,
                  row_number() OVER (PARTITION BY site ORDER BY sum(cnt) DESC, min(row(page_id, page_rank))) AS rank
-          FROM ({PAGE_COLORS}) GROUP BY site, value) WHERE rank <= 12
+          FROM ({page_colors}) GROUP BY site, value)
 """
+
+
+PALETTE = f"{_palette(PAGE_COLORS)} WHERE rank <= 12"
 SQL["a1_palette"] = PALETTE
+SQL["a1_palette_uncut"] = _palette(_ALL_PAGE_COLORS)
 TYPOGRAPHY = f"""
     WITH p AS (SELECT * FROM (
         SELECT site, page_id, family, size, weight, CAST(sum(cnt) AS BIGINT) AS cnt, arg_min(tag, row(o1, o2, o3, o4)) AS tag,

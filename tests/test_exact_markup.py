@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from crawlscope.functions import html as H
-from crawlscope.operators import content, links, report, style
+from crawlscope.operators import content, links, report, style, tech
 
 
 def pages(spark, *bodies):
@@ -68,6 +68,18 @@ def test_palette_sums_all_colours_of_a_page(spark):
     assert len(style.palette(obs, k=None, per_page=25).collect()) == 25
 
 
+def test_fingerprints_look_at_tags_and_scripts_only(spark):
+    prose = "<link rel=canonical href=/bootstrap-guide><meta name=description content='about WordPress'><p>__NEXT_DATA__ id=\"__next\" jquery.js</p><!-- <script src=jquery.js></script> -->"
+    real = [
+        ("<script>window.__NEXT_DATA__={}</script>", "Next.js"), ("<script id=__NEXT_DATA__ type=application/json>{}</script>", "Next.js"),
+        ("<div id='__next'>", "React"), ("<div data-reactroot>", "React"), ("<meta content='WordPress 6' name=generator>", "WordPress"),
+        ("<body class='a wp-b'>", "WordPress"), ("<link href=/bootstrap.css rel=stylesheet>", "Bootstrap"), ("<script src=/jquery-3.1.js></script>", "jQuery"),
+    ]
+    found = {r.page_id: (r.name, r.version) for r in tech.detect_frameworks(pages(spark, prose, *[h for h, _ in real])).collect()}
+    assert {i: n for i, (n, _) in found.items()} == {i + 1: name for i, (_, name) in enumerate(real)}
+    assert found[8] == ("jQuery", "3.1")
+
+
 def test_no_calls_are_no_evidence(spark):
     findings = spark.createDataFrame([("a", "x", "Confirmed"), ("b", "x", "Confirmed"), ("c", "x", "Unknown")], "site string, item string, state string")
     gates = spark.createDataFrame([("a", "Confirmed")], "site string, confidence_cap string")
