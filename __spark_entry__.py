@@ -518,7 +518,7 @@ def src8_lighthouse_scores(spark, d):
 
 @query
 def w7_politeness(spark, d):
-    return tech.politeness(A.fetch_log(spark, d), min_gap_ms=600_000, bucket_seconds=86_400)
+    return tech.politeness(A.fetch_log(spark, d), min_gap_ms=600_000)
 
 
 @query
@@ -609,7 +609,7 @@ def a4_crawl_summary(spark, d):
     plan = _plan(spark, d, 12, 3)
     pages = A.rich_pages(spark, d)
     assets = links.extract_assets(pages)
-    found = canonical.site_pages(_pages(spark, d))
+    found = canonical.site_pages(_pages(spark, d), raw=True)
     made = found.select("site", "url", (~F.col("raw_url").endswith("#top")).alias("ok"))
     return mirror.crawl_summary(plan, assets, found, made)
 

@@ -24,19 +24,18 @@ def canonicalize_urls(pages: DataFrame, hot: int = HOT_GROUP) -> DataFrame:
     )
 
 
-def site_pages(pages: DataFrame) -> DataFrame:
-    """One row per canonical URL: site, url, page_ord (the first page_id) and the page's own url.
+def site_pages(pages: DataFrame, raw: bool = False) -> DataFrame:
+    """One row per canonical URL: site, url, page_ord (the first page_id), and with ``raw`` that page's own url.
 
-    This is the page list every tree, mirror and crawl job works on.
+    This is the page list every tree, mirror and crawl job works on. Without the own url it is a plain
+    hash aggregation.
     """
     norm = urls.normalize(F.col("url"))
     web = pages.filter(urls.is_web(F.col("url")))
     rows = web.select(norm.alias("url"), F.col("page_id").alias("page_ord"), F.col("url").alias("raw_url"))
-    return (
-        rows.groupBy("url")
-        .agg(F.min("page_ord").alias("page_ord"), F.min_by("raw_url", "page_ord").alias("raw_url"))
-        .select(urls.netloc(F.col("url")).alias("site"), "url", "page_ord", "raw_url")
-    )
+    kept = [F.min("page_ord").alias("page_ord")] + [F.min_by("raw_url", "page_ord").alias("raw_url")] * raw
+    names = ["url", "page_ord"] + ["raw_url"] * raw
+    return rows.groupBy("url").agg(*kept).select(urls.netloc(F.col("url")).alias("site"), *names)
 
 
 def crawl_urls(crawled: DataFrame, fallback: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from crawlscope import dims
 from crawlscope.functions import html as H
 from crawlscope.functions import urls
 from crawlscope.operators.common import first_seen, top_k
+from crawlscope.session import cut_lineage
 
 
 def safe_headers(headers: Column) -> Column:
@@ -211,29 +212,28 @@ def lighthouse_scores(reports: DataFrame) -> DataFrame:
     )
 
 
-def politeness(
-    log: DataFrame, min_gap_ms: int = 1000, bucket_seconds: int = 3600
-) -> DataFrame:
+def politeness(log: DataFrame, min_gap_ms: int = 1000) -> DataFrame:
     """Gaps between consecutive requests of a site: site, requests, violations, min_gap_ms.
 
-    log(site, seq, ts). Gaps are taken inside time buckets; the gap over a bucket edge comes
-    from the buckets' first and last times, so a busy site is spread over its buckets.
+    log(site, seq, ts). Gaps are taken inside range parts of (site, time); the gap between two parts
+    of a site comes from their last and first times, so a busy site, or its one busy hour, spans many
+    tasks. A checkpoint pins the part numbers.
     """
     min_gap = min_gap_ms * 1000
-    rows = log.select("site", "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).withColumn(
-        "bucket", F.floor(F.col("us") / F.lit(bucket_seconds * 1_000_000))
-    )
-    inside = Window.partitionBy("site", "bucket").orderBy("us", "seq")
-    gaps = rows.withColumn("gap", F.col("us") - F.lag("us").over(inside))
-    buckets = gaps.groupBy("site", "bucket").agg(
+    rows = log.select("site", "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    parts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut_lineage(rows.repartitionByRange(parts, "site", "us", "seq").withColumn("part", F.spark_partition_id()))
+    inside = Window.partitionBy("site", "part").orderBy("us", "seq")
+    gaps = placed.withColumn("gap", F.col("us") - F.lag("us").over(inside))
+    by_part = gaps.groupBy("site", "part").agg(
         F.count("*").alias("n"),
         F.count_if(F.col("gap") < min_gap).alias("bad"),
         F.min("gap").alias("low"),
         F.min("us").alias("first"),
         F.max("us").alias("last"),
     )
-    edge = F.col("first") - F.lag("last").over(Window.partitionBy("site").orderBy("bucket"))
-    return buckets.withColumn("edge", edge).groupBy("site").agg(
+    edge = F.col("first") - F.lag("last").over(Window.partitionBy("site").orderBy("part"))
+    return by_part.withColumn("edge", edge).groupBy("site").agg(
         F.sum("n").alias("requests"),
         (F.sum("bad") + F.count_if(F.col("edge") < min_gap)).alias("violations"),
         F.floor(F.least(F.min("low"), F.min("edge")) / 1000).alias("min_gap_ms"),

@@ -94,7 +94,7 @@ def test_politeness_over_bucket_edges(spark):
     start = datetime.datetime(2024, 1, 1)
     rows = [("hot" if rng.random() < 0.6 else f"s{rng.randrange(3)}", i, start + datetime.timedelta(milliseconds=rng.randrange(400_000))) for i in range(500)]
     df = spark.createDataFrame(rows, "site string, seq bigint, ts timestamp")
-    got = {r.site: (r.requests, r.violations, r.min_gap_ms) for r in tech.politeness(df, 1000, bucket_seconds=7).collect()}
+    got = {r.site: (r.requests, r.violations, r.min_gap_ms) for r in tech.politeness(df, 1000).collect()}
     for site in {r[0] for r in rows}:
         times = sorted(t for s, _, t in rows if s == site)
         gaps = [(b - a) // datetime.timedelta(milliseconds=1) for a, b in zip(times, times[1:])]
