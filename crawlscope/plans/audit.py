@@ -18,10 +18,20 @@ from crawlscope.session import cut_lineage
 
 
 def discover(
-    sites: DataFrame, robots_files: DataFrame, sitemap_docs: DataFrame, feed_docs: DataFrame
+    sites: DataFrame,
+    robots_files: DataFrame,
+    sitemap_docs: DataFrame,
+    feed_docs: DataFrame,
+    pages: DataFrame | None = None,
+    max_feeds: int | None = None,
 ) -> DataFrame:
-    """Seed candidates of all sites; feed_docs(site, feed_ord, doc_url, status, body)."""
+    """Seed candidates of all sites; feed_docs(site, feed_ord, doc_url, status, body).
+
+    With ``pages``, the first page of each site chooses the feeds and their order, and ``feed_ord`` is not needed.
+    """
     rules = robots.robots_rules(robots_files)
+    if pages is not None:
+        feed_docs = announced_feeds(pages, feed_docs, max_feeds)
     walked = discovery.walk_sitemaps(discovery.sitemap_roots(sites, rules), sitemap_docs)
     return discovery.discover_urls(walked, discovery.feed_links(feed_docs))
 

@@ -130,3 +130,29 @@ def test_seeds_are_normalised_and_same_site(spark):
     )
     got = [r.url for r in discovery.merge_seeds(roots, found).orderBy("ord").collect()]
     assert got == [f"{O}/", f"{O}/b"]
+
+
+def test_first_page_chooses_the_feeds(spark):
+    from crawlscope.plans import audit
+
+    pages = spark.createDataFrame(
+        [
+            (1, "https://a.example/", '<link rel=feed href="/two"><link type="application/rss+xml" href="/one">'),
+            (2, "https://a.example/x", "<link rel=feed href=/three>"),
+            (3, "https://b.example/", "<p>"),
+        ],
+        "page_id bigint, url string, html string",
+    )
+    rss = lambda u: f"<rss><channel><item><link>{u}</link></item></channel></rss>"
+    feeds = spark.createDataFrame(
+        [(f"{s}.example", f"https://{s}.example/{f}", 200, rss(f"https://{s}.example/{f}-item")) for s, f in (x.split() for x in ("a one", "a two", "a three", "a feed", "b feed", "b one"))],
+        "site string, doc_url string, status int, body string",
+    )
+    got = {(r.site, r.feed_ord, r.doc_url.rsplit("/", 1)[1]) for r in audit.announced_feeds(pages, feeds).collect()}
+    assert got == {("a.example", 0, "two"), ("a.example", 1, "one"), ("b.example", 0, "feed")}
+    assert audit.announced_feeds(pages, feeds, limit=1).count() == 2
+    sites = spark.createDataFrame([("a.example", "https://a.example"), ("b.example", "https://b.example")], "site string, origin string")
+    robots_files = spark.createDataFrame([], "site string, status int, body string")
+    sitemaps = spark.createDataFrame([], "site string, doc_url string, status int, body string")
+    found = audit.discover(sites, robots_files, sitemaps, feeds, pages)
+    assert {(r.url, r.source) for r in found.collect()} == {(f"https://{u}-item", "rss") for u in ("a.example/two", "a.example/one", "b.example/feed")}
