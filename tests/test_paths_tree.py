@@ -1,5 +1,6 @@
 import hashlib
 import random
+from urllib.parse import urlsplit
 
 from pyspark.sql import functions as F
 
@@ -52,47 +53,32 @@ def test_page_sequence(spark):
     assert got[1200].screenshot_mobile == "_audit/screenshots/1200-p1199-mobile.png"
 
 
-def expected_tree(pages, root):
-    """Plain restatement of the parent rule for one site: url -> (parent, children order, in tree)."""
-
-    def site_path(u):
-        return "/" + "/".join(u.split("?")[0].split("/")[3:]).rstrip("/") if u.split("?")[0].count("/") > 2 else "/"
-
-    listed = [u for u, _ in pages]
-    if root not in listed:
-        listed = [root] + listed
-        pages = [(root, 0)] + pages
-    by_path = {}
-    for u in listed:
-        by_path.setdefault(site_path(u), []).append(u)
-    owner = {p: next((u for u in us if "?" not in u), us[0]) for p, us in by_path.items()}
-    parent = {}
-    for u in listed:
-        if u != root:
-            up = site_path(u).rsplit("/", 1)[0] or "/"
-            parent[u] = owner.get(up, root)
-    order = {}
-    for u, d in sorted(pages, key=lambda p: (p[1], p[0])):
-        if u != root:
-            order.setdefault(parent[u], []).append(u)
-    reached, todo = {root}, [root]
-    while todo:
-        for child in order.get(todo.pop(), []):
-            if child not in reached:
-                reached.add(child)
-                todo.append(child)
-    return parent, order, reached
-
-
 def check(spark, pages, root, hot=1_000_000):
+    """The rules of the tree, each on its own: parent one level up, order among siblings, reachability."""
     got = {r.url: r for r in tree.site_tree(page_frame(spark, pages), roots_of(spark, root), hot).collect()}
-    parent, order, reached = expected_tree(pages, root)
-    assert set(got) == {u for u, _ in pages} | {root}
-    for url, row in got.items():
-        assert row.parent_url == parent.get(url), url
-        assert row.in_tree == (url in reached), url
-        if url != root:
-            assert row.child_ord == order[row.parent_url].index(url) + 1, url
+    listed = list(dict.fromkeys([*(u for u, _ in pages), root]))
+    depth = {root: 0} | dict(pages)
+    path = {u: urlsplit(u).path.rstrip("/") or "/" for u in listed}
+    assert set(got) == set(listed) and got[root].parent_url is None
+    siblings = {}
+    for u in listed:
+        if u == root:
+            continue
+        parent, above = got[u].parent_url, path[u].rpartition("/")[0] or "/"
+        owners = [o for o in listed if path[o] == above]
+        if not owners:
+            assert parent == root, u
+        else:
+            assert path[parent] == above, u
+            assert "?" not in parent or all("?" in o for o in owners), u
+        siblings.setdefault(parent, []).append((depth[u], u))
+    for members in siblings.values():
+        assert [got[u].child_ord for _, u in sorted(members)] == list(range(1, len(members) + 1))
+    for u in listed:
+        at, steps = u, 0
+        while at != root and steps <= len(listed):
+            at, steps = got[at].parent_url, steps + 1
+        assert got[u].in_tree == (at == root), u
     return got
 
 
