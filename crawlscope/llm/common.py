@@ -16,11 +16,16 @@ from pyspark.sql import types as T
 from crawlscope.session import cut_lineage, shared_dir
 
 
+BATCH_BYTES, MOST_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, so that they need no installed copy."""
+    """Send this package to the executors, once per application, so that they need no installed copy, and
+    lower the session's bound of Arrow batches to ``MOST_BATCH`` bytes."""
+    # Batches of texts by bytes: rows alone do not bound what a task and its Python worker hold.
+    if int(spark.conf.get(BATCH_BYTES).rstrip("b")) > MOST_BATCH:
+        spark.conf.set(BATCH_BYTES, MOST_BATCH)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

@@ -175,8 +175,7 @@ def contaminated(
     slots = items.select(F.shiftrightunsigned("window", 64 - FILTER_BITS).alias("slot")).distinct()
     if slots.limit(most_flags + 1).count() <= most_flags:
         flags = np.zeros(1 << FILTER_BITS, bool)
-        for row in slots.toLocalIterator():
-            flags[row["slot"]] = True
+        flags[np.asarray(slots.toArrow().column("slot"), np.int64)] = True
     hits = document_windows(docs, lengths, flags)
     both = hits.join(items, "window")
     shift = F.col("pos") - F.col("item_pos")

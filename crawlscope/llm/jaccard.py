@@ -251,8 +251,8 @@ def common_slots(rows: DataFrame) -> np.ndarray:
     """A table of ``SLOTS`` flags for shingles that many documents share. Any table gives right results;
     this one keeps passages of many documents from joining their islands."""
     table = np.zeros(SLOTS, bool)
-    for row in rows.filter("node IS NULL").select(F.explode("common").alias("slot")).distinct().toLocalIterator():
-        table[row["slot"]] = True
+    found = rows.filter("node IS NULL").select(F.explode("common").alias("slot")).distinct()
+    table[np.asarray(found.toArrow().column("slot"), np.int64)] = True
     return table
 
 
@@ -328,8 +328,8 @@ def member_sets(docs: DataFrame, members: DataFrame, n: int, bits: int = 1 << 23
         F.bit_or(F.expr("shiftleft(1L, CAST(slot % 32 AS INT))")).alias("mask")
     )
     bitmap = np.zeros(bits // 32, np.uint32)
-    for row in words.toLocalIterator():
-        bitmap[row["word"]] = row["mask"]
+    filled = words.toArrow()
+    bitmap[np.asarray(filled.column("word"), np.int64)] = np.asarray(filled.column("mask"), np.int64).astype(np.uint32)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):

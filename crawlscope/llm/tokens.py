@@ -68,7 +68,8 @@ class Encoder:
         if len(self.known) > self.keep:
             self.known.clear()
             self.used = 0
-        new = [p for p in pieces if p not in self.known]
+        numbers = list(map(self.known.get, pieces))
+        new = [p for p, n in zip(pieces, numbers, strict=True) if n is None]
         joined = list(filter(_WORDED.fullmatch, new))
         single = [] if len(joined) == len(new) else [p for p in new if not _WORDED.fullmatch(p)]
         for low in range(0, len(joined), 4_000):
@@ -83,7 +84,7 @@ class Encoder:
             some = single[low : low + 4_000]
             found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)]
             self._add(some, np.array(list(chain.from_iterable(found)), np.int32), np.array([len(f) for f in found], np.int64))
-        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        return np.array([self.known[p] if n is None else n for p, n in zip(pieces, numbers, strict=True)], np.int64)
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds per text), without the end id."""

@@ -63,7 +63,7 @@ def build_level(keys: DataFrame, level: int, count: int, rate: float) -> Level:
     slots = keys.select(F.explode(_slots(F.col("key"), level, bits, hashes)).alias("slot"))
     words = slots.groupBy(F.floor(F.col("slot") / 64).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot % 64 AS INT))")).alias("w"))
     data = bytearray(bits // 8)
-    for row in words.toLocalIterator():  # at most ``bits`` bits
+    for row in words.collect():  # at most ``bits`` bits
         struct.pack_into("<q", data, 8 * row["i"], row["w"])
     return Level(bits, hashes, bytes(data))
 
