@@ -1,4 +1,4 @@
-from urllib.parse import parse_qsl, urlencode, urljoin, urlparse, urlunparse
+from urllib.parse import parse_qsl, urljoin, urlparse
 
 import pytest
 from hypothesis import HealthCheck, given, settings
