@@ -368,7 +368,6 @@ def region_links(sets: DataFrame, num: int, den: int, limit: int, pivots: int) -
     eps = 1 - num / den
     links = None
     work = sets.select("island", "node", "elements")
-    rounds = 0
     while True:
         size = work.groupBy("island").agg(F.sum(F.size("elements").cast("long")).alias("total"), F.count("*").alias("sets"))
         size = size.filter("sets > 1")
@@ -381,7 +380,6 @@ def region_links(sets: DataFrame, num: int, den: int, limit: int, pivots: int) -
         cut, new = _cut_large(work, big_sizes, num, den, eps, pivots)
         links = links.union(new)
         work = cut
-        rounds += 1
 
 
 def _join_small(group: pa.Table, num: int, den: int) -> pa.Table:

@@ -12,7 +12,6 @@ have empty lists; equal texts have equal results; without a sample of one class
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np

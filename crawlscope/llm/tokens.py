@@ -159,7 +159,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, files: int | None =
     (
         dealt.sortWithinPartitions(*order)
         .mapInArrow(run, SCHEMA)
-        .write.option("orc.compress", "zstd")
+        .write.option("orc.compress", "snappy")
         .option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.create.index", "true")
