@@ -11,7 +11,6 @@ null ids come first; rows with equal ids lie next to each other and count as sep
 
 from __future__ import annotations
 
-import re
 import zlib
 from functools import lru_cache
 from itertools import chain
@@ -28,8 +27,6 @@ from crawlscope.llm.common import new_folder, parts
 END = 0
 _PRINTABLE = K.byte_set((0x21, 0x7E))
 _LETTER = K.byte_set((0x41, 0x5A), (0x61, 0x7A))
-# A blank and visible characters: pieces of which many can be joined and told apart again.
-_WORDED = re.compile(rb" (?:[\x21-\x7e]|\xc3[\x80-\xbf])+")
 _MARK = K.byte_set((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 SCHEMA = "part int, doc_id long, start_in_part long, n_tokens long, ids array<int>"
 
@@ -39,7 +36,7 @@ class Encoder:
     characters and between a letter and a punctuation mark, so the texts are cut there and each different
     piece is encoded once; pieces seen before come from a table of about ``keep`` pieces."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -63,15 +60,15 @@ class Encoder:
         self.known.update(zip(pieces, range(have, have + len(pieces)), strict=True))
         self.used += len(ids)
 
-    def _find(self, pieces: list[bytes]) -> np.ndarray:
-        """Numbers of different pieces in the table, which takes in the new ones."""
+    def _find(self, pieces: list[bytes], worded: np.ndarray) -> np.ndarray:
+        """Numbers of different pieces in the table, which takes in the new ones. ``worded`` marks a blank with
+        visible characters: many such pieces can be encoded as one text and told apart again."""
         if len(self.known) > self.keep:
             self.known.clear()
             self.used = 0
         numbers = list(map(self.known.get, pieces))
-        new = [p for p, n in zip(pieces, numbers, strict=True) if n is None]
-        joined = list(filter(_WORDED.fullmatch, new))
-        single = [] if len(joined) == len(new) else [p for p in new if not _WORDED.fullmatch(p)]
+        joined = [p for p, n, w in zip(pieces, numbers, worded.tolist(), strict=True) if w and n is None]
+        single = [p for p, n, w in zip(pieces, numbers, worded.tolist(), strict=True) if not w and n is None]
         for low in range(0, len(joined), 4_000):
             some = joined[low : low + 4_000]
             ids = np.array(self.tokenizer.encode_batch_fast([b"".join(some).decode()], add_special_tokens=False)[0].ids, np.int32)
@@ -100,7 +97,12 @@ class Encoder:
         if len(twin) != len(data) or not np.array_equal(data[twin], data) or any(m in whole for m in self.marks):
             found = [self.tokenizer.encode(whole[a:b].decode(), add_special_tokens=False).ids for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             return np.array(list(chain.from_iterable(found)), np.int32), np.concatenate([[0], np.cumsum([len(f) for f in found])])
-        number = self._find([whole[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])[kind]
+        hidden = ~_PRINTABLE[data] & (data != 0xC3)
+        hidden[1:] &= data[:-1] != 0xC3
+        hidden = np.concatenate([[0], np.cumsum(hidden, dtype=np.int32)])
+        a, b = starts[first], ends[first]
+        worded = (data[a] == 0x20) & (hidden[b] == hidden[a + 1]) & (b > a + 1)
+        number = self._find([whole[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)], worded)[kind]
         sizes = self.sizes[number]
         ids = self.flat[K.ragged(self.begins[number], sizes)]
         per_piece = np.concatenate([[0], np.cumsum(sizes)])
