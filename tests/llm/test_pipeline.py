@@ -12,33 +12,34 @@ from tools.run_queries import TABLES
 from tools.run_queries import table as plain_table
 
 SMALL = "/root/testdata/sf0.001"
+LABELLED = "/root/testdata/sf0.01"  # with labels enough to learn from
 
 
 
 def test_stages_on_the_whole_table(spark, tmp_path):
-    docs = table(spark, SMALL, "documents")
+    docs = table(spark, LABELLED, "documents")
     columns, counts = docs.columns, [docs.count()]
     for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, docs, SMALL)
+        out = stage(spark, docs, LABELLED)
         if number < len(corpus_pipeline.STAGES) - 1:
             assert out.columns == columns, name
         out.write.parquet(str(tmp_path / str(number)))
         before, docs = docs, spark.read.parquet(str(tmp_path / str(number)))
         counts.append(docs.count())
         if number == 0:
-            judged = toxicity.judge(before, table(spark, SMALL, "labels"))
+            judged = toxicity.judge(before, table(spark, LABELLED, "labels"))
             assert counts[-1] == judged.filter("predicted = 0").count()
         if number == 1:
             again = jaccard.jaccard_join(docs, 5, 80, 100)
             assert again.filter("component_id <> doc_id").count() == 0
         if number == 2:
-            assert decontamination.contaminated(docs, table(spark, SMALL, "benchmark")).count() == 0
+            assert decontamination.contaminated(docs, table(spark, LABELLED, "benchmark")).count() == 0
         if number == 3:
             assert mixing.mix_report(before).selectExpr("sum(taken)").first() == docs.select(mixing.size_of().alias("n")).selectExpr("sum(n)").first()
         if number == 4:
             assert counts[-1] == counts[-2]
     assert counts[0] > counts[1] > counts[2]
-    whole = corpus_pipeline.run(spark, SMALL)
+    whole = corpus_pipeline.run(spark, LABELLED)
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, docs.collect()))
 
 
