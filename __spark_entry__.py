@@ -364,7 +364,7 @@ def src3_walk_unbounded(spark, d):
 
 @query
 def src4_feed_links(spark, d):
-    return discovery.feed_links(A.feed_docs(spark, d))
+    return discovery.feed_links(A.feed_docs(spark, d)).drop("feed_ord")
 
 
 def _discovered(spark, d):
