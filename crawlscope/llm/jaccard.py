@@ -338,10 +338,10 @@ def member_sets(docs: DataFrame, members: DataFrame, n: int, bits: int = 1 << 23
             nodes = digests(values, cut)[0]
             slot = nodes % bits
             hit = (nodes != NONE) & (shared.value[slot // 32] >> (slot % 32).astype(np.uint32) & 1 > 0)
-            _, first = np.unique(nodes, return_index=True)
-            once = np.zeros(len(nodes), bool)
-            once[first] = True
-            pick = np.flatnonzero(hit & once)
+            # The join keeps the row with the class's least id: each piece sends its own least one, null ids last.
+            ids, pick = rows.column(0), np.flatnonzero(hit)
+            pick = pick[np.lexsort((np.asarray(ids.fill_null(0))[pick], np.asarray(ids.is_null())[pick], nodes[pick]))]
+            pick = np.sort(pick[np.unique(nodes[pick], return_index=True)[1]])
             sizes = cut[pick + 1] - cut[pick]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -101,3 +101,15 @@ def test_linked_sets_always_share_a_region():
             for share in (0.0, 0.5, 1.0):
                 cold = lambda s: (s % np.uint64(1_000)).astype(float) >= 1_000 * share
                 assert set(jaccard.signatures(base, cold(base), 85, 100).tolist()) & set(jaccard.signatures(other, cold(other), 85, 100).tolist())
+
+
+def test_copies_in_any_order_of_ids_before_near_copies(spark):
+    """One task and one piece hold copies whose ids descend or are null, and near copies of them after those."""
+    texts = [" ".join(f"{name}{i}" for i in range(60)) for name in "abcd"]
+    ids = [(9, 3, 4), (None, 7, 6), (None, None, 8), (12, None, 11)]
+    rows = [(i, t + end) for t, (*same, near) in zip(texts, ids, strict=True) for i, end in [*((i, "") for i in same), (near, " end")]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = brute(rows, 4, 85, 100)
+    assert want[4, 58, 3] == 1 and want[6, 58, 6] == 1
+    assert got(jaccard.jaccard_join(docs, 4, 85, 100)) == want
+    assert Counter(r["doc_id"] for r in jaccard.one_of_each_class(docs, 4, 85, 100).collect()) == Counter([3, 6, 8, 11])
