@@ -578,27 +578,42 @@ def snk1_write_derived(spark, d):
 
 
 # --- mirror and export -----------------------------------------------------------------------
-@query
-def snk2_p12_content_mirror(spark, d):
-    pages = A.rich_pages(spark, d)
-    visited = paths.page_sequence(canonical.site_pages(_pages(spark, d))).withColumn("depth", F.lit(0)).withColumn(
+def _visited(spark, d):
+    """The page list of the crawl; the given pages have neither depth nor status and count as read roots."""
+    return paths.page_sequence(canonical.site_pages(_pages(spark, d))).withColumn("depth", F.lit(0)).withColumn(
         "status", F.lit(200)
     )
-    return audit.mirror_pages(pages, visited, "2024-01-01T00:00:00")
 
 
 @query
-def snk3_flat_export(spark, d):
-    pages = A.rich_pages(spark, d)
+def snk2_p12_content_mirror(spark, d):
+    return audit.mirror_pages(A.rich_pages(spark, d), _visited(spark, d), "2024-01-01T00:00:00")
+
+
+def _flat_export(pages, listed):
     found = cut_lineage(links.extract_links(pages))
-    listed = content.page_meta(pages).select("site", F.col("page_id").alias("page_ord"), "url", "title")
-    colors = style.palette(style.count_styles(style.declared_styles(pages)).filter("kind = 'color'"))
+    obs = style.count_styles(style.declared_styles(pages)).filter("kind = 'color'")
+    colors = style.palette(obs, k=dims.EXPORT_COLORS)
     out = mirror.flat_export(
         listed, links.nav_links(found), links.site_assets(links.extract_assets(pages)), colors, links.link_graph(found)
     )
     return out.select("site", "part", F.array_join("ord", ".").alias("place"), "value")
 
 
+@query
+def snk3_flat_export(spark, d):
+    pages = A.rich_pages(spark, d)
+    return _flat_export(pages, content.page_meta(pages).select("site", F.col("page_id").alias("page_ord"), "url", "title"))
+
+
+@query
+def snk3_flat_export_whole(spark, d):
+    """The flat export with all six fields of each page of the crawl."""
+    pages = A.rich_pages(spark, d)
+    titles = content.page_meta(pages).select(F.col("page_id").alias("page_ord"), "title")
+    return _flat_export(pages, _visited(spark, d).join(titles, "page_ord"))
+
+
 @query
 def snk3_home_heads(spark, d):
     return mirror.home_heads(_pages(spark, d))

@@ -64,6 +64,7 @@ PALETTE_ROLES = ["Primary", "Secondary", "Accent", "Surface", "Muted"]
 
 # Caps of single pages and reports.
 PAGE_COLORS, PAGE_FONTS = 25, 20
+EXPORT_COLORS = 25  # of the whole crawl, in the flat export
 TOP_COLORS, TOP_FONTS, TOP_NAV, TOP_RESOURCES = 12, 10, 12, 10
 REPORT_SLICES = {"palette": 5, "typography": 4, "navigation": 8, "frameworks": 6, "api": 6}
 MIRROR_IMAGES = 50

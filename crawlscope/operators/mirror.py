@@ -107,7 +107,8 @@ def flat_export(
     """Long form of the flat site export: site, part, ord, value.
 
     Parts: page, nav, script, style, color, edge. Lists stay rows, so a huge site is never
-    folded into one cell.
+    folded into one cell. pages(site, page_ord, url, title): each further field of a page that
+    ``pages`` carries (depth, status, screenshot, screenshot_mobile) is a part of its own, page_<field>.
     """
 
     def part(name: str, df: DataFrame, ord_: Column, value: Column) -> DataFrame:
@@ -120,6 +121,9 @@ def flat_export(
         F.min(F.array("page_id", "link_ord")).alias("ord"), F.min_by("text", F.array("page_id", "link_ord")).alias("text")
     )
     out = part("page", pages, place("page_ord"), F.concat_ws(" ", "url", "title"))
+    for name in ("depth", "status", "screenshot", "screenshot_mobile"):
+        if name in pages.columns:
+            out = out.unionByName(part(f"page_{name}", pages, place("page_ord"), F.col(name).cast("string")))
     out = out.unionByName(part("nav", first_nav, F.col("ord"), F.concat_ws(" ", "href", "text")))
     out = out.unionByName(
         assets.select("site", F.col("kind").alias("part"), place("first_page").alias("ord"), F.col("src").alias("value"))

@@ -269,6 +269,14 @@ UNION ALL SELECT site, kind, CAST(first_page AS VARCHAR), src FROM ({SITE_ASSETS
 UNION ALL SELECT site, 'color', CAST(rank AS VARCHAR), value FROM ({DECLARED_PALETTE})
 UNION ALL SELECT site, 'edge', page_id || '.' || link_ord, {C.norm('page_url')} || ' ' || {C.norm('href')} || ' ' || parent FROM links
 """
+# A JSON page of the reference's export has these six fields (cli.py:791-801).
+SQL["snk3_flat_export_whole"] = f"""
+WITH shown AS (SELECT s.*, {_first(C.visible(), 'title')} AS title FROM ({SEQUENCE}) s JOIN (SELECT page_id, html FROM pages) f ON f.page_id = s.page_ord)
+SELECT site, part, CAST(page_ord AS VARCHAR) AS place, value
+FROM (SELECT site, page_ord, unnest(['page', 'page_depth', 'page_status', 'page_screenshot', 'page_screenshot_mobile']) AS part,
+             unnest([url || ' ' || title, '0', '200', screenshot, screenshot_mobile]) AS value FROM shown)
+UNION ALL SELECT site, part, place, value FROM ({SQL['snk3_flat_export']}) WHERE part <> 'page'
+"""
 SQL["snk3_home_heads"] = f"""
 SELECT site, page_id AS page_ord, head FROM (SELECT {C.host()} AS site, page_id, regexp_extract(html, '(?is)<head[^>]*>(.*?)</head>', 1) AS head FROM pages)
 QUALIFY row_number() OVER (PARTITION BY site ORDER BY page_id) = 1

@@ -82,3 +82,21 @@ def test_crawl_pipeline(spark):
     assert tables["shots"].count() == 4 and tables["assets"].first().pages == 4
     mirrored = audit.mirror_pages(pages, tables["shots"].withColumn("status", F.lit(200)), "now")
     assert {r.content_path.removeprefix("_audit/content/") for r in mirrored.collect()} == {"_index.md", "a.md", "b.md", "c.md"}
+
+
+def test_flat_export_has_25_colours_and_six_page_fields(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as entry
+
+    rules = "".join(f".c{i} {{ color: rgb({i}, 0, 0) }}" * (40 - i) for i in range(30))
+    html = f"<html><head><title>T</title><style>{rules}</style></head><body>x</body></html>"
+    pages = spark.createDataFrame([(1, "https://a.org/x", html)], "page_id bigint, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    monkeypatch.setattr(entry.A, "rich_pages", lambda *_: pages)
+    want = [(str(i + 1), f"rgb({i}, 0, 0)") for i in range(25)]
+    for name in ("snk3_flat_export", "snk3_flat_export_whole"):
+        got = entry.queries()[name](spark, str(tmp_path)).collect()
+        assert sorted(((r.place, r.value) for r in got if r.part == "color"), key=lambda c: int(c[0])) == want
+    assert {r.part: r.value for r in got if r.part != "color"} == {
+        "page": "https://a.org/x T", "page_depth": "0", "page_status": "200",
+        "page_screenshot": "_audit/screenshots/001-x-pc.png", "page_screenshot_mobile": "_audit/screenshots/001-x-mobile.png",
+    }
