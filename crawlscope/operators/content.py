@@ -13,7 +13,8 @@ from crawlscope.functions.arrays import bind, distinct_by
 from crawlscope.operators.dom import parse_content, parse_forms
 
 # Lists within lists that JSON-LD blocks are searched through.
-LIST_LEVELS = 5
+LIST_LEVELS = 5  # flattened on every block; deeper lists only where they occur
+MAX_NESTING = 1000  # of the JSON parser
 _JSON_LD = r"(?is)<script\b[^>]*\stype\s*=\s*[\"']?application/ld\+json[^>]*>(.*?)</script\s*>"
 # Pages whose content root or sections need the parser: nested or repeated roots, or sections.
 _NEEDS_PARSER = (
@@ -189,10 +190,19 @@ def structured_types(block: Column) -> Column:
     def flat(item: Column) -> Column:
         return F.when(F.ltrim(item).startswith("["), F.from_json(item, "array<string>")).otherwise(F.array(item))
 
+    def step(items: Column) -> Column:
+        return F.flatten(F.transform(items, flat))
+
+    def deeper(items: Column) -> Column:
+        # Lists nest at most as deep as the block has brackets; the parser itself ends at MAX_NESTING.
+        levels = F.least(F.length(F.regexp_replace(block, r"[^\[]", "")), F.lit(MAX_NESTING))
+        rest = F.aggregate(F.array_repeat(F.lit(0), levels), items, lambda now, _: step(now))
+        return F.when(F.exists(items, lambda i: F.ltrim(i).startswith("[")), rest).otherwise(items)
+
     items = F.array(block)
     for _ in range(LIST_LEVELS):
-        items = F.flatten(F.transform(items, flat))
-    return F.transform(F.flatten(F.transform(items, of_item)), X.mask_pii)
+        items = step(items)
+    return bind(items, lambda i: F.transform(F.flatten(F.transform(deeper(i), of_item)), X.mask_pii))
 
 
 def page_types(structured: DataFrame) -> DataFrame:

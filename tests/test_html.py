@@ -180,3 +180,14 @@ def test_pages_without_html_stay(spark):
     got = content.extract_content(df).orderBy("page_id").collect()
     assert [(r.page_id, r.body_text, r.word_count) for r in got] == [(1, "", 0), (2, "", 0)]
     assert content.page_records(df).count() == 2 and links.extract_links(df).count() == 0
+
+
+def test_types_in_lists_of_any_depth(spark):
+    def block(depth):
+        return "[" * depth + '{"@type": "Deep", "x": [1, [2]]}, {"@type": ["A", "B"]}, 3' + "]" * depth
+
+    rows = spark.createDataFrame([(d, [block(d), '{"@type": "Last"}']) for d in (1, 5, 6, 9, 40, 300)], "page_id int, json_ld array<string>")
+    got = content.page_types(rows).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ord", "type"))).alias("t")).collect()
+    assert len(got) == 6
+    for r in got:
+        assert [t.type for t in r.t] == ["Deep", "A", "B", "Unknown", "Last"], r.page_id
