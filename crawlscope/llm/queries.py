@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlscope.llm import decontamination, grid_join, jaccard, language, mixing, quality, secrets, tokens, toxicity, url_filter
+from crawlscope.llm import bpe, decontamination, grid_join, jaccard, language, mixing, quality, secrets, tokens, toxicity, url_filter
 from crawlscope.llm.common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,10 +24,10 @@ def query(fn):
     return run
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @query
@@ -124,3 +124,9 @@ FROM embeddings e JOIN least ON e.vec_id = least.a LEFT JOIN degree ON e.vec_id
 @query
 def op10_string_kernel_language(spark, d):
     return language.identify(table(spark, d, "documents"))
+
+
+@query
+def op13_bpe_round_trip(spark, d):
+    path = tokenizer_path("word_bpe_49k.json")
+    return bpe.digests(bpe.decode(bpe.encode(table(spark, d, "documents"), path), path))
