@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlscope.llm import bpe, decontamination, grid_join, jaccard, language, mixing, quality, secrets, tokens, toxicity, url_filter
+from crawlscope.llm import bpe, decontamination, grid_join, jaccard, language, mixing, quality, ranked_search, secrets, tokens, toxicity, url_filter
 from crawlscope.llm.common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,6 +126,32 @@ def op10_string_kernel_language(spark, d):
     return language.identify(table(spark, d, "documents"))
 
 
+@query
+def op11_block_max_search(spark, d):
+    index = ranked_search.build_index(table(spark, d, "documents"))
+    return ranked_search.search(spark, index, table(spark, d, "benchmark"))
+
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLES["op11_block_max_search"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS terms FROM documents),
+sized AS (SELECT row, doc_id, len(terms)::BIGINT AS n, terms FROM docs WHERE len(terms) > 0),
+totals AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM sized),
+postings AS (SELECT row, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT row, doc_id, n, unnest(terms) AS term FROM sized) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM postings, totals GROUP BY term),
+items AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, row, doc_id,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * big_n) // big_l))))::BIGINT AS score
+  FROM items JOIN weights USING (term) JOIN postings USING (term), totals GROUP BY ALL),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 @query
 def op13_bpe_round_trip(spark, d):
     path = tokenizer_path("word_bpe_49k.json")
