@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlscope.llm import bpe, decontamination, grid_join, jaccard, language, mixing, quality, ranked_search, secrets, tokens, toxicity, url_filter
+from crawlscope.llm import bpe, decontamination, grid_join, jaccard, language, mixing, phrases, quality, ranked_search, secrets, tokens, toxicity, url_filter
 from crawlscope.llm.common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,6 +152,43 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 """
 
 
+@query
+def op12_quotient_phrases(spark, d):
+    return phrases.phrases(table(spark, d, "documents"))
+
+
+_LANGS = "coalesce(lang, 'und')"
+ORACLES["op12_quotient_phrases"] = f"""
+WITH pieces AS (
+  SELECT {_LANGS} AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+spread AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded),
+triples AS (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z FROM spread),
+runs AS (
+  SELECT lang, x AS p, 1 AS size, NULL AS p1, NULL AS r1, NULL AS p2, NULL AS r2, count(*)::BIGINT AS f FROM triples GROUP BY ALL
+  UNION ALL SELECT lang, x || ' ' || y, 2, x, y, NULL, NULL, count(*) FROM triples WHERE y IS NOT NULL GROUP BY lang, x, y
+  UNION ALL SELECT lang, x || ' ' || y || ' ' || z, 3, x, y || ' ' || z, x || ' ' || y, z, count(*) FROM triples WHERE z IS NOT NULL GROUP BY lang, x, y, z),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM runs WHERE size = 1 GROUP BY lang),
+often AS (SELECT * FROM runs WHERE f >= 10),
+halves AS (
+  SELECT lang, p, size, f, 1 AS k, p1 AS lp, r1 AS rp FROM often WHERE size > 1 UNION ALL SELECT lang, p, size, f, 2, p2, r2 FROM often WHERE size = 3),
+cuts AS (
+  SELECT h.lang, h.p, h.size, h.f AS a, k, l.f AS l, r.f AS r, (1000000::HUGEINT * h.f * h.f) // (l.f::HUGEINT * r.f) AS score
+  FROM halves h JOIN often l ON l.lang = h.lang AND l.p = h.lp JOIN often r ON r.lang = h.lang AND r.p = h.rp),
+best AS (SELECT lang, p, size, a, min(struct_pack(score := score, k := k, l := l, r := r)) AS b FROM cuts GROUP BY ALL),
+inside AS (
+  SELECT lang, p, max(f) AS longer FROM (
+    SELECT lang, p2 AS p, f FROM often WHERE size = 3 UNION ALL SELECT lang, r1, f FROM often WHERE size = 3) GROUP BY ALL),
+kept AS (
+  SELECT best.* FROM best LEFT JOIN inside ON best.lang = inside.lang AND best.p = inside.p WHERE longer IS NULL OR 100 * longer < 50 * a OR size = 3),
+ranked AS (
+  SELECT lang, p AS phrase, a, b.l AS l, b.r AS r, b.score::BIGINT AS score,
+    row_number() OVER (PARTITION BY lang ORDER BY b.score DESC, a DESC, p)::INTEGER AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 @query
 def op13_bpe_round_trip(spark, d):
     path = tokenizer_path("word_bpe_49k.json")
