@@ -2,9 +2,10 @@
 counting quotient filters.
 
 1. Tasks split their texts into chunks, number the words of a chunk and store the chunk as word numbers, next
-   to its word list with counts.
-2. The lists add up to the counts of all words of a language. Only words that are frequent enough can be in a
-   phrase that is, so these alone get ids; chunks and their words' ids meet by chunk number.
+   to its word lists with counts, one for each language.
+2. The lists are cut by hashes of words into buckets of about ``BUCKET`` bytes, where counts are added up. Only
+   words that are frequent enough can be in a phrase that is, so these alone get ids, which go back to
+   the chunks. Lists move as packed arrays, not as a row per word.
 3. Every run of two or three such words is packed into an integer of three ids and sent through a Feistel
    network, a permutation of integers of that width. Its high bits (quotient) are then spread evenly
    whatever the phrases, its low bits (remainder) are kept in full, so a filter loses nothing: from the place
@@ -31,20 +32,61 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlscope.llm import kernels as K
-from crawlscope.llm.common import parts, prefix_sums, stored
+from crawlscope.llm.common import parts, stored
 
 BREAK = K.byte_set((0x2E, 0x2E), (0x2C, 0x2C), (0x3B, 0x3B), (0x3A, 0x3A), (0x21, 0x21), (0x3F, 0x3F), (0x0A, 0x0D))
 BLANK = K.byte_set((0x20, 0x20), (0x09, 0x09))
-CHUNK, MERGE, STEP, HELD = 4 << 20, 4 << 20, 8, 3 << 20
-MOST_IDS = 1 << 32
-CHUNKS = "chunk long, number int, lang string, word string, cnt long, tokens binary"
+NEWLINE = K.byte_set((0x0A, 0x0A))  # in no word
+CHUNK, BUCKET, MERGE, STEP, HELD = 1 << 20, 4 << 20, 1 << 19, 10, 1 << 19
+MOST_IDS, SPAN = 1 << 32, 1 << 18
+CHUNKS = "chunk long, lang string, base int, words string, counts binary, tokens binary"
+LISTS = "bucket long, chunk long, lang string, words string, numbers binary, counts binary"
+KNOWN = "chunk long, numbers binary, ids binary, lang string, word string, f long, id long"
 FILTERS = "bucket long, shard long, n long, filter binary"
 _ROUNDS = [K.U64(0x9E3779B97F4A7C15 * (2 * i + 1) & (1 << 64) - 1) for i in range(4)]
 
 
-# --- chunks of word numbers ---------------------------------------------------------------
+# --- words ---------------------------------------------------------------------------------
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of ascending byte ranges, some at a time, so that little memory is held."""
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(data) + SPAN, SPAN)), len(starts)))
+    out = np.empty(len(starts), K.U64)
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        a = starts[i]
+        out[i:j] = K.hashes(data[a : ends[j - 1]], starts[i:j] - a, ends[i:j] - a)
+    return out
+
+
+def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each word, which is a byte range and a language, and where each number is first met. Words with
+    equal hashes are compared byte by byte."""
+    lang = lang.astype(K.U64)
+    with np.errstate(over="ignore"):
+        hashed = K.mix(word_hashes(data, starts, ends) + lang * K.ODD[0])
+    _, first, number = np.unique(hashed, return_index=True, return_inverse=True)
+    sizes = ends - starts
+    same = np.array_equal(sizes, sizes[first][number]) and np.array_equal(lang, lang[first][number])
+    if same and np.array_equal(data[K.ragged(starts, sizes)], data[K.ragged(starts[first][number], sizes)]):
+        return number, first
+    known, whole = {}, data.tobytes()
+    keys = zip(lang.tolist(), (whole[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), strict=True)
+    number = np.array([known.setdefault(k, len(known)) for k in keys])
+    return number, np.unique(number, return_index=True)[1]
+
+
+def packed(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Binary or string array of the bytes between the bounds."""
+    return pa.Array.from_buffers(kind, len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The byte ranges one after the other, as one string from each cut to the next."""
+    bounds = np.concatenate([[0], np.cumsum(sizes)])[cuts]
+    return packed(data[K.ragged(starts, sizes)], bounds, pa.string())
+
+
 def _chunk(chunk: int, langs: list[str], texts: list[tuple[np.ndarray, np.ndarray]]):
-    """One row of word numbers, 0 between pieces, and one row per different word."""
+    """A row of word numbers, 0 between pieces, and a row with the list of words of each language."""
     data = np.concatenate([d for d, _ in texts])
     bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, b in texts]))])
     data = data + (((data >= 0x41) & (data <= 0x5A)) * np.uint8(0x20))
@@ -52,38 +94,36 @@ def _chunk(chunk: int, langs: list[str], texts: list[tuple[np.ndarray, np.ndarra
     if not len(starts):
         return
     names, lang_of = np.unique(np.array(langs, object), return_inverse=True)
-    lang = np.repeat(lang_of, np.diff(cut)).astype(K.U64)
-    with np.errstate(over="ignore"):
-        hashed = K.mix(K.hashes(data, starts, ends) + lang * K.ODD[0])
-    _, first, number = np.unique(hashed, return_index=True, return_inverse=True)
-    sizes = ends - starts
-    whole = data.tobytes()
-    same = np.array_equal(sizes, sizes[first][number]) and np.array_equal(lang, lang[first][number])
-    if not (same and np.array_equal(data[K.ragged(starts, sizes)], data[K.ragged(starts[first][number], sizes)])):
-        known: dict = {}  # two words have one hash
-        keys = zip(lang.tolist(), (whole[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), strict=True)
-        number = np.array([known.setdefault(k, len(known)) for k in keys])
-        first = np.unique(number, return_index=True)[1]
+    lang = np.repeat(lang_of, np.diff(cut))
+    number, first = numbered(data, starts, ends, lang)
+    order = np.argsort(lang[first], kind="stable")  # words of a language get consecutive numbers
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    number, first = place[number], first[order]
     broken = np.concatenate([[0], np.cumsum(BREAK[data], dtype=np.int64)])
     apart = broken[starts[1:]] != broken[ends[:-1]]
-    apart[cut[1:-1][(cut[1:-1] > 0) & (cut[1:-1] < len(starts))] - 1] = True
+    inner = cut[1:-1]
+    apart[inner[(inner > 0) & (inner < len(starts))] - 1] = True
     tokens = np.insert(number + 1, np.flatnonzero(apart) + 1, 0).astype("<u4")
-    counts = np.bincount(number, minlength=len(first))
-    words = [whole[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-    n = len(words)
-    columns = ["chunk", "number", "lang", "word", "cnt", "tokens"]
+    counts = np.bincount(number, minlength=len(first)).astype("<u4")
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(lang[first], minlength=len(names)))])
+    lists = gathered(np.append(data, np.uint8(0x0A)), *_lines(starts[first], ends[first], len(data)), 2 * cuts)
+    n = len(names)
     yield pa.RecordBatch.from_arrays(
-        [pa.array([chunk]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([tokens.tobytes()])], columns
-    )
-    rows = pa.RecordBatch.from_arrays(
         [
-            pa.array(np.full(n, chunk)), pa.array(np.arange(1, n + 1, dtype=np.int32)), pa.array(names[lang[first].astype(np.int64)].tolist(), pa.string()),
-            pa.array(words, pa.string()), pa.array(counts), pa.nulls(n, pa.binary()),
+            pa.array(np.full(n + 1, chunk)), pa.array([None, *names], pa.string()), pa.array([None, *cuts[:-1].tolist()], pa.int32()),
+            pa.concat_arrays([pa.nulls(1, pa.string()), lists]), pa.concat_arrays([pa.nulls(1, pa.binary()), packed(counts, 4 * cuts, pa.binary())]),
+            pa.array([tokens.tobytes()] + [None] * n, pa.binary()),
         ],
-        columns,
+        ["chunk", "lang", "base", "words", "counts", "tokens"],
     )
-    for low in range(0, n, 20_000):
-        yield rows.slice(low, 20_000)
+
+
+def _lines(starts: np.ndarray, ends: np.ndarray, newline: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges of words, each with a range of the line break at ``newline`` behind it."""
+    both, sizes = np.full(2 * len(starts), newline), np.ones(2 * len(starts), np.int64)
+    both[::2], sizes[::2] = starts, ends - starts
+    return both, sizes
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -103,6 +143,76 @@ def chunks(docs: DataFrame) -> DataFrame:
     return stored(rows.mapInArrow(run, CHUNKS), "chunks")
 
 
+def cut_lists(rows: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
+    """A chunk's list of one language by buckets of the words' hashes."""
+    chunk, lang, base, counts = (rows.column(i)[0].as_py() for i in (0, 1, 2, 4))
+    data, bounds = K.utf8(rows.column(3))
+    starts, ends, _ = K.words(data, bounds, NEWLINE)
+    bucket = (word_hashes(data, starts, ends) % K.U64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    here, begins = np.unique(bucket[order], return_index=True)
+    cuts, n = np.append(begins, len(order)), len(here)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(here), pa.array([chunk] * n, pa.int64()), pa.array([lang] * n, pa.string()),
+            gathered(data, starts[order], (ends - starts + 1)[order], cuts), packed((base + 1 + order).astype("<u4"), 4 * cuts, pa.binary()),
+            packed(np.frombuffer(counts, "<u4")[order], 4 * cuts, pa.binary()),
+        ],
+        ["bucket", "chunk", "lang", "words", "numbers", "counts"],
+    )
+
+
+def add_up(rows: pa.Table, buckets: int, least: int) -> pa.Table:
+    """Words of one bucket: the ids of frequent ones for each chunk, their counts, and the sum of all by language."""
+    rows = rows.combine_chunks()
+    data, bounds = K.utf8(rows["words"].chunk(0))
+    starts, ends, cut = K.words(data, bounds, NEWLINE)
+    names, lang_of = np.unique(np.array(rows["lang"].to_pylist(), object), return_inverse=True)
+    lang = np.repeat(lang_of, np.diff(cut))
+    number, first = numbered(data, starts, ends, lang)
+    numbers, counts = (np.frombuffer(b"".join(rows[c].to_pylist()), "<u4") for c in ("numbers", "counts"))
+    order = np.argsort(number, kind="stable")
+    f = np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(np.diff(number[order], prepend=-1)))
+    often = f >= least
+    ids = (np.cumsum(often) - 1) * buckets + rows["bucket"][0].as_py() + 1
+    mine = often[number]
+    cuts = 4 * np.concatenate([[0], np.cumsum(mine)])[cut]
+    whole, kept = data.tobytes(), first[often]
+    sums = np.zeros(len(names), np.int64)
+    np.add.at(sums, lang[first], f)
+    words = [whole[a:b].decode() for a, b in zip(starts[kept].tolist(), ends[kept].tolist(), strict=True)]
+    parts_ = [
+        {"chunk": rows["chunk"], "numbers": packed(numbers[mine], cuts, pa.binary()), "ids": packed(ids[number][mine].astype("<u4"), cuts, pa.binary())},
+        {"lang": names[lang[kept]].tolist(), "word": words, "f": f[often], "id": ids[often]},
+        {"lang": names.tolist(), "f": sums},
+    ]
+    kinds = {"chunk": pa.int64(), "numbers": pa.binary(), "ids": pa.binary(), "lang": pa.string(), "word": pa.string(), "f": pa.int64(), "id": pa.int64()}
+    made = []
+    for part in parts_:
+        n = len(next(iter(part.values())))
+        columns = [part.get(c) if c in part else pa.nulls(n, kind) for c, kind in kinds.items()]
+        made.append(pa.table({c: x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, kinds[c]) for c, x in zip(kinds, columns, strict=True)}))
+    return pa.concat_tables(made)
+
+
+def known_words(lists: DataFrame, least: int) -> DataFrame:
+    """Rows of chunks (chunk, numbers, ids), of words met ``least`` times (lang, word, f, id) and of languages (lang, f). Ids
+    are above 0, and differ by the number of buckets inside a bucket."""
+    lists = lists.filter(F.col("words").isNotNull())
+    size = lists.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    buckets = 1 + size // BUCKET
+
+    def cut(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield cut_lists(batch.slice(i, 1), buckets)
+
+    def finish(rows: pa.Table) -> pa.Table:
+        return add_up(rows, buckets, least)
+
+    return stored(lists.mapInArrow(cut, LISTS).groupBy("bucket").applyInArrow(finish, KNOWN), "words")
+
+
 # --- the filter ----------------------------------------------------------------------------
 class Packing:
     """Integers of three word ids in two halves of equal width, and their permutation."""
@@ -246,14 +356,7 @@ def runs(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 # --- Spark steps ---------------------------------------------------------------------------
-def word_ids(words: DataFrame, least: int) -> DataFrame:
-    """(lang, word, f, id) of the words that occur ``least`` times: ids from 1, without gaps."""
-    frequent = words.filter(F.col("f") >= least).withColumn("one", F.lit(1).cast("long"))
-    numbered = prefix_sums(frequent, [], ["lang", "word"], "one", "id")
-    return stored(numbered.select("lang", "word", "f", (F.col("id") + 1).alias("id")), "words")
-
-
-def shard_filters(lists: DataFrame, ids: DataFrame, packing: Packing, lead: int) -> DataFrame:
+def shard_filters(lists: DataFrame, known: DataFrame, packing: Packing, lead: int) -> DataFrame:
     """Filters of the shards, each a task's chunks up to about ``HELD`` entries."""
 
     def run(batches):
@@ -285,25 +388,23 @@ def shard_filters(lists: DataFrame, ids: DataFrame, packing: Packing, lead: int)
 
         tokens, number, word = None, [], []
         for batch in batches:
-            ends = [i for i, v in enumerate(batch.column(3).is_valid().to_pylist()) if v]  # a chunk's numbers come first
-            for a, b in zip([0, *ends], [*ends, batch.num_rows], strict=True):
-                if a in ends and a < b:
+            for numbers, ids, text in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                if text is not None:  # a chunk's tokens come first
                     if tokens is not None:
                         yield from fill(tokens, number, word)
-                    tokens, number, word = np.frombuffer(batch.column(3)[a].as_py(), "<u4"), [], []
-                    a += 1
-                if a < b:
-                    some = batch.slice(a, b - a)
-                    number.append(some.column(1).to_numpy(zero_copy_only=False))
-                    word.append(some.column(2).to_numpy(zero_copy_only=False).astype(np.uint32))
+                    tokens, number, word = np.frombuffer(text, "<u4"), [], []
+                else:
+                    number.append(np.frombuffer(numbers, "<u4"))
+                    word.append(np.frombuffer(ids, "<u4"))
         if tokens is not None:
             yield from fill(tokens, number, word)
         if size:
             yield from flush()
 
-    texts = lists.filter(F.col("tokens").isNotNull()).select("chunk", F.lit(None).cast("int").alias("number"), F.lit(None).cast("long").alias("id"), "tokens")
-    known = lists.filter(F.col("word").isNotNull()).join(ids, ["lang", "word"]).select("chunk", "number", "id", F.lit(None).cast("binary").alias("tokens"))
-    dealt = texts.unionByName(known).repartition(parts(lists.sparkSession), "chunk").sortWithinPartitions("chunk", F.col("tokens").isNull())
+    none = F.lit(None).cast("binary")
+    texts = lists.filter(F.col("tokens").isNotNull()).select("chunk", none.alias("numbers"), none.alias("ids"), "tokens")
+    back = known.filter(F.col("chunk").isNotNull()).select("chunk", "numbers", "ids", none.alias("tokens"))
+    dealt = texts.unionByName(back).repartition(parts(lists.sparkSession), "chunk").sortWithinPartitions("chunk", F.col("tokens").isNull())
     return dealt.mapInArrow(run, FILTERS)
 
 
@@ -334,16 +435,15 @@ def phrases(docs: DataFrame, least: int = 10, cover: int = 50, k: int = 2_000) -
     highest score a*a/(l*r) in millionths, of those that occur at least ``least`` times and are not
     inside a longer one with at least ``cover`` percent of their occurrences."""
     lists = chunks(docs)
-    words = lists.filter(F.col("word").isNotNull()).groupBy("lang", "word").agg(F.sum("cnt").alias("f"))
-    words = stored(words, "counts")
-    ids = word_ids(words, least)
-    n_ids, n_words = ids.agg(F.count("*"), F.coalesce(F.sum("f"), F.lit(0))).first()
-    packing, most = Packing(n_ids), 2 * n_words
+    known = known_words(lists, least)
+    ids = known.filter(F.col("id").isNotNull()).select("lang", "word", "f", "id")
+    highest, n_words = ids.agg(F.coalesce(F.max("id"), F.lit(0)), F.coalesce(F.sum("f"), F.lit(0))).first()
+    packing, most = Packing(highest), 2 * n_words
     lead = min(STEP, last_lead(packing, most))
-    filters = shard_filters(lists, ids.select("lang", "word", "id"), packing, lead)
+    filters = shard_filters(lists, known, packing, lead)
     found = stored(merge_filters(filters, packing, lead, most, least), "runs")
     ranked = rank_phrases(score(found, ids, cover), ids, k)
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
+    totals = known.filter(F.col("id").isNull() & F.col("lang").isNotNull()).groupBy("lang").agg(F.sum("f").alias("n"))
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 

@@ -53,7 +53,7 @@ def test_random_texts_in_many_shards_and_rounds(spark, monkeypatch):
     assert len(expected) > 100
     assert sorted(map(tuple, P.phrases(docs, least=5).collect())) == expected
     # Small bounds: several chunks a task, several filters a chunk, merges in several rounds.
-    for name, value in (("CHUNK", 900), ("HELD", 40), ("MERGE", 100), ("STEP", 2)):
+    for name, value in (("CHUNK", 900), ("BUCKET", 300), ("HELD", 40), ("MERGE", 100), ("STEP", 2)):
         monkeypatch.setattr(P, name, value)
     batch, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set(batch, 20)
@@ -76,8 +76,6 @@ def test_odd_rows(spark, odd_docs, clashing, no_docs):
     assert P.phrases(no_docs).collect() == []
 
 
-ids = st.integers(1, 20)
-
 
 @settings(max_examples=60, deadline=None)
 @given(n_ids=st.sampled_from([1, 2, 3, 20, 1000, 2**21 - 1, 2**21, 2**27, 2**32 - 1]), seed=st.integers(0, 99), n=st.integers(1, 400), lead=st.integers(0, 5))
