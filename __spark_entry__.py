@@ -23,7 +23,7 @@ from crawlscope.plans import audit  # noqa: E402
 from crawlscope.session import cut_lineage, shared_dir  # noqa: E402
 from crawlscope.sources import adapters as A  # noqa: E402
 from crawlscope.sources import readers, writers  # noqa: E402
-from crawlscope.streaming import incremental  # noqa: E402
+from crawlscope.streaming import incremental, keyed  # noqa: E402
 from oracles import ORACLES  # noqa: E402
 
 try:
@@ -238,6 +238,19 @@ def h9_a1_declared_palette(spark, d):
     return style.palette(style.count_styles(style.declared_styles(A.rich_pages(spark, d))).filter("kind = 'color'"), per_page=dims.PAGE_COLORS)
 
 
+@query
+def h9_computed_colors(spark, d):
+    """Colours that the elements of each page end up with, by the cascade of its sheets."""
+    seen = style.computed_styles(A.styled_pages(spark, d)).filter("kind = 'color'")
+    return seen.select("site", "page_id", "value", "cnt")
+
+
+@query
+def h9_a1_computed_palette(spark, d):
+    seen = style.computed_styles(A.styled_pages(spark, d)).filter("kind = 'color'")
+    return style.palette(seen, per_page=dims.PAGE_COLORS)
+
+
 @query
 def h10_feed_hints(spark, d):
     return links.feed_link_hints(A.rich_pages(spark, d), limit=dims.MAX_FEEDS)
@@ -563,6 +576,12 @@ def a15_payload_profile(spark, d):
     return api.payload_profile(bodies)
 
 
+@query
+def a15_payload_fields(spark, d):
+    """Fields at every depth of bodies whose shape changes from event to event."""
+    return api.payload_fields(A.nested_log(spark, d).select("site", "url", "body"))
+
+
 @query
 def a15_payload_schema(spark, d):
     return api.payload_schema(A.fetch_log(spark, d).select("site", "url", "body"))
@@ -749,6 +768,24 @@ def s4_stream_fresh_urls(spark, d):
     return incremental.drain(fresh).select("site", "norm_url")
 
 
+@query
+def s4_stream_duplicate_groups(spark, d):
+    """Groups of canonical URLs as keyed state over the stream of pages, joined back to all pages."""
+    keyed.with_state_store(spark)
+    pages = incremental.read_stream(spark, d, "pages").select("page_id", "url")
+    groups = incremental.drain(keyed.running_groups(pages), ["norm_url"])
+    return keyed.members(keyed.page_rows(spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url")), groups)
+
+
+@query
+def s4_stream_politeness(spark, d):
+    """Gaps of the request stream by stretches of a day."""
+    keyed.with_state_store(spark)
+    log = A.select(incremental.read_stream(spark, d, "events"), A.FETCH_LOG).select("site", F.col("ts").cast("timestamp").alias("ts"))
+    stretches = incremental.drain(keyed.running_gaps(log, "60 days", 600_000, "1 day"), ["site", "bucket", "kind"])
+    return keyed.gap_report(stretches, 600_000)
+
+
 @query
 def s4_stream_stage_status(spark, d):
     log = A.select(incremental.read_stream(spark, d, "orders"), A.STAGE_LOG)

@@ -161,3 +161,12 @@ API_CAUTION_REQUEST = "verify_api_structure"
 
 # Journey grades by pages on the path.
 JOURNEY_GOOD, JOURNEY_FAIR = 3, 5
+
+# What browsers apply before any sheet of a page, and the window of the desktop view.
+BASE_STYLES = (
+    "html { color: #000; font-family: 'Times New Roman'; font-size: 16px; font-weight: 400 } a:any-link { color: #0000ee }"
+    " h1 { font-size: 2em } h2 { font-size: 1.5em } h3 { font-size: 1.17em } h5 { font-size: .83em } h6 { font-size: .67em }"
+    " h1, h2, h3, h4, h5, h6, b, strong, th { font-weight: 700 } b, strong { font-weight: bolder }"
+    " small { font-size: smaller } mark { background-color: #ff0; color: #000 }"
+)
+VIEWPORT_WIDTH = 1920

@@ -42,7 +42,10 @@ _ENTITIES = [
     ("&middot;", "·"),
     ("&amp;", "&"),
 ]
-_OTHER_ENTITY = r"&(?!(?:lt|gt|quot|#39|apos|nbsp|copy|middot|amp);)(?:#\d+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+# Names that also count without a semicolon, longest first.
+_OPEN_NAMES = sorted((name for name in html5 if not name.endswith(";")), key=lambda name: (-len(name), name))
+_OPEN = "(?:" + "|".join(_OPEN_NAMES) + ")"
+_OTHER_ENTITY = rf"&(?!(?:lt|gt|quot|#39|apos|nbsp|copy|middot|amp);)(?:#\d|#[xX][0-9a-fA-F]|[A-Za-z][A-Za-z0-9]*;|{_OPEN})"
 # All named entities, from the table of the standard library that the parser pass uses too.
 _NAMED = json.dumps({name[:-1]: value for name, value in html5.items() if name.endswith(";")})
 
@@ -56,13 +59,22 @@ def visible(html: Column) -> Column:
     return F.regexp_replace(html, _HIDDEN, "")
 
 
-def _decode_any(raw: Column) -> Column:
-    """Decode named and numeric entities of any kind; unknown ones stay."""
+def _decode_any(raw: Column, attribute: bool) -> Column:
+    """Decode named and numeric entities of any kind; unknown ones stay. A name may lack its semicolon where the
+    standard has it so, then the longest one counts; in an attribute not before a letter, a digit or ``=``."""
+    open_name = _OPEN + (r"(?![=A-Za-z0-9])" if attribute else "")
     pieces = F.regexp_extract_all(
-        raw, F.lit(r"(?s)&#\d{1,7};|&#[xX][0-9a-fA-F]{1,6};|&[A-Za-z][A-Za-z0-9]*;|&|[^&]+"), F.lit(0)
+        raw, F.lit(rf"(?s)&#\d+;?|&#[xX][0-9a-fA-F]+;?|&[A-Za-z][A-Za-z0-9]*;|&{open_name}|&|[^&]+"), F.lit(0)
     )
     named = F.from_json(F.lit(_NAMED), "map<string,string>")
 
+    def by_beginning(p: Column) -> Column:
+        def split(name: Column) -> Column:
+            known = F.concat(F.try_element_at(named, name), F.substring(p, F.length(name) + 2, F.length(p)))
+            return F.when(name != "", known).otherwise(p)
+
+        return bind(F.regexp_extract(p, rf"^&({open_name})", 1), split)
+
     def char(number: Column) -> Column:
         def of(n: Column) -> Column:
             valid = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
@@ -75,25 +87,25 @@ def _decode_any(raw: Column) -> Column:
         return bind(number, of)
 
     def piece(p: Column) -> Column:
-        code = F.regexp_extract(p, r"^&#[xX]?([0-9a-fA-F]+);$", 1)
+        code = F.regexp_extract(p, r"^&#[xX]?([0-9a-fA-F]+);?$", 1)
         return (
-            F.when(p.rlike(r"^&#\d"), char(code.try_cast("bigint")))
-            .when(p.rlike(r"^&#[xX]"), char(F.conv(code, 16, 10).try_cast("bigint")))
-            .when(p.rlike(r"^&[A-Za-z]"), F.coalesce(F.try_element_at(named, F.btrim(p, F.lit("&;"))), p))
+            F.when(p.rlike(r"^&#\d"), char(F.coalesce(code.try_cast("bigint"), F.lit(1 << 31))))
+            .when(p.rlike(r"^&#[xX]"), char(F.when(F.length(F.ltrim(code, F.lit("0"))) > 7, F.lit(1 << 31)).otherwise(F.conv(code, 16, 10).try_cast("bigint"))))
+            .when(p.rlike(r"^&[A-Za-z]"), F.coalesce(F.when(p.endswith(";"), F.try_element_at(named, F.btrim(p, F.lit("&;")))), by_beginning(p)))
             .otherwise(p)
         )
 
     return F.array_join(F.transform(pieces, piece), "")
 
 
-def decode_entities(text: Column) -> Column:
+def decode_entities(text: Column, attribute: bool = False) -> Column:
     def decode(raw: Column) -> Column:
         usual = raw
         for entity, char in _ENTITIES:
             usual = F.replace(usual, F.lit(entity), F.lit(char))
         return (
             F.when(~raw.contains("&"), raw)
-            .when(raw.rlike(_OTHER_ENTITY), _decode_any(raw))
+            .when(raw.rlike(_OTHER_ENTITY), _decode_any(raw, attribute))
             .otherwise(usual)
         )
 
@@ -121,7 +133,7 @@ def attribute(tag: Column, name: str) -> Column:
     value = r"(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++)"
     other = rf"(?:[\s/]++(?!{name}[\s=/>])[^\s=>/]++(?:\s*+=\s*+{value})?+)*+"
     raw = F.regexp_extract(tag, rf"(?i)^<[a-z][^\s/>]*+{other}[\s/]++{name}\s*+=\s*+({value})", 1)
-    return decode_entities(F.regexp_replace(raw, r"^[\"']|[\"']$", ""))
+    return decode_entities(F.regexp_replace(raw, r"^[\"']|[\"']$", ""), attribute=True)
 
 
 def tags(html: Column, name: str) -> Column:

@@ -17,8 +17,9 @@ _ODD_CHARS = r"[^\x21-\x7E]|[\"<>`{}]"
 
 
 def tidy(url: Column) -> Column:
-    """Drop what every URL parser drops: tabs, line breaks and outer blanks."""
-    return F.trim(F.translate(url, "\t\r\n" + _MARK, ""))
+    """Drop what URL parsers drop: tabs and line breaks, and blanks and control characters in front. Those at the
+    end stay, as the form of an address must not depend on what stands behind it."""
+    return F.regexp_replace(F.translate(url, "\t\r\n" + _MARK, ""), r"^[\x00-\x20]+", "")
 
 
 def split_url(url: Column) -> Column:
@@ -154,7 +155,7 @@ def dom_href(href: Column, base: Column) -> Column:
 
         return F.when(full.rlike("(?i)^https?:"), bind(split_url(full), web)).otherwise(full)
 
-    return bind(resolve(href, base), as_browser)
+    return bind(resolve(F.regexp_replace(href, r"[\x00-\x20]+$", ""), base), as_browser)
 
 
 def _decode(text: Column) -> Column:

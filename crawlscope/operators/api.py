@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlscope import dims
@@ -73,6 +73,56 @@ def payload_profile(calls: DataFrame) -> DataFrame:
     return fields.groupBy("site", "url", "field", "type").agg(F.count("*").alias("calls"))
 
 
+def _children(node: Column) -> Column:
+    """Named members of an object, or elements of a list, one level below (path, v)."""
+    path, v = node["path"], node["v"]
+    members = F.transform(
+        F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")),
+        lambda e: F.struct(F.concat(path, F.lit("."), e["key"]).alias("path"), e["value"].alias("v")),
+    )
+    elements = F.transform(
+        F.try_variant_get(v, "$", "array<variant>"), lambda x: F.struct(F.concat(path, F.lit("[]")).alias("path"), x.alias("v"))
+    )
+    kind = F.schema_of_variant(v)
+    none = F.array().cast("array<struct<path:string,v:variant>>")
+    return F.when(kind.startswith("OBJECT"), members).when(kind.startswith("ARRAY"), elements).otherwise(none)
+
+
+def payload_fields(calls: DataFrame) -> DataFrame:
+    """Fields of JSON bodies at any depth: site, url, path, type, calls, bodies.
+
+    calls(site, url, body). ``$`` is the whole body, ``$.a.b`` a member and ``$.a[]`` any element of a list;
+    ``calls`` counts the bodies that hold the path with this type, ``bodies`` those of the endpoint that
+    parse. Objects and lists have the types OBJECT and ARRAY. The descent folds over the levels inside the row,
+    at most one for each bracket in the text, so nothing moves before the counts.
+    """
+    parsed = calls.select("site", "url", "body", F.try_parse_json("body").alias("v")).filter("v IS NOT NULL")
+    node = "array<struct<path:string,v:variant>>"
+    field = "array<struct<path:string,type:string>>"
+
+    def step(acc: Column, _: Column) -> Column:
+        here = F.transform(
+            acc["level"],
+            lambda n: F.struct(n["path"].alias("path"), F.regexp_extract(F.schema_of_variant(n["v"]), r"^[^<]*", 0).alias("type")),
+        )
+        below = F.flatten(F.transform(acc["level"], _children)).cast(node)
+        ended = F.size(acc["level"]) == 0
+        return F.when(ended, acc).otherwise(
+            F.struct(F.array_union(acc["found"], here).cast(field).alias("found"), below.alias("level"))
+        )
+
+    whole = F.array(F.struct(F.lit("$").alias("path"), F.col("v").alias("v"))).cast(node)
+    start = F.struct(F.array().cast(field).alias("found"), whole.alias("level"))
+    # Text in quotes may hold brackets too, which only makes the bound larger.
+    levels = F.sequence(F.lit(0), F.length(F.regexp_replace("body", r"[^\[{]", "")))
+    found = F.aggregate(levels, start, step, lambda acc: acc["found"])
+    rows = parsed.select("site", "url", F.explode(found).alias("f")).select("site", "url", "f.*")
+    counts = rows.groupBy("site", "url", "path", "type").agg(F.count("*").alias("calls"))
+    # A body has exactly one type at its root.
+    bodies = counts.filter("path = '$'").groupBy("site", "url").agg(F.sum("calls").alias("bodies"))
+    return counts.join(bodies, ["site", "url"])
+
+
 def payload_schema(calls: DataFrame) -> DataFrame:
     """Merged body schema per endpoint."""
     parsed = calls.select("site", "url", F.try_parse_json("body").alias("v")).filter("v IS NOT NULL")

@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from crawlscope import dims
+from crawlscope.functions import cascade
 from crawlscope.functions import html as H
 from crawlscope.functions import text as X
 from crawlscope.functions import urls
 from crawlscope.operators.common import place, top_k
 
+# Ship the helper with the task: executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(cascade)
+schema_of = DataType.fromDDL
 _STYLE_BLOCK = r"(?is)<style\b[^>]*>(.*?)</style\s*>"
 _COLOR = (
     r"(?i)(?:^|[;{\s])(?:color|background-color|border-color)\s*:\s*"
@@ -85,6 +95,30 @@ def count_styles(declared: DataFrame) -> DataFrame:
     )
 
 
+def computed_styles(
+    pages: DataFrame, base: str = dims.BASE_STYLES, width: int = dims.VIEWPORT_WIDTH, most: int | None = None, most_fonts: int | None = None
+) -> DataFrame:
+    """Colours and fonts by what elements end up with, the input of palette and typography: site, page_id, kind (color,
+    font), value, family, size, weight, tag (of the first element), cnt (elements), ord (by the first one).
+
+    An element counts for its text, background and border colour, one of a text tag for its font. The page's sheets
+    cascade over ``base`` at a window of ``width`` pixels; ``most`` elements and ``most_fonts`` text elements from the
+    top are looked at, or all. One parser pass over each page, nothing moves.
+    """
+    page_styles = cascade.page_styles
+    seen = "array<struct<kind: string, value: string, family: string, size: string, weight: string, tag: string, cnt: bigint, ord: bigint>>"
+    kind = to_arrow_type(schema_of(seen))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [page_styles(html, base, width, most, most_fonts) for html in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, kind)], ["site", "page_id", "seen"])
+
+    rows = pages.select(urls.netloc(F.col("url")).alias("site"), F.col("page_id").cast("bigint").alias("page_id"), "html")
+    found = rows.mapInArrow(run, f"site string, page_id bigint, seen {seen}")
+    return found.select("site", "page_id", F.explode("seen").alias("s")).select("site", "page_id", "s.*")
+
+
 def page_colors(obs: DataFrame, k: int | None = None) -> DataFrame:
     """Colours per page by count, first seen first on ties, all or the top k: obs(site, page_id, value, cnt, ord)."""
     per_page = obs.groupBy("site", "page_id", "value").agg(F.sum("cnt").alias("cnt"), F.min("ord").alias("ord"))

@@ -46,6 +46,14 @@ FETCH_LOG = {
     "body": "props",
     "ts": "ts",
 }
+# Bodies whose members, types and depth change from event to event; some are cut off.
+NESTED_BODY = (
+    "concat('{\"id\":', CAST(event_id AS STRING), ',\"event\":', props, ',\"user\":{\"id\":', CAST(user_id AS STRING), "
+    "CASE event_id % 4 WHEN 0 THEN ',\"tags\":[\"a b\",1,{\"deep\":[true,null,[]]}]' WHEN 1 THEN ',\"tags\":[]' WHEN 2 THEN ',\"tags\":null' ELSE '' END, "
+    "'},\"kind\":', CASE WHEN event_id % 3 = 0 THEN concat('\"', event_type, ' [{\"') ELSE concat('{\"name\":\"', event_type, '\"}') END, "
+    "CASE WHEN event_id % 5 = 0 THEN ',\"rows\":[{\"n\":1,\"s\":\"x\"},{\"n\":false}]' ELSE '' END, "
+    "CASE WHEN event_id % 11 = 0 THEN '' ELSE '}' END)"
+)
 ATTEMPTS = {
     "site": _EVENT_SITE,
     "url": FETCH_LOG["url"],
@@ -144,6 +152,14 @@ RICH_HTML = (
     f"replace(replace(html, '</head>', concat({HEAD_EXTRA}, '</head>')), '</article>', "
     f"concat({SECTION_EXTRA}, '</article>', {TAIL_EXTRA}))"
 ).replace("{{", "{").replace("}}", "}")
+# pages -> a further sheet that changes from page to page, over the page's own markup.
+SHEET = (
+    "concat('<style>body{color:rgb(1, 2, ', " + _mod(5) + ", ');font:12px F', " + _mod(3) + ", '}', "
+    "CASE page_id % 4 WHEN 0 THEN 'nav a{color:rgb(200, 0, 0)!important}nav ul>li>a{color:#00c800}' WHEN 1 THEN 'nav ul>li>a{color:#00c800}a{color:blue}' "
+    "WHEN 2 THEN 'nav a{color:inherit}' ELSE '' END, "
+    "CASE WHEN page_id % 3 = 0 THEN '@media (max-width:600px){h1{background:#090909}}' ELSE '@media screen{article > h1:first-child{background:#090909 none}}' END, "
+    "'</style></head>')"
+)
 # pages -> robots, one file per site ------------------------------------------------------
 ROBOTS_PREFIX = (
     "CASE length(site) % 4 WHEN 0 THEN '/fr' WHEN 1 THEN '/de' WHEN 2 THEN '/en/1' ELSE '/es' END"
@@ -175,6 +191,11 @@ def header_log(spark: SparkSession, folder: str) -> DataFrame:
     return select(table(spark, folder, "events"), {**columns, "headers": headers})
 
 
+def nested_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The responses with bodies of several levels."""
+    return select(table(spark, folder, "events"), {**FETCH_LOG, "body": NESTED_BODY})
+
+
 def attempts(spark: SparkSession, folder: str) -> DataFrame:
     return select(table(spark, folder, "events"), ATTEMPTS)
 
@@ -209,6 +230,10 @@ def rich_pages(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").selectExpr("page_id", "url", f"{RICH_HTML} AS html")
 
 
+def styled_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "pages").selectExpr("page_id", "url", f"replace(html, '</head>', {SHEET}) AS html")
+
+
 def crawled_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct canonical pages with a number per site in page order: site, url, page_ord, rn."""
     return numbered(site_pages(table(spark, folder, "pages")).drop("raw_url"), ["site"], "page_ord", "rn")

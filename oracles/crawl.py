@@ -6,7 +6,7 @@ from crawlscope.sources import adapters as A
 from oracles import common as C
 from oracles import web
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"s4_stream_duplicate_groups": web.SQL["j0_canonicalize_urls"]}
 
 _DEPTH = f"CASE WHEN trim({C.path()}, '/') = '' THEN 0 ELSE len(string_split(trim({C.path()}, '/'), '/')) END"
 # Pages plus one page per language folder, and the root of each site.

@@ -120,9 +120,20 @@ GATE = f"""
 SQL["a11_evidence_gate"] = GATE
 SQL["a15_payload_profile"] = f"SELECT site, url, 'k' AS field, 'BIGINT' AS type, count(*) AS calls FROM ({C.FETCH}) GROUP BY site, url"
 SQL["a15_payload_schema"] = f"SELECT site, url, count(*) AS calls, 'OBJECT<k: BIGINT>' AS schema FROM ({C.FETCH}) GROUP BY site, url"
+# Every node of every body, as the other engine's parser walks it; list places become [].
+SQL["a15_payload_fields"] = f"""
+WITH bodies AS (SELECT seq, site, url, body FROM ({C.adapter({**A.FETCH_LOG, 'body': A.NESTED_BODY}, 'events')}) WHERE json_valid(body)),
+nodes AS (
+  SELECT DISTINCT b.seq, b.site, b.url, regexp_replace(j.fullkey, '\\[[0-9]+\\]', '[]', 'g') AS path,
+         CASE j.type WHEN 'UBIGINT' THEN 'BIGINT' WHEN 'VARCHAR' THEN 'STRING' WHEN 'NULL' THEN 'VOID' ELSE j.type END AS type
+  FROM bodies b, LATERAL (SELECT fullkey, type FROM json_tree(b.body)) j),
+sums AS (SELECT site, url, count(*) AS bodies FROM bodies GROUP BY site, url)
+SELECT site, url, path, type, count(*) AS calls, any_value(bodies) AS bodies FROM nodes JOIN sums USING (site, url) GROUP BY site, url, path, type
+"""
 SQL["s4_stream_request_rates"] = f"""
 SELECT site, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, count(*) AS requests, CAST(sum(size) AS BIGINT) AS bytes FROM ({C.FETCH}) GROUP BY 1, 2
 """
+SQL["s4_stream_politeness"] = f"SELECT *, CAST(0 AS BIGINT) AS late FROM ({SQL['w7_politeness']})"
 SQL["s4_stream_fresh_urls"] = f"SELECT DISTINCT site, {C.norm()} AS norm_url FROM ({C.FETCH})"
 STAGES = C.adapter(A.STAGE_LOG, "orders")
 SQL["s4_stream_stage_status"] = f"SELECT site, stage, arg_max(status, row(ts, seq)) AS status, count(*) AS events FROM ({STAGES}) GROUP BY site, stage"

@@ -203,6 +203,31 @@ DECLARED_PALETTE = f"""
     FROM pages GROUP BY 1, 2, 3)
 """
 SQL["h9_a1_declared_palette"] = DECLARED_PALETTE
+# Elements by their opening tags; html, head and body are always there. Text and border colour count for each.
+COMPUTED_COLORS = f"""
+    WITH tags AS (
+      SELECT {C.host()} AS site, page_id, regexp_extract_all(regexp_replace(h, '(?is)^.*?<body[^>]*>', ''), '(?i)<([a-z][a-z0-9]*)', 1) AS inner_tags,
+             regexp_extract_all(regexp_extract(h, '(?is)^.*?<body'), '(?i)<(meta|title|link|style|script|base)\\b', 1) AS head_tags
+      FROM (SELECT page_id, url, regexp_replace(regexp_replace(replace(html, '</head>', '<style></style></head>'), '(?s)<!--.*?-->', '', 'g'),
+                   '(?is)<(script|style)\\b[^>]*>.*?</(script|style)\\s*>', '<\\1>', 'g') AS h FROM pages)),
+    counts AS (SELECT site, page_id, len(list_filter(inner_tags, lambda t: lower(t) = 'a')) AS links, len(inner_tags) + 1 AS body_count, len(head_tags) + 2 AS head_count FROM tags),
+    values_ AS (
+      SELECT site, page_id, 'rgb(0, 0, 0)' AS value, 2 * head_count AS cnt, 0 AS place FROM counts
+      UNION ALL SELECT site, page_id, 'rgb(1, 2, ' || page_id % 5 || ')', 2 * (body_count - links), 1 FROM counts
+      UNION ALL SELECT site, page_id, CASE page_id % 4 WHEN 0 THEN 'rgb(200, 0, 0)' WHEN 1 THEN 'rgb(0, 200, 0)' WHEN 2 THEN 'rgb(1, 2, ' || page_id % 5 || ')' ELSE 'rgb(0, 0, 238)' END,
+             2 * links, 2 FROM counts
+      UNION ALL SELECT site, page_id, 'rgb(9, 9, 9)', 1, 3 FROM counts WHERE page_id % 3 <> 0)
+    SELECT site, page_id, value, CAST(sum(cnt) AS BIGINT) AS cnt, min(place) AS place FROM values_ WHERE cnt > 0 GROUP BY site, page_id, value
+"""
+SQL["h9_computed_colors"] = f"SELECT site, page_id, value, cnt FROM ({COMPUTED_COLORS})"
+_CHANNEL = "CAST(trim(split_part(substr(value, 5), ',', {}), ' )') AS INT)"
+SQL["h9_a1_computed_palette"] = f"""
+SELECT site, CAST(rank AS BIGINT) AS rank, coalesce(['Primary', 'Secondary', 'Accent', 'Surface', 'Muted'][rank], 'Color ' || rank) AS role, value,
+       printf('#%02X%02X%02X', {', '.join(_CHANNEL.format(i) for i in (1, 2, 3))}) AS hex, cnt
+FROM (SELECT site, value, CAST(sum(cnt) AS BIGINT) AS cnt, row_number() OVER (PARTITION BY site ORDER BY sum(cnt) DESC, min(row(page_id, page_rank))) AS rank
+      FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY cnt DESC, place) AS page_rank FROM ({COMPUTED_COLORS})) GROUP BY site, value)
+WHERE rank <= 12
+"""
 SQL["h10_feed_hints"] = f"""
 SELECT {C.host()} AS site, page_id, CAST(ord AS BIGINT) AS ord, {C.origin()} || CASE WHEN page_id % 4 = 0 THEN '/feed-' || page_id % 9 || '.xml' ELSE p END AS feed_url
 FROM pages, (VALUES (0, '/feed'), (1, '/rss'), (2, '/atom.xml')) v(ord, p) WHERE ord = 0 OR page_id % 4 <> 0

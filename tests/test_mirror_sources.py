@@ -54,6 +54,26 @@ def test_snapshots_drop_broken_records(spark, tmp_path):
     assert [(r.url, r.nav_links[0].href, r.depth) for r in got] == [("u1", "h", None)]
 
 
+def test_snapshots_of_lines_and_arrays_with_quarantine(spark, tmp_path):
+    records = [{"site": "s", "url": f"u{i}", "depth": i, "meta": {"h1": ["a", "b"]}} for i in range(3)]
+    folder = tmp_path / "crawls"
+    folder.mkdir()
+    (folder / "indented.json").write_text("\n  " + json.dumps(records, indent=2))
+    (folder / "compact.json").write_text(json.dumps([{"url": "c1"}, {"url": "", "title": "no url"}]))
+    (folder / "lines.json").write_text("\n".join(["", json.dumps({"url": "l1"}), "{broken", '["not a record"]', json.dumps({"url": "l2"})]))
+    (folder / "cut.json").write_text(json.dumps(records, indent=2)[:-9])
+    (folder / "blank.json").write_text(" \n ")
+    got = readers.read_snapshots(spark, str(folder))
+    assert sorted(r.url for r in got.collect()) == ["c1", "l1", "l2", "u0", "u1", "u2"]
+    assert got.filter("url = 'u1'").first().meta.h1 == ["a", "b"]
+    counts = {r.file.rsplit("/", 1)[1]: (r.records, r.broken) for r in readers.broken_counts(spark, str(folder)).collect()}
+    assert counts == {"indented.json": (3, 0), "compact.json": (2, 0), "lines.json": (4, 2), "cut.json": (1, 1)}
+    kept = {(r.file.rsplit("/", 1)[1], r.record[:8]) for r in readers.broken_snapshots(spark, str(folder)).collect()}
+    assert kept == {("lines.json", "{broken"), ("lines.json", '["not a '), ("cut.json", "[\n  {\n  ")}
+    missing = readers.read_snapshots(spark, str(tmp_path / "nowhere"))
+    assert missing.collect() == [] and missing.columns == got.columns
+
+
 def test_writing_replaces_only_the_given_sites(spark, tmp_path):
     out = str(tmp_path / "derived")
     first = spark.createDataFrame([(f"s{i}", f"u{i}", i) for i in range(50)], "site string, url string, page_ord bigint")
