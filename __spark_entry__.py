@@ -570,6 +570,23 @@ def a11_evidence_gate(spark, d):
     return _gate(spark, d)
 
 
+@query
+def a10_raw_quantiles(spark, d):
+    return tech.timing_rollup(A.table(spark, d, "events").selectExpr(f"{A.FETCH_LOG['site']} AS site", "value"), "value")
+
+
+@query
+def a4_distinct_sketches(spark, d):
+    """Distinct URLs and calls per site from united daily sketches, next to the exact counts."""
+    log = A.fetch_log(spark, d)
+    seen = log.select("site", F.to_date("ts").alias("day"), F.explode(F.array(
+        F.struct(F.lit("url").alias("kind"), F.col("url").alias("value")), F.struct(F.lit("call").alias("kind"), F.col("seq").cast("string").alias("value"))
+    )).alias("v")).select("site", "day", "v.*")
+    exact = seen.distinct().groupBy("site", "kind", "value").agg(F.count("*")).groupBy("site", "kind").agg(F.count("*").alias("exact"))
+    both = exact.join(mirror.united_counts(mirror.daily_sketches(seen)), ["site", "kind"])
+    return both.select("site", "kind", "exact", (F.abs(F.col("distinct") - F.col("exact")) <= 0.02 * F.col("exact")).alias("within_two_percent"))
+
+
 @query
 def a15_payload_profile(spark, d):
     bodies = A.fetch_log(spark, d).selectExpr("site", "url", "body")

@@ -74,9 +74,9 @@ def numbered(df: DataFrame, group: Sequence[str], order: str, out: str) -> DataF
 
 
 def numbered_by_range(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], out: str, parts: int | None = None
+    df: DataFrame, group: Sequence[str], order: Sequence[str], out: str, parts: int | None = None, weight: str | None = None
 ) -> DataFrame:
-    """1-based number per group in the order of any sortable columns.
+    """1-based number per group in the order of any sortable columns, or the running total of ``weight`` up to each row.
 
     The rows are range-partitioned by (group, order), so a big group spans several parts. The
     part numbers are pinned by a checkpoint, because a recomputed range split may differ.
@@ -89,13 +89,14 @@ def numbered_by_range(
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = (
         placed.groupBy(*group, "_part")
-        .agg(F.count("*").alias("_n"))
+        .agg((F.count("*") if weight is None else F.sum(weight)).alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
     inside = Window.partitionBy(*group, "_part").orderBy(*order)
+    up_to = F.row_number() if weight is None else F.sum(weight)
     return (
-        placed.withColumn("_inside", F.row_number().over(inside))
+        placed.withColumn("_inside", up_to.over(inside if weight is None else inside.rowsBetween(Window.unboundedPreceding, 0)))
         .join(sizes, [*group, "_part"])
         .withColumn(out, F.col("_before") + F.col("_inside"))
         .drop("_part", "_inside", "_before")

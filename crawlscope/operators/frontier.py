@@ -51,7 +51,7 @@ def crawl_plan(
     if failed is not None:
         # Looked up on every level, so it is computed and placed once.
         failed = place_by(failed.select("site", "url").distinct(), "site", "url").withColumn("_failed", F.lit("failed"))
-    queue = mark_blocked(seeds, rules, hot=None).select(
+    queue = mark_blocked(seeds, rules, few=True).select(
         "site", "url", "ord", F.when(F.col("blocked"), F.lit("blocked")).alias("status")
     )
     levels: list[DataFrame] = []
@@ -87,7 +87,7 @@ def crawl_plan(
         known = reduce(DataFrame.unionByName, levels).select("site", "url")
         queue = queue.join(known, ["site", "url"], "left_anti")
         # Only links of the opened pages are checked, so a site has few of them.
-        queue = mark_blocked(queue, rules, hot=None).filter("NOT blocked").select(
+        queue = mark_blocked(queue, rules, few=True).filter("NOT blocked").select(
             "site", "url", "ord", F.lit(None).cast("string").alias("status")
         )
     return reduce(DataFrame.unionByName, levels)

@@ -165,6 +165,21 @@ def crawl_summary(
     return joined.na.fill(0)
 
 
+def daily_sketches(seen: DataFrame, bits: int = 14) -> DataFrame:
+    """seen(site, day, kind, value) -> site, day, kind, sketch: a HyperLogLog sketch of the distinct values.
+
+    Sketches have a bounded size, 2^bits cells at most, and can be stored and united later, where exact counts would
+    have to read all values again.
+    """
+    return seen.groupBy("site", "day", "kind").agg(F.hll_sketch_agg("value", bits).alias("sketch"))
+
+
+def united_counts(sketches: DataFrame, *keys: str) -> DataFrame:
+    """Estimated distinct values of the united sketches: keys (site and kind by default), distinct."""
+    keys = keys or ("site", "kind")
+    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct"))
+
+
 def page_inventory(pages: DataFrame) -> DataFrame:
     """site, depth, url, title, description, h1 sorted by site, depth and URL."""
     return pages.select("site", "depth", "url", "title", "description", "h1").orderBy("site", "depth", "url")

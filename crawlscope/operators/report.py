@@ -41,23 +41,26 @@ def report_metrics(report: DataFrame) -> DataFrame:
 
 
 def known_gaps(report: DataFrame) -> DataFrame:
-    """One row per missing summary; API evidence counts as missing without own calls."""
+    """One row per missing summary: site, item, state, reason, action; API evidence counts as missing without own calls."""
 
-    def gap(item: str, state: str, condition: Column) -> Column:
-        return F.when(condition, F.struct(F.lit(item).alias("item"), F.lit(state).alias("state")))
+    def row(item: str, state: str, reason: str, action: str) -> Column:
+        return F.struct(*[F.lit(v).alias(n) for n, v in (("item", item), ("state", state), ("reason", reason), ("action", action))])
+
+    def gap(item: str, state: str, reason: str, action: str, condition: Column) -> Column:
+        return F.when(condition, row(item, state, reason, action))
 
     no_calls = F.coalesce("same_origin_calls", F.lit(0)) == 0
     gaps = F.array_compact(
         F.array(
-            gap("ux_summary", "Unknown", ~F.col("has_ux")),
-            gap("ia_summary", "Unknown", ~F.col("has_ia")),
-            gap("tech_summary", "Unknown", ~F.col("has_tech")),
-            gap("api_evidence", "Hypothesis", no_calls),
+            gap("ux_summary", "Unknown", "ux_scan_not_run", "run_ux_scan", ~F.col("has_ux")),
+            gap("ia_summary", "Unknown", "ia_scan_not_run", "run_ia_scan", ~F.col("has_ia")),
+            gap("tech_summary", "Unknown", "tech_scan_not_run", "run_tech_scan", ~F.col("has_tech")),
+            gap("api_evidence", "Hypothesis", "too_few_own_calls_seen", "collect_more_journeys_or_data_by_hand", no_calls),
         )
     )
-    none = F.array(F.struct(F.lit("none").alias("item"), F.lit("Confirmed").alias("state")))
+    none = F.array(row("none", "Confirmed", "", ""))
     return report.select("site", F.explode(F.when(F.size(gaps) == 0, none).otherwise(gaps)).alias("g")).select(
-        "site", "g.item", "g.state"
+        "site", "g.*"
     )
 
 

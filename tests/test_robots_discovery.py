@@ -36,11 +36,31 @@ def test_blocking(spark):
         ("example.com", O, False),
     ]
     df = spark.createDataFrame(rows, "site string, url string, want boolean")
-    assert all(r.blocked == r.want for r in robots.mark_blocked(df, rules, hot=2).collect())
+    for few in (False, True):
+        assert all(r.blocked == r.want for r in robots.mark_blocked(df, rules, few=few).collect())
     strict = robots.mark_blocked(df, rules, strict=True)
     assert strict.filter("site = 'example.com' AND NOT blocked").count() == 1, "only the foreign address is free"
 
 
+def test_a_site_of_many_rules(spark):
+    """Both ways agree, with nulls, repeated rows and other columns; a site of 100,000 rules is looked up."""
+    from pyspark.sql import Row
+
+    many = [f"/r{i:05d}/" for i in range(100_000)]
+    rules = spark.createDataFrame([("a.org", many), ("b.org", ["/", "/é", "/x"]), ("c.org", []), ("d.org", None)], "site string, prefixes array<string>")
+    urls_ = [f"https://a.org/r{i * 7 % 120_000:05d}/{i}" for i in range(2_000)] + ["https://b.org/étage", "https://b.org/x", "https://b.org", "https://c.org/x", "https://d.org/", None]
+    rows = [Row(site=(u or "https://a.org").split("/")[2], url=u, prefix="p", _hit=1) for u in urls_ * 2]
+    df = spark.createDataFrame(rows, "site string, url string, prefix string, _lengths int")
+    got = robots.mark_blocked(df, rules)
+    assert got.columns == [*df.columns, "blocked"] and got.count() == len(rows)
+    want = {u: u is not None and ("a.org" in u and int(u.split("/r")[1][:5]) < 100_000 and len(u.split("/")[3]) == 6 or u in urls_[2_000:2_002]) for u in urls_}
+    assert {r.url: r.blocked for r in got.collect()} == want
+    few = [r for r in rows if r.site != "a.org"]
+    small = spark.createDataFrame(few, df.schema)
+    assert sorted(map(str, robots.mark_blocked(small, rules).collect())) == sorted(map(str, robots.mark_blocked(small, rules, few=True).collect()))
+    assert robots.mark_blocked(df.limit(0), rules).collect() == [] and not robots.mark_blocked(small, rules.limit(0)).filter("blocked").count()
+
+
 def docs(spark, mapping, status=200):
     return spark.createDataFrame([("example.com", u, status, b) for u, b in mapping.items()], "site string, doc_url string, status int, body string")
 
