@@ -482,6 +482,13 @@ def a8_frameworks(spark, d):
     return tech.frameworks(tech.detect_frameworks(A.rich_pages(spark, d)))
 
 
+@query
+def a8_page_results(spark, d):
+    """Status, frameworks, times and vitals of each page."""
+    timings = A.select(_pages(spark, d), A.PAGE_TIMES)
+    return tech.page_results(A.rich_pages(spark, d), A.page_log(spark, d, A.PAGE_LOG), timings, A.page_log(spark, d, A.PAGE_VITALS))
+
+
 @query
 def l1_top_resources(spark, d):
     return tech.top_resources(A.fetch_log(spark, d))

@@ -39,9 +39,10 @@ def _places(html: Column) -> dict[str, Column]:
     """Where fingerprints are looked for: extracted tags and scripts, never the page's prose."""
     seen = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
     scripts = H.tags(seen, "script")
-    marked = F.filter(
-        F.concat(F.regexp_extract_all(H.visible(html), F.lit(rf"(?i)<[a-z][a-z0-9]*\b{H.TAG_BODY}>"), F.lit(0)), scripts),
-        lambda t: t.rlike(_MARKED),
+    opening = F.regexp_extract_all(H.visible(html), F.lit(rf"(?i)<[a-z][a-z0-9]*\b{H.TAG_BODY}>"), F.lit(0))
+    # Most pages hold none of the texts at all, so their tags need not be listed.
+    marked = F.when(html.rlike(_MARKED), F.filter(F.concat(opening, scripts), lambda t: t.rlike(_MARKED))).otherwise(
+        F.array().cast("array<string>")
     )
 
     def values(tags: Column, name: str) -> Column:
@@ -113,6 +114,40 @@ def third_party_inventory(log: DataFrame, purposes: list[tuple] = dims.HOST_PURP
     return sums.withColumn("purpose", purpose)
 
 
+def page_results(pages: DataFrame, log: DataFrame, timings: DataFrame, vitals: DataFrame) -> DataFrame:
+    """What the tech scan tells of each page: site, page_id, url, status, frameworks, dom_content_loaded, load_complete,
+    lcp, cls, requests.
+
+    pages(page_id, url, html), log(site, page_url, seq, url, type, status), timings(site, page_url, dom_content_loaded,
+    load_complete), vitals(site, page_url, seq, start, shift, recent_input). ``status`` is that of the first
+    document loaded for the page, ``frameworks`` lists names and versions in the order of the rules. What
+    was not recorded is null; pages without responses have 0 requests. Tables meet by site and address of the page.
+    """
+    found = detect_frameworks(pages)
+    named = F.concat("name", F.when(F.col("version") != "", F.concat(F.lit(" "), "version")).otherwise(F.lit("")))
+    listed = F.array_sort(F.collect_set(F.struct("rule_ord", named.alias("name"))))  # one entry for each rule at most
+    frameworks_ = found.groupBy("page_id").agg(F.array_join(F.transform(listed, lambda f: f["name"]), ", ").alias("frameworks"))
+    responses = log.groupBy("site", F.col("page_url").alias("url")).agg(
+        F.min_by("status", F.when(F.col("type") == "document", F.col("seq"))).alias("status"), F.count("*").alias("requests")
+    )
+    times = timings.groupBy("site", F.col("page_url").alias("url")).agg(
+        F.max("dom_content_loaded").alias("dom_content_loaded"), F.max("load_complete").alias("load_complete")
+    )
+    shown = web_vitals(vitals, "site", "page_url").withColumnRenamed("page_url", "url")
+    rows = pages.select(urls.netloc(F.col("url")).alias("site"), "page_id", "url").join(frameworks_, "page_id", "left")
+    for part in (responses, times, shown):
+        rows = rows.join(part, ["site", "url"], "left")
+    return rows.select(
+        "site", "page_id", "url", "status", F.coalesce("frameworks", F.lit("")).alias("frameworks"), "dom_content_loaded", "load_complete",
+        "lcp", "cls", F.coalesce("requests", F.lit(0)).alias("requests"),
+    )
+
+
+def request_totals(log: DataFrame) -> DataFrame:
+    """site, requests, bytes of all responses."""
+    return log.groupBy("site").agg(F.count("*").alias("requests"), F.sum("size").alias("bytes"))
+
+
 def main_document(log: DataFrame) -> DataFrame:
     """First document response on the site's own origin; an aggregate, not a sort."""
     docs = log.filter((F.col("type") == "document") & (urls.netloc(F.col("url")) == F.col("site")))
@@ -139,18 +174,18 @@ def infra_signals(documents: DataFrame) -> DataFrame:
     )
 
 
-def web_vitals(entries: DataFrame) -> DataFrame:
-    """entries(site, seq, start, shift, recent_input) -> site, lcp, cls.
+def web_vitals(entries: DataFrame, *keys: str) -> DataFrame:
+    """entries(site, seq, start, shift, recent_input) -> site, lcp, cls, or one row for each value of ``keys``.
 
     LCP is the start of the last entry that has one, CLS the sum of shifts without recent input.
     """
-    return entries.groupBy("site").agg(
+    return entries.groupBy(*(keys or ("site",))).agg(
         F.round(F.max_by("start", F.when(F.col("start").isNotNull(), F.col("seq")))).cast("bigint").alias("lcp"),
         # Decimals, so that the sum does not depend on the order of the tasks.
         F.round(
             F.coalesce(
-                F.sum(F.when(~F.col("recent_input"), F.col("shift").cast("decimal(18,6)"))),
-                F.lit(0).cast("decimal(28,6)"),
+                F.sum(F.when(~F.col("recent_input"), F.col("shift").cast("decimal(26,16)"))),
+                F.lit(0).cast("decimal(36,16)"),
             ),
             3,
         )

@@ -113,11 +113,20 @@ def ia_summary(pages: DataFrame, visited: DataFrame, all_links: DataFrame) -> di
     }
 
 
-def tech_summary(pages: DataFrame, log: DataFrame, lighthouse: DataFrame) -> dict[str, DataFrame]:
-    """Frameworks, resources, headers and scores; log carries a header map."""
+def tech_summary(
+    pages: DataFrame, log: DataFrame, lighthouse: DataFrame, timings: DataFrame | None = None, vitals: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """Frameworks, resources, request totals, headers and scores; log carries a header map. With timings and vitals of
+    the pages also the result of each page and its grades."""
     responses = tech.response_log(log)
     top = tech.top_resources(responses)
-    return {
+    by_page = {}
+    if timings is not None and vitals is not None:
+        results = tech.page_results(pages, responses, timings, vitals)
+        graded = results.select(F.col("url").alias("site"), "dom_content_loaded", "load_complete", "lcp", "cls")
+        by_page = {"page_results": results, "page_grades": tech.timing_grades(graded).withColumnRenamed("site", "url")}
+    return by_page | {
+        "totals": tech.request_totals(responses),
         "frameworks": tech.frameworks(tech.detect_frameworks(pages)),
         "top_resources": top,
         "third_party": tech.third_party_heavy(top),

@@ -152,6 +152,22 @@ RICH_HTML = (
     f"replace(replace(html, '</head>', concat({HEAD_EXTRA}, '</head>')), '</article>', "
     f"concat({SECTION_EXTRA}, '</article>', {TAIL_EXTRA}))"
 ).replace("{{", "{").replace("}}", "}")
+# pages -> up to four responses for each page, and its times.
+PAGE_LOG = {
+    "site": HOST,
+    "page_url": "url",
+    "seq": "page_id * 4 + k",
+    "url": f"CASE WHEN k = 0 THEN url ELSE concat('https://cdn.example/', CAST(k AS STRING), '.js') END",
+    "type": "CASE WHEN k = 0 THEN 'document' ELSE 'script' END",
+    "status": "CAST(CASE WHEN k > 0 THEN 304 WHEN page_id % 7 = 0 THEN 404 ELSE 200 END AS BIGINT)",
+}
+PAGE_TIMES = {
+    "site": HOST, "page_url": "url", "dom_content_loaded": "CAST(page_id * 37 % 3000 AS BIGINT)", "load_complete": "CAST(page_id * 53 % 6000 AS BIGINT)"
+}
+PAGE_VITALS = {
+    "site": HOST, "page_url": "url", "seq": "page_id * 4 + k", "start": "CASE WHEN k < 3 THEN CAST(page_id % 4000 + k * 100 AS BIGINT) END",
+    "shift": "CAST(page_id % 97 + k AS DOUBLE) / 3000", "recent_input": "(page_id + k) % 3 = 0",
+}
 # pages -> a further sheet that changes from page to page, over the page's own markup.
 SHEET = (
     "concat('<style>body{color:rgb(1, 2, ', " + _mod(5) + ", ');font:12px F', " + _mod(3) + ", '}', "
@@ -230,6 +246,12 @@ def rich_pages(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").selectExpr("page_id", "url", f"{RICH_HTML} AS html")
 
 
+def page_log(spark: SparkSession, folder: str, columns: dict[str, str]) -> DataFrame:
+    """Rows k = 0 to page_id % 4 for each page."""
+    rows = table(spark, folder, "pages").selectExpr("page_id", "url", "explode(sequence(0, CAST(page_id % 4 AS INT))) AS k")
+    return select(rows, columns)
+
+
 def styled_pages(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").selectExpr("page_id", "url", f"replace(html, '</head>', {SHEET}) AS html")
 

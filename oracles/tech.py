@@ -151,3 +151,15 @@ SQL["a4_distinct_sketches"] = f"""
 SELECT site, kind, exact, true AS within_two_percent FROM (
   SELECT site, 'url' AS kind, count(DISTINCT url) AS exact FROM ({C.FETCH}) GROUP BY site UNION ALL SELECT site, 'call', count(DISTINCT seq) FROM ({C.FETCH}) GROUP BY site)
 """
+_PER_PAGE = "(SELECT page_id, url, unnest(range(0, page_id % 4 + 1)) AS k FROM pages)"
+SQL["a8_page_results"] = f"""
+WITH found AS (SELECT page_id, string_agg(name || CASE WHEN version <> '' THEN ' ' || version ELSE '' END, ', ' ORDER BY rule_ord) AS frameworks FROM ({DETECTIONS}) GROUP BY page_id),
+log AS (SELECT site, page_url AS url, arg_min(status, seq) FILTER (type = 'document') AS status, count(*) AS requests FROM ({C.adapter(A.PAGE_LOG, _PER_PAGE)}) GROUP BY ALL),
+times AS (SELECT site, page_url AS url, max(dom_content_loaded) AS dom_content_loaded, max(load_complete) AS load_complete FROM ({C.adapter(A.PAGE_TIMES, 'pages')}) GROUP BY ALL),
+vitals AS (
+  SELECT site, page_url AS url, arg_max(start, seq) FILTER (start IS NOT NULL) AS lcp,
+         CAST(round(coalesce(sum(CAST(shift AS DECIMAL(26,16))) FILTER (NOT recent_input), 0), 3) AS DOUBLE) AS cls FROM ({C.adapter(A.PAGE_VITALS, _PER_PAGE)}) GROUP BY ALL)
+SELECT p.site, page_id, p.url, status, coalesce(frameworks, '') AS frameworks, dom_content_loaded, load_complete, lcp, cls, coalesce(requests, 0) AS requests
+FROM (SELECT {C.host()} AS site, page_id, url FROM pages) p LEFT JOIN found USING (page_id) LEFT JOIN log USING (site, url)
+LEFT JOIN times USING (site, url) LEFT JOIN vitals USING (site, url)
+"""
