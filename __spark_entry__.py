@@ -436,6 +436,17 @@ def g4_journey_steps(spark, d):
     return frontier.journey_steps(_plan(spark, d, 50, 5), {"french": "^/fr/", "german": "^/de/", "spanish": "^/es/"})
 
 
+@query
+def g4_journey_paths(spark, d):
+    """Shortest click paths on the whole plan; what the first page links stands for the navigation."""
+    pages = cut_lineage(A.crawled_pages(spark, d))
+    plan, edges = _plan(spark, d, None, None), cut_lineage(A.heap_edges(pages))
+    home = pages.filter("rn = 1").select("site", F.col("url").alias("src"))
+    navigation = edges.join(home, ["site", "src"]).select("site", F.col("dst").alias("url"))
+    found = frontier.journey_paths(plan, edges, {"french": "^/fr/", "german": "^/de/", "spanish": "^/es/", "late": "[5-9]$"}, navigation)
+    return found.withColumn("path", F.array_join("path", " "))
+
+
 # --- style ---------------------------------------------------------------------------------
 @query
 def a1_palette(spark, d):

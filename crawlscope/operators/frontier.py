@@ -126,6 +126,60 @@ def journey_steps(plan: DataFrame, goals: dict[str, str]) -> DataFrame:
     )
 
 
+def predecessors(plan: DataFrame, edges: DataFrame) -> DataFrame:
+    """site, url, depth, before: the page that a breadth-first crawl came from, the first opened one a level above;
+    null for seeds. plan from ``crawl_plan``, edges(site, src, dst, link_ord)."""
+    opened = plan.filter("status = 'ok'")
+    sources = opened.select("site", F.col("url").alias("src"), "visit_ord", (F.col("depth") + 1).alias("depth"))
+    targets = opened.select("site", F.col("url").alias("dst"), "depth")
+    steps = edges.select("site", "src", "dst", "link_ord").join(sources, ["site", "src"]).join(targets, ["site", "dst", "depth"])
+    first = steps.groupBy("site", F.col("dst").alias("url")).agg(F.min_by("src", F.struct("visit_ord", "link_ord")).alias("before"))
+    return opened.select("site", "url", "depth").join(first, ["site", "url"], "left")
+
+
+def journey_paths(plan: DataFrame, edges: DataFrame, goals: dict[str, str], navigation: DataFrame | None = None) -> DataFrame:
+    """The shortest path itself: site, goal, goal_url, path ARRAY<STRING> from the root to the goal, steps, in_navigation,
+    grade.
+
+    The goal page is the first one visited among those whose URL path matches. A goal that is not reached has no
+    path and grade poor; one that navigation(site, url) does not name is at best fair. Paths come by
+    pointer doubling: round k joins every page to its ancestor 2^k levels above, and every place of a path jumps by
+    the bits of its distance, so a path of a thousand pages takes ten rounds.
+    """
+    before = cut_lineage(predecessors(plan, edges))
+    cases = [F.when(urls.path(F.col("url")).rlike(p), F.lit(name)) for name, p in goals.items()]
+    matching = plan.filter("status = 'ok'").select("site", "url", "depth", "visit_ord", F.explode(F.array_compact(F.array(*cases))).alias("goal"))
+    chosen = cut_lineage(first_seen(matching, ["site", "goal"], ["visit_ord"]).select("site", "goal", F.col("url").alias("goal_url"), "depth"))
+    # One row for each place of a path, that many levels above the goal.
+    places = chosen.select("site", "goal", "depth", F.col("goal_url").alias("url"), F.explode(F.sequence(F.lit(0), F.col("depth").cast("int"))).alias("up"))
+    jumps = before.select("site", "url", F.col("before").alias("above")).filter("above IS NOT NULL")
+    longest, bit = chosen.agg(F.max("depth")).first()[0] or 0, 0
+    while longest >> bit:
+        here = F.col("up").bitwiseAND(1 << bit) > 0
+        places = cut_lineage(
+            places.join(jumps, ["site", "url"], "left")
+            .withColumn("url", F.when(here, F.col("above")).otherwise(F.col("url")))
+            .drop("above")
+        )
+        bit += 1
+        if longest >> bit:
+            further = jumps.select("site", F.col("url").alias("above"), F.col("above").alias("_far"))
+            jumps = cut_lineage(jumps.join(further, ["site", "above"]).select("site", "url", F.col("_far").alias("above")))
+    ordered = F.array_sort(F.collect_list(F.struct((F.col("depth") - F.col("up")).alias("place"), "url")))
+    paths = places.groupBy("site", "goal").agg(F.transform(ordered, lambda p: p["url"]).alias("path"))
+    rows = plan.select("site").distinct().select("site", F.explode(F.array(*[F.lit(g) for g in goals])).alias("goal"))
+    rows = rows.join(chosen, ["site", "goal"], "left").join(paths, ["site", "goal"], "left")
+    if navigation is None:
+        rows = rows.withColumn("in_navigation", F.lit(None).cast("boolean"))
+    else:
+        named = navigation.select("site", F.col("url").alias("goal_url")).distinct().withColumn("_named", F.lit(True))
+        rows = rows.join(named, ["site", "goal_url"], "left").withColumn("in_navigation", F.col("_named").isNotNull())
+    steps = F.col("depth") + 1
+    good = (steps <= dims.JOURNEY_GOOD) & F.coalesce("in_navigation", F.lit(True))
+    grade = F.when(good, F.lit("good")).when(steps <= dims.JOURNEY_FAIR, F.lit("fair")).otherwise(F.lit("poor"))
+    return rows.select("site", "goal", "goal_url", "path", steps.alias("steps"), "in_navigation", grade.alias("grade"))
+
+
 def navigation_journey(navigation: DataFrame) -> DataFrame:
     """Shortcut on the main navigation: steps = 1..3 by its first items, good from 3 items on."""
     items = F.count("*")

@@ -126,6 +126,18 @@ WITH p AS (SELECT * FROM ({plan(50, 5)}) WHERE status = 'ok'),
      s AS (SELECT site, goal, min(CASE WHEN starts_with({C.path()}, prefix) THEN depth + 1 END) AS steps FROM p, g GROUP BY site, goal)
 SELECT site, goal, steps, CASE WHEN steps <= 3 THEN 'good' WHEN steps <= 5 THEN 'fair' ELSE 'poor' END AS grade FROM s
 """
+SQL["g4_journey_paths"] = f"""
+WITH p AS (SELECT p.*, c.rn FROM ({plan(2**31 - 1, 2**31 - 1)}) p JOIN ({C.CANONICAL}) c USING (site, url)),
+     g AS (SELECT * FROM (VALUES ('french', '^/fr/'), ('german', '^/de/'), ('spanish', '^/es/'), ('late', '[5-9]$')) v(goal, pattern)),
+     hits AS (SELECT site, goal, arg_min(row(url, depth, rn), visit_ord) AS hit FROM p, g WHERE status = 'ok' AND regexp_matches({C.path()}, pattern) GROUP BY site, goal),
+     chosen AS (SELECT site, goal, hit[1] AS goal_url, hit[2] AS depth, hit[3] AS rn FROM hits),
+     places AS (SELECT site, goal, depth, unnest(range(0, depth + 1)) AS up, rn FROM chosen),
+     paths AS (SELECT l.site, l.goal, string_agg(c.url, ' ' ORDER BY l.up DESC) AS path
+               FROM places l JOIN ({C.CANONICAL}) c ON c.site = l.site AND c.rn = l.rn // CAST(pow(2, l.up) AS BIGINT) GROUP BY l.site, l.goal)
+SELECT site, goal, goal_url, path, depth + 1 AS steps, coalesce(rn IN (2, 3), false) AS in_navigation,
+       CASE WHEN depth + 1 <= 3 AND rn IN (2, 3) THEN 'good' WHEN depth + 1 <= 5 THEN 'fair' ELSE 'poor' END AS grade
+FROM (SELECT DISTINCT site FROM p) CROSS JOIN (SELECT goal FROM g) LEFT JOIN chosen USING (site, goal) LEFT JOIN paths USING (site, goal)
+"""
 SQL["a4_crawl_summary"] = f"""
 WITH v AS (SELECT site, count(*) FILTER (status = 'ok') AS visited_pages, 2 * count(*) FILTER (status = 'ok') AS screenshots,
                   count(*) FILTER (status = 'blocked') AS robots_blocked, count(*) FILTER (status = 'failed') AS failed_pages

@@ -78,3 +78,43 @@ def test_journeys(spark):
     goals = {"contact": "/contact", "shop": "/shop", "about": "about$", "login": "/login"}
     got = {r.goal: (r.steps, r.grade) for r in frontier.journey_steps(plan, goals).collect()}
     assert got == {"contact": (3, "good"), "shop": (4, "fair"), "about": (6, "poor"), "login": (None, "poor")}
+
+
+def test_shortest_paths_to_goals(spark):
+    from collections import deque
+
+    rnd = random.Random(6)
+    names = [f"https://s.example/{i}" + ("/goal" if i in (17, 23) else "/chain" if i == 32 else "") for i in range(33)]
+    links = [(a, b, k) for a in range(25) for k, b in enumerate(rnd.sample(range(25), 2))] + [(a, a + 1, 9) for a in range(25, 32)] + [(0, 25, 5)]
+    edges = spark.createDataFrame([("s.example", names[a], names[b], k) for a, b, k in links], "site string, src string, dst string, link_ord bigint")
+    seeds = spark.createDataFrame([("s.example", names[0], [0]), ("t.example", "https://t.example/", [0])], "site string, url string, ord array<bigint>")
+    rules = spark.createDataFrame([], "site string, prefixes array<string>")
+    plan = frontier.crawl_plan(seeds, edges, rules)
+    goals = {"goal": "/goal$", "chain": "/chain$", "home": "^/0$", "none": "/nothing$"}
+    navigation = spark.createDataFrame([("s.example", names[0]), ("s.example", names[17])], "site string, url string")
+    got = {(r.site, r.goal): r for r in frontier.journey_paths(plan, edges, goals, navigation).collect()}
+
+    follow = {}
+    for a, b, _ in sorted(links, key=lambda x: x[2]):
+        follow.setdefault(a, []).append(b)
+    before, queue, order = {0: None}, deque([0]), []
+    while queue:
+        a = queue.popleft()
+        order.append(a)
+        for b in follow.get(a, []):
+            if b not in before:
+                before[b] = a
+                queue.append(b)
+
+    def path(i):
+        return ([] if before[i] is None else path(before[i])) + [names[i]]
+
+    want = {"goal": next(i for i in order if names[i].endswith("/goal")), "chain": 32, "home": 0}
+    for goal, i in want.items():
+        r = got["s.example", goal]
+        assert (r.goal_url, r.path, r.steps) == (names[i], path(i), len(path(i)))
+    assert len(got["s.example", "chain"].path) == 9 and got["s.example", "chain"].grade == "poor"
+    assert (got["s.example", "home"].grade, got["s.example", "home"].in_navigation) == ("good", True)
+    nothing = got["s.example", "none"]
+    assert (nothing.goal_url, nothing.path, nothing.steps, nothing.grade) == (None, None, None, "poor")
+    assert len(got) == 8 and got["t.example", "home"].path is None
