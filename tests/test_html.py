@@ -191,28 +191,3 @@ def test_types_in_lists_of_any_depth(spark):
     assert len(got) == 6
     for r in got:
         assert [t.type for t in r.t] == ["Deep", "A", "B", "Unknown", "Last"], r.page_id
-
-
-def test_entities_without_a_semicolon_as_in_the_standard(spark):
-    from html import unescape
-
-    cases = [
-        "&copy 2020 &notit; &notin; &amp;lt; a&b=2 &unknown; &#169 x &#xA9y &#8364; & &&amp &ampx; &AMP &lt&gt &sup2x &timesbar &#0; &#x80 &Aacutee",
-        "&#12345678; &#99999999999999999999 &#xFFFFFFFFFFFFFFFFFFFF;", "&para1;&frac12", "x&y", "&lt;b&gt; &nbsp;&copy;",
-    ]
-    rows = spark.createDataFrame([(c,) for c in cases], "t string")
-    assert [r.x for r in rows.select(H.decode_entities(F.col("t")).alias("x")).collect()] == [unescape(c) for c in cases]
-
-
-def test_both_routes_give_the_same_text(spark):
-    bodies = ["&copy 2020 &notit;", "&lt;x&gt &#8364 &para1;"]
-    page = "<html><body><main{}>{}</main></body></html>"
-    rows = [(i, "https://a.org/", page.format(extra, b)) for i, (b, extra) in enumerate((b, e) for b in bodies for e in ("", ' id="content"'))]
-    got = content.extract_content(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
-    texts = [r.body_text for r in got.orderBy("page_id").collect()]
-    assert texts == ["© 2020 ¬it;"] * 2 + ["<x> € ¶1;"] * 2
-
-
-def test_query_strings_in_attributes_keep_what_looks_like_a_name(spark):
-    rows = spark.createDataFrame([('<a href="/x?a=1&copy=2&lt;&reg&sect1">',)], "t string")
-    assert rows.select(H.attribute(F.col("t"), "href").alias("x")).first().x == "/x?a=1&copy=2<®&sect1"
