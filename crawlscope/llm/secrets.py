@@ -55,6 +55,21 @@ def base_spans(text: str, hexes: bool = True) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def free_tokens(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, str]]:
+    """(start, token) of the long tokens that no span overlaps; one walk over the tokens and the sorted spans together."""
+    free, at, reach = [], 0, 0
+    for m in TOKEN.finditer(text):
+        if m.end() - m.start() < LEAST_TOKEN:
+            continue
+        # Of the spans that start before this token's end, the farthest end tells whether one reaches into it.
+        while at < len(spans) and spans[at][0] < m.end():
+            reach = max(reach, spans[at][2])
+            at += 1
+        if reach <= m.start():
+            free.append((m.start(), m[0]))
+    return free
+
+
 def pair_counts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Counts of character pairs in the given ASCII tokens; 0 stands before the first character."""
     sizes = ends - starts
@@ -107,12 +122,7 @@ def collect_evidence(docs: DataFrame) -> DataFrame:
                 found = base_spans(text, bool(with_hex[i]))
                 spans.append([{"start": a, "kind": k, "end": b} for a, k, b in found])
                 values += [text[a:b] if k else ASSIGN.match(text, a)[1] for a, k, b in found]
-                mine = []
-                if with_long[i]:
-                    for m in TOKEN.finditer(text):
-                        if m.end() - m.start() >= LEAST_TOKEN and not any(a < m.end() and m.start() < b for a, _, b in found):
-                            mine.append({"start": m.start(), "token": m[0]})
-                tokens.append(mine)
+                tokens.append([{"start": a, "token": t} for a, t in free_tokens(text, found)] if with_long[i] else [])
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), pa.array(spans, _SPANS), pa.array(tokens, _TOKENS), pa.nulls(len(spans), _COUNTS), pa.nulls(len(spans), _COUNTS)], names
             )

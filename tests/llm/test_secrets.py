@@ -84,3 +84,21 @@ def test_models_train_on_the_texts_themselves(spark):
     spans = {r["doc_id"]: r["spans"] for r in secrets.report(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     assert spans[999] == "markov:5:45"
     assert spans[0] == "assign:13:54"
+
+
+def test_free_tokens_equal_the_pairwise_test():
+    rng = random.Random(5)
+    parts = ["token=", "password: ", "deadbeef" * 3, "AKIA" + "Z9" * 9, "a_long_identifier_here", "Xy9/" * 6, " ", "é", '"', "short", "=", "\n"]
+    for _ in range(500):
+        text = "".join(rng.choices(parts, k=rng.randrange(40)))
+        found = secrets.base_spans(text)
+        long_ = [m for m in secrets.TOKEN.finditer(text) if m.end() - m.start() >= secrets.LEAST_TOKEN]
+        free = [(m.start(), m[0]) for m in long_ if not any(a < m.end() and m.start() < b for a, _, b in found)]
+        assert secrets.free_tokens(text, found) == free
+
+
+def test_a_text_of_very_many_spans_and_tokens(spark):
+    n = 40_000
+    text = " ".join(f"token=abc{i:09d} an_identifier_of_number_{i:09d}" for i in range(n))
+    rows = secrets.report(secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))).collect()
+    assert rows[0]["n_assign"] == n and rows[0]["spans"].count("assign") == n
