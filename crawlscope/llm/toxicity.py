@@ -1,11 +1,14 @@
 """Toxicity by a counterfactual-regularised classifier.
 
-Logistic regression on the presence of words and word beginnings. In the labelled texts, identity terms are swapped for
-other terms of their group; the squared change of the score is added to the loss, so a neutral mention
-of a group cannot carry weight that belongs to the words around it.
-
-Fitting reads at most ``most`` labelled documents, clean and toxic. Scoring reads whole texts, one pass without
-a shuffle. Defined cases: null and empty texts, and texts without words, get the score of the
+Logistic regression on the presence of words and word beginnings. In the labelled sentences, identity terms are swapped
+for other terms of their group; the squared change of the sentence's score is added to the loss, so a neutral mention
+of a group cannot carry weight that belongs to the words around it. A labelled document that names no
+group gets a term put into one of its sentences, and the swap is made there: terms that the labelled texts lack are held
+to one score too, which matters because they share word beginnings with other words.
+
+Fitting reads at most ``most`` labelled documents, clean and toxic, and of each at most ``PAIRS`` sentences with terms, those
+with the least checksums. Features are at most ``most_words`` with the strongest association, and the identity terms.
+Scoring reads whole texts, one pass without a shuffle. Defined cases: null and empty texts, and texts without words, get the score of the
 intercept; without any labelled document all scores are 0; with one label only, all scores are the
 smoothed share of toxic labels; rows with equal ids are scored one by one.
 """
@@ -15,9 +18,10 @@ from __future__ import annotations
 import math
 import re
 import sys
+import zlib
 from collections import Counter
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -28,9 +32,11 @@ from pyspark.sql import functions as F
 from crawlscope.llm.common import held_out, labelled_sample
 
 WORD = re.compile(r"[^\W\d_]+")
+SENTENCE = re.compile(r"[^.!?\n]+")
+PAIRS = 4
 PREFIXES = range(3, 8)
 
-# Terms that name a group of people without judging it, by kind.
+# Terms that name a group of people without judging it, by language and kind.
 IDENTITY = {
     "gender": "man woman men women male female boy girl transgender nonbinary".split(),
     "faith": "christian muslim jewish hindu buddhist sikh catholic protestant atheist mormon".split(),
@@ -39,12 +45,31 @@ IDENTITY = {
     "orientation": "gay straight lesbian bisexual homosexual heterosexual queer".split(),
     "ability": "deaf blind autistic disabled paralyzed".split(),
     "age": "young old elderly teenage".split(),
+    "de gender": "mann frau männer frauen männlich weiblich junge mädchen".split(),
+    "de faith": "christ muslim jude hindu buddhist katholik protestant atheist".split(),
+    "de origin": "afrikaner amerikaner asiate europäer araber mexikaner chinese inder einwanderer flüchtling".split(),
+    "de orientation": "schwul lesbisch bisexuell homosexuell heterosexuell".split(),
+    "de ability": "gehörlos blind autistisch behindert".split(),
+    "fr gender": "homme femme hommes femmes masculin féminin garçon fille".split(),
+    "fr faith": "chrétien musulman juif hindou bouddhiste catholique protestant athée".split(),
+    "fr origin": "africain américain asiatique européen arabe mexicain chinois indien immigré réfugié".split(),
+    "fr orientation": "gay lesbienne bisexuel homosexuel hétérosexuel".split(),
+    "fr ability": "sourd aveugle autiste handicapé".split(),
+    "es gender": "hombre mujer hombres mujeres masculino femenino niño niña".split(),
+    "es faith": "cristiano musulmán judío hindú budista católico protestante ateo".split(),
+    "es origin": "africano americano asiático europeo árabe mexicano chino indio inmigrante refugiado".split(),
+    "es orientation": "gay lesbiana bisexual homosexual heterosexual".split(),
+    "es ability": "sordo ciego autista discapacitado".split(),
 }
 
 
 def swaps(groups: dict[str, list[str]] | None = None) -> dict[str, str]:
-    """Each identity term with the next one of its group."""
-    return {t: g[(i + 1) % len(g)] for g in (groups or IDENTITY).values() for i, t in enumerate(g)}
+    """Each identity term with the next one of its group; a term of several groups takes the first of them."""
+    out: dict[str, str] = {}
+    for group in (IDENTITY if groups is None else groups).values():
+        for i, term in enumerate(group):
+            out.setdefault(term, group[(i + 1) % len(group)])
+    return out
 
 
 def word_set(text: str) -> set[str]:
@@ -56,15 +81,62 @@ def features(words: set[str]) -> set[str]:
     return words | {f"{w[:k]}-" for w in words for k in PREFIXES if len(w) >= k}
 
 
+def difference(words: set[str], other: set[str]) -> tuple[list[str], list[str]]:
+    """Features that only the one, and only the other sentence has."""
+    one, two = features(words), features(other)
+    return sorted(one - two), sorted(two - one)
+
+
+def counterfactuals(text: str, swap: dict[str, str], terms: Sequence[str]) -> list[tuple[list[str], list[str]]]:
+    """What the swaps change in the sentences of a text. Without a term of ``swap`` in it, one of ``terms`` is put into the
+    sentence with the least checksum, which also picks the term."""
+    named, plain = [], None
+    for m in SENTENCE.finditer(text.lower()):
+        words = set(WORD.findall(m[0]))
+        if not words:
+            continue
+        code = zlib.crc32(m[0].encode("utf-8", "surrogatepass"))
+        if words & swap.keys():
+            named = sorted([*named, (code, sorted(words))])[:PAIRS]
+        elif plain is None or code < plain[0]:
+            plain = code, words
+    out = []
+    for _, words in named:
+        own = set(words) & swap.keys()
+        out.append(difference(set(words), (set(words) - own) | {swap[w] for w in own}))
+    if not named and plain and terms:
+        term = terms[plain[0] % len(terms)]
+        out.append(difference(plain[1] | {term}, plain[1] | {swap[term]}))
+    return [(plus, minus) for plus, minus in out if plus or minus]
+
+
+_KNOWN, _LONG = 1 << 16, 64
+
+
 @dataclass
 class Model:
+    """Weights of features; ``pairs`` counts the counterfactual pairs of the fit."""
+
     weights: dict[str, float]
     intercept: float
+    pairs: int = 0
+    known: dict[str, frozenset[str]] = field(default_factory=dict, repr=False, compare=False)
+
+    def weighted(self, word: str) -> frozenset[str]:
+        """The features of a word that have a weight; short words are remembered, up to ``_KNOWN`` of them."""
+        found = self.known.get(word)
+        if found is None:
+            found = frozenset(self.weights.keys() & features({word}))
+            if len(word) <= _LONG:
+                if len(self.known) >= _KNOWN:
+                    self.known.clear()
+                self.known[word] = found
+        return found
 
     def score(self, words: set[str]) -> float:
         if self.intercept == -np.inf:
             return 0.0
-        z = self.intercept + sum(sorted(self.weights[w] for w in self.weights.keys() & features(words)))
+        z = self.intercept + sum(sorted(self.weights[w] for w in frozenset().union(*map(self.weighted, words))))
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
@@ -77,9 +149,14 @@ def fit_words(
     significance: float = 5.0,
     most_words: int = 2_000,
     steps: int = 300,
+    pairs: Sequence[tuple[Sequence[str], Sequence[str]]] | None = None,
 ) -> Model:
     """Fit on (distinct words, label) rows. Words in fewer than ``least`` texts or whose association with
-    the label is below ``significance`` (root of the likelihood-ratio statistic) get no weight; identity terms are always in."""
+    the label is below ``significance`` (root of the likelihood-ratio statistic) get no weight; identity terms are always in.
+    ``pairs`` are the features that each counterfactual removes and adds; by default each row counts as one sentence."""
+    if pairs is None:
+        named = [(set(words), set(words) & swap.keys()) for words, _ in rows]
+        pairs = [difference(w, (w - own) | {swap[t] for t in own}) for w, own in named if own]
     n = np.bincount([y for _, y in rows], minlength=2)
     prior = float(np.log((n[1] + 0.5) / (n[0] + 0.5)))
     if not n.all():
@@ -87,26 +164,25 @@ def fit_words(
     seen = Counter(), Counter()
     for words, y in rows:
         seen[y].update(features(set(words)))
-    strength, named = {}, set(swap)
+    strength = {}
     for w in seen[0].keys() | seen[1].keys():
         a, b = seen[1][w], seen[0][w]
         if a + b >= least:
             z = _association(a, b, n[1], n[0])
-            if z >= significance or w in named:
+            if z >= significance:
                 strength[w] = z
-    vocabulary = sorted(strength, key=lambda w: (-strength[w], w))[:most_words]
+    terms = swap.keys() & {f for pair in pairs for side in pair for f in side}
+    strongest = sorted(strength, key=lambda w: (-strength[w], w))[:most_words]
+    vocabulary = strongest + sorted(terms - set(strongest))
     at = {w: i for i, w in enumerate(vocabulary)}
     x = np.zeros((len(rows), len(vocabulary)), np.float32)
-    change = []
     for i, (words, _) in enumerate(rows):
-        words = set(words)
-        x[i, [at[w] for w in features(words) & at.keys()]] = 1
-        if named := words & swap.keys():
-            row = np.zeros_like(x[i])
-            row[[at[w] for w in features((words - named) | {swap[w] for w in named}) & at.keys()]] = 1
-            change.append(x[i] - row)
+        x[i, [at[w] for w in features(set(words)) & at.keys()]] = 1
+    gap = np.zeros((len(pairs), len(vocabulary)), np.float32)
+    for i, (plus, minus) in enumerate(pairs):
+        gap[i, [at[f] for f in plus if f in at]] = 1
+        gap[i, [at[f] for f in minus if f in at]] = -1
     y = np.array([y for _, y in rows], np.float32)
-    gap = np.array(change, np.float32).reshape(len(change), len(vocabulary))
     weight, bias = np.zeros(len(vocabulary), np.float32), np.float32(prior)
     # Accelerated gradient steps, with a step below the reciprocal of the curvature.
     top = 0.25 * _norm(x) / len(rows) + ridge / len(rows) + (penalty * _norm(gap) / len(gap) if len(gap) else 0)
@@ -121,7 +197,7 @@ def fit_words(
         speed = (step - 1) / (step + 2)
         ahead, bias_ahead = weight + speed * (weight - old), bias + speed * (bias - bias_old)
         old, bias_old = weight, bias
-    return Model({w: float(weight[i]) for w, i in at.items() if abs(weight[i]) > 1e-6}, float(bias))
+    return Model({w: float(weight[i]) for w, i in at.items() if abs(weight[i]) > 1e-6}, float(bias), len(pairs))
 
 
 def _association(a: int, b: int, n_1: int, n_0: int) -> float:
@@ -145,18 +221,36 @@ def _norm(x: np.ndarray, rounds: int = 20) -> float:
     return 1.2 * size
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (3_000, 1_500), modulus: int = 5, remainder: int = 0) -> Model:
-    """Fit to ``labels`` (doc_id, toxic) outside the held-out fold, on at most ``most`` clean and toxic documents."""
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    most: tuple[int, int] = (3_000, 1_500),
+    modulus: int = 5,
+    remainder: int = 0,
+    groups: dict[str, list[str]] | None = None,
+    penalty: float = 50.0,
+) -> Model:
+    """Fit to ``labels`` (doc_id, toxic) outside the held-out fold, on at most ``most`` clean and toxic documents.
+    ``groups`` are the identity terms by group, in any languages; by default ``IDENTITY``."""
     sample = labelled_sample(docs, labels, "toxic", modulus, remainder, most)
+    swap = swaps(groups)
+    terms = [t for t in swap if swap[t] != t]
+    sides = pa.list_(pa.list_(pa.list_(pa.string())))
 
     def words_of(batches):
         for batch in batches:
-            found = [sorted(word_set(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["y", "words"])
-
-    found = sample.select("y", "text").mapInArrow(words_of, "y int, words array<string>")
-    rows = sorted((r["y"], tuple(map(sys.intern, r["words"]))) for r in found.toLocalIterator())
-    model = fit_words([(words, y) for y, words in rows], swaps())
+            texts = batch.column(1).to_pylist()
+            found = [sorted(word_set(t)) for t in texts]
+            pairs = [[list(p) for p in counterfactuals(t, swap, terms)] for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string())), pa.array(pairs, sides)], ["y", "words", "pairs"])
+
+    found = sample.select("y", "text").mapInArrow(words_of, "y int, words array<string>, pairs array<array<array<string>>>")
+    rows, pairs = [], []
+    for r in found.toLocalIterator():
+        rows.append((r["y"], tuple(map(sys.intern, r["words"]))))
+        pairs += [(tuple(plus), tuple(minus)) for plus, minus in r["pairs"]]
+    rows.sort()
+    model = fit_words([(words, y) for y, words in rows], swap, penalty, pairs=sorted(pairs))
     # The sample's shares of the labels depend on its bounds; the intercept takes back the true ones.
     counted = labels.filter(F.col("doc_id").isNotNull() & ~held_out("doc_id", modulus, remainder))
     all_1, all_0 = counted.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()

@@ -55,6 +55,42 @@ def test_swapped_terms_get_no_weight_of_their_own():
     assert held.score({"w2", "muslim"}) < 0.5 < held.score({"w2", "scoundrel"})
 
 
+def test_counterfactual_pairs_act_on_the_given_labels(spark):
+    docs, labels = table(spark, FOLDER, "documents"), table(spark, FOLDER, "labels")
+    free, held = (toxicity.fit(docs, labels, penalty=p) for p in (0.0, 50.0))
+    assert held.pairs == free.pairs > 200
+    rows = docs.join(labels, "doc_id").where("toxic IS NOT NULL").select("doc_id", "text", "toxic").collect()
+    rows = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    right = lambda m: sum((m.score(toxicity.word_set(r["text"] or "")) >= 0.5) == r["toxic"] for r in rows)
+    assert right(held) >= right(free)
+    neutral = [toxicity.word_set(s) for r in rows if r["toxic"] == 0 for s in toxicity.SENTENCE.findall(r["text"] or "")[:2]][:50]
+    gap = lambda m: np.mean([abs(m.score(n | {a}) - m.score(n | {b})) for n in neutral for a, b in toxicity.swaps().items()])
+    assert 0 < gap(held) < 0.5 * gap(free)
+
+
+def test_counterfactuals_are_made_in_sentences():
+    groups = {"faith": ["muslim", "jewish"], "alone": ["x"]}
+    swap = toxicity.swaps(groups)
+    assert swap == {"muslim": "jewish", "jewish": "muslim", "x": "x"}
+    made = toxicity.counterfactuals("A muslim came. Nothing here! Jewish and muslim people", swap, ["muslim", "jewish"])
+    # The last sentence holds both terms and does not change; the other changes though the text has both.
+    assert made == [toxicity.difference({"a", "muslim", "came"}, {"a", "jewish", "came"})]
+    put_in = toxicity.counterfactuals("Nothing here!", swap, ["muslim"])
+    assert put_in == [toxicity.difference({"nothing", "here", "muslim"}, {"nothing", "here", "jewish"})]
+    for text in ("", "...", "\n\n", "1 2 3"):
+        assert toxicity.counterfactuals(text, swap, ["muslim"]) == []
+    assert toxicity.counterfactuals("Nothing here!", {}, []) == []
+    many = ". ".join(f"muslim w{'abcdefgh'[i]}" for i in range(8))
+    assert len(toxicity.counterfactuals(many, swap, ["muslim"])) == toxicity.PAIRS
+
+
+def test_remembered_words_do_not_change_scores():
+    model = toxicity.Model({"idiot": 2.0, "idi-": 0.5, "muslim": -0.25}, -1.0)
+    for words in ({"idiot"}, {"idiots", "muslim"}, {"idiot", "idiots"}, set(), {"z" * 1000}):
+        z = -1.0 + sum(sorted(model.weights[w] for w in model.weights.keys() & toxicity.features(words)))
+        assert model.score(words) == model.score(words) == pytest.approx(1 / (1 + np.exp(-z)))
+
+
 def test_quality_on_held_out_labels(spark):
     docs, labels = table(spark, FOLDER, "documents"), table(spark, FOLDER, "labels")
     judged = quality.judge(docs, labels).cache()
