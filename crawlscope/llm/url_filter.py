@@ -8,6 +8,10 @@ mistake is left. A key is on the list if the number of levels that accept it, up
 not, is odd. That is exact for every key of the corpus, and needs no join. Blocked and allowed keys have a
 cascade each; the longest key on either list decides, and a URL without one is allowed.
 
+The filters go with each task, so their size is bounded. Longer lists are looked up in parts: URLs are put into parts by
+their host, a part too large for its filters (one host) by host and path, and each part has cascades of its own over the
+keys that its URLs have. The parts are worked on one after the other, each by all tasks, and each row is read in its part only.
+
 Only DataFrame functions are used. Defined cases: a null URL or one without ``://`` has an empty host and
 path and is allowed; equal rules count once, and a rule on both lists blocks; without rules everything is
 allowed; rows with equal ids are judged one by one.
@@ -23,9 +27,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlscope.llm.common import stored
+from crawlscope.llm.common import new_folder, stored
 
 MOST_BITS = 1 << 25  # of all levels of a cascade together: 4 MiB go with each task
+LEAST_BITS = 1 << 10  # smaller bounds count as this one
+MOST_PARTS = 64  # of one division; a part still too large is divided again
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -93,7 +99,7 @@ class Cascade:
         return out
 
 
-def build_cascade(universe: DataFrame, most_bits: int = MOST_BITS) -> Cascade | None:
+def build_cascade(universe: DataFrame, most_bits: float = MOST_BITS) -> Cascade | None:
     """Cascade of ``universe`` (key, listed), or None if it would exceed ``most_bits``."""
     other, listed = (universe.filter(F.col("listed") == v).select("key") for v in (False, True))
     row = universe.agg(F.count_if("listed"), F.count_if(~F.col("listed"))).first()
@@ -115,7 +121,7 @@ def build_cascade(universe: DataFrame, most_bits: int = MOST_BITS) -> Cascade |
 def judge_urls(pages: DataFrame, rules: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """(page_id, host, path, rule, verdict) per row of ``pages`` (page_id, url) under ``rules`` (host, path, action).
 
-    A list too long for its cascade to go with each task is looked up by a hash join instead.
+    ``most_bits`` bounds a cascade that goes with the tasks; lists that need more are looked up in parts.
     """
     listed = rules.select(F.concat("host", "path").alias("key"), F.length("path").alias("n"), "action").filter("key IS NOT NULL")
     # A path's length is at most that of a URL; rules come with few different ones.
@@ -132,9 +138,27 @@ def judge_urls(pages: DataFrame, rules: DataFrame, most_bits: int = MOST_BITS) -
         ),
         "url-keys",
     )
-    cascades = {a: build_cascade(universe.select("key", F.col(a).alias("listed")), most_bits) for a in ("block", "allow")}
-    if any(c is None for c in cascades.values()):
-        return _judge_by_join(rows, lists)
+    most_bits = max(most_bits, LEAST_BITS)
+    cascades = _cascades(universe, most_bits)
+    if cascades is not None:
+        return _verdicts(rows, cascades)
+    folder = new_folder(pages.sparkSession, "url-verdicts")
+    _judge_parts(rows, universe, most_bits, folder)
+    out = _verdicts(rows, {"block": Cascade([]), "allow": Cascade([])})
+    return pages.sparkSession.read.schema(out.schema).parquet(folder).select(out.columns)
+
+
+def _cascades(universe: DataFrame, most_bits: float) -> dict[str, Cascade] | None:
+    """Cascades of the blocked and the allowed keys of ``universe`` (key, block, allow), or None if one is too large."""
+    out = {}
+    for action in ("block", "allow"):
+        out[action] = build_cascade(universe.select("key", F.col(action).alias("listed")), most_bits)
+        if out[action] is None:
+            return None
+    return out
+
+
+def _verdicts(rows: DataFrame, cascades: dict[str, Cascade]) -> DataFrame:
     on_list = [
         F.transform(F.filter("keys", cascades["block"].holds), lambda k: F.struct(F.length(k).alias("n"), k.alias("key"), F.lit(True).alias("block"))),
         F.transform(F.filter("keys", cascades["allow"].holds), lambda k: F.struct(F.length(k).alias("n"), k.alias("key"), F.lit(False).alias("block"))),
@@ -144,11 +168,35 @@ def judge_urls(pages: DataFrame, rules: DataFrame, most_bits: int = MOST_BITS) -
     return rows.select("page_id", "host", "path", F.col("best.key").alias("rule"), F.when(F.col("best.block"), "block").otherwise("allow").alias("verdict"))
 
 
-def _judge_by_join(rows: DataFrame, lists: DataFrame) -> DataFrame:
-    keyed = rows.withColumn("_row", F.monotonically_increasing_id())
-    keyed = stored(keyed, "url-rows")
-    found = keyed.select("_row", F.explode("keys").alias("key")).join(lists, "key")
-    best = found.groupBy("_row").agg(F.max(F.struct(F.length("key"), "key", "block")).alias("best"))
-    return keyed.join(best, "_row", "left").select(
-        "page_id", "host", "path", F.col("best.key").alias("rule"), F.when(F.col("best.block"), "block").otherwise("allow").alias("verdict")
-    )
+def _judge_parts(rows: DataFrame, universe: DataFrame, most_bits: int, folder: str, name: str = "", salt: int = 0) -> None:
+    """Write the verdicts of ``rows`` (page_id, host, path, keys) below ``folder``, one folder for each part.
+
+    A part takes neighbouring files of the divided tables, so a pass reads little else, and a hot host spans many tasks.
+    """
+    n_block, n_allow, n = universe.agg(F.count_if("block"), F.count_if("allow"), F.count("*")).first()
+    bits = max(_bits(listed, n - listed) for listed in (n_block, n_allow))
+    parts = min(MOST_PARTS, max(2, math.ceil(2 * bits / most_bits)))
+    by = ["host"] if salt == 0 else ["host", "path"]
+    placed = rows.withColumn("_part", F.pmod(F.xxhash64(*by, F.lit(salt)), F.lit(parts)).cast("int"))
+    placed = placed.withColumn("_row", F.monotonically_increasing_id())
+    placed = stored(placed.repartitionByRange("_part", "_row").sortWithinPartitions("_part").drop("_row"), "url-rows")
+    met = placed.select("_part", F.explode("keys").alias("key")).distinct()
+    met = met.join(universe.filter("block OR allow"), "key", "left").na.fill(False, ["block", "allow"])
+    met = stored(met.repartitionByRange("_part", "key").sortWithinPartitions("_part"), "url-keys")
+    for k in range(parts):
+        own, keys = (t.filter(F.col("_part") == k).drop("_part") for t in (placed, met))
+        cascades = _cascades(keys, most_bits)
+        if cascades is None:
+            url = F.struct("host", "path")
+            least, greatest = own.agg(F.min(url), F.max(url)).first()
+            if salt == 0 or least != greatest:
+                _judge_parts(own, keys, most_bits, folder, f"{name}{k}-", salt + 1)
+                continue
+            cascades = _cascades(keys, math.inf)  # the keys of a single URL
+        _verdicts(own, cascades).write.parquet(f"{folder}/part=p{name}{k}")
+
+
+def _bits(listed: int, other: int) -> float:
+    """About the bits of a cascade: the first level, and the later ones, which halve."""
+    rate = min(0.5, listed / (2 * other)) if listed and other else 0.5
+    return listed * (-math.log(rate) / math.log(2) ** 2 + 4)

@@ -50,6 +50,20 @@ def test_many_rules_exactly(spark):
     assert judged(spark, urls, rules) == {i: stated(u, rules) for i, u in enumerate(urls)}
 
 
+def test_a_long_list_in_parts(spark, monkeypatch):
+    divisions = []
+    whole = url_filter._judge_parts
+    monkeypatch.setattr(url_filter, "_judge_parts", lambda *a: (divisions.append(a[5] if len(a) > 5 else 0), whole(*a)))
+    rng = random.Random(12)
+    # Many hosts, and one host with many rules of its own, whose part has to be divided by path.
+    rules = [(f"h{i}.com", "", rng.choice(["allow", "block"])) for i in range(120)]
+    rules += [("hot.org", f"/p{i:03d}", rng.choice(["allow", "block", "block"])) for i in range(300)] + [("com", "", "block")]
+    urls = [f"https://{rng.choice(['', 'www.'])}h{rng.randrange(200)}.com/x{rng.randrange(9)}" for _ in range(500)]
+    urls += [f"https://hot.org/p{i:03d}/{i % 3}" for i in range(350)] + ["https://hot.org/p001/1"] * 200 + URLS
+    assert judged(spark, urls, rules, most_bits=1 << 10) == {i: stated(u, rules) for i, u in enumerate(urls)}
+    assert 0 in divisions and 1 in divisions
+
+
 def test_cascade_is_exact_on_its_universe(spark):
     keys = spark.range(30_000).select(F.concat(F.lit("k"), "id").alias("key"), (F.xxhash64("id") % 50 == 0).alias("listed"))
     cascade = url_filter.build_cascade(keys)
