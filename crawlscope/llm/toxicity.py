@@ -21,7 +21,8 @@ import sys
 import zlib
 from collections import Counter
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -110,9 +111,6 @@ def counterfactuals(text: str, swap: dict[str, str], terms: Sequence[str]) -> li
     return [(plus, minus) for plus, minus in out if plus or minus]
 
 
-_KNOWN, _LONG = 1 << 16, 64
-
-
 @dataclass
 class Model:
     """Weights of features; ``pairs`` counts the counterfactual pairs of the fit."""
@@ -120,23 +118,18 @@ class Model:
     weights: dict[str, float]
     intercept: float
     pairs: int = 0
-    known: dict[str, frozenset[str]] = field(default_factory=dict, repr=False, compare=False)
-
-    def weighted(self, word: str) -> frozenset[str]:
-        """The features of a word that have a weight; short words are remembered, up to ``_KNOWN`` of them."""
-        found = self.known.get(word)
-        if found is None:
-            found = frozenset(self.weights.keys() & features({word}))
-            if len(word) <= _LONG:
-                if len(self.known) >= _KNOWN:
-                    self.known.clear()
-                self.known[word] = found
-        return found
+
+    @cached_property
+    def stubs(self) -> set[str]:
+        """First letters of all features with a weight: words that begin otherwise have none."""
+        return {f[: PREFIXES.start] for f in self.weights}
 
     def score(self, words: set[str]) -> float:
         if self.intercept == -np.inf:
             return 0.0
-        z = self.intercept + sum(sorted(self.weights[w] for w in frozenset().union(*map(self.weighted, words))))
+        stubs, size = self.stubs, PREFIXES.start
+        likely = {w for w in words if w[:size] in stubs}
+        z = self.intercept + sum(sorted(self.weights[w] for w in self.weights.keys() & features(likely)))
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
