@@ -15,11 +15,13 @@ graph "d(x, y) <= eps" without ever listing the pairs of a group:
    and to the next lower one.
    Documents that share a region are joined to its least member: the islands of the resulting graph
    hold every link.
-3. *Voronoi regions inside an island.* Distances vary there. Pivots are documents; a document that
-   links to a pivot is settled with it, and pairs settled by one pivot are never compared. The rest
-   goes to the region of its nearest pivot and, by the triangle inequality, to each other pivot within
-   2 eps of the nearest distance; what is far from all pivots forms one more region. Regions that
-   are still large are cut again, small ones are joined inside one task.
+3. *Voronoi regions.* Every island is cut by documents as pivots, about the square root of its sets. A
+   document goes to the region of its nearest pivot and, by the triangle inequality, to each other pivot
+   within 2 eps of the nearest distance; what is far from all pivots forms one more region. A document
+   that links to a pivot belongs to the pivot's class, and pairs of one class are never compared. The
+   work left in a region is its elements times its sets outside the largest class: none means that the
+   region is done, little that one task joins it, much that it is cut again. Where the cut does not halve
+   the work, as with documents that all lie equally far apart, the island is joined in pairs of blocks.
 
 Defined cases: null or empty texts and texts without a word have no shingles, link with nothing and
 form their own class; texts of fewer than ``n`` words have one shingle, the whole sequence; rows with
@@ -35,7 +37,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlscope.llm import kernels as K
@@ -143,22 +145,40 @@ def least_of_equal(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.
 
 
 # --- exact join of a region in one task ---------------------------------------------------------
-def links_within(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+class Holders:
+    """Which sets hold each element, to meet one set with all at once."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.bounds = np.concatenate([[0], np.cumsum(self.sizes)])
+        universe, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.holders = np.repeat(np.arange(len(sets)), self.sizes)[np.argsort(self.flat, kind="stable")]
+        self.held = np.bincount(self.flat, minlength=len(universe))
+        self.begins = np.cumsum(self.held) - self.held
+
+    def shared(self, one: int) -> np.ndarray:
+        """Number of elements that set ``one`` shares with each set."""
+        own = self.flat[self.bounds[one] : self.bounds[one + 1]]
+        met = self.holders[K.ragged(self.begins[own], self.held[own])]
+        return np.bincount(met, minlength=len(self.sizes))
+
+
+def links_within(sets: list[np.ndarray], num: int, den: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect the classes of a region: pivot by pivot, until all that is left is one class.
 
     Each pivot is compared with every remaining set and then removed. Pivots come from the smallest
-    classes, so that the members of the largest class are never compared with each other.
+    classes, so that the members of the largest class are never compared with each other. ``known``
+    numbers classes that earlier pivots have found.
     """
-    sizes = np.array([len(s) for s in sets], np.int64)
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    universe, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    holders = np.repeat(np.arange(len(sets)), sizes)[np.argsort(flat, kind="stable")]  # of each element in turn
-    held = np.bincount(flat, minlength=len(universe))
-    begins = np.cumsum(held) - held
-    label = np.arange(len(sets))
-    open_: dict[int, list[int]] = {i: [i] for i in label.tolist()}  # members by class, without past pivots
-    whole = {i: [i] for i in label.tolist()}
-    queue, found = [(1, i) for i in label.tolist()], []
+    index = Holders(sets)
+    sizes = index.sizes
+    label = np.arange(len(sets)) if known is None else np.unique(known, return_inverse=True)[1]
+    open_: dict[int, list[int]] = {}  # members by class, without past pivots
+    for i, c in enumerate(label.tolist()):
+        open_.setdefault(c, []).append(i)
+    whole = {c: list(members) for c, members in open_.items()}
+    queue, found = [(len(members), c) for c, members in open_.items()], []
+    heapq.heapify(queue)
     left = np.ones(len(sets), bool)
     while len(open_) > 1:
         size, name = heapq.heappop(queue)
@@ -166,9 +186,7 @@ def links_within(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int,
             continue
         pivot = open_[name].pop()
         left[pivot] = False
-        own = flat[bounds[pivot] : bounds[pivot + 1]]
-        met = holders[K.ragged(begins[own], held[own])]
-        shared = np.bincount(met, minlength=len(sets))
+        shared = index.shared(pivot)
         near = left & (label != name) & (den * shared >= num * (sizes + sizes[pivot] - shared))
         for other in np.flatnonzero(near).tolist():
             found.append((pivot, other))
@@ -199,18 +217,14 @@ def regions_of(distance: np.ndarray, eps: float, far: float = 0.5) -> np.ndarray
     return np.hstack([inside, nearest >= far - eps - slack])
 
 
-def settled(distance: np.ndarray, inside: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
-    """Per pivot, which sets still matter to its region: (kept, core), core sets being linked to the pivot.
-
-    Core sets are one class already. One of them is kept only if an unsettled set lies in its window.
-    """
-    slack, kept, core = 1e-9, inside.copy(), np.zeros_like(inside)
-    for k in range(distance.shape[1]):
-        core[:, k] = inside[:, k] & (distance[:, k] <= eps + slack)
-        open_ = inside[:, k] & ~core[:, k]
-        least = distance[open_, k].min() if open_.any() else np.inf
-        kept[:, k] &= ~core[:, k] | (distance[:, k] >= least - eps - slack)
-    return kept, core
+def pivot_classes(edges: list[tuple[int, int]]) -> dict[int, int]:
+    """Least pivot of the class of each pivot that occurs in ``edges``."""
+    least = {p: p for edge in edges for p in edge}
+    for p, q in edges:
+        one, two = least[p], least[q]
+        if one != two:
+            least = {k: min(one, two) if v in (one, two) else v for k, v in least.items()}
+    return least
 
 
 # --- Spark ----------------------------------------------------------------------------------------
@@ -359,110 +373,186 @@ def member_sets(docs: DataFrame, members: DataFrame, n: int, bits: int = 1 << 23
     )
 
 
+SLICE_SETS, SLICE_ELEMENTS = 500, 1_000_000  # of an island that one task measures against the pivots
+WORK = 50_000_000  # elements times open sets of a region that one task joins
+
+
 def region_links(sets: DataFrame, num: int, den: int, limit: int, pivots: int) -> DataFrame:
     """Links (a, b) inside the islands of ``sets`` (island, node, elements) that connect their classes.
 
-    Islands of at most ``limit`` set elements are joined in one task each. Larger ones are cut by
-    ``pivots`` pivots at a time until their parts are small; ``limit`` sets memory, never the result.
+    All islands are cut by pivots first. Regions of at most ``limit`` elements and ``WORK`` are joined in
+    one task each, larger ones are cut again or joined in pairs of blocks; both bounds set memory and time
+    of a task, never the result. Rounds move ids; elements join them where sets are compared.
     """
-    eps = 1 - num / den
-    links = None
-    work = sets.select("island", "node", "elements")
+    elements = sets.select("node", "elements")
+    place = sets.select(
+        F.col("island").alias("region"), "node", F.lit(None).cast("long").alias("label"), F.size("elements").cast("long").alias("size")
+    )
+    links, leaves = None, None
     while True:
-        size = work.groupBy("island").agg(F.sum(F.size("elements").cast("long")).alias("total"), F.count("*").alias("sets"))
-        size = size.filter("sets > 1")
-        small = work.join(size.filter(F.col("total") <= limit).select("island"), "island")
-        big_sizes = size.filter(F.col("total") > limit)
-        found = small.groupBy("island").applyInArrow(lambda group: _join_small(group, num, den), "a long, b long")
-        links = found if links is None else links.union(found)
-        if big_sizes.isEmpty():
-            return links
-        cut, new = _cut_large(work, big_sizes, num, den, eps, pivots)
-        links = links.union(new)
-        work = cut
+        measured = _measure(place, elements, num, den, pivots)
+        found = measured.filter("kind = 0").select(F.col("node").alias("a"), F.col("other").alias("b"))
+        cut = stored(_regions(measured, limit), "jaccard-regions")
+        leaf = cut.filter("leaf").select("region", "node", "label")
+        links, leaves = (found, leaf) if links is None else (links.union(found), leaves.union(leaf))
+        place = cut.filter("NOT leaf").select("region", "node", "label", "size")
+        if place.isEmpty():
+            break
+    joined = leaves.join(elements, "node").groupBy("region").applyInArrow(lambda group: _join_small(group, num, den), "a long, b long")
+    return links.union(joined)
+
+
+def _sets(group: pa.Table) -> list[np.ndarray]:
+    lists = group.column("elements").combine_chunks()
+    cut, flat = np.asarray(lists.offsets), np.asarray(lists.values).view(K.U64)
+    return [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def _labels(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Labels of the rows, and which rows have one."""
+    column = group.column("label").combine_chunks()
+    return np.asarray(column.fill_null(0)), ~np.asarray(column.is_null())
 
 
 def _join_small(group: pa.Table, num: int, den: int) -> pa.Table:
-    nodes, first = np.unique(np.asarray(group.column("node")), return_index=True)
-    lists = group.column("elements").combine_chunks()
-    cut, flat = np.asarray(lists.offsets), np.asarray(lists.values).view(K.U64)
-    sets = [flat[cut[i] : cut[i + 1]] for i in first]
-    found = np.array(links_within(sets, num, den) if len(sets) > 1 else [], np.int64).reshape(-1, 2)
+    nodes = np.asarray(group.column("node"))
+    label, has = _labels(group)
+    # Classes by label; a row without one is a class of its own.
+    known = np.unique(label, return_inverse=True)[1]
+    known = np.where(has, known, len(nodes) + np.arange(len(nodes)))
+    found = np.array(links_within(_sets(group), num, den, known) if len(nodes) > 1 else [], np.int64).reshape(-1, 2)
     return pa.table({"a": nodes[found[:, 0]], "b": nodes[found[:, 1]]})
 
 
-def _cut_large(work: DataFrame, sizes: DataFrame, num: int, den: int, eps: float, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """One round over the large islands: (parts to be joined further, links with the pivots).
+def _measure(place: DataFrame, elements: DataFrame, num: int, den: int, pivots: int) -> DataFrame:
+    """One round of pivots over the regions of ``place`` (region, node, label, size), in rows of three kinds.
 
-    The pivots' sets, ``pivots`` per island, are copied to salted slices of the island, so no task reads
-    an island whole. Pivots have met every set of their island and leave.
+    0: a link (node, other) with a pivot. 1: ``node`` lies in ``part`` of its region and, unless ``core`` is
+    null, in the class of pivot ``core``. 2: pivots ``part`` and ``other`` are of one class. Pivots have met
+    every set of their region and leave. They are copied to slices of the region, so no task reads one whole.
     """
-    from crawlscope.operators.common import attach_group, top_k
-
-    large = work.join(sizes.select("island"), "island")
-    chosen = top_k(large.select("island", "node", "elements"), ["island"], [F.xxhash64("node"), F.col("node")], pivots)
-    groups = chosen.groupBy("island").agg(F.collect_list(F.struct("node", "elements")).alias("pivot")).join(
-        sizes.select("island", "sets"), "island"
+    sizes = place.groupBy("region").agg(F.count("*").alias("sets"), F.sum("size").alias("total")).filter("sets > 1")
+    sizes = sizes.select(
+        "region",
+        F.least(F.lit(pivots), F.ceil(F.sqrt("sets"))).alias("most"),
+        F.greatest(F.ceil(F.col("sets") / SLICE_SETS), F.ceil(F.col("total") / SLICE_ELEMENTS)).alias("slices"),
     )
-    rows = attach_group(large, groups, ["island"], "sets", ["node"], hot=2_000)
+    by_hash = Window.partitionBy("region").orderBy(F.xxhash64("node", "region"), "node")
+    first = place.select("region", "node", F.row_number().over(by_hash).alias("rank")).filter(F.col("rank") <= pivots)
+    rank = F.when(F.col("rank") <= F.col("most"), F.col("rank"))
+    own = F.array(F.pmod(F.xxhash64("node"), F.col("slices")))
+    sent = place.join(sizes, "region").join(first, ["region", "node"], "left").withColumn("rank", rank)
+    sent = sent.withColumn("slice", F.explode(F.when(F.col("rank").isNull(), own).otherwise(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))))
+    eps = 1 - num / den
 
-    def measure(batches):
-        for batch in batches:
-            for island, node, elements, pivot in zip(*(batch.column(i) for i in range(4)), strict=True):
-                own = np.asarray(elements.values)
-                far, linked = [], []
-                for p in pivot:
-                    other = np.asarray(p["elements"].values)
-                    shared = len(np.intersect1d(own, other, assume_unique=True))
-                    union = len(own) + len(other) - shared
-                    far.append(1 - shared / union)
-                    if den * shared >= num * union and p["node"].as_py() != node.as_py():
-                        linked.append(p["node"].as_py())
-                is_pivot = node.as_py() in {p["node"].as_py() for p in pivot}
-                inside = regions_of(np.array([far]), eps)[0]
-                yield pa.RecordBatch.from_pylist(
-                    [{"island": island.as_py(), "node": node.as_py(), "is_pivot": is_pivot, "distance": far, "inside": np.flatnonzero(inside).tolist(), "linked": linked, "elements": own}],
-                    schema=out_schema,
-                )
+    def measure(key, group):
+        nodes, sizes = np.asarray(group.column("node")), np.asarray(group.column("size"))
+        label, has = _labels(group)
+        ranks = np.asarray(group.column("rank").combine_chunks().fill_null(0))
+        chosen = np.flatnonzero(ranks)
+        chosen = chosen[np.argsort(ranks[chosen])]
+        index = Holders(_sets(group))
+        shared = np.stack([index.shared(p) for p in chosen.tolist()], 1)
+        union = sizes[:, None] + sizes[chosen] - shared
+        near = den * shared >= num * union
+        same = near | (has[:, None] & has[chosen] & (label[:, None] == label[chosen]))
+        rows = np.flatnonzero(ranks == 0)
+        # Pivots meet each other in every slice; the first one tells it.
+        telling = np.concatenate([rows, chosen]) if key[1].as_py() == 0 else rows
+        at, to = np.nonzero(near[telling])
+        at = telling[at]
+        to = np.where(at == chosen[to], -1, to)
+        at, to = at[to >= 0], to[to >= 0]
+        linked = _rows(key[0], 0, nodes[at], other=nodes[chosen[to]])
+        inside = regions_of(1 - shared[rows] / union[rows], eps) if len(rows) else np.zeros((0, len(chosen) + 1), bool)
+        who, part = np.nonzero(inside)
+        core = np.where(same[rows].any(axis=1), same[rows].argmax(axis=1), -1)
+        found = rows[who]
+        member = _rows(
+            key[0], 1, nodes[found], part=part, core=pa.array(core[who], mask=core[who] < 0),
+            label=pa.array(label[found], mask=~has[found]), size=sizes[found],
+        )
+        # Pivots that a set has in common are of one class.
+        edges = {(p, q) for held in same[telling] for p, q in _chain(np.flatnonzero(held).tolist())}
+        pairs = np.array(sorted(edges), np.int64).reshape(-1, 2)
+        return pa.concat_tables([linked, member, _rows(key[0], 2, np.zeros(len(pairs), np.int64), part=pairs[:, 0], other=pairs[:, 1])])
 
-    out_schema = pa.schema(
-        [("island", pa.int64()), ("node", pa.int64()), ("is_pivot", pa.bool_()), ("distance", pa.list_(pa.float64())), ("inside", pa.list_(pa.int64())), ("linked", pa.list_(pa.int64())), ("elements", pa.list_(pa.int64()))]
-    )
-    measured = stored(
-        rows.select("island", "node", "elements", "pivot").mapInArrow(
-            measure, "island long, node long, is_pivot boolean, distance array<double>, inside array<long>, linked array<long>, elements array<long>"
-        ),
-        "jaccard-round",
+    schema = "region long, kind int, node long, part long, other long, core long, label long, size long"
+    return stored(sent.join(elements, "node").groupBy("region", "slice").applyInArrow(measure, schema), "jaccard-round")
+
+
+def _chain(held: list[int]) -> list[tuple[int, int]]:
+    return list(zip(held[:-1], held[1:], strict=True))
+
+
+def _rows(region: pa.Scalar, kind: int, node: np.ndarray, **columns) -> pa.Table:
+    n = len(node)
+    out = {"region": pa.repeat(region, n), "kind": pa.array(np.full(n, kind, np.int32)), "node": pa.array(node, pa.int64())}
+    for name in ("part", "other", "core", "label", "size"):
+        column = columns.get(name)
+        out[name] = pa.nulls(n, pa.int64()) if column is None else column if isinstance(column, pa.Array) else pa.array(column, pa.int64())
+    return pa.table(out)
+
+
+def _numbers(count: str) -> Column:
+    """0 to ``count`` - 1; empty for 0."""
+    return F.filter(F.sequence(F.lit(0).cast("long"), F.col(count)), lambda j: j < F.col(count))
+
+
+def _regions(measured: DataFrame, limit: int) -> DataFrame:
+    """(region, node, label, size, leaf) of the regions in which different classes may still link."""
+
+    def classes_of(group: pa.Table) -> pa.Table:
+        least = pivot_classes(list(zip(group.column("part").to_pylist(), group.column("other").to_pylist(), strict=True)))
+        region = group.column("region")[0]
+        return pa.table({"region": pa.repeat(region, len(least)), "core": pa.array(list(least), pa.int64()), "class": pa.array(list(least.values()), pa.int64())})
+
+    # At most the square of the number of pivots for each region.
+    same = measured.filter("kind = 2").select("region", "part", "other").distinct()
+    same = same.groupBy("region").applyInArrow(classes_of, "region long, core long, class long")
+    label = F.when(F.col("core").isNotNull(), F.xxhash64("region", F.coalesce("class", "core"))).otherwise(F.col("label"))
+    member = measured.filter("kind = 1").join(same, ["region", "core"], "left").select("region", "part", "node", label.alias("label"), "size")
+    whole = member.dropDuplicates(["region", "node"]).withColumn("part", F.lit(-1).cast("long"))
+    both = member.union(whole.select(member.columns))
+    # Sets outside the largest class are open: only they can bring new links.
+    by_label = both.groupBy("region", "part", "label").agg(F.count("*").alias("n"), F.sum("size").alias("held"))
+    labelled = F.col("label").isNotNull()
+    stats = by_label.groupBy("region", "part").agg(
+        F.sum("n").alias("sets"), F.sum("held").alias("total"), F.max(F.when(labelled, F.struct("n", "held", "label"))).alias("main")
     )
-    new = measured.select(F.col("node").alias("a"), F.explode("linked").alias("b"))
-    left = measured.filter("NOT is_pivot").withColumn("region", F.explode("inside"))
-    far = F.col("region") >= F.size("distance")
-    to_pivot = F.when(~far, F.get("distance", F.col("region").cast("int")))
-    left = left.withColumn("away", to_pivot).withColumn("core", F.coalesce(to_pivot <= eps + 1e-9, F.lit(False)))
-    # Where the cut copies more than it parts, the island stays whole without its pivots; its core is
-    # what links to the pivot that settles most.
-    shares = left.groupBy("island", "region").agg(
-        F.count("*").alias("n"), F.count_if("core").alias("cores"), F.min(F.when(~F.col("core"), F.col("away"))).alias("open_from")
+    stats = stats.select(
+        "region", "part", "total", F.col("main.label").alias("main"), F.coalesce("main.held", F.lit(0)).alias("main_total"),
+        (F.col("sets") - F.coalesce("main.n", F.lit(0))).alias("open"), (F.col("sets") - F.coalesce("main.n", F.lit(1))).alias("links_from"),
     )
-    whole = shares.groupBy("island").agg(
-        F.sum("n").alias("copies"), F.max("n").alias("most"), F.max_by("region", F.struct("cores", -F.col("region"))).alias("best")
+    stats = stats.withColumn("work", F.col("links_from").cast("double") * F.col("total"))
+    halved = stats.groupBy("region").agg(
+        (F.sum(F.when(F.col("part") >= 0, F.col("work"))) <= 0.5 * F.max(F.when(F.col("part") < 0, F.col("work")))).alias("halved")
     )
-    plan = measured.filter("NOT is_pivot").groupBy("island").agg(F.count("*").alias("rows")).join(whole, "island")
-    split = (F.col("copies") <= 1.5 * F.col("rows")) & (F.col("most") < 0.9 * F.col("rows"))
-    plan = plan.select("island", split.alias("split"), "best")
-    parted = (
-        left.join(plan.filter("split").select("island"), "island")
-        .join(shares, ["island", "region"])
-        .filter(F.expr(f"NOT core OR away >= open_from - {eps} - 1e-9"))
-        .select(F.xxhash64("island", "region", F.lit("part")).alias("island"), "node", "elements")
+    units = stats.join(halved, "region").filter("links_from > 0 AND (part >= 0) = halved")
+    fits = (F.col("total") <= limit) & (F.col("work") <= WORK)
+    rows = both.join(units, ["region", "part"]).withColumn("fits", fits)
+    one = F.xxhash64("region", "part")
+    # Pairs of blocks: open sets meet all others, the largest class does not meet itself.
+    of_work = F.sqrt(2 * F.col("work") / WORK)
+    blocks = {
+        "opens": F.ceil(F.greatest(F.lit(1.0), of_work, 2 * (F.col("total") - F.col("main_total")) / limit)),
+        "mains": F.when(F.col("main").isNull(), 0).otherwise(F.ceil(F.greatest(F.lit(1.0), of_work, 2 * F.col("main_total") / limit))),
+    }
+    rows = rows.withColumns({k: v.cast("long") for k, v in blocks.items()})
+    is_main = F.coalesce(F.col("label") == F.col("main"), F.lit(False))
+    block = F.pmod(F.xxhash64("node", F.lit("block")), F.when(is_main, F.col("mains")).otherwise(F.col("opens")))
+    rows = rows.withColumn("block", block)
+    opens, mains = _numbers("opens"), _numbers("mains")
+    among = F.transform(opens, lambda j: F.xxhash64(one, F.lit("open"), F.least("block", j), F.greatest("block", j)))
+    across = F.transform(mains, lambda j: F.xxhash64(one, F.lit("main"), F.col("block"), j))
+    with_open = F.transform(opens, lambda j: F.xxhash64(one, F.lit("main"), j, F.col("block")))
+    pairs = F.when(is_main, with_open).otherwise(F.concat(among, across))
+    again = F.col("halved") & ~F.col("fits")
+    return rows.select(
+        F.explode(F.when(F.col("fits") | again, F.array(one)).otherwise(pairs)).alias("region"), "node", "label", "size", (~again).alias("leaf")
     )
-    kept = measured.filter("NOT is_pivot").join(plan.filter("NOT split"), "island")
-    kept = kept.withColumn("away", F.coalesce(F.get("distance", F.col("best").cast("int")), F.lit(1.0)))
-    kept = kept.withColumn("core", F.col("away") <= eps + 1e-9)
-    opens = kept.groupBy("island").agg(F.min(F.when(~F.col("core"), F.col("away"))).alias("open_from"))
-    kept = kept.join(opens, "island").filter(F.expr(f"NOT core OR away >= open_from - {eps} - 1e-9"))
-    kept = kept.select(F.xxhash64("island", F.lit("whole")).alias("island"), "node", "elements")
-    return stored(parted.union(kept), "jaccard-parts"), new
+
+
 
 
 def join_nodes(
@@ -491,7 +581,7 @@ def join_nodes(
 
 
 def jaccard_join(
-    docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, limit: int = 2_000_000, pivots: int = 16
+    docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, limit: int = 2_000_000, pivots: int = 64
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs`` (doc_id, text, ...): the classes of the graph
     that links texts whose Jaccard similarity on word ``n``-grams is at least ``num`` / ``den``."""
@@ -504,7 +594,7 @@ def jaccard_join(
 
 
 def one_of_each_class(
-    docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, limit: int = 2_000_000, pivots: int = 16
+    docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, limit: int = 2_000_000, pivots: int = 64
 ) -> DataFrame:
     """The documents without all but the one with the least id of each class, with their columns.
 
