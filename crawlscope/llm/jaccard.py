@@ -392,7 +392,7 @@ def region_links(sets: DataFrame, num: int, den: int, limit: int, pivots: int) -
     while True:
         measured = _measure(place, elements, num, den, pivots)
         found = measured.filter("kind = 0").select(F.col("node").alias("a"), F.col("other").alias("b"))
-        cut = stored(_regions(measured, limit), "jaccard-regions")
+        cut = stored(_regions(measured, 1 - num / den, limit), "jaccard-regions")
         leaf = cut.filter("leaf").select("region", "node", "label")
         links, leaves = (found, leaf) if links is None else (links.union(found), leaves.union(leaf))
         place = cut.filter("NOT leaf").select("region", "node", "label", "size")
@@ -427,8 +427,8 @@ def _join_small(group: pa.Table, num: int, den: int) -> pa.Table:
 def _measure(place: DataFrame, elements: DataFrame, num: int, den: int, pivots: int) -> DataFrame:
     """One round of pivots over the regions of ``place`` (region, node, label, size), in rows of three kinds.
 
-    0: a link (node, other) with a pivot. 1: ``node`` lies in ``part`` of its region and, unless ``core`` is
-    null, in the class of pivot ``core``. 2: pivots ``part`` and ``other`` are of one class. Pivots have met
+    0: a link (node, other) with a pivot. 1: ``node`` lies in ``parts`` of its region, ``away`` from their pivots,
+    and, unless ``core`` is null, in the class of pivot ``core``. 2: pivots ``part`` and ``other`` are of one class. Pivots have met
     every set of their region and leave. They are copied to slices of the region, so no task reads one whole.
     """
     sizes = place.groupBy("region").agg(F.count("*").alias("sets"), F.sum("size").alias("total")).filter("sets > 1")
@@ -466,18 +466,19 @@ def _measure(place: DataFrame, elements: DataFrame, num: int, den: int, pivots:
         linked = _rows(key[0], 0, nodes[at], other=nodes[chosen[to]])
         inside = regions_of(1 - shared[rows] / union[rows], eps) if len(rows) else np.zeros((0, len(chosen) + 1), bool)
         who, part = np.nonzero(inside)
+        cut = np.concatenate([[0], np.cumsum(inside.sum(axis=1))])
+        away = np.hstack([1 - shared[rows] / union[rows], np.full((len(rows), 1), -1.0)])  # -1: far from all pivots
         core = np.where(same[rows].any(axis=1), same[rows].argmax(axis=1), -1)
-        found = rows[who]
         member = _rows(
-            key[0], 1, nodes[found], part=part, core=pa.array(core[who], mask=core[who] < 0),
-            label=pa.array(label[found], mask=~has[found]), size=sizes[found],
+            key[0], 1, nodes[rows], parts=K.lists(part, cut, pa.int64()), away=K.lists(away[who, part], cut, pa.float64()),
+            core=pa.array(core, mask=core < 0), label=pa.array(label[rows], mask=~has[rows]), size=sizes[rows],
         )
         # Pivots that a set has in common are of one class.
         edges = {(p, q) for held in same[telling] for p, q in _chain(np.flatnonzero(held).tolist())}
         pairs = np.array(sorted(edges), np.int64).reshape(-1, 2)
         return pa.concat_tables([linked, member, _rows(key[0], 2, np.zeros(len(pairs), np.int64), part=pairs[:, 0], other=pairs[:, 1])])
 
-    schema = "region long, kind int, node long, part long, other long, core long, label long, size long"
+    schema = "region long, kind int, node long, part long, other long, core long, label long, size long, parts array<long>, away array<double>"
     return stored(sent.join(elements, "node").groupBy("region", "slice").applyInArrow(measure, schema), "jaccard-round")
 
 
@@ -491,6 +492,8 @@ def _rows(region: pa.Scalar, kind: int, node: np.ndarray, **columns) -> pa.Table
     for name in ("part", "other", "core", "label", "size"):
         column = columns.get(name)
         out[name] = pa.nulls(n, pa.int64()) if column is None else column if isinstance(column, pa.Array) else pa.array(column, pa.int64())
+    for name, kind_of in (("parts", pa.int64()), ("away", pa.float64())):
+        out[name] = columns.get(name, pa.nulls(n, pa.list_(kind_of)))
     return pa.table(out)
 
 
@@ -499,8 +502,24 @@ def _numbers(count: str) -> Column:
     return F.filter(F.sequence(F.lit(0).cast("long"), F.col(count)), lambda j: j < F.col(count))
 
 
-def _regions(measured: DataFrame, limit: int) -> DataFrame:
-    """(region, node, label, size, leaf) of the regions in which different classes may still link."""
+def _open_sets(rows: DataFrame) -> DataFrame:
+    """Elements of each (region, part), its largest class, and how many sets lie outside it."""
+    by_label = rows.groupBy("region", "part", "label").agg(F.count("*").alias("n"), F.sum("size").alias("held"))
+    stats = by_label.groupBy("region", "part").agg(
+        F.sum("n").alias("sets"), F.sum("held").alias("total"), F.max(F.when(F.col("label").isNotNull(), F.struct("n", "held", "label"))).alias("main")
+    )
+    return stats.select(
+        "region", "part", "total", F.col("main.label").alias("main"), F.coalesce("main.held", F.lit(0)).alias("main_total"),
+        (F.col("sets") - F.coalesce("main.n", F.lit(1))).alias("links_from"),
+    )
+
+
+def _regions(measured: DataFrame, eps: float, limit: int) -> DataFrame:
+    """(region, node, label, size, leaf) of the regions in which different classes may still link.
+
+    Sets outside the largest class of a region are open: only they can bring new links. The largest class
+    follows into a part only where, by the triangle inequality, it may link to the part's open sets.
+    """
 
     def classes_of(group: pa.Table) -> pa.Table:
         least = pivot_classes(list(zip(group.column("part").to_pylist(), group.column("other").to_pylist(), strict=True)))
@@ -511,20 +530,22 @@ def _regions(measured: DataFrame, limit: int) -> DataFrame:
     same = measured.filter("kind = 2").select("region", "part", "other").distinct()
     same = same.groupBy("region").applyInArrow(classes_of, "region long, core long, class long")
     label = F.when(F.col("core").isNotNull(), F.xxhash64("region", F.coalesce("class", "core"))).otherwise(F.col("label"))
-    member = measured.filter("kind = 1").join(same, ["region", "core"], "left").select("region", "part", "node", label.alias("label"), "size")
-    whole = member.dropDuplicates(["region", "node"]).withColumn("part", F.lit(-1).cast("long"))
-    both = member.union(whole.select(member.columns))
-    # Sets outside the largest class are open: only they can bring new links.
-    by_label = both.groupBy("region", "part", "label").agg(F.count("*").alias("n"), F.sum("size").alias("held"))
-    labelled = F.col("label").isNotNull()
-    stats = by_label.groupBy("region", "part").agg(
-        F.sum("n").alias("sets"), F.sum("held").alias("total"), F.max(F.when(labelled, F.struct("n", "held", "label"))).alias("main")
-    )
-    stats = stats.select(
-        "region", "part", "total", F.col("main.label").alias("main"), F.coalesce("main.held", F.lit(0)).alias("main_total"),
-        (F.col("sets") - F.coalesce("main.n", F.lit(0))).alias("open"), (F.col("sets") - F.coalesce("main.n", F.lit(1))).alias("links_from"),
+    node = measured.filter("kind = 1").join(same, ["region", "core"], "left").withColumn("label", label)
+    whole = _open_sets(node.withColumn("part", F.lit(-1))).filter("links_from > 0").select("region", "main")
+    node = node.join(whole, "region").withColumn("is_open", ~F.coalesce(F.col("label") == F.col("main"), F.lit(False)))
+    places = node.withColumn("places", F.arrays_zip("parts", "away"))
+    windows = places.filter("is_open").select("region", F.inline("places")).groupBy("region", "parts")
+    windows = windows.agg(F.min("away").alias("low"), F.max("away").alias("high")).groupBy("region")
+    windows = windows.agg(F.map_from_entries(F.collect_list(F.struct("parts", F.struct("low", "high")))).alias("window"))
+    kept = F.filter(
+        "places",
+        lambda at: F.col("is_open")
+        | F.coalesce(at["away"].between(F.col("window")[at["parts"]]["low"] - eps - 1e-9, F.col("window")[at["parts"]]["high"] + eps + 1e-9), F.lit(False)),
     )
-    stats = stats.withColumn("work", F.col("links_from").cast("double") * F.col("total"))
+    member = places.join(windows, "region").select("region", "node", "label", "size", F.inline(kept)).withColumnRenamed("parts", "part")
+    member = member.select("region", "part", "node", "label", "size")
+    both = member.union(member.dropDuplicates(["region", "node"]).withColumn("part", F.lit(-1).cast("long")))
+    stats = _open_sets(both).withColumn("work", F.col("links_from").cast("double") * F.col("total"))
     halved = stats.groupBy("region").agg(
         (F.sum(F.when(F.col("part") >= 0, F.col("work"))) <= 0.5 * F.max(F.when(F.col("part") < 0, F.col("work")))).alias("halved")
     )

@@ -113,3 +113,48 @@ def test_copies_in_any_order_of_ids_before_near_copies(spark):
     assert want[4, 58, 3] == 1 and want[6, 58, 6] == 1
     assert got(jaccard.jaccard_join(docs, 4, 85, 100)) == want
     assert Counter(r["doc_id"] for r in jaccard.one_of_each_class(docs, 4, 85, 100).collect()) == Counter([3, 6, 8, 11])
+
+
+def region_classes(spark, sets, limit, pivots):
+    """Classes by ``region_links`` over one island, next to classes by all pairs, at similarity 0.85."""
+    rows = [(1, i + 1, sorted(s)) for i, s in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "island long, node long, elements array<long>")
+    links = [tuple(r) for r in jaccard.region_links(frame, 85, 100, limit, pivots).collect()]
+    true = [(i + 1, j + 1) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and 100 * len(a & b) >= 85 * len(a | b)]
+    assert set(links) <= set(true)
+    least = []
+    for edges in (links, true):
+        group = list(range(len(sets) + 1))
+        for a, b in edges:
+            if group[a] != group[b]:
+                group = [group[b] if g == group[a] else g for g in group]
+        least.append([group.index(g) for g in group])
+    return least
+
+
+def edited(rng, base, times):
+    out = [set(base)]
+    for _ in range(times):
+        out.append(set(out[-1]))
+        out[-1].remove(rng.choice(sorted(out[-1])))
+        out[-1].add(rng.randrange(1 << 40, 1 << 41))
+    return out
+
+
+@pytest.mark.parametrize("pivots", [2, 8])
+def test_sets_equally_far_apart_are_joined_in_pairs_of_blocks(spark, pivots):
+    """Half of each set is shared by all, so no cut parts them; chains of near copies lie among them."""
+    rng = random.Random(pivots)
+    shared = set(range(1, 21))
+    sets = [s for _ in range(25) for s in edited(rng, shared | set(rng.sample(range(100, 1 << 30), 20)), rng.choice([0, 1, 5]))]
+    got, want = region_classes(spark, sets, 500, pivots)
+    assert got == want and len(set(want)) > 20
+
+
+def test_one_large_class_and_few_open_sets(spark):
+    """The largest class is never compared with itself, and still takes in what links to any of its members."""
+    rng = random.Random(5)
+    base = set(rng.sample(range(100, 1 << 30), 60))
+    sets = [set(base) - {x} for x in sorted(base)] + edited(rng, base, 30) + edited(rng, set(list(base)[:30]), 12)
+    got, want = region_classes(spark, sets, 1_000, 4)
+    assert got == want and len(set(want)) < 12
