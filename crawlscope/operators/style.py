@@ -12,14 +12,15 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
 from crawlscope import dims
-from crawlscope.functions import cascade
+from crawlscope.functions import cascade, elements
 from crawlscope.functions import html as H
 from crawlscope.functions import text as X
 from crawlscope.functions import urls
 from crawlscope.operators.common import place, top_k
 
-# Ship the helper with the task: executors need no installed copy of this package.
+# Ship the helpers with the task: executors need no installed copy of this package.
 cloudpickle.register_pickle_by_value(cascade)
+cloudpickle.register_pickle_by_value(elements)
 schema_of = DataType.fromDDL
 _STYLE_BLOCK = r"(?is)<style\b[^>]*>(.*?)</style\s*>"
 _COLOR = (
@@ -105,12 +106,12 @@ def computed_styles(
     cascade over ``base`` at a window of ``width`` pixels; ``most`` elements and ``most_fonts`` text elements from the
     top are looked at, or all. One parser pass over each page, nothing moves.
     """
-    page_styles = cascade.page_styles
+    page_styles, pieces = cascade.page_styles, elements.pieces
     seen = "array<struct<kind: string, value: string, family: string, size: string, weight: string, tag: string, cnt: bigint, ord: bigint>>"
     kind = to_arrow_type(schema_of(seen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [page_styles(html, base, width, most, most_fonts) for html in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, kind)], ["site", "page_id", "seen"])
 

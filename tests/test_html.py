@@ -1,6 +1,8 @@
+import pyarrow as pa
 import pytest
 
-from crawlscope.operators import content, links, style
+from crawlscope.operators import content, dom, links, style
+from crawlscope.functions import elements
 from crawlscope.functions import html as H
 from pyspark.sql import functions as F
 
@@ -191,3 +193,30 @@ def test_types_in_lists_of_any_depth(spark):
     assert len(got) == 6
     for r in got:
         assert [t.type for t in r.t] == ["Deep", "A", "B", "Unknown", "Last"], r.page_id
+
+
+class Pass:
+    """Stands for a DataFrame; mapInArrow gives the function that a task runs."""
+
+    def __init__(self, schema):
+        self.schema = schema
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_parser_pass_takes_a_large_batch_in_pieces(pages):
+    html = "<body>" + "<a href='/x'>text</a>" * 10_000 + "</body>"
+    bodies = [None, "", html, *["<form><input name=a></form>" + html[:50_000]] * 90, html * 8, None]
+    batch = pa.RecordBatch.from_pydict(
+        {"page_id": list(range(len(bodies))), "url": ["https://ex.com/"] * len(bodies), "html": pa.array(bodies, pa.string())}
+    )
+    got = list(dom.parse_nodes(Pass(pages.schema))(iter([batch, batch.slice(5, 0), batch.slice(3, 2)])))
+    assert [i for b in got for i in b.column("page_id").to_pylist()] == [*range(len(bodies)), 3, 4]
+    whole = pa.array([elements.of_page(html) for html in bodies], got[0].column("nodes").type)
+    assert pa.concat_arrays([b.column("nodes") for b in got])[: len(bodies)].equals(whole)
+    held = [sum(len(bodies[i] or "") for i in b.column("page_id").to_pylist()) for b in got]
+    assert len(got) >= 6 and all(n <= elements.PIECE or b.num_rows == 1 for n, b in zip(held, got))
