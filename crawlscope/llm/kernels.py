@@ -55,7 +55,8 @@ _powers = np.ones(1, U64), np.ones(1, U64)
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < n:
-        n = max(n, 2 * len(_powers[0]))
+        # A piece of the usual size needs no more than this; only longer documents make the table double.
+        n = max(n, PIECE + 1) if n <= PIECE + 1 else max(n, 2 * len(_powers[0]))
         made = []
         for base in (_BASE, _BASE_INVERSE):
             row = np.full(n, U64(base))
@@ -87,6 +88,15 @@ def pieces(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[tu
             low = high
 
 
+def steps(starts: np.ndarray, ends: np.ndarray, most: int = PIECE) -> Iterator[tuple[int, int]]:
+    """Consecutive byte ranges, in ascending order, that together span about ``most`` bytes."""
+    low = 0
+    while low < len(starts):
+        high = max(low + 1, int(np.searchsorted(ends, starts[low] + most, "right")))
+        yield low, high
+        low = high
+
+
 def words(data: np.ndarray, bounds: np.ndarray, separator: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and the word bounds of each text."""
     inside = ~separator[data]

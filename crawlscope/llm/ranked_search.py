@@ -88,11 +88,17 @@ def compress(term: np.ndarray, doc: np.ndarray, tf: np.ndarray, size: np.ndarray
 
 
 def _number(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """Number of the term of each byte range, and the terms. Equal hashes are compared byte by byte."""
-    _, first, number = np.unique(K.hashes(data, starts, ends), return_index=True, return_inverse=True)
-    sizes = ends - starts
-    twin = K.ragged(starts[first][number], sizes)
-    same = np.array_equal(sizes, (ends - starts)[first][number]) and np.array_equal(data[twin], data[K.ragged(starts, sizes)])
+    """Number of the term of each byte range, and the terms. Equal hashes are compared byte by byte.
+
+    Hashes and comparisons need many times the bytes they work on, so both go through the shard in steps.
+    """
+    steps = list(K.steps(starts, ends))
+    hashed = [K.hashes(data[starts[a] : ends[b - 1]], starts[a:b] - starts[a], ends[a:b] - starts[a]) for a, b in steps]
+    _, first, number = np.unique(np.concatenate(hashed), return_index=True, return_inverse=True)
+    sizes, twins = ends - starts, starts[first]
+    same = np.array_equal(sizes, sizes[first][number]) and all(
+        np.array_equal(data[K.ragged(twins[number[a:b]], sizes[a:b])], data[K.ragged(starts[a:b], sizes[a:b])]) for a, b in steps
+    )
     whole = data.tobytes()
     if same:
         return number, [whole[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]

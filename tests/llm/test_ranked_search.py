@@ -3,12 +3,14 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from crawlscope.llm import kernels as K
 from crawlscope.llm import ranked_search as R
 
 ITEMS = "item_id long, text string, rank int, score long"
@@ -130,3 +132,17 @@ def test_block_maxima_are_reached_and_never_passed():
 
 def test_sizes_beyond_64_bits():
     assert R.norm_of(10**14, 10**17)(np.array([10**6, 5])).tolist() == [10 + 90 * 10**6 * 10**14 // 10**17, 10]
+
+
+def test_terms_of_a_shard_are_numbered_in_steps():
+    """Long words across the steps, repeats far apart, and memory that stays small beside a hash of the whole shard."""
+    words = [*(f"w{i % 50_000:09d}" for i in range(400_000)), "x" * (2 * K.PIECE), "w000000001", "x" * (2 * K.PIECE), "y"]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    starts, ends, _ = K.words(data, np.array([0, len(data)]), K.NOT_ALNUM)
+    R._number(data[:100], starts[:2], ends[:2])
+    tracemalloc.start()
+    number, terms = R._number(data, starts, ends)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [terms[i].decode() for i in number.tolist()] == words and len(terms) == len(set(words))
+    assert peak < 20 * len(data), peak / len(data)
