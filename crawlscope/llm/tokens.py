@@ -12,6 +12,7 @@ null ids come first; rows with equal ids lie next to each other and count as sep
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -31,6 +32,34 @@ _MARK = K.byte_set((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 SCHEMA = "part int, doc_id long, start_in_part long, n_tokens long, ids array<int>"
 
 
+class Ragged:
+    """Growing list of rows of numbers in one flat array."""
+
+    def __init__(self, kind: type):
+        self.flat, self.held = np.empty(1 << 18, kind), 0
+        self.begins, self.sizes, self.used = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int32), 0
+
+    def clear(self) -> None:
+        self.held = self.used = 0
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        held, used = self.held + len(flat), self.used + len(sizes)
+        # By a half: the old and the new array are there at once.
+        if len(self.flat) < held:
+            self.flat = np.concatenate([self.flat, np.empty(max(held, 3 * len(self.flat) // 2) - len(self.flat), self.flat.dtype)])
+        if len(self.sizes) < used:
+            more = max(used, 3 * len(self.sizes) // 2) - len(self.sizes)
+            self.begins, self.sizes = (np.concatenate([x, np.empty(more, x.dtype)]) for x in (self.begins, self.sizes))
+        self.flat[self.held : held] = flat
+        self.sizes[self.used : used] = sizes
+        self.begins[self.used : used] = self.held + np.cumsum(sizes) - sizes
+        self.held, self.used = held, used
+
+    def rows(self, which: np.ndarray) -> np.ndarray:
+        """The numbers of these rows, one row after the other."""
+        return self.flat[K.ragged(self.begins[which], self.sizes[which])]
+
+
 class Encoder:
     """Ids of many texts. Byte-level BPE splits a text before a single blank between two visible
     characters and between a letter and a punctuation mark, so the texts are cut there and each different
@@ -40,48 +69,58 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, int] = {}
-        self.flat, self.used = np.empty(1 << 20, np.int32), 0
-        self.begins, self.sizes = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64)
+        # Hashes of the known pieces in order, with the number of each; by number, the bytes and the ids of a piece.
+        self.keys, self.numbers = np.empty(0, K.U64), np.empty(0, np.int32)
+        self.text, self.ids = Ragged(np.uint8), Ragged(np.int32)
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
         self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keep = keep
 
-    def _add(self, pieces: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
-        have, used = len(self.known), self.used
-        while len(self.flat) < used + len(ids):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while len(self.sizes) < have + len(sizes):
-            self.begins, self.sizes = (np.concatenate([x, np.empty_like(x)]) for x in (self.begins, self.sizes))
-        self.flat[used : used + len(ids)] = ids
-        self.sizes[have : have + len(sizes)] = sizes
-        self.begins[have : have + len(sizes)] = used + np.cumsum(sizes) - sizes
-        self.known.update(zip(pieces, range(have, have + len(pieces)), strict=True))
-        self.used += len(ids)
-
-    def _find(self, pieces: list[bytes], worded: np.ndarray) -> np.ndarray:
-        """Numbers of different pieces in the table, which takes in the new ones. ``worded`` marks a blank with
-        visible characters: many such pieces can be encoded as one text and told apart again."""
-        if len(self.known) > self.keep:
-            self.known.clear()
-            self.used = 0
-        numbers = list(map(self.known.get, pieces))
-        joined = [p for p, n, w in zip(pieces, numbers, worded.tolist(), strict=True) if w and n is None]
-        single = [p for p, n, w in zip(pieces, numbers, worded.tolist(), strict=True) if not w and n is None]
+    def _encoded(self, pieces: list[bytes], worded: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(which pieces, their ids, ids of each). ``worded`` marks a blank with visible characters: many such pieces
+        can be encoded as one text and told apart again."""
+        joined, single = np.flatnonzero(worded), [np.flatnonzero(~worded)]
         for low in range(0, len(joined), 4_000):
             some = joined[low : low + 4_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(some).decode()], add_special_tokens=False)[0].ids, np.int32)
+            text = b"".join([pieces[i] for i in some.tolist()]).decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
             cut = np.flatnonzero(self.opens[ids])
             if len(cut) == len(some):  # one token that opens with a blank for each piece
-                self._add(some, ids, np.diff(np.append(cut, len(ids))))
+                yield some, ids, np.diff(np.append(cut, len(ids)))
             else:
-                single += some
+                single.append(some)
+        single = np.concatenate(single)
         for low in range(0, len(single), 4_000):  # encodings are large while they live
             some = single[low : low + 4_000]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)]
-            self._add(some, np.array(list(chain.from_iterable(found)), np.int32), np.array([len(f) for f in found], np.int64))
-        return np.array([self.known[p] if n is None else n for p, n in zip(pieces, numbers, strict=True)], np.int64)
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[i].decode() for i in some.tolist()], add_special_tokens=False)]
+            yield some, np.array(list(chain.from_iterable(found)), np.int32), np.array([len(f) for f in found], np.int64)
+
+    def _find(self, hashed: np.ndarray, data: np.ndarray, a: np.ndarray, b: np.ndarray, worded: np.ndarray) -> np.ndarray | None:
+        """Numbers of different pieces, by ascending hashes, in the table, which takes in the new ones. None if a
+        known piece with an equal hash has other bytes."""
+        if len(self.keys) > self.keep:
+            self.keys, self.numbers = self.keys[:0], self.numbers[:0]
+            self.text.clear()
+            self.ids.clear()
+        at = np.searchsorted(self.keys, hashed)
+        known = np.append(self.keys, K.U64(0))[at] == hashed
+        known &= at < len(self.keys)
+        number = np.empty(len(hashed), np.int64)
+        number[known] = self.numbers[at[known]]
+        sizes = b - a
+        old, new = number[known], np.flatnonzero(~known)
+        if not np.array_equal(self.text.sizes[old], sizes[known]) or not np.array_equal(self.text.rows(old), data[K.ragged(a[known], sizes[known])]):
+            return None
+        pieces = [data[i:j].tobytes() for i, j in zip(a[new].tolist(), b[new].tolist(), strict=True)]
+        for some, ids, counts in self._encoded(pieces, worded[new]):
+            some = new[some]
+            number[some] = np.arange(self.ids.used, self.ids.used + len(some))
+            self.ids.add(ids, counts)
+            self.text.add(data[K.ragged(a[some], sizes[some])], sizes[some])
+        self.keys = np.insert(self.keys, at[new], hashed[new])
+        self.numbers = np.insert(self.numbers, at[new], number[new].astype(np.int32))
+        return number
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds per text), without the end id."""
@@ -89,24 +128,28 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(bounds), np.int64)
         ends = np.append(starts[1:], len(data))
-        _, first, kind = np.unique(K.hashes(data, starts, ends), return_index=True, return_inverse=True)
+        hashed, first, kind = np.unique(K.hashes(data, starts, ends), return_index=True, return_inverse=True)
         # Pieces with equal hashes are compared byte by byte; a collision falls back to plain encoding,
         # and so does the string of an added token, which a cut could part.
         twin = K.ragged(starts[first][kind], ends - starts)
         whole = data.tobytes()
-        if len(twin) != len(data) or not np.array_equal(data[twin], data) or any(m in whole for m in self.marks):
+        plain = len(twin) != len(data) or not np.array_equal(data[twin], data) or any(m in whole for m in self.marks)
+        number = None if plain else self._find(hashed, data, starts[first], ends[first], self._worded(data, starts[first], ends[first]))
+        if number is None:
             found = [self.tokenizer.encode(whole[a:b].decode(), add_special_tokens=False).ids for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             return np.array(list(chain.from_iterable(found)), np.int32), np.concatenate([[0], np.cumsum([len(f) for f in found])])
+        number = number[kind]
+        ids = self.ids.rows(number)
+        per_piece = np.concatenate([[0], np.cumsum(self.ids.sizes[number])])
+        return ids, per_piece[np.searchsorted(starts, bounds)]
+
+    @staticmethod
+    def _worded(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether each piece is a blank with visible characters."""
         hidden = ~_PRINTABLE[data] & (data != 0xC3)
         hidden[1:] &= data[:-1] != 0xC3
         hidden = np.concatenate([[0], np.cumsum(hidden, dtype=np.int32)])
-        a, b = starts[first], ends[first]
-        worded = (data[a] == 0x20) & (hidden[b] == hidden[a + 1]) & (b > a + 1)
-        number = self._find([whole[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)], worded)[kind]
-        sizes = self.sizes[number]
-        ids = self.flat[K.ragged(self.begins[number], sizes)]
-        per_piece = np.concatenate([[0], np.cumsum(sizes)])
-        return ids, per_piece[np.searchsorted(starts, bounds)]
+        return (data[a] == 0x20) & (hidden[b] == hidden[a + 1]) & (b > a + 1)
 
 
 @lru_cache(maxsize=1)

@@ -1,6 +1,7 @@
 """Token files and the source mix against plain Python."""
 
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -123,3 +124,30 @@ def test_mix_of_nothing_and_reruns(spark, no_docs):
     docs = table(spark, SMALL, "documents")
     one, two = (sorted(map(tuple, mixing.mix_report(d).collect())) for d in (docs, docs.repartition(7)))
     assert one == two
+
+
+def encoded(encoder, *texts):
+    raw = [t.encode() for t in texts]
+    bounds = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    ids, cut = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), bounds)
+    return [ids[a:b].tolist() for a, b in zip(cut[:-1], cut[1:])]
+
+
+def test_known_pieces_take_little_memory():
+    encoder = tokens.Encoder(tokenizer_path())
+    encoded(encoder, "a first text")
+    tracemalloc.start()
+    for low in range(0, 300_000, 50_000):
+        encoded(encoder, " ".join(f"w{i:06d}" for i in range(low, low + 50_000)))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 120 * 300_000, held / 300_000
+
+
+def test_known_pieces_with_equal_hashes_are_told_apart(monkeypatch):
+    encoder = tokens.Encoder(tokenizer_path())
+    texts = ["alpha", "gamma", "alpha", "gammas", "alphas"]
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(tokens.K, "hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    assert [encoded(encoder, t)[0] for t in texts] == want
+    assert encoded(encoder, *texts) == want
