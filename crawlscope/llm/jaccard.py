@@ -33,10 +33,12 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -514,6 +516,23 @@ def _open_sets(rows: DataFrame) -> DataFrame:
     )
 
 
+def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Least and greatest distance of the sets (region, parts, away) of a batch to each pivot of a region, so that
+    no row is made for a set and a pivot."""
+    for batch in batches:
+        region = np.repeat(np.asarray(batch.column("region")), pc.list_value_length(batch.column("parts")).to_numpy(zero_copy_only=False))
+        if not len(region):
+            continue
+        part, away = (np.asarray(batch.column(name).flatten()) for name in ("parts", "away"))
+        order = np.lexsort((part, region))
+        region, part, away = region[order], part[order], away[order]
+        begins = np.flatnonzero(np.concatenate([[True], (region[1:] != region[:-1]) | (part[1:] != part[:-1])]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x) for x in (region[begins], part[begins], np.minimum.reduceat(away, begins), np.maximum.reduceat(away, begins))],
+            ["region", "parts", "low", "high"],
+        )
+
+
 def _regions(measured: DataFrame, eps: float, limit: int) -> DataFrame:
     """(region, node, label, size, leaf) of the regions in which different classes may still link.
 
@@ -534,8 +553,8 @@ def _regions(measured: DataFrame, eps: float, limit: int) -> DataFrame:
     whole = _open_sets(node.withColumn("part", F.lit(-1))).filter("links_from > 0").select("region", "main")
     node = node.join(whole, "region").withColumn("is_open", ~F.coalesce(F.col("label") == F.col("main"), F.lit(False)))
     places = node.withColumn("places", F.arrays_zip("parts", "away"))
-    windows = places.filter("is_open").select("region", F.inline("places")).groupBy("region", "parts")
-    windows = windows.agg(F.min("away").alias("low"), F.max("away").alias("high")).groupBy("region")
+    windows = places.filter("is_open").select("region", "parts", "away").mapInArrow(_windows, "region long, parts long, low double, high double")
+    windows = windows.groupBy("region", "parts").agg(F.min("low").alias("low"), F.max("high").alias("high")).groupBy("region")
     windows = windows.agg(F.map_from_entries(F.collect_list(F.struct("parts", F.struct("low", "high")))).alias("window"))
     kept = F.filter(
         "places",

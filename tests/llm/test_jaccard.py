@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from crawlscope.llm import jaccard
@@ -158,3 +159,22 @@ def test_one_large_class_and_few_open_sets(spark):
     sets = [set(base) - {x} for x in sorted(base)] + edited(rng, base, 30) + edited(rng, set(list(base)[:30]), 12)
     got, want = region_classes(spark, sets, 1_000, 4)
     assert got == want and len(set(want)) < 12
+
+
+def test_windows_make_a_row_per_region_and_pivot_not_per_set(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([7, -3, 11]), sorted(rng.sample(range(65), rng.choice([0, 1, 40]))), 0) for _ in range(3_000)]
+    rows = [(region, held, [round(rng.random(), 3) for _ in held]) for region, held, _ in rows]
+    schema = "region long, parts array<long>, away array<double>"
+    kinds = pa.schema([("region", pa.int64()), ("parts", pa.list_(pa.int64())), ("away", pa.list_(pa.float64()))])
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], schema=kinds)
+    made = [r for b in jaccard._windows([batch, batch.slice(5, 0), batch.slice(40, 900)]) for r in b.to_pylist()]
+    assert len(made) <= 2 * 3 * 65
+    want = {}
+    for region, held, far in rows:
+        for part, d in zip(held, far):
+            low, high = want.get((region, part), (d, d))
+            want[region, part] = min(low, d), max(high, d)
+    assert {(r["region"], r["parts"]): (r["low"], r["high"]) for r in made[: len(want)]} == want
+    empty = spark.createDataFrame([], "region long, kind int, node long, part long, other long, core long, label long, size long, " + schema.split(", ", 1)[1])
+    assert "Generate inline(places" not in jaccard._regions(empty, 0.2, 1_000)._jdf.queryExecution().toString()
