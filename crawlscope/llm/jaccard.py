@@ -505,8 +505,9 @@ def _numbers(count: str) -> Column:
 
 
 def _open_sets(rows: DataFrame) -> DataFrame:
-    """Elements of each (region, part), its largest class, and how many sets lie outside it."""
-    by_label = rows.groupBy("region", "part", "label").agg(F.count("*").alias("n"), F.sum("size").alias("held"))
+    """Elements of each (region, part), its largest class, and how many sets lie outside it; ``rows`` (region, part,
+    label, n, held) stand for ``n`` sets of ``held`` elements."""
+    by_label = rows.groupBy("region", "part", "label").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
     stats = by_label.groupBy("region", "part").agg(
         F.sum("n").alias("sets"), F.sum("held").alias("total"), F.max(F.when(F.col("label").isNotNull(), F.struct("n", "held", "label"))).alias("main")
     )
@@ -516,6 +517,12 @@ def _open_sets(rows: DataFrame) -> DataFrame:
     )
 
 
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order that brings equal keys together, and where each run of them begins in it; not for no rows."""
+    order = np.lexsort(keys)
+    return order, np.flatnonzero(np.concatenate([[True], np.any([key[order][1:] != key[order][:-1] for key in keys], axis=0)]))
+
+
 def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Least and greatest distance of the sets (region, parts, away) of a batch to each pivot of a region, so that
     no row is made for a set and a pivot."""
@@ -524,20 +531,45 @@ def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(region):
             continue
         part, away = (np.asarray(batch.column(name).flatten()) for name in ("parts", "away"))
-        order = np.lexsort((part, region))
+        order, begins = _runs(region, part)
         region, part, away = region[order], part[order], away[order]
-        begins = np.flatnonzero(np.concatenate([[True], (region[1:] != region[:-1]) | (part[1:] != part[:-1])]))
         yield pa.RecordBatch.from_arrays(
             [pa.array(x) for x in (region[begins], part[begins], np.minimum.reduceat(away, begins), np.maximum.reduceat(away, begins))],
             ["region", "parts", "low", "high"],
         )
 
 
+def _sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number and elements of the sets (region, label, size, parts) of a batch in each part of a region by label, and
+    in the region as part -1, so that no row is made for a set and a part."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lengths = pc.list_value_length(batch.column("parts")).to_numpy(zero_copy_only=False)
+        row = np.concatenate([np.repeat(np.arange(batch.num_rows), lengths), np.arange(batch.num_rows)])
+        part = np.concatenate([np.asarray(batch.column("parts").flatten()), np.full(batch.num_rows, -1)])
+        region, size = (np.asarray(batch.column(name))[row] for name in ("region", "size"))
+        label, has = np.asarray(batch.column("label").fill_null(0))[row], ~np.asarray(batch.column("label").is_null())[row]
+        order, begins = _runs(region, part, label, has)
+        first = order[begins]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(region[first]),
+                pa.array(part[first]),
+                pa.array(label[first], mask=~has[first]),
+                pa.array(np.diff(np.append(begins, len(order)))),
+                pa.array(np.add.reduceat(size[order], begins)),
+            ],
+            ["region", "part", "label", "n", "held"],
+        )
+
+
 def _regions(measured: DataFrame, eps: float, limit: int) -> DataFrame:
     """(region, node, label, size, leaf) of the regions in which different classes may still link.
 
     Sets outside the largest class of a region are open: only they can bring new links. The largest class
-    follows into a part only where, by the triangle inequality, it may link to the part's open sets.
+    follows into a part only where, by the triangle inequality, it may link to the part's open sets. A set
+    keeps its parts in one row until it is known whether the cut halves the work; only then it is dealt out.
     """
 
     def classes_of(group: pa.Table) -> pa.Table:
@@ -550,7 +582,8 @@ def _regions(measured: DataFrame, eps: float, limit: int) -> DataFrame:
     same = same.groupBy("region").applyInArrow(classes_of, "region long, core long, class long")
     label = F.when(F.col("core").isNotNull(), F.xxhash64("region", F.coalesce("class", "core"))).otherwise(F.col("label"))
     node = measured.filter("kind = 1").join(same, ["region", "core"], "left").withColumn("label", label)
-    whole = _open_sets(node.withColumn("part", F.lit(-1))).filter("links_from > 0").select("region", "main")
+    each = node.select("region", F.lit(-1).cast("long").alias("part"), "label", F.lit(1).cast("long").alias("n"), F.col("size").alias("held"))
+    whole = _open_sets(each).filter("links_from > 0").select("region", "main")
     node = node.join(whole, "region").withColumn("is_open", ~F.coalesce(F.col("label") == F.col("main"), F.lit(False)))
     places = node.withColumn("places", F.arrays_zip("parts", "away"))
     windows = places.filter("is_open").select("region", "parts", "away").mapInArrow(_windows, "region long, parts long, low double, high double")
@@ -561,16 +594,18 @@ def _regions(measured: DataFrame, eps: float, limit: int) -> DataFrame:
         lambda at: F.col("is_open")
         | F.coalesce(at["away"].between(F.col("window")[at["parts"]]["low"] - eps - 1e-9, F.col("window")[at["parts"]]["high"] + eps + 1e-9), F.lit(False)),
     )
-    member = places.join(windows, "region").select("region", "node", "label", "size", F.inline(kept)).withColumnRenamed("parts", "part")
-    member = member.select("region", "part", "node", "label", "size")
-    both = member.union(member.dropDuplicates(["region", "node"]).withColumn("part", F.lit(-1).cast("long")))
-    stats = _open_sets(both).withColumn("work", F.col("links_from").cast("double") * F.col("total"))
-    halved = stats.groupBy("region").agg(
-        (F.sum(F.when(F.col("part") >= 0, F.col("work"))) <= 0.5 * F.max(F.when(F.col("part") < 0, F.col("work")))).alias("halved")
+    placed = places.join(windows, "region").select("region", "node", "label", "size", F.transform(kept, lambda at: at["parts"]).alias("parts"))
+    placed = stored(placed.filter(F.size("parts") > 0), "jaccard-places")
+    stats = _open_sets(placed.mapInArrow(_sums, "region long, part long, label long, n long, held long"))
+    stats = stats.withColumn("work", F.col("links_from").cast("double") * F.col("total"))
+    units = stats.groupBy("region").agg(
+        (F.sum(F.when(F.col("part") >= 0, F.col("work"))) <= 0.5 * F.max(F.when(F.col("part") < 0, F.col("work")))).alias("halved"),
+        F.collect_list(F.when(F.col("links_from") > 0, F.struct("part", "total", "main", "main_total", "work"))).alias("units"),
     )
-    units = stats.join(halved, "region").filter("links_from > 0 AND (part >= 0) = halved")
-    fits = (F.col("total") <= limit) & (F.col("work") <= WORK)
-    rows = both.join(units, ["region", "part"]).withColumn("fits", fits)
+    units = units.withColumn("units", F.filter("units", lambda unit: (unit["part"] >= 0) == F.col("halved")))
+    mine = F.filter("units", lambda unit: (unit["part"] < 0) | F.array_contains("parts", unit["part"]))
+    rows = placed.join(units, "region").select("region", "node", "label", "size", "halved", F.inline(mine))
+    rows = rows.withColumn("fits", (F.col("total") <= limit) & (F.col("work") <= WORK))
     one = F.xxhash64("region", "part")
     # Pairs of blocks: open sets meet all others, the largest class does not meet itself.
     of_work = F.sqrt(2 * F.col("work") / WORK)

@@ -178,3 +178,44 @@ def test_windows_make_a_row_per_region_and_pivot_not_per_set(spark):
     assert {(r["region"], r["parts"]): (r["low"], r["high"]) for r in made[: len(want)]} == want
     empty = spark.createDataFrame([], "region long, kind int, node long, part long, other long, core long, label long, size long, " + schema.split(", ", 1)[1])
     assert "Generate inline(places" not in jaccard._regions(empty, 0.2, 1_000)._jdf.queryExecution().toString()
+
+
+def test_sums_make_a_row_per_part_and_class_not_per_set():
+    rng = random.Random(6)
+    rows = [(rng.choice([7, -3]), rng.choice([None, 0, 5, -9]), rng.randrange(1, 200), sorted(rng.sample(range(65), rng.choice([1, 2, 40])))) for _ in range(3_000)]
+    kinds = pa.schema([("region", pa.int64()), ("label", pa.int64()), ("size", pa.int64()), ("parts", pa.list_(pa.int64()))])
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], schema=kinds)
+    want = Counter(), Counter()
+    for region, label, size, parts in rows + rows[40:940]:
+        for part in [-1, *parts]:
+            want[0][region, part, label] += 1
+            want[1][region, part, label] += size
+    made = [r for b in jaccard._sums([batch, batch.slice(5, 0), batch.slice(40, 900)]) for r in b.to_pylist()]
+    assert len(made) <= 2 * 2 * 66 * 4
+    sums = Counter(), Counter()
+    for r in made:
+        sums[0][r["region"], r["part"], r["label"]] += r["n"]
+        sums[1][r["region"], r["part"], r["label"]] += r["held"]
+    assert sums == want
+
+
+@pytest.mark.parametrize("halved", [False, True])
+def test_a_set_is_dealt_out_only_where_the_cut_halves_the_work(spark, monkeypatch, halved):
+    """Open sets near all pivots stay one row each until it is known that they go to blocks, not to parts."""
+    written = {}
+
+    def stored(df, name):
+        out = jaccard_stored(df, name)
+        written[name] = out
+        return out
+
+    jaccard_stored = jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", stored)
+    parts = lambda i: [i % 20] if halved else list(range(20))
+    rows = [(1, 1, i, None, None, None, None, 50, parts(i), [0.2] * len(parts(i))) for i in range(400)]
+    schema = "region long, kind int, node long, part long, other long, core long, label long, size long, parts array<long>, away array<double>"
+    cut = jaccard._regions(spark.createDataFrame(rows, schema), 0.15, 2_000_000)
+    assert written["jaccard-places"].count() == 400
+    assert "Generate inline(filter(places" not in cut._jdf.queryExecution().toString()
+    held = Counter(r["region"] for r in cut.collect())
+    assert sorted(held.values()) == ([20] * 20 if halved else [400])
