@@ -33,7 +33,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -46,6 +46,8 @@ from crawlscope.llm import kernels as K
 from crawlscope.llm.common import components, parts, stored
 
 SLOTS = 1 << 22  # of the table of common shingles
+BITS = 1 << 23  # of a bitmap over rows
+FOLD = 1 << 19  # signatures that are folded at once before the shuffle
 NONE = 0  # node of documents without shingles
 
 
@@ -95,34 +97,47 @@ def differences(key: int, num: int, den: int) -> int:
 
 
 def signatures(members: np.ndarray, cold: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Regions of one sorted set: a hash of the content of each filled cell, for both size windows.
+    """Regions of one sorted set; see ``signatures_of``."""
+    return signatures_of(members, cold, np.array([0, len(members)]), num, den)[0]
+
+
+def signatures_of(values: np.ndarray, cold: np.ndarray, bounds: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Regions of sorted sets, and the set of each: a hash of the content of each filled cell, for both size windows.
 
     ``cold`` marks the shingles that few documents have. Steps: cells of cold shingles, finer cells of
     them, cells of all shingles, finer cells of them, one region for what is left. A set takes the next
     step if it fills at most delta cells in this one. Two linked sets go through the same steps until
     one of them fills more than delta cells, and there they share a filled cell.
     """
-    own = int(np.searchsorted(size_classes(num, den), len(members), "right")) - 1
-    sets = [(part, _running(part)) for part in (members[cold], members)]
-    out = []
-    for key in (own, own - 1):
-        m = cells(key, num, den) if key >= 0 else 0
-        if not m:
-            continue
-        for step, ((part, running), fine) in enumerate(zip((sets[0], sets[0], sets[1], sets[1]), (1, 4, 1, 4), strict=True)):
-            filled = 0
-            if len(part):
-                cell = ((part >> K.U64(32)) * K.U64(fine * m)) >> K.U64(32)  # sorted, as the set is
-                cut = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]])
-                filled = len(cut) - 1
-                with np.errstate(over="ignore"):
-                    salt = K.mix(cell[cut[:-1]] * K.ODD[3] + K.U64(key) * K.ODD[4] + K.U64(step) * K.ODD[5])
-                    out.append(K.mix(running[cut[1:]] - running[cut[:-1]] + salt))
-            if filled > differences(key, num, den):
+    own = np.searchsorted(size_classes(num, den), np.diff(bounds), "right") - 1
+    few = values[cold]
+    parts = [(few, np.concatenate([[0], np.cumsum(cold)])[bounds], _running(few)), (values, bounds, _running(values))]
+    keys, sets = [values[:0]], [np.zeros(0, np.int64)]
+    for window in (own, own - 1):
+        used, inverse = np.unique(window, return_inverse=True)
+        m = np.array([cells(k, num, den) if k >= 0 else 0 for k in used.tolist()], K.U64)[inverse]
+        delta = np.array([differences(k, num, den) if k >= 0 else 0 for k in used.tolist()], np.int64)[inverse]
+        left = np.flatnonzero(m)
+        for step, ((part, cut, running), fine) in enumerate(zip((parts[0], parts[0], parts[1], parts[1]), (1, 4, 1, 4), strict=True)):
+            sizes = (cut[1:] - cut[:-1])[left]
+            at, of = K.ragged(cut[left], sizes), np.repeat(np.arange(len(left)), sizes)
+            cell = ((part[at] >> K.U64(32)) * (K.U64(fine) * m[left])[of]) >> K.U64(32)  # sorted, as each set is
+            first = np.ones(len(at), bool)
+            first[1:] = (cell[1:] != cell[:-1]) | (of[1:] != of[:-1])
+            first = np.flatnonzero(first)
+            last = np.append(first[1:], len(at))[: len(first)] - 1
+            filled = of[first]
+            with np.errstate(over="ignore"):
+                salt = K.mix(cell[first] * K.ODD[3] + window[left].astype(K.U64)[filled] * K.ODD[4] + K.U64(step) * K.ODD[5])
+                keys.append(K.mix(running[at[last] + 1] - running[at[first]] + salt))
+            sets.append(left[filled])
+            left = left[np.bincount(filled, minlength=len(left)) <= delta[left]]
+            if not len(left):
                 break
         else:
-            out.append(K.mix(np.array([key], K.U64) ^ K.ODD[6]))
-    return np.concatenate(out) if out else members[:0]
+            keys.append(K.mix(window[left].astype(K.U64) ^ K.ODD[6]))
+            sets.append(left)
+    return np.concatenate(keys), np.concatenate(sets)
 
 
 def _running(part: np.ndarray) -> np.ndarray:
@@ -276,23 +291,32 @@ def _slot(values: np.ndarray) -> np.ndarray:
     return (K.mix(values) >> K.U64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
 
 
+def _folds(found: Iterable[tuple[np.ndarray, np.ndarray]], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of arrays, put together until a pair holds ``most`` entries or more."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for pair in found:
+        held.append(pair)
+        if sum(len(keys) for keys, _ in held) >= most:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held = []
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
 def candidate_edges(docs: DataFrame, common: np.ndarray, n: int, num: int, den: int) -> DataFrame:
     """Edges (a, b) between nodes that share a region, as stars around the region's least node.
 
-    Equal regions within a piece of rows are folded before the shuffle; the shuffle moves packed lists
-    by hash of the region, so that a region that a third of all rows share is one entry per piece.
+    Equal regions of about ``FOLD`` signatures are folded before the shuffle; the shuffle moves packed lists
+    by hash of the region, so that a region that a third of all rows share is one entry per fold, and the number
+    of lists does not grow with the rows times the buckets.
     """
     spread = 4 * parts(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(common))  # SLOTS bits
 
     def send(batches):
         table = np.unpackbits(shared.value).astype(bool)
-        for _, data, bounds in K.pieces(batches):
-            values, cut = shingle_sets(data, bounds, n)
-            nodes, cold = digests(values, cut)[0], ~table[_slot(values)]
-            own = [signatures(values[a:b], cold[a:b], num, den) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            owner = np.repeat(nodes, [len(s) for s in own])
-            keys, least, edges = least_of_equal(np.concatenate(own) if own else values[:0], owner)
+        for found, owner in _folds(sign(batches, table), FOLD):
+            keys, least, edges = least_of_equal(found, owner)
             bucket = (keys % K.U64(spread)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(spread + 1))
@@ -306,23 +330,28 @@ def candidate_edges(docs: DataFrame, common: np.ndarray, n: int, num: int, den:
                 ],
                 ["bucket", "keys", "nodes"],
             )
-            if len(edges):  # stars of this piece travel as regions named by their own node
+            if len(edges):  # stars of this fold travel as regions named by their own node
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([-1]), K.lists(edges[:, 0], np.array([0, len(edges)]), pa.int64()), K.lists(edges[:, 1], np.array([0, len(edges)]), pa.int64())],
                     ["bucket", "keys", "nodes"],
                 )
 
+    def sign(batches, table):
+        for _, data, bounds in K.pieces(batches):
+            values, cut = shingle_sets(data, bounds, n)
+            nodes, cold = digests(values, cut)[0], ~table[_slot(values)]
+            regions, owner = signatures_of(values, cold, cut, num, den)
+            yield regions, nodes[owner]
+
     def meet(batches):
         keys, nodes = [], []
         for batch in batches:
-            ready = np.asarray(batch.column(0)) < 0
-            for k, v, own in zip(batch.column(1), batch.column(2), ready, strict=True):
-                k, v = np.asarray(k.values), np.asarray(v.values)
-                if own:
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(v)], ["a", "b"])
-                else:
-                    keys.append(k.view(K.U64))
-                    nodes.append(v)
+            ready = pc.less(batch.column(0), 0)
+            own, rest = batch.filter(ready), batch.filter(pc.invert(ready))
+            if own.num_rows:
+                yield pa.RecordBatch.from_arrays([own.column(1).flatten(), own.column(2).flatten()], ["a", "b"])
+            keys.append(np.asarray(rest.column(1).flatten()).view(K.U64))
+            nodes.append(np.asarray(rest.column(2).flatten()))
         if keys:
             edges = least_of_equal(np.concatenate(keys), np.concatenate(nodes))[2]
             yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
@@ -333,50 +362,63 @@ def candidate_edges(docs: DataFrame, common: np.ndarray, n: int, num: int, den:
     return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 
-def member_sets(docs: DataFrame, members: DataFrame, n: int, bits: int = 1 << 23) -> DataFrame:
+def row_key(doc_id: str, text_hash: str | Column) -> Column:
+    """Hash of what tells the rows of ``classes`` apart."""
+    return F.xxhash64(F.col(doc_id).cast("long"), text_hash)
+
+
+def row_bits(keys: DataFrame) -> DataFrame:
+    """(word, mask): a bitmap of ``BITS`` bits over the column ``key``, whatever the input."""
+    slots = keys.select(F.pmod("key", F.lit(BITS)).alias("slot"))
+    words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot % 64 AS INT))")).alias("mask"))
+    return stored(words, "jaccard-bits")
+
+
+def by_bits(docs: DataFrame, bits: DataFrame, inside: bool) -> DataFrame:
+    """Rows of ``docs`` that may be of the keys behind ``bits``, or the others, which surely are not. Texts stay where they lie."""
+    slot = F.pmod(row_key("d.doc_id", F.xxhash64("d.text")), F.lit(BITS))
+    hit = F.coalesce(F.getbit("b.mask", (slot % 64).cast("int")) == 1, F.lit(False))
+    met = docs.alias("d").join(F.broadcast(bits).alias("b"), F.shiftright(slot, 6) == F.col("b.word"), "inner" if inside else "left")
+    return met.filter(hit if inside else ~hit).select("d.*")
+
+
+def member_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     """(island, node, elements) of the nodes in ``members``, recomputed from one text of each class.
 
-    A bitmap over the nodes, at most ``bits`` bits whatever the input, spares most other texts; what
-    slips through leaves in the join.
+    A bitmap over the rows that hold these texts spares the others; what slips through leaves in the join.
     """
-    slots = members.select(F.pmod("node", F.lit(bits)).alias("slot")).distinct()
-    words = slots.groupBy((F.col("slot") / 32).cast("int").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, CAST(slot % 32 AS INT))")).alias("mask")
-    )
-    bitmap = np.zeros(bits // 32, np.uint32)
-    filled = words.toArrow()
-    bitmap[np.asarray(filled.column("word"), np.int64)] = np.asarray(filled.column("mask"), np.int64).astype(np.uint32)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    bits = row_bits(members.select(row_key("first_id", "first_hash").alias("key")))
 
     def run(batches):
         for rows, data, bounds in K.pieces(batches):
             values, cut = shingle_sets(data, bounds, n)
             nodes = digests(values, cut)[0]
-            slot = nodes % bits
-            hit = (nodes != NONE) & (shared.value[slot // 32] >> (slot % 32).astype(np.uint32) & 1 > 0)
-            # The join keeps the row with the class's least id: each piece sends its own least one, null ids last.
-            ids, pick = rows.column(0), np.flatnonzero(hit)
-            pick = pick[np.lexsort((np.asarray(ids.fill_null(0))[pick], np.asarray(ids.is_null())[pick], nodes[pick]))]
+            # The join keeps the row with the class's least id and text: each piece sends its own least one, null ids last.
+            ids, texts, pick = rows.column(0), np.asarray(rows.column(2)), np.flatnonzero(nodes != NONE)
+            pick = pick[np.lexsort((texts[pick], np.asarray(ids.fill_null(0))[pick], np.asarray(ids.is_null())[pick], nodes[pick]))]
             pick = np.sort(pick[np.unique(nodes[pick], return_index=True)[1]])
             sizes = cut[pick + 1] - cut[pick]
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column(0).take(pa.array(pick)),
+                    rows.column(2).take(pa.array(pick)),
                     pa.array(nodes[pick]),
                     K.lists(values[K.ragged(cut[pick], sizes)].view(np.int64), np.concatenate([[0], np.cumsum(sizes)]), pa.int64()),
                 ],
-                ["doc_id", "node", "elements"],
+                ["doc_id", "text_hash", "node", "elements"],
             )
 
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, node long, elements array<long>")
+    texts = by_bits(docs, bits, True).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("text_hash"))
+    found = texts.mapInArrow(run, "doc_id long, text_hash long, node long, elements array<long>")
     # One row per node: that of the class's own document. Rows with equal id and text may still repeat.
-    return found.join(members, (found["node"] == members["node"]) & found["doc_id"].eqNullSafe(members["first_id"])).select(
-        members["island"], found["node"], "elements"
-    )
+    own = (found["node"] == members["node"]) & found["doc_id"].eqNullSafe(members["first_id"]) & (found["text_hash"] == members["first_hash"])
+    return found.join(members, own).select(members["island"], found["node"], "elements")
 
 
 SLICE_SETS, SLICE_ELEMENTS = 500, 1_000_000  # of an island that one task measures against the pivots
 WORK = 50_000_000  # elements times open sets of a region that one task joins
+LOT = 4 << 20  # bytes of small groups that one call takes
+MEETINGS = 1 << 20  # elements times pivots of small groups that are measured at once
 
 
 def region_links(sets: DataFrame, num: int, den: int, limit: int, pivots: int) -> DataFrame:
@@ -400,10 +442,48 @@ def region_links(sets: DataFrame, num: int, den: int, limit: int, pivots: int) -
         place = cut.filter("NOT leaf").select("region", "node", "label", "size")
         if place.isEmpty():
             break
-    joined = leaves.join(elements, "node").groupBy("region").applyInArrow(lambda group: _join_small(group, num, den), "a long, b long")
+    joined = _by_groups(leaves.join(elements, "node"), ["region"], lambda lot: _join_small(lot, num, den), "a long, b long")
     return links.union(joined)
 
 
+def _by_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``fn`` over lots of whole groups of ``keys``, so that a small group costs no call of its own."""
+
+    def run(batches):
+        for lot in _lots(batches, keys, LOT):
+            yield from fn(lot).to_batches()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def _lots(batches: Iterable[pa.RecordBatch], keys: list[str], most: int) -> Iterator[pa.Table]:
+    """Tables of whole groups out of rows sorted by ``keys``, of about ``most`` bytes unless a group has more."""
+    held: list[pa.Table] = []
+    size, last = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [np.asarray(batch.column(key)) for key in keys]
+        begins = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        begins = np.flatnonzero(np.concatenate([[bool(held) and [c[0] for c in columns] != last], begins]))
+        table = pa.Table.from_batches([batch])
+        last = [c[-1] for c in columns]
+        held.append(table)
+        size += batch.nbytes
+        if size >= most and len(begins) and (len(held) > 1 or begins[-1]):
+            yield pa.concat_tables([*held[:-1], table.slice(0, begins[-1])])
+            held = [table.slice(begins[-1])]
+            size = held[0].nbytes
+    if held:
+        yield pa.concat_tables(held)
+
+
+def _cut(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Bounds of the groups of ``keys`` in a table sorted by them."""
+    columns = [np.asarray(table.column(key)) for key in keys]
+    return np.concatenate([[0], np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1, [table.num_rows]])
+
+
 def _sets(group: pa.Table) -> list[np.ndarray]:
     lists = group.column("elements").combine_chunks()
     cut, flat = np.asarray(lists.offsets), np.asarray(lists.values).view(K.U64)
@@ -416,14 +496,37 @@ def _labels(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(column.fill_null(0)), ~np.asarray(column.is_null())
 
 
-def _join_small(group: pa.Table, num: int, den: int) -> pa.Table:
-    nodes = np.asarray(group.column("node"))
-    label, has = _labels(group)
-    # Classes by label; a row without one is a class of its own.
-    known = np.unique(label, return_inverse=True)[1]
-    known = np.where(has, known, len(nodes) + np.arange(len(nodes)))
-    found = np.array(links_within(_sets(group), num, den, known) if len(nodes) > 1 else [], np.int64).reshape(-1, 2)
-    return pa.table({"a": nodes[found[:, 0]], "b": nodes[found[:, 1]]})
+def _join_small(lot: pa.Table, num: int, den: int) -> pa.Table:
+    nodes = np.asarray(lot.column("node"))
+    label, has = _labels(lot)
+    sets, cut, found = _sets(lot), _cut(lot, ["region"]).tolist(), []
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        # Classes by label; a row without one is a class of its own.
+        known = np.unique(label[a:b], return_inverse=True)[1]
+        known = np.where(has[a:b], known, b - a + np.arange(b - a))
+        found += [(a + i, a + j) for i, j in (links_within(sets[a:b], num, den, known) if b - a > 1 else [])]
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pa.table({"a": nodes[pairs[:, 0]], "b": nodes[pairs[:, 1]]})
+
+
+def _shared(sets: list[np.ndarray], group: np.ndarray, pivots: np.ndarray, most: int) -> np.ndarray:
+    """Elements that each set shares with each pivot of its group, of at most ``most``; ``pivots`` are in order of groups and ranks."""
+    if len(group) and group[0] == group[-1]:
+        index = Holders(sets)
+        return np.stack([index.shared(p) for p in pivots.tolist()], 1)
+    place = np.arange(len(pivots)) - np.searchsorted(group[pivots], group[pivots])
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    with np.errstate(over="ignore"):
+        flat = flat + K.mix(group.astype(K.U64))[owner]  # tells most groups apart; the others are told apart below
+    held = flat[K.ragged((np.cumsum(sizes) - sizes)[pivots], sizes[pivots])]
+    holder = np.repeat(np.arange(len(pivots)), sizes[pivots])
+    order = np.argsort(held, kind="stable")
+    held, holder = held[order], holder[order]
+    low, high = np.searchsorted(held, flat), np.searchsorted(held, flat, "right")
+    one, other = np.repeat(owner, high - low), holder[K.ragged(low, high - low)]
+    inside = group[one] == group[pivots[other]]
+    return np.bincount(one[inside] * most + place[other[inside]], minlength=len(sets) * most).reshape(-1, most)
 
 
 def _measure(place: DataFrame, elements: DataFrame, num: int, den: int, pivots: int) -> DataFrame:
@@ -447,50 +550,68 @@ def _measure(place: DataFrame, elements: DataFrame, num: int, den: int, pivots:
     sent = sent.withColumn("slice", F.explode(F.when(F.col("rank").isNull(), own).otherwise(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))))
     eps = 1 - num / den
 
-    def measure(key, group):
-        nodes, sizes = np.asarray(group.column("node")), np.asarray(group.column("size"))
-        label, has = _labels(group)
-        ranks = np.asarray(group.column("rank").combine_chunks().fill_null(0))
+    def measure(lot):
+        cut = _cut(lot, ["region", "slice"])
+        ranks = np.asarray(lot.column("rank").combine_chunks().fill_null(0))
+        sizes = np.asarray(lot.column("size"))
+        counts = np.add.reduceat((ranks > 0).astype(np.int64), cut[:-1])
+        meetings = np.cumsum(np.add.reduceat(sizes, cut[:-1]) * counts)
+        out, low = [], 0
+        while low < len(counts):
+            before = meetings[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(meetings, before + MEETINGS, "right")))
+            out += measure_some(lot.slice(cut[low], cut[high] - cut[low]), np.diff(cut[low : high + 1]), counts[low:high])
+            low = high
+        return pa.concat_tables(out)
+
+    def measure_some(lot, lengths, counts):
+        nodes, sizes = np.asarray(lot.column("node")), np.asarray(lot.column("size"))
+        region, part_of = np.asarray(lot.column("region")), np.asarray(lot.column("slice"))
+        label, has = _labels(lot)
+        ranks = np.asarray(lot.column("rank").combine_chunks().fill_null(0))
+        group, most = np.repeat(np.arange(len(lengths)), lengths), int(counts.max())
         chosen = np.flatnonzero(ranks)
-        chosen = chosen[np.argsort(ranks[chosen])]
-        index = Holders(_sets(group))
-        shared = np.stack([index.shared(p) for p in chosen.tolist()], 1)
-        union = sizes[:, None] + sizes[chosen] - shared
-        near = den * shared >= num * union
-        same = near | (has[:, None] & has[chosen] & (label[:, None] == label[chosen]))
+        chosen = chosen[np.lexsort((ranks[chosen], group[chosen]))]
+        # Pivots of each group in a row of a table, as wide as the largest group needs.
+        real = np.arange(most) < counts[:, None]
+        pivot = np.zeros((len(counts), most), np.int64)
+        pivot[real] = chosen
+        mine, real = pivot[group], real[group]
+        shared = _shared(_sets(lot), group, chosen, most)
+        union = sizes[:, None] + sizes[mine] - shared
+        near = real & (den * shared >= num * union)
+        same = near | (real & has[:, None] & has[mine] & (label[:, None] == label[mine]))
+        distance = np.where(real, 1 - shared / np.where(real, union, 1), 2.0)  # 2: not a pivot of this group
         rows = np.flatnonzero(ranks == 0)
         # Pivots meet each other in every slice; the first one tells it.
-        telling = np.concatenate([rows, chosen]) if key[1].as_py() == 0 else rows
+        telling = np.flatnonzero((ranks == 0) | (part_of == 0))
         at, to = np.nonzero(near[telling])
-        at = telling[at]
-        to = np.where(at == chosen[to], -1, to)
-        at, to = at[to >= 0], to[to >= 0]
-        linked = _rows(key[0], 0, nodes[at], other=nodes[chosen[to]])
-        inside = regions_of(1 - shared[rows] / union[rows], eps) if len(rows) else np.zeros((0, len(chosen) + 1), bool)
+        at, to = telling[at], mine[telling[at], to]
+        at, to = at[at != to], to[at != to]
+        linked = _rows(region[at], 0, nodes[at], other=nodes[to])
+        inside = regions_of(distance[rows], eps)
         who, part = np.nonzero(inside)
         cut = np.concatenate([[0], np.cumsum(inside.sum(axis=1))])
-        away = np.hstack([1 - shared[rows] / union[rows], np.full((len(rows), 1), -1.0)])  # -1: far from all pivots
+        away = np.hstack([distance[rows], np.full((len(rows), 1), -1.0)])  # -1: far from all pivots
         core = np.where(same[rows].any(axis=1), same[rows].argmax(axis=1), -1)
+        far = counts[group[rows]][who]
         member = _rows(
-            key[0], 1, nodes[rows], parts=K.lists(part, cut, pa.int64()), away=K.lists(away[who, part], cut, pa.float64()),
+            region[rows], 1, nodes[rows], parts=K.lists(np.minimum(part, far), cut, pa.int64()), away=K.lists(away[who, part], cut, pa.float64()),
             core=pa.array(core, mask=core < 0), label=pa.array(label[rows], mask=~has[rows]), size=sizes[rows],
         )
-        # Pivots that a set has in common are of one class.
-        edges = {(p, q) for held in same[telling] for p, q in _chain(np.flatnonzero(held).tolist())}
-        pairs = np.array(sorted(edges), np.int64).reshape(-1, 2)
-        return pa.concat_tables([linked, member, _rows(key[0], 2, np.zeros(len(pairs), np.int64), part=pairs[:, 0], other=pairs[:, 1])])
+        # Pivots that a set has in common are of one class: each with the next one.
+        who, part = np.nonzero(same[telling])
+        after = np.flatnonzero(who[1:] == who[:-1])
+        pairs = np.unique(np.stack([region[telling[who[after]]], part[after], part[after + 1]], 1), axis=0)
+        return [linked, member, _rows(pairs[:, 0], 2, np.zeros(len(pairs), np.int64), part=pairs[:, 1], other=pairs[:, 2])]
 
     schema = "region long, kind int, node long, part long, other long, core long, label long, size long, parts array<long>, away array<double>"
-    return stored(sent.join(elements, "node").groupBy("region", "slice").applyInArrow(measure, schema), "jaccard-round")
-
-
-def _chain(held: list[int]) -> list[tuple[int, int]]:
-    return list(zip(held[:-1], held[1:], strict=True))
+    return stored(_by_groups(sent.join(elements, "node"), ["region", "slice"], measure, schema), "jaccard-round")
 
 
-def _rows(region: pa.Scalar, kind: int, node: np.ndarray, **columns) -> pa.Table:
+def _rows(region: np.ndarray, kind: int, node: np.ndarray, **columns) -> pa.Table:
     n = len(node)
-    out = {"region": pa.repeat(region, n), "kind": pa.array(np.full(n, kind, np.int32)), "node": pa.array(node, pa.int64())}
+    out = {"region": pa.array(region, pa.int64()), "kind": pa.array(np.full(n, kind, np.int32)), "node": pa.array(node, pa.int64())}
     for name in ("part", "other", "core", "label", "size"):
         column = columns.get(name)
         out[name] = pa.nulls(n, pa.int64()) if column is None else column if isinstance(column, pa.Array) else pa.array(column, pa.int64())
@@ -572,14 +693,18 @@ def _regions(measured: DataFrame, eps: float, limit: int) -> DataFrame:
     keeps its parts in one row until it is known whether the cut halves the work; only then it is dealt out.
     """
 
-    def classes_of(group: pa.Table) -> pa.Table:
-        least = pivot_classes(list(zip(group.column("part").to_pylist(), group.column("other").to_pylist(), strict=True)))
-        region = group.column("region")[0]
-        return pa.table({"region": pa.repeat(region, len(least)), "core": pa.array(list(least), pa.int64()), "class": pa.array(list(least.values()), pa.int64())})
+    def classes_of(lot: pa.Table) -> pa.Table:
+        cut, out = _cut(lot, ["region"]).tolist(), ([], [], [])
+        region, part, other = (lot.column(name).to_pylist() for name in ("region", "part", "other"))
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            least = pivot_classes(list(zip(part[a:b], other[a:b], strict=True)))
+            for column, more in zip(out, ([region[a]] * len(least), least, least.values()), strict=True):
+                column += more
+        return pa.table({name: pa.array(column, pa.int64()) for name, column in zip(("region", "core", "class"), out, strict=True)})
 
     # At most the square of the number of pivots for each region.
     same = measured.filter("kind = 2").select("region", "part", "other").distinct()
-    same = same.groupBy("region").applyInArrow(classes_of, "region long, core long, class long")
+    same = _by_groups(same, ["region"], classes_of, "region long, core long, class long")
     label = F.when(F.col("core").isNotNull(), F.xxhash64("region", F.coalesce("class", "core"))).otherwise(F.col("label"))
     node = measured.filter("kind = 1").join(same, ["region", "core"], "left").withColumn("label", label)
     each = node.select("region", F.lit(-1).cast("long").alias("part"), "label", F.lit(1).cast("long").alias("n"), F.col("size").alias("held"))
@@ -639,14 +764,15 @@ def join_nodes(
     kinds = stored(
         rows.filter(F.col("node") != NONE)
         .groupBy("node")
-        .agg(F.min("doc_id").alias("first_id"), F.min("check").alias("low"), F.max("check").alias("high")),
+        .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"), F.min("check").alias("low"), F.max("check").alias("high"))
+        .select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"), "low", "high"),
         "jaccard-kinds",
     )
     if not kinds.filter("low <> high").isEmpty():
         raise RuntimeError("two different sets share a 64-bit digest")
     near = stored(candidate_edges(docs, common_slots(stored_rows), n, num, den), "jaccard-near")
     islands = components(near).withColumnRenamed("root", "island")
-    members = stored(islands.join(kinds.select("node", "first_id"), "node"), "jaccard-members")
+    members = stored(islands.join(kinds.select("node", "first_id", "first_hash"), "node"), "jaccard-members")
     sets = stored(member_sets(docs, members, n).dropDuplicates(["island", "node"]), "jaccard-sets")
     links = stored(region_links(sets, num, den, limit, pivots), "jaccard-links")
     roots = components(links)
@@ -685,9 +811,11 @@ def one_of_each_class(
         "jaccard-marked",
     ).alias("m")
     same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("m.doc_id")) & (F.xxhash64("d.text") == F.col("m.text_hash"))
-    kept = docs.alias("d").join(marked.filter("NOT stays").alias("m"), same, "left_anti")
+    # Only rows that a bitmap of bounded size finds may have to go; the texts of all others never move.
+    bits = row_bits(marked.select(row_key("doc_id", "text_hash").alias("key")))
+    sure, kept = by_bits(docs, bits, False), by_bits(docs, bits, True).alias("d").join(marked.filter("NOT stays").alias("m"), same, "left_anti")
     repeated = marked.filter("stays").alias("m")
     if repeated.isEmpty():
-        return kept
+        return sure.union(kept)
     once = kept.alias("d").join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.alias("d").join(repeated, same, "left_anti").union(once)
+    return sure.union(kept.alias("d").join(repeated, same, "left_anti")).union(once)

@@ -139,9 +139,14 @@ def shingles(hashed: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray
 
 def distinct(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values of each text."""
-    sets = [np.unique(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    sizes = np.array([len(s) for s in sets], np.int64)
-    return (np.concatenate(sets) if sets else values[:0]), np.concatenate([[0], np.cumsum(sizes)])
+    values = values[bounds[0] : bounds[-1]].copy()
+    bounds = bounds - bounds[0]
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        values[a:b].sort()
+    keep = np.ones(len(values), bool)
+    keep[1:] = values[1:] != values[:-1]
+    keep[bounds[:-1][np.diff(bounds) > 0]] = True
+    return values[keep], np.concatenate([[0], np.cumsum(keep)])[bounds]
 
 
 def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:

@@ -219,3 +219,84 @@ def test_a_set_is_dealt_out_only_where_the_cut_halves_the_work(spark, monkeypatc
     assert "Generate inline(filter(places" not in cut._jdf.queryExecution().toString()
     held = Counter(r["region"] for r in cut.collect())
     assert sorted(held.values()) == ([20] * 20 if halved else [400])
+
+
+def test_signatures_are_folded_over_pieces():
+    """A list goes to each bucket for each fold, not for each piece of rows: else lists grow with rows times buckets."""
+    rng = np.random.default_rng(2)
+    given = [(rng.integers(1 << 60, size=k, dtype=np.uint64), rng.integers(1 << 40, size=k)) for k in [3, 0, 50, 7, 40, 1, 2, 300, 5]]
+    made = list(jaccard._folds(iter(given), 100))
+    assert [len(keys) for keys, _ in made] == [100, 303, 5] and jaccard.FOLD >= 1 << 18
+    for at in (0, 1):
+        assert np.array_equal(np.concatenate([p[at] for p in made]), np.concatenate([p[at] for p in given]))
+    assert list(jaccard._folds(iter([]), 100)) == []
+
+
+def test_signatures_of_many_sets_are_those_of_each():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(1 << 63, size=k, dtype=np.uint64)) for k in [0, 1, 2, 5, 0, 9, 30, 31, 100, 700, 0]]
+    bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    values = np.concatenate(sets)
+    for share in (0, 300, 1_000):
+        cold = values % np.uint64(1_000) >= share
+        keys, owner = jaccard.signatures_of(values, cold, bounds, 80, 100)
+        for i, s in enumerate(sets):
+            alone = jaccard.signatures(s, cold[bounds[i] : bounds[i + 1]], 80, 100)
+            assert sorted(keys[owner == i].tolist()) == sorted(alone.tolist()) and (len(alone) > 0) == (len(s) > 3)
+
+
+def test_small_groups_share_a_call():
+    rng = random.Random(8)
+    rows = [(g, s, rng.randrange(100)) for g in range(-40, 40) for s in range(rng.choice([1, 2])) for _ in range(rng.choice([1, 3, 60]))]
+    kinds = pa.schema([("region", pa.int64()), ("slice", pa.int64()), ("node", pa.int64())])
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=kinds)
+    batches = [batch.slice(i, 17) for i in range(0, len(rows), 17)] + [batch.slice(0, 0)]
+    for most, calls in ((1 << 20, 1), (2_000, len(rows) * 24 // 2_000 + 1), (1, len(rows))):
+        lots = list(jaccard._lots(batches, ["region", "slice"], most))
+        assert len(lots) <= calls
+        assert pa.concat_tables(lots).to_pylist() == batch.to_pylist()
+        ends = [(lot.column("region")[0].as_py(), lot.column("slice")[0].as_py()) for lot in lots]
+        last = [(lot.column("region")[-1].as_py(), lot.column("slice")[-1].as_py()) for lot in lots]
+        assert all(a != b for a, b in zip(ends[1:], last[:-1]))
+        for lot in lots:
+            cut = jaccard._cut(lot, ["region", "slice"])
+            assert len(cut) - 1 == len({(r["region"], r["slice"]) for r in lot.to_pylist()}) and cut[-1] == lot.num_rows
+
+
+def test_many_islands_at_once(spark):
+    """Islands of 2 to 40 sets that share elements with each other: each is joined by itself."""
+    rng = random.Random(11)
+    common = rng.sample(range(100, 1 << 30), 150)
+    rows = []
+    for island in range(60):
+        while sum(r[0] == island for r in rows) < rng.choice([2, 3, 9, 40]):
+            rows += [(island, len(rows) + i, sorted(s)) for i, s in enumerate(edited(rng, set(common) | {island} | set(rng.sample(range(1 << 31, 1 << 32), 60)), rng.choice([0, 1, 4])))]
+    frame = spark.createDataFrame(rows, "island long, node long, elements array<long>")
+    links = {tuple(r) for r in jaccard.region_links(frame, 85, 100, 2_000_000, 64).collect()}
+    sets = {node: (island, set(e)) for island, node, e in rows}
+    near = lambda a, b: sets[a][0] == sets[b][0] and 100 * len(sets[a][1] & sets[b][1]) >= 85 * len(sets[a][1] | sets[b][1])
+    assert all(near(a, b) for a, b in links)
+    least = []
+    for edges in (links, {(a, b) for a in sets for b in sets if a < b and near(a, b)}):
+        group = {a: a for a in sets}
+        for a, b in edges:
+            if group[a] != group[b]:
+                old, new = group[a], group[b]
+                group = {k: new if v == old else v for k, v in group.items()}
+        first = {}
+        least.append([first.setdefault(group[a], a) for a in sorted(sets)])
+    assert least[0] == least[1] and len(set(least[0])) > 60
+
+
+def test_rows_that_stay_do_not_move(spark, odd_docs):
+    """A bitmap parts the rows that may have to go from those that stay; the texts of the latter pass no shuffle."""
+    listed = odd_docs.filter("doc_id IN (3, 5) OR doc_id IS NULL AND text IS NULL").selectExpr("doc_id", "xxhash64(text) AS text_hash")
+    bits = jaccard.row_bits(listed.select(jaccard.row_key("doc_id", "text_hash").alias("key")))
+    inside, outside = jaccard.by_bits(odd_docs, bits, True), jaccard.by_bits(odd_docs, bits, False)
+    assert inside.columns == outside.columns == odd_docs.columns
+    assert Counter(r["doc_id"] for r in inside.collect()) == Counter([3, 3, 5, None])
+    assert Counter(map(tuple, inside.collect())) + Counter(map(tuple, outside.collect())) == Counter(map(tuple, odd_docs.collect()))
+    assert "hashpartitioning" not in outside._jdf.queryExecution().executedPlan().toString()
+    kept = jaccard.one_of_each_class(odd_docs, 5, 80, 100)
+    moved = [x for x in kept._jdf.queryExecution().optimizedPlan().toString().split("Union")[1].splitlines() if "Anti" in x or "Join" in x]
+    assert "LeftOuter" in moved[0] and "Anti" not in moved[0]
